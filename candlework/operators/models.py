@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from functools import reduce
 
@@ -18,7 +19,7 @@ from candlework.operators.labels import Grid, deployment_slices, label, training
 from candlework.operators.trades import mark_trades, summarise
 from candlework.schema import CODE_COLUMNS, MODEL_COLUMNS
 
-_HASH_BITS = 20
+_HASH_BITS = 16
 
 
 def labelled_vectors(table: DataFrame, features: Sequence[str], label_column: str) -> DataFrame:
@@ -33,26 +34,29 @@ def exact_split(
 ) -> tuple[DataFrame, DataFrame]:
     """Split into exactly floor(share * n) rows and the rest, by a seeded hash of the keys.
 
-    Rows are counted in 2**20 hash ranges. The range holding the cut is found from those
-    counts, and only its rows (about a millionth of the table) are ranked.
+    The hash of the last training row is looked up first: rows are counted in 2**16 hash
+    ranges, and only the range holding the cut is ranked. Both parts are then plain filters,
+    the same whenever they are recomputed. ``keys`` must identify a row.
     """
-    hashed = table.withColumn("_hash", F.md5(F.concat_ws("|", *keys, F.lit(str(seed))))).withColumn(
-        "_range", F.conv(F.substring("_hash", 1, _HASH_BITS // 4), 16, 10).cast("int")
+    hash_of = F.md5(F.concat_ws("|", *keys, F.lit(str(seed))))
+    hashes = table.select(hash_of.alias("hash")).withColumn(
+        "range", F.conv(F.substring("hash", 1, _HASH_BITS // 4), 16, 10).cast("int")
     )
-    counts = hashed.groupBy("_range").agg(F.count("*").alias("n")).orderBy("_range").toPandas()
-    wanted = int(share * int(counts["n"].sum()) + 1e-9)
-    running = counts["n"].cumsum()
-    at = int((running <= wanted).sum())  # ranges that fit whole
-    left_over = wanted - (int(running.iloc[at - 1]) if at else 0)
-    cut = int(counts["_range"].iloc[at]) if at < len(counts) else 1 << _HASH_BITS
-    border = hashed.filter(F.col("_range") == cut).withColumn(
-        "_rank", F.row_number().over(Window.partitionBy("_range").orderBy("_hash"))
-    )
-    inner = hashed.drop("_hash")
-    border = border.drop("_hash")
-    train = inner.filter(F.col("_range") < cut).unionByName(border.filter(F.col("_rank") <= left_over).drop("_rank"))
-    test = inner.filter(F.col("_range") > cut).unionByName(border.filter(F.col("_rank") > left_over).drop("_rank"))
-    return train.drop("_range"), test.drop("_range")
+    counts = hashes.groupBy("range").agg(F.count("*").alias("n")).orderBy("range").collect()
+    wanted = math.floor(share * sum(r.n for r in counts) + 1e-9)
+    before = 0
+    cut = None
+    for r in counts:
+        if before + r.n >= wanted > before:
+            ranked = hashes.filter(F.col("range") == r.range).withColumn(
+                "rank", F.row_number().over(Window.partitionBy("range").orderBy("hash"))
+            )
+            cut = ranked.filter(F.col("rank") == wanted - before).first().hash
+            break
+        before += r.n
+    if cut is None:  # nothing to train on
+        return table.limit(0), table
+    return table.filter(hash_of <= cut), table.filter(hash_of > cut)
 
 
 def train_svm(train: DataFrame, features: Sequence[str], label_column: str = "label") -> PipelineModel:
@@ -108,11 +112,11 @@ def importance(model: PipelineModel, spark, features: Sequence[str] = MODEL_COLU
 
 def score(table: DataFrame, model: PipelineModel, features: Sequence[str] = CODE_COLUMNS) -> DataFrame:
     """Missing features count as 0.0; a row without a result gets -1.0. Batch or streaming."""
-    filled = table.na.fill(0.0, list(features))
-    out = model.transform(filled)
-    return out.withColumn("prediction", F.coalesce(F.nanvl("prediction", F.lit(None)), F.lit(-1.0))).select(
-        *table.columns, "prediction"
-    )
+    filled = table.withColumns({f"_in_{x}": F.coalesce(F.col(x).cast("double"), F.lit(0.0)) for x in features})
+    assembled = VectorAssembler(inputCols=[f"_in_{x}" for x in features], outputCol="features").transform(filled)
+    prediction = F.coalesce(F.nanvl("prediction", F.lit(None).cast("double")), F.lit(-1.0))
+    out = model.stages[-1].transform(assembled)
+    return out.withColumn("prediction", prediction).select(*table.columns, "prediction")
 
 
 def tune_forest(train: DataFrame, features: Sequence[str], depths: Sequence[int], trees: int = 20, folds: int = 3,
@@ -165,8 +169,10 @@ def predicted_slices(
             train = label(training_slices(numbered, first), [threshold]).withColumnRenamed("responseVariable", "label")
             model = train_forest(train, features, trees, seed)
             slices = label(deployment_slices(numbered, one), [threshold])
-            scored = score(slices, model, [x for x in features if x not in keys])
-            parts.append(scored.withColumn("prediction", F.col("prediction").cast("int")))
+            complete = reduce(lambda a, b: a & b, [F.col(x).isNotNull() for x in features])
+            parts.append(
+                score(slices, model, features).withColumn("prediction", F.when(complete, F.col("prediction").cast("int")))
+            )
     return reduce(DataFrame.unionByName, parts)
 
 

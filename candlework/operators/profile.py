@@ -51,7 +51,7 @@ def confusion_counts(scored: DataFrame, by: Sequence[str] = ()) -> DataFrame:
 
 def confusion_matrix(scored: DataFrame, classes: Sequence[int], by: Sequence[str] = ()) -> DataFrame:
     """One row per prediction, one column per true class."""
-    pivoted = scored.groupBy(*by, "prediction").pivot("label", list(classes)).agg(F.count("*"))
+    pivoted = scored.groupBy(*by, "prediction").pivot("label", list(classes)).agg(F.count(F.lit(1)))
     return pivoted.select(
         *by, "prediction", *[F.coalesce(F.col(str(k)), F.lit(0)).alias(f"label_{k}") for k in classes]
     )

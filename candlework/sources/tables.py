@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from candlework.functions.columns import rnd
+from candlework.functions.columns import ratio, rnd
 
 SESSION_MINUTES = 390
 
@@ -37,7 +37,7 @@ def _trades(spark: SparkSession, sf_dir: str) -> DataFrame:
     return items.select(
         F.concat(F.lit("S"), F.col("l_suppkey").cast("string")).alias("stockName"),
         (F.col("l_shipdate") + F.make_dt_interval(mins=minute.cast("int"))).alias("stockTime"),
-        F.col("l_extendedprice") / F.col("l_quantity"),
+        ratio(F.col("l_extendedprice"), F.col("l_quantity")),
         "l_tax",
         "l_discount",
         "l_quantity",
