@@ -36,9 +36,9 @@ def parse_bar_lines(lines: DataFrame) -> DataFrame:
 def read_bar_files(spark: SparkSession, folder: str) -> DataFrame:
     """All files of a folder in one distributed scan; the symbol is the file name less its
     last four characters."""
-    lines = spark.read.text(folder).select(
-        F.regexp_extract(F.col("_metadata.file_name"), "^(.*).{4}$", 1).alias("stockName"), "value"
-    )
+    # the metadata column gives the name URL-encoded, except for a plus sign
+    name = F.url_decode(F.replace(F.col("_metadata.file_name"), F.lit("+"), F.lit("%2B")))
+    lines = spark.read.text(folder).select(F.regexp_extract(name, "^(.*).{4}$", 1).alias("stockName"), "value")
     return parse_bar_lines(lines)
 
 

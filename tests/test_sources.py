@@ -4,6 +4,7 @@ from datetime import datetime
 
 import pytest
 from pyspark.errors import PySparkException
+from pyspark.sql import functions as F
 
 from candlework.operators.features import base_table
 from candlework.schema import BAR_COLUMNS, BASE_COLUMNS
@@ -34,11 +35,11 @@ def test_bar_files(spark):
                 "27/04/2015 15:36,1,2,0.5,1.5,3,",
                 "27/04/2015 15:37,1,2,0.5,1.5,3,10,,",
             ],
-            "XOM.csv": [GOOD],
+            "X+M 1.csv": [GOOD],
         }
     )
     rows = bar_files.read_bar_files(spark, path).orderBy("stockName", "stockTime").collect()
-    assert [r.stockName for r in rows] == ["ABT UN Equity", "ABT UN Equity", "XOM"]
+    assert [r.stockName for r in rows] == ["ABT UN Equity", "ABT UN Equity", "X+M 1"]
     assert rows[0].stockTime == datetime(2015, 4, 27, 15, 31) and rows[1].stockTime.minute == 37
     assert list(rows[0].asDict())[2:] == BAR_COLUMNS[2:]
     assert (rows[0].priceOpen, rows[0].high, rows[0].low, rows[0].lastPrice, rows[0].number, rows[0].volume) == (
@@ -71,7 +72,7 @@ def test_replay(spark, make_bars):
 
 def test_base_csv_round_trip(spark, data):
     path = tempfile.mkdtemp(prefix="candlework-test-") + "/base"
-    bars = event_bars(spark, data).withColumn("stockTime", event_bars(spark, data)["stockTime"].cast("timestamp"))
+    bars = event_bars(spark, data).withColumn("stockTime", F.col("stockTime").cast("timestamp"))
     table = base_table(bars)
     bar_files.write_base_csv(table, path, single_file=True)
     assert len([f for f in os.listdir(path) if f.startswith("part-")]) == 1
@@ -102,8 +103,6 @@ def test_sort_all(spark):
 
 
 def test_filter_and_columns_reach_the_scan(spark, data):
-    from pyspark.sql import functions as F
-
     path = tempfile.mkdtemp(prefix="candlework-test-") + "/bars"
     event_bars(spark, data).write.parquet(path)
     t = base_table(spark.read.parquet(path)).filter(F.col("stockName") == "click").select("stockTime", "CCI")
