@@ -5,25 +5,20 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-_SCALE_DIGITS = 9
-_FIXED_POINT_LIMIT = 9.0e9  # |x| * 1e9 still fits a long
+_TIE_SLACK = 5.0e-10
 
 
 def rnd(x: Column | str, digits: int) -> Column:
-    """ROUND half-up, the same whatever order a sum was taken in.
+    """ROUND half away from zero, the same whatever order a sum was taken in.
 
-    The value is first taken to nine decimals as a long, then rounded in integer
-    arithmetic, so 1.2512499999999998 and 1.25125 both give 1.2513. Pass a column, not a
-    long expression: the input is referenced several times.
+    A value up to 5e-10 below a tie counts as the tie, so 1.2512499999999998 and 1.25125 both
+    give 1.2513. All double arithmetic: no decimals, no branches, no overflow.
     """
     x = F.col(x) if isinstance(x, str) else x
-    scaled = F.floor(F.abs(x) * F.lit(1.0e9) + F.lit(0.5))
-    unit = 10 ** (_SCALE_DIGITS - digits)
-    if unit > 1:
-        scaled = F.call_function("div", scaled + F.lit(unit // 2), F.lit(unit))
-    # the sign is applied to the long, so there is no negative zero
-    fast = F.when(x < 0, -scaled).otherwise(scaled) / F.lit(float(10**digits))
-    return F.when(F.abs(x) < F.lit(_FIXED_POINT_LIMIT), fast).otherwise(F.round(x, digits))
+    unit = F.lit(float(10**digits))
+    size = F.abs(x) + F.lit(_TIE_SLACK) if digits < 9 else F.abs(x)
+    # adding 0.0 turns a negative zero into zero
+    return F.rint(size * unit) / unit * F.signum(x) + F.lit(0.0)
 
 
 def settle(x: Column | str, digits: int | None) -> Column:

@@ -5,10 +5,10 @@ from __future__ import annotations
 from collections.abc import Iterable
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from candlework.operators.history import HotSymbols, number_bars, overlap
+from candlework.operators.history import MEASURE, HotSymbols, number_bars, overlap, resolve
 from candlework.operators.indicators import BASE_INDICATORS, SMA, Frames, Indicator, add_indicators
 from candlework.schema import BASE_COLUMNS, FEATURE_COLUMNS, KEY, WARMUP_BARS
 
@@ -27,16 +27,18 @@ def indicator_table(
     bars: DataFrame,
     indicators: Iterable[Indicator],
     columns: Iterable[str],
-    hot: HotSymbols | None = None,
+    hot: HotSymbols | str | None = MEASURE,
     digits: int | None = None,
 ) -> DataFrame:
     """Indicators of unique bars, all in one pass.
 
-    ``digits`` rounds intermediate values so that the result does not depend on the order in
+    ``hot`` names the symbols whose history is split; by default they are found by a count of
+    the bars, None skips that. ``digits`` rounds intermediate values so that the result does not depend on the order in
     which a frame is summed; None keeps full precision.
     """
     indicators = tuple(indicators)
     columns = list(columns)
+    hot = resolve(bars, hot)
     if hot is None:
         return add_indicators(bars, indicators, Frames(), digits).select(*columns)
     # the copied bars must cover the longest frame, and at least the lag
@@ -45,18 +47,19 @@ def indicator_table(
     return out.filter(~F.col("_before")).select(*columns)
 
 
-def base_table(bars: DataFrame, hot: HotSymbols | None = None, digits: int | None = None) -> DataFrame:
+def base_table(bars: DataFrame, hot: HotSymbols | str | None = MEASURE, digits: int | None = None) -> DataFrame:
     """Key, price, lagged price and the 27 feature columns."""
     return indicator_table(bars, BASE_INDICATORS, BASE_COLUMNS, hot, digits)
 
 
-def feature_table(bars: DataFrame, hot: HotSymbols | None = None, digits: int | None = None) -> DataFrame:
+def feature_table(bars: DataFrame, hot: HotSymbols | str | None = MEASURE, digits: int | None = None) -> DataFrame:
     """The 27 feature columns alone, as the live path emits them."""
     return indicator_table(bars, BASE_INDICATORS, FEATURE_COLUMNS, hot, digits)
 
 
-def base_table_by_joins(bars: DataFrame, hot: HotSymbols | None = None, digits: int | None = None) -> DataFrame:
+def base_table_by_joins(bars: DataFrame, hot: HotSymbols | str | None = MEASURE, digits: int | None = None) -> DataFrame:
     """The same table as one inner join per indicator; kept to cross-check ``base_table``."""
+    hot = resolve(bars, hot)
     parts = []
     for indicator in BASE_INDICATORS:
         extra = ["lastPrice"] if indicator is SMA else []
@@ -64,17 +67,19 @@ def base_table_by_joins(bars: DataFrame, hot: HotSymbols | None = None, digits:
     return reduce(lambda a, b: a.join(b, KEY), parts).select(*BASE_COLUMNS)
 
 
-def sma_by_joins(bars: DataFrame) -> DataFrame:
+def sma_by_joins(bars: DataFrame, hot: HotSymbols | str | None = MEASURE) -> DataFrame:
     """The crossover as four joined tables: the two averages and their lags."""
-    w = Window.partitionBy("stockName").orderBy("stockTime")
-    means = add_indicators(bars, [SMA])
-    short = means.select(*KEY, "lastPrice", "SMA10")
-    long = means.select(*KEY, "SMA100")
-    short_lag = means.select(*KEY, F.lag("SMA10", 1, 0.0).over(w).alias("SMA10lag"))
-    long_lag = means.select(*KEY, F.lag("SMA100", 1, 0.0).over(w).alias("SMA100lag"))
+    hot = resolve(bars, hot)
+
+    def part(*columns: str) -> DataFrame:
+        return indicator_table(bars, [SMA], [*KEY, *columns], hot)
+
+    short, long = part("lastPrice", "SMA10"), part("SMA100")
+    short_lag = part("_SMA10_before").withColumnRenamed("_SMA10_before", "SMA10lag")
+    long_lag = part("_SMA100_before").withColumnRenamed("_SMA100_before", "SMA100lag")
     return reduce(lambda a, b: a.join(b, KEY), [short, long, short_lag, long_lag])
 
 
-def drop_warmup(table: DataFrame, bars: int = WARMUP_BARS, hot: HotSymbols | None = None) -> DataFrame:
+def drop_warmup(table: DataFrame, bars: int = WARMUP_BARS, hot: HotSymbols | str | None = MEASURE) -> DataFrame:
     """Drop each symbol's first bars, whose frames are not yet full."""
     return number_bars(table, hot, "_bar_no").filter(F.col("_bar_no") > bars).drop("_bar_no")

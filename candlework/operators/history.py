@@ -71,10 +71,21 @@ def measure(bars: DataFrame, limit: int = MAX_BARS_PER_TASK) -> HotSymbols | Non
     return HotSymbols(table, broadcastable)
 
 
-def with_segments(bars: DataFrame, hot: HotSymbols) -> DataFrame:
-    """Add ``segment``: the calendar period of a hot symbol's bar, one constant for the rest."""
+MEASURE = "measure"  # stands for "count first": the default wherever a history could be hot
+
+
+def resolve(bars: DataFrame, hot: HotSymbols | str | None) -> HotSymbols | None:
+    """Measure the bars unless the caller has already, or has said with None that none is hot."""
+    return measure(bars.select("stockName", "stockTime")) if isinstance(hot, str) else hot
+
+
+def with_segments(bars: DataFrame, hot: HotSymbols, how: str = "left") -> DataFrame:
+    """Add ``segment``: the calendar period of a hot symbol's bar, one constant for the rest.
+
+    With ``how="inner"`` only hot symbols are kept.
+    """
     return (
-        bars.join(hot.side(), "stockName", "left")
+        bars.join(hot.side(), "stockName", how)
         .withColumn(
             "segment",
             F.coalesce(F.expr("date_trunc(period, stockTime)"), F.lit("1970-01-01").cast("timestamp")),
@@ -90,7 +101,7 @@ def overlap(bars: DataFrame, hot: HotSymbols, lookback: int) -> DataFrame:
     segment are ranked and copied; the rank limit is applied before the shuffle.
     """
     tagged = with_segments(bars, hot)
-    cut = with_segments(bars.join(hot.side(), "stockName", "left_semi"), hot)
+    cut = with_segments(bars, hot, "inner")
     by_symbol = Window.partitionBy("stockName").orderBy("segment")
     segments = (
         cut.groupBy("stockName", "segment")
@@ -117,12 +128,13 @@ def overlap(bars: DataFrame, hot: HotSymbols, lookback: int) -> DataFrame:
     )
 
 
-def number_bars(bars: DataFrame, hot: HotSymbols | None = None, name: str = "bar_no") -> DataFrame:
+def number_bars(bars: DataFrame, hot: HotSymbols | str | None = MEASURE, name: str = "bar_no") -> DataFrame:
     """Number each symbol's bars 1, 2, ... in time order.
 
     With hot symbols present the number is the count of bars in earlier days plus the rank
     within the day, so no task sorts a whole symbol.
     """
+    hot = resolve(bars, hot)
     if hot is None:
         return bars.withColumn(name, F.row_number().over(Window.partitionBy("stockName").orderBy("stockTime")))
     keyed = bars.withColumn("_day", F.to_date("stockTime"))

@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from candlework.operators.history import HotSymbols, number_bars
+from candlework.operators.history import MEASURE, HotSymbols, number_bars
 from candlework.schema import BUY, DEPLOYMENT_PERIODS, HOLD, SELL, THRESHOLDS, TRAINING_PERIODS
 
 
@@ -102,7 +102,7 @@ def labelled_slices(
     table: DataFrame,
     grid: Grid,
     day: Column | None = None,
-    hot: HotSymbols | None = None,
+    hot: HotSymbols | str | None = MEASURE,
     keep: Iterable[str] = (),
 ) -> DataFrame:
     """Deployment slices labelled for every threshold of the grid.
@@ -111,7 +111,8 @@ def labelled_slices(
     """
     keys = ["stockName", "stockTime", "lastPrice"]
     bars = table.select(*keys, *[x for x in keep if x not in keys])
-    numbered = number_bars(with_end_of_day(bars, day), hot)
+    # numbering first: where it partitions by symbol, the day windows need no further shuffle
+    numbered = with_end_of_day(number_bars(bars, hot), day)
     return label(deployment_slices(numbered, grid), grid.thresholds)
 
 

@@ -14,7 +14,7 @@ from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from candlework.operators.history import HotSymbols, number_bars
+from candlework.operators.history import MEASURE, HotSymbols, number_bars
 from candlework.operators.labels import Grid, deployment_slices, label, training_slices, with_end_of_day
 from candlework.operators.trades import mark_trades, summarise
 from candlework.schema import CODE_COLUMNS, MODEL_COLUMNS
@@ -147,7 +147,7 @@ def predicted_slices(
     table: DataFrame,
     grid: Grid,
     day: Column | None = None,
-    hot: HotSymbols | None = None,
+    hot: HotSymbols | str | None = MEASURE,
     features: Sequence[str] = MODEL_COLUMNS,
     trees: int = 100,
     seed: int = 100,
@@ -160,7 +160,7 @@ def predicted_slices(
     """
     keys = ["stockName", "stockTime"]
     wanted = table.select(*keys, *[x for x in features if x not in keys])
-    numbered = number_bars(with_end_of_day(wanted, day), hot)
+    numbered = with_end_of_day(number_bars(wanted, hot), day)
     parts = []
     for training in grid.training:
         for threshold in grid.thresholds:

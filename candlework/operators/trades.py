@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from candlework.operators.history import HotSymbols
+from candlework.operators.history import MEASURE, HotSymbols
 from candlework.operators.labels import Grid, labelled_slices
 from candlework.schema import DAY_BARS, POSITION_BUY, POSITION_HOLD, POSITION_SELL
 
@@ -148,7 +148,7 @@ def scale_transactions(results: DataFrame) -> DataFrame:
 
 
 def optimal_return(
-    table: DataFrame, grid: Grid, day: Column | None = None, hot: HotSymbols | None = None
+    table: DataFrame, grid: Grid, day: Column | None = None, hot: HotSymbols | str | None = MEASURE
 ) -> DataFrame:
     """The best a threshold could do: the labels themselves are traded, selling at day end."""
     slices = labelled_slices(table, grid, day, hot)

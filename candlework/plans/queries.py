@@ -108,7 +108,7 @@ register("base_table_segmented", base_table_segmented, _BASE_SQL)
 
 register(
     "sma_join",
-    lambda spark, sf: features.sma_by_joins(tables.line_bars(spark, sf)),
+    lambda spark, sf: features.sma_by_joins(*line_bars(spark, sf)),
     sql(
         o.LINE_BARS, *o.SMA, final="SELECT stockTime, stockName, lastPrice, SMA10, SMA100, SMA10lag, SMA100lag FROM sma2"
     ),
@@ -509,7 +509,7 @@ def optimal_return(spark, sf):
 
 
 def optimal_return_hourly(spark, sf):
-    return backtest.optimal_return(tables.event_bars(spark, sf), DAY_GRID)
+    return backtest.optimal_return(tables.event_bars(spark, sf), DAY_GRID, hot=None)
 
 
 register(
@@ -652,7 +652,7 @@ def _forest(spark, sf, feature_columns, trees=20):
     """A forest over the first 300 bars of every symbol, and the table to apply it to."""
     bars, hot = line_bars(spark, sf)
     table = features.base_table(bars, hot, DIGITS)
-    numbered = _stored(number_bars(labels.with_end_of_day(table, month()), hot), "forest")
+    numbered = _stored(labels.with_end_of_day(number_bars(table, hot), month()), "forest")
     label = labels.response(F.lit(5.0)).alias("label")
     train = numbered.filter(F.col("bar_no") <= 300).select(*feature_columns, label)
     return models.train_forest(train, feature_columns, trees=trees), numbered.select("*", label)

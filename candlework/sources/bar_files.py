@@ -42,6 +42,19 @@ def read_bar_files(spark: SparkSession, folder: str) -> DataFrame:
     return parse_bar_lines(lines)
 
 
+def save_bars(bars: DataFrame, table: str, buckets: int, path: str | None = None) -> None:
+    """Save bars as a table bucketed by symbol, so that later feature jobs need no shuffle.
+
+    Meant for bars without hot symbols (see ``operators.history.measure``): a bucket holds
+    whole symbols. Rows are shuffled to the buckets once, which gives one file per bucket.
+    """
+    writer = bars.repartition(buckets, "stockName").write.mode("overwrite").bucketBy(buckets, "stockName")
+    writer = writer.sortBy("stockName", "stockTime")
+    if path:
+        writer = writer.option("path", path)
+    writer.saveAsTable(table)
+
+
 def write_base_csv(table: DataFrame, path: str, single_file: bool = False) -> None:
     """Comma-separated with header, overwriting. One file only on request: it is one task."""
     out = table.coalesce(1) if single_file else table

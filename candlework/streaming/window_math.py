@@ -49,13 +49,9 @@ def _lag(x: np.ndarray) -> np.ndarray:
 
 
 def _rnd(x: np.ndarray, digits: int) -> np.ndarray:
-    missing = np.isnan(x)
-    small = np.where(missing | (np.abs(x) >= 9.0e9), 0.0, x)
-    unit = 10 ** (9 - digits)
-    k = np.floor(np.abs(small) * 1.0e9 + 0.5).astype(np.int64)
-    k = (k + unit // 2) // unit if unit > 1 else k
-    fast = np.where(small < 0, -k, k) / float(10**digits)
-    return np.where(missing, np.nan, np.where(np.abs(x) >= 9.0e9, np.round(x, digits), fast))
+    unit = float(10**digits)
+    size = np.abs(x) + 5.0e-10 if digits < 9 else np.abs(x)
+    return np.rint(size * unit) / unit * np.sign(x) + 0.0
 
 
 def _ratio(a, b):

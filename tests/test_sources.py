@@ -110,3 +110,13 @@ def test_filter_and_columns_reach_the_scan(spark, data):
     assert "EqualTo(stockName,click)" in plan
     scan = plan[plan.index("ReadSchema") :]
     assert "priceOpen" not in scan and "number" not in scan and "volume" not in scan
+
+
+def test_bucketed_bars_need_no_shuffle(spark, data):
+    path = tempfile.mkdtemp(prefix="candlework-test-") + "/bucketed"
+    bars = event_bars(spark, data)
+    bar_files.save_bars(bars, "bucketed_bars", 4, path)
+    table = base_table(spark.table("bucketed_bars"), hot=None)
+    assert "Exchange" not in table._jdf.queryExecution().executedPlan().toString()
+    assert table.count() == bars.count()
+    spark.sql("drop table bucketed_bars")
