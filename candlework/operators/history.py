@@ -131,23 +131,24 @@ def overlap(bars: DataFrame, hot: HotSymbols, lookback: int) -> DataFrame:
 def number_bars(bars: DataFrame, hot: HotSymbols | str | None = MEASURE, name: str = "bar_no") -> DataFrame:
     """Number each symbol's bars 1, 2, ... in time order.
 
-    With hot symbols present the number is the count of bars in earlier days plus the rank
-    within the day, so no task sorts a whole symbol.
+    With hot symbols present the number is the count of bars in earlier segments plus the rank
+    within the segment, so no task sorts a whole hot symbol.
     """
     hot = resolve(bars, hot)
     if hot is None:
-        return bars.withColumn(name, F.row_number().over(Window.partitionBy("stockName").orderBy("stockTime")))
-    keyed = bars.withColumn("_day", F.to_date("stockTime"))
-    by_symbol = Window.partitionBy("stockName").orderBy("_day")
-    days = (
-        keyed.groupBy("stockName", "_day")
+        in_symbol = Window.partitionBy("stockName").orderBy("stockTime")
+        return bars.withColumn(name, F.row_number().over(in_symbol).cast("long"))
+    keyed = with_segments(bars, hot)
+    by_symbol = Window.partitionBy("stockName").orderBy("segment")
+    segments = (
+        keyed.groupBy("stockName", "segment")
         .agg(F.count("*").alias("_n"))
-        .select("stockName", "_day", (F.sum("_n").over(by_symbol) - F.col("_n")).alias("_earlier"))
+        .select("stockName", "segment", (F.sum("_n").over(by_symbol) - F.col("_n")).alias("_earlier"))
     )
-    in_day = Window.partitionBy("stockName", "_day").orderBy("stockTime")
+    in_segment = Window.partitionBy("stockName", "segment").orderBy("stockTime")
     return (
-        keyed.withColumn("_rank", F.row_number().over(in_day))
-        .join(days, ["stockName", "_day"])
-        .withColumn(name, (F.col("_earlier") + F.col("_rank")).cast("int"))
+        keyed.withColumn("_rank", F.row_number().over(in_segment))
+        .join(segments, ["stockName", "segment"])
+        .withColumn(name, F.col("_earlier") + F.col("_rank"))
         .select(*bars.columns, name)
     )

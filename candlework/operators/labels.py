@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from candlework.operators.history import MEASURE, HotSymbols, number_bars
+from candlework.operators.history import MEASURE, HotSymbols, number_bars, resolve
 from candlework.schema import BUY, DEPLOYMENT_PERIODS, HOLD, SELL, THRESHOLDS, TRAINING_PERIODS
 
 
@@ -29,8 +29,15 @@ def join_end_of_day(bars: DataFrame, day: Column | None = None) -> DataFrame:
     return bars.withColumn("day", day).join(end_of_day(bars, day), ["stockName", "day"])
 
 
-def with_end_of_day(bars: DataFrame, day: Column | None = None) -> DataFrame:
-    """The same without a join: the groups are (symbol, day), never a whole symbol."""
+def with_end_of_day(bars: DataFrame, day: Column | None = None, hot: HotSymbols | None = None) -> DataFrame:
+    """Every bar with the last price of its day.
+
+    A window over (symbol, day), which needs no join and, after a numbering, no shuffle. With
+    hot symbols a day itself may be large: then the last price is aggregated, which combines
+    map-side, and joined, where Spark splits skewed keys.
+    """
+    if hot is not None:
+        return join_end_of_day(bars, day)
     day = day_of() if day is None else day
     whole_day = (
         Window.partitionBy("stockName", "day")
@@ -111,9 +118,16 @@ def labelled_slices(
     """
     keys = ["stockName", "stockTime", "lastPrice"]
     bars = table.select(*keys, *[x for x in keep if x not in keys])
-    # numbering first: where it partitions by symbol, the day windows need no further shuffle
-    numbered = with_end_of_day(number_bars(bars, hot), day)
-    return label(deployment_slices(numbered, grid), grid.thresholds)
+    return label(deployment_slices(numbered_days(bars, day, hot), grid), grid.thresholds)
+
+
+def numbered_days(bars: DataFrame, day: Column | None = None, hot: HotSymbols | str | None = MEASURE) -> DataFrame:
+    """Bars with ``bar_no``, ``day`` and ``eodPrice``.
+
+    Numbering comes first: where it partitions by symbol, the day windows need no shuffle.
+    """
+    hot = resolve(bars, hot)
+    return with_end_of_day(number_bars(bars, hot), day, hot)
 
 
 def label_binary(label_column: str = "_13") -> Column:

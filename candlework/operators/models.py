@@ -14,10 +14,11 @@ from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from candlework.operators.history import MEASURE, HotSymbols, number_bars
-from candlework.operators.labels import Grid, deployment_slices, label, training_slices, with_end_of_day
+from candlework.operators.history import MEASURE, HotSymbols
+from candlework.operators.labels import Grid, deployment_slices, label, numbered_days, training_slices
 from candlework.operators.trades import mark_trades, summarise
 from candlework.schema import CODE_COLUMNS, MODEL_COLUMNS
+from candlework.session import stored
 
 _HASH_BITS = 16
 
@@ -155,12 +156,13 @@ def predicted_slices(
     """Deployment slices with the forest's ``prediction``.
 
     A fit depends on the training length and threshold only, so deployment lengths share it.
-    The loop is over those parameters; each fit and each transform is a distributed job.
-    Callers pass a stored or cached table, as it is read once per fit.
+    The loop is over those parameters; each fit and each transform is a distributed job. The
+    numbered bars, cut to what the grid can reach, are stored once and scanned by every fit.
     """
     keys = ["stockName", "stockTime"]
     wanted = table.select(*keys, *[x for x in features if x not in keys])
-    numbered = with_end_of_day(number_bars(wanted, hot), day)
+    reachable = numbered_days(wanted, day, hot).filter(F.col("bar_no") <= grid.last_bar)
+    numbered = stored(reachable, "numbered")
     parts = []
     for training in grid.training:
         for threshold in grid.thresholds:

@@ -20,7 +20,7 @@ from candlework.operators.history import MAX_BARS_PER_TASK, HotSymbols, measure,
 from candlework.operators.indicators import ALL_INDICATORS, BOLLINGER, CCI, STOCHASTIC
 from candlework.plans import oracles as o
 from candlework.schema import BAR_COLUMNS, BASE_COLUMNS, CODE_COLUMNS, KEY, MODEL_COLUMNS, SIGNAL_COLUMNS, WARMUP_BARS
-from candlework.session import shared_path
+from candlework.session import shared_path, stored
 from candlework.sources import bar_files, tables, wire
 from candlework.streaming import live
 
@@ -438,7 +438,7 @@ def slice_rows(spark, sf):
     train = labels.training_slices(numbered, MONTH_GRID).withColumn("part", F.lit("training"))
     deploy = labels.deployment_slices(numbered, MONTH_GRID).withColumn("part", F.lit("deployment"))
     out = train.unionByName(deploy)
-    return out.select("part", *KEY, F.col("bar_no").cast("long").alias("bar_no"), "training", "deployment", "lastPrice")
+    return out.select("part", *KEY, "bar_no", "training", "deployment", "lastPrice")
 
 
 _MONTH_SLICES = o.labelled(o.LINE_BARS, "month", MONTH_GRID.training, MONTH_GRID.deployment, MONTH_GRID.thresholds)
@@ -512,6 +512,17 @@ def optimal_return_hourly(spark, sf):
     return backtest.optimal_return(tables.event_bars(spark, sf), DAY_GRID, hot=None)
 
 
+def optimal_return_segmented(spark, sf):
+    """The same with every symbol of more than 500 trades treated as hot."""
+    hot = measure(tables.line_symbols(spark, sf), 500)
+    return backtest.optimal_return(tables.line_bars(spark, sf), MONTH_GRID, month(), hot)
+
+
+register(
+    "optimal_return_segmented",
+    lambda spark, sf: rounded(optimal_return_segmented(spark, sf), *_SWEEP_DOUBLES),
+    _sweep_sql(_MONTH_SLICES, _SWEEP_SELECT),
+)
 register(
     "optimal_return",
     lambda spark, sf: rounded(optimal_return(spark, sf), *_SWEEP_DOUBLES),
@@ -628,16 +639,9 @@ register(
 )
 
 
-def _stored(df: DataFrame, label: str) -> DataFrame:
-    """Write once to the shared folder and read back: iterative training scans it many times."""
-    path = shared_path(df.sparkSession, label)
-    df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
-
-
 def svm_confusion(spark, sf):
     """The linear SVM on eight signals, trained on four fifths and evaluated on the rest."""
-    rows = _stored(
+    rows = stored(
         signals_with_label(spark, sf).select(*KEY, *SIGNAL_COLUMNS, labels.label_binary("label").alias("label")), "svm"
     )
     train, test = models.exact_split(rows, _row_key())
@@ -652,7 +656,7 @@ def _forest(spark, sf, feature_columns, trees=20):
     """A forest over the first 300 bars of every symbol, and the table to apply it to."""
     bars, hot = line_bars(spark, sf)
     table = features.base_table(bars, hot, DIGITS)
-    numbered = _stored(labels.with_end_of_day(number_bars(table, hot), month()), "forest")
+    numbered = stored(labels.numbered_days(table, month(), hot), "forest")
     label = labels.response(F.lit(5.0)).alias("label")
     train = numbered.filter(F.col("bar_no") <= 300).select(*feature_columns, label)
     return models.train_forest(train, feature_columns, trees=trees), numbered.select("*", label)
@@ -679,7 +683,7 @@ register("rf_importance", rf_importance)
 def predicted_return(spark, sf):
     """The sweep on the forest's predictions."""
     bars, hot = line_bars(spark, sf)
-    table = _stored(features.base_table(bars, hot, DIGITS), "sweep")
+    table = features.base_table(bars, hot, DIGITS)
     return models.predicted_return(models.predicted_slices(table, MODEL_GRID, month(), hot, trees=20))
 
 

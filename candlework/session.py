@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cpus: int = 8, memory: str = "16g", name: str = "candlework") -> SparkSession:
@@ -35,3 +35,24 @@ def shared_path(spark: SparkSession, label: str) -> str:
             raise ValueError("set spark.checkpoint.dir to a folder all executors can reach")
         root = tempfile.mkdtemp(prefix="candlework-")
     return f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame, label: str) -> DataFrame:
+    """Write a table to the shared folder and read it back.
+
+    For input that is scanned many times, such as by a loop of fits: the lineage ends here, and
+    a lost executor costs a re-read and not a recomputation.
+    """
+    path = shared_path(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
+def size_shuffles(spark: SparkSession, shuffled_bytes: int, per_partition: int = 200 << 20) -> int:
+    """Raise spark.sql.shuffle.partitions so that partitions stay near 200 MB.
+
+    Adaptive execution merges small partitions but does not split those a window reads.
+    """
+    wanted = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-shuffled_bytes // per_partition))
+    spark.conf.set("spark.sql.shuffle.partitions", str(wanted))
+    return wanted
