@@ -14,7 +14,8 @@ from candlework.schema import BUY, DEPLOYMENT_PERIODS, HOLD, SELL, THRESHOLDS, T
 
 def day_of(period: str = "day") -> Column:
     """The trading-day key: the calendar day, or a longer period for sparse bars."""
-    return F.to_date(F.date_trunc(period, "stockTime"))
+    day = F.to_date("stockTime")
+    return day if period == "day" else F.trunc(day, period)
 
 
 def end_of_day(bars: DataFrame, day: Column | None = None) -> DataFrame:

@@ -60,7 +60,7 @@ DAY_BARS = 389
 # The sweep of the analysis script, in bars.
 THRESHOLDS = [0.01, 0.1, 0.2, 0.5]
 _WEEK = 5 * DAY_BARS
-_MONTH = 8752  # 4.5 weeks, half-even
+_MONTH = round(4.5 * _WEEK)  # half-even, as in the analysis: 8752
 DEPLOYMENT_PERIODS = [DAY_BARS, _WEEK, 2 * _WEEK, _MONTH, 2 * _MONTH, 3 * _MONTH]
 TRAINING_PERIODS = sorted(
     [_WEEK, 2 * _WEEK, 3 * _WEEK, _MONTH, 5 * _WEEK, 6 * _WEEK, 7 * _WEEK, 2 * _MONTH, 10 * _WEEK, 3 * _MONTH]

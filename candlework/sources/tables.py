@@ -13,17 +13,16 @@ SESSION_MINUTES = 390
 def event_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hourly bars per event type. Combines map-side, so a hot type shrinks before the shuffle."""
     events = spark.read.parquet(f"{sf_dir}/events.parquet")
-    order = F.unix_micros(F.col("ts").cast("timestamp"))
     return (
         events.groupBy(
             F.col("event_type").alias("stockName"),
             F.date_trunc("hour", "ts").cast("timestamp_ntz").alias("stockTime"),
         )
         .agg(
-            F.min_by("value", order).alias("priceOpen"),
+            F.min_by("value", "ts").alias("priceOpen"),
             F.max("value").alias("high"),
             F.min("value").alias("low"),
-            F.max_by("value", order).alias("lastPrice"),
+            F.max_by("value", "ts").alias("lastPrice"),
             F.count("*").cast("double").alias("number"),
             F.sum("value").alias("volume"),
         )

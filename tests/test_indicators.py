@@ -10,8 +10,10 @@ from candlework.operators.features import (
     indicator_table,
     sma_by_joins,
 )
-from candlework.operators.history import HotSymbols, measure, number_bars
+from candlework.operators.history import HotSymbols, measure, number_bars, overlap
 from candlework.operators.indicators import ALL_INDICATORS, RELATIVE_STRENGTH, WMA
+from candlework.operators.labels import Grid
+from candlework.operators.trades import optimal_return
 from candlework.schema import BASE_COLUMNS, CODE_COLUMNS, FEATURE_COLUMNS, SIGNAL_COLUMNS
 from candlework.sources.tables import event_bars, line_bars
 from check_queries import differences
@@ -78,10 +80,10 @@ def same(a, b):
 @pytest.mark.parametrize("source", [event_bars, line_bars])
 def test_join_form_equals_one_pass(spark, data, source):
     bars = source(spark, data).cache()
-    one_pass = base_table(bars, digits=6)
+    one_pass = base_table(bars, None, digits=6)
     assert one_pass.columns == BASE_COLUMNS
     assert one_pass.count() == bars.count()
-    same(one_pass, base_table_by_joins(bars, digits=6))
+    same(one_pass, base_table_by_joins(bars, None, digits=6))
     assert feature_table(bars).columns == FEATURE_COLUMNS
 
 
@@ -102,17 +104,13 @@ def test_segments_equal_plain(spark, data, source, limit):
     bars = source(spark, data).cache()
     hot = measure(bars, limit)
     assert hot is not None
-    for indicators in (None, ALL_INDICATORS):
-        if indicators is None:
-            same(base_table(bars, digits=6), base_table(bars, hot, digits=6))
-        else:
-            columns = ["stockTime", "stockName", "WMA10", "RS", "RSlag", "CCI", "SMA100"]
-            same(
-                indicator_table(bars, indicators, columns, digits=6),
-                indicator_table(bars, indicators, columns, hot, digits=6),
-            )
-    same(number_bars(bars), number_bars(bars, hot))
-    same(drop_warmup(bars), drop_warmup(bars, hot=hot))
+    columns = [*BASE_COLUMNS, "WMA10", "RS", "RSlag"]
+    same(
+        indicator_table(bars, ALL_INDICATORS, columns, None, digits=6),
+        indicator_table(bars, ALL_INDICATORS, columns, hot, digits=6),
+    )
+    same(number_bars(bars, None), number_bars(bars, hot))
+    same(drop_warmup(bars, hot=None), drop_warmup(bars, hot=hot))
 
 
 def test_sparse_segments_reach_back_over_many(spark, make_bars):
@@ -120,7 +118,7 @@ def test_sparse_segments_reach_back_over_many(spark, make_bars):
     bars = make_bars([(12 + i % 7, 8 + i % 3, 10 + i % 5, 100 + i) for i in range(300)])
     bars = bars.withColumn("stockTime", F.expr("stockTime + make_interval(0, 0, 0, int(minute(stockTime) + 60 * hour(stockTime)))"))
     hot = HotSymbols(spark.createDataFrame([("U", "hour")], "stockName string, period string"), True)
-    same(base_table(bars, digits=6), base_table(bars, hot, digits=6))
+    same(base_table(bars, None, digits=6), base_table(bars, hot, digits=6))
 
 
 def test_measure_picks_the_widest_period_that_fits(spark, make_bars):
@@ -142,3 +140,52 @@ def test_value_ranges(spark, data):
     for name in CODE_COLUMNS:
         allowed = [0, 1, 2] if name in SIGNAL_COLUMNS else [-1, 0, 1]
         assert t.filter(~F.col(name).isin(allowed) | F.col(name).isNull()).count() == 0
+
+
+def test_a_symbol_with_a_third_of_the_bars(spark, make_bars):
+    """A hot symbol whose bars crowd into a few minutes is cut finely, others stay whole."""
+    waves = [(12 + i % 7, 8 + i % 3, 10 + (i * i) % 5 / 4, 100 + i % 11) for i in range(1000)]
+    crowded = make_bars(waves, "HOT").withColumn(
+        "stockTime", F.expr("timestamp_micros(unix_micros(timestamp'2020-01-01') + (unix_micros(stockTime) - unix_micros(timestamp'2020-01-01 09:00:00')) div 60)")
+    )
+    bars = crowded
+    for i in range(4):
+        bars = bars.union(make_bars(waves[: 400 + i], f"COLD{i}"))
+    bars = bars.cache()
+    hot = measure(bars, 500)
+    assert [tuple(r) for r in hot.table.collect()] == [("HOT", "minute")]
+    cut = overlap(bars, hot, 101)
+    sizes = {r["stockName"]: r["n"] for r in cut.groupBy("stockName", "segment").count().groupBy("stockName").agg(F.max("count").alias("n")).collect()}
+    assert sizes["HOT"] <= 60 + 101 and sizes["COLD3"] == 403
+    same(base_table(bars, None, digits=6), base_table(bars, hot, digits=6))
+    same(number_bars(bars, None), number_bars(bars, hot))
+    grid = Grid((50, 100), (100, 300), (0.25,))
+    columns = ["stockName", "deployment", "training", "threshold", "days", "transactions"]
+    same(optimal_return(bars, grid, hot=None).select(*columns), optimal_return(bars, grid, hot=hot).select(*columns))
+
+
+def test_default_measures(spark, make_bars, monkeypatch):
+    from candlework.operators import history
+
+    bars = make_bars([(12 + i % 7, 8, 10 + i % 5, 100) for i in range(300)]).cache()
+    plain = base_table(bars, None, digits=6)
+    monkeypatch.setattr(history.measure, "__defaults__", (100,))
+    split = base_table(bars, digits=6)
+    assert "_before" in split._jdf.queryExecution().optimizedPlan().toString()
+    same(plain, split)
+
+
+def test_more_hot_symbols_than_are_broadcast(spark, make_bars, monkeypatch):
+    from candlework.operators import history
+
+    bars = make_bars([(12 + i % 7, 8, 10 + i % 5, 100) for i in range(150)], "A")
+    bars = bars.union(make_bars([(12 + i % 5, 8, 10 + i % 3, 100) for i in range(150)], "B")).cache()
+    monkeypatch.setattr(history, "MAX_BROADCAST_SYMBOLS", 1)
+    hot = measure(bars, 70)
+    assert not hot.broadcastable
+    same(base_table(bars, None, digits=6), base_table(bars, hot, digits=6))
+
+
+def test_views(spark, make_bars):
+    base_table(make_bars([(11, 9, 10, 100)] * 3), None).createOrReplaceTempView("features")
+    assert spark.sql("select stockName, count(*) n from features group by 1").collect()[0].n == 3
