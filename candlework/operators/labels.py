@@ -131,6 +131,11 @@ def numbered_days(bars: DataFrame, day: Column | None = None, hot: HotSymbols |
     return with_end_of_day(number_bars(bars, hot), day, hot)
 
 
+def position(label_column: str = "responseVariable") -> Column:
+    """Position codes 1 hold, 2 buy, 3 sell from labels 0, 1, 2."""
+    return F.col(label_column) + 1
+
+
 def label_binary(label_column: str = "_13") -> Column:
     """1 for buy or sell, -1 for hold."""
     return F.when(F.col(label_column).isin(1, 2), 1).otherwise(-1)

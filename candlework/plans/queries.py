@@ -17,9 +17,9 @@ from candlework.functions.columns import rnd, typical_price
 from candlework.operators import features, labels, models, profile
 from candlework.operators import trades as backtest
 from candlework.operators.history import MAX_BARS_PER_TASK, HotSymbols, measure, number_bars
-from candlework.operators.indicators import ALL_INDICATORS, BOLLINGER, CCI, STOCHASTIC
+from candlework.operators.indicators import ALL_INDICATORS, BOLLINGER, CCI, STOCHASTIC, Indicator
 from candlework.plans import oracles as o
-from candlework.schema import BAR_COLUMNS, BASE_COLUMNS, CODE_COLUMNS, KEY, MODEL_COLUMNS, SIGNAL_COLUMNS, WARMUP_BARS
+from candlework.schema import BAR_COLUMNS, BASE_COLUMNS, CODE_COLUMNS, KEY, MODEL_COLUMNS, POSITION_HOLD, SIGNAL_COLUMNS, WARMUP_BARS
 from candlework.session import shared_path, stored
 from candlework.sources import bar_files, tables, wire
 from candlework.streaming import live
@@ -287,6 +287,150 @@ def bar_lines(spark, sf):
 
 register("bar_file_lines", bar_lines, sql(o.LINE_BARS, final=_BARS_SQL))
 
+def window_frames(spark, sf):
+    """The raw moving frames over prices and volume, all in one window pass."""
+    bars, hot = line_bars(spark, sf)
+    out = features.indicator_table(bars, [FRAMES], [*KEY, *FRAMES.outputs], hot)
+    return out.withColumns({n: rnd(n, 4) for n in FRAMES.outputs})
+
+
+FRAMES = Indicator(
+    "window_frames",
+    101,
+    (
+        lambda f, q: {"typical": typical_price()},
+        lambda f, q: {
+            "avg11": f.avg("lastPrice", 10),
+            "avg101": f.avg("lastPrice", 100),
+            "avg21": f.avg("lastPrice", 20),
+            "sd21": F.stddev_samp("lastPrice").over(f.last(20)),
+            "typical21": f.avg("typical", 20),
+            "low14": F.min("low").over(f.last(13)),
+            "high14": F.max("high").over(f.last(13)),
+            "low15": F.min("low").over(f.last(14)),
+            "high15": F.max("high").over(f.last(14)),
+            "volume22": F.sum("volume").over(f.last(21)),
+        },
+    ),
+    ("avg11", "avg101", "avg21", "sd21", "typical21", "low14", "high14", "low15", "high15", "volume22"),
+)
+_FRAMES_SQL = {
+    "avg11": f"avg(lastPrice) {o.over(10)}",
+    "avg101": f"avg(lastPrice) {o.over(100)}",
+    "avg21": f"avg(lastPrice) {o.over(20)}",
+    "sd21": f"stddev_samp(lastPrice) {o.over(20)}",
+    "typical21": f"avg((high + low + lastPrice) / 3) {o.over(20)}",
+    "low14": f"min(low) {o.over(13)}",
+    "high14": f"max(high) {o.over(13)}",
+    "low15": f"min(low) {o.over(14)}",
+    "high15": f"max(high) {o.over(14)}",
+    "volume22": f"sum(volume) {o.over(21)}",
+}
+register(
+    "window_frames",
+    window_frames,
+    sql(
+        o.LINE_BARS,
+        final="SELECT stockTime, stockName, " + ", ".join(f"{o.R(x, 4)} AS {n}" for n, x in _FRAMES_SQL.items()) + " FROM bars",
+    ),
+)
+
+LAGS = Indicator(
+    "price_lags",
+    11,
+    (
+        lambda f, q: {},
+        lambda f, q: {f"lag{k}": f.lag("lastPrice", k) for k in range(1, 12)},
+        lambda f, q: {"difference": rnd(F.col("lastPrice") - F.col("lag1"), 6)},
+    ),
+    ("difference", *[f"lag{k}" for k in range(1, 12)]),
+)
+
+
+def price_lags(spark, sf):
+    """The first difference and the eleven lags of the price; 0 before the first bar."""
+    bars, hot = line_bars(spark, sf)
+    return features.indicator_table(bars, [LAGS], [*KEY, *LAGS.outputs], hot)
+
+
+register(
+    "price_lags",
+    price_lags,
+    sql(
+        o.LINE_BARS,
+        final=f"SELECT stockTime, stockName, {o.R('lastPrice - ' + o.lag('lastPrice'), 6)} AS difference, "
+        + ", ".join(f"{o.lag('lastPrice', k)} AS lag{k}" for k in range(1, 12))
+        + " FROM bars",
+    ),
+)
+
+
+def scalar_functions(spark, sf):
+    """Rounding, arithmetic, strings, casts and times on every bar."""
+    c = F.col
+    move = c("lastPrice") - c("priceOpen") - F.lit(0.005)
+    bars = tables.line_bars(spark, sf).withColumns({"move": move, "third": c("lastPrice") / 3})
+    return bars.select(
+        *KEY,
+        *[rnd("third", n).alias(f"round{n}") for n in (2, 3, 4, 6)],
+        rnd(F.abs("move"), 6).alias("distance"),
+        rnd(-c("move"), 6).alias("reversed"),
+        F.bround(c("volume") * 0.5, 0).alias("halfEven"),
+        F.element_at(F.split(F.concat_ws(",", "stockName", c("volume").cast("string")), ","), 2).try_cast("double").alias("parsed"),
+        F.substring("stockName", 1, 2).alias("head"),
+        c("stockName").contains("S1").alias("isS1"),
+        F.try_divide(c("volume"), c("priceOpen") - c("lastPrice")).isNull().alias("undefined"),
+        c("number").cast("int").cast("double").alias("wholeNumber"),
+        F.to_date("stockTime").alias("day"),
+        (c("stockTime") + F.expr("interval 1 minute")).alias("nextMinute"),
+    )
+
+
+register(
+    "scalar_functions",
+    scalar_functions,
+    sql(
+        o.LINE_BARS,
+        final="SELECT stockTime, stockName, "
+        + ", ".join(f"{o.R('lastPrice / 3', n)} AS round{n}" for n in (2, 3, 4, 6))
+        + f""", {o.R('abs(lastPrice - priceOpen - 0.005::DOUBLE)', 6)} AS distance,
+        {o.R('-(lastPrice - priceOpen - 0.005::DOUBLE)', 6)} AS reversed,
+        round_even(volume * 0.5::DOUBLE, 0) AS halfEven,
+        split_part(stockName || ',' || volume::VARCHAR, ',', 2)::DOUBLE AS parsed,
+        substr(stockName, 1, 2) AS head, contains(stockName, 'S1') AS isS1,
+        priceOpen - lastPrice = 0 AS undefined, number::INT::DOUBLE AS wholeNumber,
+        stockTime::DATE AS day, stockTime + INTERVAL 1 MINUTE AS nextMinute FROM bars""",
+    ),
+)
+
+
+def time_formats(spark, sf):
+    """Every bar's time written and parsed back in the three formats of files, records and tables."""
+    bars = tables.line_bars(spark, sf)
+    out = bars.select(*KEY)
+    for name, pattern in (("fileTime", bar_files.FILE_TIME), ("wireTime", wire.WIRE_TIME), ("tableTime", "yyyy-MM-dd HH:mm:ss")):
+        written = F.date_format("stockTime", pattern)
+        out = out.withColumn(name, F.try_to_timestamp(written, F.lit(pattern)).cast("timestamp_ntz"))
+    return out
+
+
+register(
+    "time_formats",
+    time_formats,
+    sql(
+        o.LINE_BARS,
+        final="""SELECT stockTime, stockName,
+        strptime(strftime(stockTime, '%d/%m/%Y %H:%M'), '%d/%m/%Y %H:%M') AS fileTime,
+        strptime(strftime(stockTime, '%Y-%m-%dT%H:%M'), '%Y-%m-%dT%H:%M') AS wireTime,
+        strptime(strftime(stockTime, '%Y-%m-%d %H:%M:%S'), '%Y-%m-%d %H:%M:%S') AS tableTime FROM bars""",
+    ),
+)
+register(
+    "sorted_bars",
+    lambda spark, sf: bar_files.sort_all(tables.event_bars(spark, sf)),
+    sql(o.EVENT_BARS, final=f"{_BARS_SQL} ORDER BY ALL"),
+)
+
 # --- profiles -------------------------------------------------------------------------------
 
 register(
@@ -394,6 +538,35 @@ register(
     ),
 )
 
+register(
+    "position_codes",
+    lambda spark, sf: signals_with_label(spark, sf)
+    .select(*KEY, "lastPrice", labels.position("label").alias("position"))
+    .filter(F.col("position") != POSITION_HOLD),
+    sql(
+        o.LINE_BARS,
+        *_LABELLED_SIGNALS,
+        final="SELECT stockTime, stockName, lastPrice, label + 1 AS position FROM labelled WHERE label <> 0",
+    ),
+)
+
+
+def model_columns(spark, sf):
+    """Price, features and label: what a forest is trained on."""
+    table = labels.with_end_of_day(line_base(spark, sf), month())
+    return table.select(*MODEL_COLUMNS, labels.response(F.lit(1.0)).alias("responseVariable"))
+
+
+register(
+    "model_columns",
+    model_columns,
+    sql(
+        o.LINE_BARS,
+        *_LABELLED_SIGNALS,
+        final=f"SELECT lastPrice, {o.FEATURE_LIST}, label AS responseVariable FROM labelled",
+    ),
+)
+
 # --- slices, trades, sweep ------------------------------------------------------------------
 
 
