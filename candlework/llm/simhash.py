@@ -4,7 +4,7 @@ A fingerprint has 64 bits by majority over the hashes of a text's word shingles.
 differ in at most r bits, each is cut into segments with radii t_i, sum of (t_i + 1) = r + 1: a pair within r bits is
 within t_i bits in at least one segment i. Every distinct fingerprint is filed under its segments, and asks for the keys
 in a small Hamming ball round each of them; of the two sides of a pair only the smaller key asks. Matches are verified on
-all 64 bits. Verified links are cut down to a spanning forest where they are found, so a dense group of k near copies
+all bits. Verified links are cut down to a spanning forest where they are found, so a dense group of k near copies
 never yields k^2 rows, and components come from alternating large and small stars.
 
 Equal texts have equal fingerprints and meet only once, as one distinct fingerprint. Keys under which very many are filed
@@ -26,17 +26,26 @@ from candlework.llm.common import slices, stored, text_of
 
 SEED = 42
 RADIUS = 4
+#: Of 128 bits: texts that agree in at least 0.8 of them.
+WIDE_RADIUS = 24
 #: Most fingerprints filed under one key that one task compares with each other.
 PART = 20_000
 #: Pairs compared at a time.
 _BLOCK = 1 << 22
 
 
-def fingerprint(text: str, words: int = 4) -> int:
-    """The 64 bits as an unsigned number: 1 where over half the shingles' hashes have 1; 0 without words."""
+def _mixed(h: np.ndarray) -> np.ndarray:
+    """Further 64 bits from a hash."""
+    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return h ^ (h >> np.uint64(31))
+
+
+def fingerprint(text: str, words: int = 4, width: int = 1) -> np.ndarray:
+    """width numbers of 64 bits, each bit 1 where over half the shingles' hashes have 1; all 0 without words."""
     found = text.encode("utf-8", "replace").lower().split()  # both act on ASCII alone, white space is \\t\\n\\v\\f\\r and space
     if not found:
-        return 0
+        return np.zeros(width, np.uint64)
     joined = b" ".join(found)
     end = np.cumsum(np.fromiter(map(len, found), np.int64, len(found)) + 1) - 1
     start = np.concatenate([[0], end[:-1] + 1])
@@ -44,53 +53,63 @@ def fingerprint(text: str, words: int = 4) -> int:
         start, end = start[: len(found) - words + 1], end[words - 1 :]
     else:
         start, end = start[:1], end[-1:]
-    n, ones = len(start), np.zeros(64, np.int64)
+    n, ones = len(start), np.zeros((width, 64), np.int64)
     for i in range(0, n, 1 << 16):
         digest = xxhash.xxh64_intdigest
         hashes = np.array([digest(joined[a:b], SEED) for a, b in zip(start[i : i + (1 << 16)].tolist(), end[i : i + (1 << 16)].tolist())], np.uint64)
-        ones += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-    return int(np.packbits(ones * 2 > n, bitorder="little").view(np.uint64)[0])
-
+        for j in range(width):
+            ones[j] += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+            hashes = _mixed(hashes)
+    return np.packbits(ones.ravel() * 2 > n, bitorder="little").view(np.uint64)
 
-def fingerprints(docs: DataFrame, words: int = 4, carry: tuple[str, ...] = ()) -> DataFrame:
-    """(doc_id, fp, long columns to carry): the fingerprint as a signed long."""
 
+def fingerprints(docs: DataFrame, words: int = 4, width: int = 1, carry: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, fp0, fp1, ... up to width, long columns to carry): the fingerprint as signed longs."""
     kept = ["doc_id", *carry]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for start, texts in slices(batch, "text"):
-                values = np.array([fingerprint(t, words) for t in texts], np.uint64).view(np.int64)
-                yield pa.record_batch({c: batch.column(c)[start : start + len(texts)] for c in kept} | {"fp": values})
+                values = np.stack([fingerprint(t, words, width) for t in texts]).view(np.int64)
+                yield pa.record_batch({c: batch.column(c)[start : start + len(texts)] for c in kept} | {f"fp{j}": values[:, j] for j in range(width)})
 
-    return text_of(docs, *[F.col(c).cast("long").alias(c) for c in kept]).mapInArrow(run, ", ".join(f"{c} long" for c in [*kept, "fp"]))
+    schema = ", ".join(f"{c} long" for c in [*kept, *[f"fp{j}" for j in range(width)]])
+    return text_of(docs, *[F.col(c).cast("long").alias(c) for c in kept]).mapInArrow(run, schema)
 
 
-def segments(count: int, radius: int = RADIUS) -> list[tuple[int, int, int]]:
-    """(first bit, bits, radius) of each segment: about log2(count) bits each, radii that sum to radius + 1 - segments."""
-    n = min(radius + 1, max(2, round(64 / max(8.0, np.log2(max(2, count)) + 2))))
-    cuts = [round(64 * i / n) for i in range(n + 1)]
+def segments(n: int, radius: int, bits: int = 64) -> list[tuple[int, int, int]]:
+    """(first bit, bits, radius) of n segments whose radii add up to radius + 1 - n."""
+    cuts = [round(bits * i / n) for i in range(n + 1)]
     return [(cuts[i], cuts[i + 1] - cuts[i], (radius + 1) // n - 1 + (i < (radius + 1) % n)) for i in range(n)]
 
 
-def _filed_and_asked(cut: list[tuple[int, int, int]]):
-    """Rows (key, fp, asks) of each fingerprint: filed under its segments, asking for larger keys in the balls."""
+def segments_for(count: int, radius: int) -> int:
+    """Segments of a 64-bit fingerprint so that a key has a few fingerprints: about 64 / log2(count)."""
+    return min(radius + 1, max(2, round(64 / max(8.0, np.log2(max(2, count)) + 2))))
+
+
+def _filed_and_asked(cut: list[tuple[int, int, int]], names: list[str]):
+    """Rows (key, node, fingerprint, asks): filed under the segments, asking for larger keys in the balls."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(0, batch.num_rows, 2048):
-                fp = batch.column("fp")[i : i + 2048].to_numpy(zero_copy_only=False)
-                keys, owners, asks = [], [], []
+                part = batch.slice(i, 2048)
+                node = part.column("node").to_numpy(zero_copy_only=False)
+                fp = [part.column(c).to_numpy(zero_copy_only=False) for c in names]
+                bit = np.unpackbits(np.stack(fp, axis=1).view(np.uint8), axis=1, bitorder="little")
+                keys, rows, asks = [], [], []
                 for number, (first, bits, radius) in enumerate(cut):
-                    own = (fp.view(np.uint64) >> np.uint64(first)).astype(np.int64) & ((1 << bits) - 1)
+                    own = bit[:, first : first + bits].astype(np.int64) @ (1 << np.arange(bits, dtype=np.int64))
                     masks = [0] + [sum(1 << b for b in flip) for size in range(1, radius + 1) for flip in combinations(range(bits), size)]
                     for mask in masks:
                         key = own ^ mask
-                        take = slice(None) if mask == 0 else key > own
-                        keys.append(key[take] | number << 48)
-                        owners.append(fp[take])
-                        asks.append(np.full(len(owners[-1]), mask != 0))
-                yield pa.record_batch({"key": np.concatenate(keys), "fp": np.concatenate(owners), "asks": np.concatenate(asks)})
+                        at = np.arange(len(own)) if mask == 0 else np.flatnonzero(key > own)
+                        keys.append(key[at] | number << 48)
+                        rows.append(at)
+                        asks.append(np.full(len(at), mask != 0))
+                at = np.concatenate(rows)
+                yield pa.record_batch({"key": np.concatenate(keys), "node": node[at], "asks": np.concatenate(asks)} | {c: v[at] for c, v in zip(names, fp)})
 
     return run
 
@@ -117,10 +136,10 @@ def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return node[other], node[label[other]]
 
 
-def _verified(radius: int):
-    """Over rows sorted by (key, part, asks, fp): a forest of the verified links."""
+def _verified(radius: int, names: list[str]):
+    """Over rows sorted by (key, part, asks, node): a forest of the verified links."""
 
-    def links(group: np.ndarray, fp: np.ndarray, asks: np.ndarray) -> Iterator[pa.RecordBatch]:
+    def links(group: np.ndarray, asks: np.ndarray, node: np.ndarray, fp: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
         first = np.concatenate([[True], group[1:] != group[:-1]])
         start = np.flatnonzero(first)
         length = np.diff(np.append(start, len(group)))
@@ -137,55 +156,71 @@ def _verified(radius: int):
             n = meets[at:stop]
             left = np.repeat(np.arange(at, stop), n)
             right = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(low[at:stop], n)
-            differ = np.bitwise_count(fp[left].view(np.uint64) ^ fp[right].view(np.uint64))
-            near = (differ <= radius) & (differ > 0)
+            differ = sum(np.bitwise_count(f[left] ^ f[right]).astype(np.int16) for f in fp)
+            near = (differ <= radius) & (node[left] != node[right])
             if near.any():
-                a, b = forest(fp[left[near]], fp[right[near]])
+                a, b = forest(node[left[near]], node[right[near]])
                 yield pa.record_batch({"a": a, "b": b})
             at = stop
 
+    def joined(rows: list[pa.RecordBatch]) -> tuple:
+        whole = pa.Table.from_batches(rows).combine_chunks()
+        column = lambda c: whole[c].to_numpy()
+        key, part = column("key"), column("part")
+        new = (key[1:] != key[:-1]) | (part[1:] != part[:-1])
+        return np.concatenate([[0], np.cumsum(new)]), column("asks"), column("node"), [column(c).view(np.uint64) for c in names]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest: list[tuple[np.ndarray, ...]] = []
+        rest: list[pa.RecordBatch] = []
         held = 0
         for batch in batches:
-            key, part, fp, asks = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("key", "part", "fp", "asks"))
-            rest.append((key, part, fp, asks))
-            held += len(key)
-            if held < 200_000 or (key[0], part[0]) == (key[-1], part[-1]) == (rest[0][0][0], rest[0][1][0]):
+            if not batch.num_rows:
                 continue
-            key, part, fp, asks = (np.concatenate(x) for x in zip(*rest))
-            new = np.flatnonzero((key[1:] != key[:-1]) | (part[1:] != part[:-1])) + 1
-            cut = new[-1] if len(new) else 0
+            rest.append(batch)
+            held += batch.num_rows
+            if held < 200_000:
+                continue
+            group, asks, node, fp = joined(rest)
+            cut = int(np.searchsorted(group, group[-1]))  # the last group may go on
             if cut:
-                yield from links(np.concatenate([[0], np.cumsum((key[1:cut] != key[: cut - 1]) | (part[1:cut] != part[: cut - 1]))]), fp[:cut], asks[:cut])
-            rest, held = [(key[cut:], part[cut:], fp[cut:], asks[cut:])], len(key) - cut
-        if held:
-            key, part, fp, asks = (np.concatenate(x) for x in zip(*rest))
-            yield from links(np.concatenate([[0], np.cumsum((key[1:] != key[:-1]) | (part[1:] != part[:-1]))]), fp, asks)
+                yield from links(group[:cut], asks[:cut], node[:cut], [f[:cut] for f in fp])
+                whole = pa.Table.from_batches(rest)
+                rest, held = whole.slice(cut).combine_chunks().to_batches(), len(group) - cut
+            else:
+                held = 0  # one group so far: gather as much again before looking
+        if rest:
+            yield from links(*joined(rest))
 
     return run
 
 
-def near_links(distinct: DataFrame, count: int, radius: int = RADIUS) -> DataFrame:
-    """(a, b): links with the same components as all pairs of distinct fingerprints that differ in at most radius bits."""
-    rows = distinct.select("fp").mapInArrow(_filed_and_asked(segments(count, radius)), "key long, fp long, asks boolean")
+def near_links(distinct: DataFrame, cut: list[tuple[int, int, int]], radius: int) -> DataFrame:
+    """(a, b): links between nodes with the same components as all pairs found whose fingerprints differ in <= radius bits.
+
+    distinct: node, fp0, fp1, ..., all fingerprints different. Pairs whose distance is within the bound of `cut` (the sum
+    of its radii + 1, less one) are all found.
+    """
+    names = [c for c in distinct.columns if c.startswith("fp")]
+    columns = ["key", "node", "asks", *names]
+    schema = ", ".join(f"{c} {'boolean' if c == 'asks' else 'long'}" for c in columns)
+    rows = distinct.select("node", *names).mapInArrow(_filed_and_asked(cut, names), schema)
     full = rows.where(~F.col("asks")).groupBy("key").count().where(F.col("count") > PART)
     full = stored(full.select("key", F.ceil(F.col("count") / PART).cast("int").alias("parts")), "simhash-full-keys")
     if full.isEmpty():
         rows = rows.withColumn("part", F.lit(0))
     else:
         # what is filed under a full key lies in one part each and asks in all
-        own = F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int")
+        own = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")
         rows = rows.join(full, "key", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
         everywhere = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
         filed = rows.where(~F.col("asks"))
         rows = (
-            filed.select("key", "fp", "asks", own.alias("part"))
-            .unionByName(rows.where(F.col("asks")).select("key", "fp", "asks", everywhere.alias("part")))
-            .unionByName(filed.where("parts > 1").select("key", "fp", F.lit(True).alias("asks"), everywhere.alias("part")))
+            filed.select(*columns, own.alias("part"))
+            .unionByName(rows.where(F.col("asks")).select(*columns, everywhere.alias("part")))
+            .unionByName(filed.where("parts > 1").select("key", "node", F.lit(True).alias("asks"), *names, everywhere.alias("part")))
         )
-    ready = rows.select("key", "part", "fp", "asks").repartition("key", "part").sortWithinPartitions("key", "part", "asks", "fp")
-    return ready.mapInArrow(_verified(radius), "a long, b long")
+    ready = rows.select(*columns, "part").repartition("key", "part").sortWithinPartitions("key", "part", "asks", "node")
+    return ready.mapInArrow(_verified(radius, names), "a long, b long")
 
 
 def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
@@ -210,30 +245,42 @@ def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
     raise RuntimeError(f"components did not settle in {most_rounds} rounds")
 
 
-def near_duplicates(docs: DataFrame, words: int = 4, radius: int = RADIUS, carry: tuple[str, ...] = ()) -> DataFrame:
-    """(doc_id, fp, root, component_id, long columns to carry), one row per row of docs.
+def near_duplicates(docs: DataFrame, words: int = 4, radius: int = RADIUS) -> DataFrame:
+    """(doc_id, fp, component_id), one row per row of docs.
 
-    Texts whose fingerprints differ in at most radius bits are linked; component_id is the smallest doc_id reachable,
-    root the component's smallest fingerprint. A null or empty text has fingerprint 0 and is linked like any other. Null
-    ids do not count as smallest; a component without any other id has component_id null. Repeated documents give a row
-    each. Other columns are ignored.
+    Texts whose 64-bit fingerprints differ in at most radius bits are linked; component_id is the smallest doc_id
+    reachable. A null or empty text has fingerprint 0 and is linked like any other. Null ids do not count as smallest; a
+    component without any other id has component_id null. Repeated documents give a row each. An empty table gives an
+    empty result. Other columns are ignored.
     """
-    rows = stored(fingerprints(docs, words, carry), "simhash-rows")
-    distinct = stored(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-distinct")
-    found = components(near_links(distinct, distinct.count(), radius))
-    rooted = distinct.join(found, distinct["fp"] == found["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    rows = stored(fingerprints(docs, words), "simhash-rows")
+    distinct = stored(rows.groupBy("fp0").agg(F.min("doc_id").alias("least")).withColumn("node", F.col("fp0")), "simhash-distinct")
+    cut = segments(segments_for(distinct.count(), radius), radius)
+    found = components(near_links(distinct.select("node", "fp0"), cut, radius)).withColumnRenamed("node", "linked")
+    rooted = distinct.join(found, F.col("node") == F.col("linked"), "left").select("fp0", "least", F.coalesce("root", "node").alias("root"))
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = stored(rooted.join(least, "root").select("fp", "root", "component_id"), "simhash-named")
-    return rows.join(named, "fp").select("doc_id", "fp", "root", "component_id", *carry)
+    named = stored(rooted.join(least, "root").select("fp0", "component_id"), "simhash-named")
+    return rows.join(named, "fp0").select("doc_id", F.col("fp0").alias("fp"), "component_id")
 
 
-def one_of_each(docs: DataFrame, words: int = 4, radius: int = RADIUS) -> DataFrame:
-    """Of every component the row with the smallest doc_id, all columns as they were; of equal ids, one of the rows."""
+def one_of_each(docs: DataFrame, words: int = 5, radius: int = WIDE_RADIUS) -> DataFrame:
+    """Of every group of near-duplicates the row with the smallest doc_id, all columns as they were.
+
+    Fingerprints have 128 bits here, so that their distance tells similarity well enough: texts that agree in 0.8 of the
+    bits or more (radius 24 of 128) are linked. Ten segments ask for all keys one bit away: every pair within 19 bits is
+    found, and of those within 24 bits all that do not differ in two bits or more of every segment. Null ids rank last; of
+    equal ids one row stays. Null and empty texts are equal to each other.
+    """
     numbered = stored(docs.select(F.struct(*docs.columns).alias("row"), "doc_id", "text", F.monotonically_increasing_id().alias("row_no")), "simhash-numbered")
-    near = near_duplicates(numbered, words, radius, carry=("row_no",))
-    first = F.struct(F.col("doc_id").isNull(), "doc_id", "row_no")
-    kept = near.groupBy("root").agg(F.min_by("row_no", first).alias("row_no"))
-    return numbered.join(kept.select("row_no"), "row_no", "left_semi").select("row.*")
+    rows = stored(fingerprints(numbered, words, 2, carry=("row_no",)), "simhash-rows")
+    # equal fingerprints first: their row with the smallest id stands for all
+    rank = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row_no")
+    distinct = rows.groupBy("fp0", "fp1").agg(F.min(rank).alias("best")).select("fp0", "fp1", "best", F.col("best.row_no").alias("node"))
+    distinct = stored(distinct, "simhash-distinct")
+    found = components(near_links(distinct.select("node", "fp0", "fp1"), segments(10, 19, 128), radius)).withColumnRenamed("node", "linked")
+    rooted = distinct.join(found, F.col("node") == F.col("linked"), "left").select("best", F.coalesce("root", "node").alias("root"))
+    kept = stored(rooted.groupBy("root").agg(F.min("best").alias("best")).select(F.col("best.row_no").alias("row_no")), "simhash-kept")
+    return numbered.join(kept, "row_no", "left_semi").select("row.*")
 
 
 def as_hex(fp: str = "fp"):
