@@ -8,7 +8,7 @@ its length-normalised log-likelihood under the toxic model minus that under the
 over its most toxic run of words, for order 2 and for the order below alone; a logistic curve turns the features into a score.
 
 Counts cover every labelled text that may be learned from and are summed by Spark. What is broadcast for scoring has a
-proven bound of about 70 MB: the vocabulary, and a table of word pairs with one pair per slot, the most frequent one,
+proven bound of about 12 MB a model: the vocabulary, and a table of word pairs with one pair per slot, the most frequent one,
 recognised by a tag. The curve alone is fitted on a bounded sample, each text scored by the models of the half of the
 rows that it is not in.
 """
@@ -28,8 +28,8 @@ from pyspark.sql import types as T
 from candlework.llm.common import carried, documents_by_id, held_out, labelled, logistic, prefiltered, slices, stored, text_of
 
 #: log2 of the vocabulary's size, and slots of the table of pairs.
-WORD_BITS = 20
-PAIR_SLOTS = 1 << 20
+WORD_BITS = 19
+PAIR_SLOTS = 1 << 19
 #: Taken off every count and continuation count: what occurs no more often in a class rests on the shared counts alone.
 DISCOUNT = 2
 #: Words of the run whose ratios give the second feature.
@@ -79,18 +79,23 @@ def _counter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 class Model:
-    """Scoring tables of one pair of class models; columns are ordinary, toxic."""
+    """Scoring tables of one pair of class models in half precision; columns are ordinary, toxic.
+
+    pair: discounted counts; word: logs of the lower order; context: logs of 1 / count, then the lower order's weights.
+    """
 
     def __init__(self, tag, pair, word, context):
-        self.tag, self.pair, self.word, self.context = tag, pair, word, context
+        with np.errstate(divide="ignore"):
+            logs = np.column_stack([np.log(context[:, :2]), context[:, 2:]])
+            self.tag, self.pair, self.word, self.context = tag, np.minimum(pair, 65_000).astype(np.float16), np.log(word).astype(np.float16), logs.astype(np.float16)
 
     def ratios(self, pair: np.ndarray) -> np.ndarray:
         """log P(word | toxic) - log P(word | ordinary), given the context and without; 0 for words neither has seen."""
-        h = self.context[pair >> WORD_BITS]
-        low = self.word[pair & _MASK]
+        h = self.context[pair >> WORD_BITS].astype(np.float32)
+        low = np.exp(self.word[pair & _MASK].astype(np.float32))
         slot = pair % PAIR_SLOTS
-        count = self.pair[slot] * (self.tag[slot] == pair)[:, None]
-        p = count * h[:, :2] + h[:, 2:] * low
+        count = self.pair[slot].astype(np.float32) * (self.tag[slot] == pair // PAIR_SLOTS)[:, None]
+        p = count * np.exp(h[:, :2]) + h[:, 2:] * low
         both = np.log(np.maximum(np.stack([p, low]), 1e-30))
         return np.where(low[:, 0] > 0, both[:, :, 1] - both[:, :, 0], 0.0)
 
@@ -134,8 +139,8 @@ def _models(pairs: DataFrame) -> dict[str, Model]:
     kept = F.struct((F.col("k0") + F.col("k1") + F.col("k2") + F.col("k3")).alias("n"), "pair", *[F.col(f"k{i}").cast("int").alias(f"k{i}") for i in range(4)])
     top = pairs.where("k0 + k1 + k2 + k3 > 1").groupBy((F.col("pair") % PAIR_SLOTS).cast("int").alias("slot")).agg(F.max(kept).alias("x"))
     top = top.select("slot", "x.pair", "x.k0", "x.k1", "x.k2", "x.k3").toArrow()
-    tag = np.full(PAIR_SLOTS, -1, np.int64)
-    tag[top["slot"].to_numpy()] = top["pair"].to_numpy()
+    tag = np.full(PAIR_SLOTS, -1, np.int32)
+    tag[top["slot"].to_numpy()] = top["pair"].to_numpy() // PAIR_SLOTS
     counts = _table(top, "slot", PAIR_SLOTS, ["k0", "k1", "k2", "k3"])
     models = {}
     for scope in SCOPES:
@@ -178,6 +183,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> tuple[Model, np.ndarray]:
                 yield pa.record_batch({"y": batch.column("y")[start : start + len(texts)], "f": pa.array(list(f), pa.list_(pa.float64()))})
 
     curve = documents_by_id(docs, sample).select("y", "half", "text").mapInArrow(features_of_sample, "y int, f array<double>").toArrow()
+    halves.destroy()
     y = curve["y"].to_numpy()
     weights = np.array([-30.0] + [0.0] * FEATURES)
     if len(y):
