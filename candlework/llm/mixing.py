@@ -90,6 +90,6 @@ def mix_documents(docs: DataFrame) -> DataFrame:
     words = F.regexp_extract_all("row.text", F.lit(f"[{_SPACE}]*[^{_SPACE}]+"), F.lit(0))
     cut = F.array_join(F.slice(words, F.lit(1), F.col("words_taken").cast("int")), "")
     text = F.when(F.col("words_taken") < F.col("size"), cut).otherwise(F.col("row.text"))
-    out = rows.join(copies, "row_no")
+    out = rows.join(copies.hint("merge"), "row_no")  # the mix grows with the input and is never broadcast
     values = {c: text if c == "text" else F.length(text).cast("long") if c == "n_chars" else F.col(f"row.{c}") for c in columns}
     return out.select(*[v.alias(c) for c, v in values.items()])

@@ -280,7 +280,8 @@ def one_of_each(docs: DataFrame, words: int = 5, radius: int = WIDE_RADIUS) -> D
     found = components(near_links(distinct.select("node", "fp0", "fp1"), segments(10, 19, 128), radius)).withColumnRenamed("node", "linked")
     rooted = distinct.join(found, F.col("node") == F.col("linked"), "left").select("best", F.coalesce("root", "node").alias("root"))
     kept = stored(rooted.groupBy("root").agg(F.min("best").alias("best")).select(F.col("best.row_no").alias("row_no")), "simhash-kept")
-    return numbered.join(kept, "row_no", "left_semi").select("row.*")
+    # what is kept grows with the input and is never broadcast
+    return numbered.join(kept.hint("merge"), "row_no", "left_semi").select("row.*")
 
 
 def as_hex(fp: str = "fp"):
