@@ -30,14 +30,14 @@ def join_end_of_day(bars: DataFrame, day: Column | None = None) -> DataFrame:
     return bars.withColumn("day", day).join(end_of_day(bars, day), ["stockName", "day"])
 
 
-def with_end_of_day(bars: DataFrame, day: Column | None = None, hot: HotSymbols | None = None) -> DataFrame:
+def with_end_of_day(bars: DataFrame, day: Column | None = None, hot: HotSymbols | str | None = MEASURE) -> DataFrame:
     """Every bar with the last price of its day.
 
     A window over (symbol, day), which needs no join and, after a numbering, no shuffle. With
     hot symbols a day itself may be large: then the last price is aggregated, which combines
-    map-side, and joined, where Spark splits skewed keys.
+    map-side, and joined, where Spark splits skewed keys. By default they are counted first.
     """
-    if hot is not None:
+    if resolve(bars, hot) is not None:
         return join_end_of_day(bars, day)
     day = day_of() if day is None else day
     whole_day = (

@@ -32,12 +32,12 @@ def drop_incomplete(table: DataFrame) -> DataFrame:
 def min_max_scaled(table: DataFrame, column: str, name: str, by: Sequence[str] = ()) -> DataFrame:
     """(x - min) / (max - min). The bounds are one row per group, joined back.
 
-    Without groups the bounds are scalar subqueries.
+    Without groups the bounds are one scalar subquery, read once.
     """
     x = F.col(column)
     if not by:
-        lowest = table.select(F.min(column)).scalar()
-        highest = table.select(F.max(column)).scalar()
+        bounds = table.select(F.struct(F.min(column).alias("lo"), F.max(column).alias("hi"))).scalar()
+        lowest, highest = bounds["lo"], bounds["hi"]
         return table.withColumn(name, F.try_divide(x - lowest, highest - lowest))
     bounds = table.groupBy(*by).agg(F.min(column).alias("_lowest"), F.max(column).alias("_highest"))
     scaled = F.try_divide(x - F.col("_lowest"), F.col("_highest") - F.col("_lowest"))

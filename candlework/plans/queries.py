@@ -877,15 +877,23 @@ register("batch_scoring", batch_scoring)
 
 
 def _staged_stream(spark: SparkSession, sf: str, parts: int = 4) -> DataFrame:
-    """Hourly bars as a stream: written in ``parts`` consecutive spans of time, a symbol's bars of
-    one span in one file, so that file order respects every symbol's time order."""
-    bars = tables.event_bars(spark, sf).withColumn("stockTime", F.col("stockTime").cast("timestamp"))
+    """Hourly bars as a stream: written in ``parts`` consecutive spans of real time, a symbol's bars of one span in one
+    file. Files are read in the order they were written, at most as many a batch as a span has, so no batch brings a
+    symbol bars older than an earlier batch did, whatever months the bars cover."""
+    bars = stored(tables.event_bars(spark, sf).withColumn("stockTime", F.col("stockTime").cast("timestamp")), "stream-source")
+    return staged_spans(bars, parts)
+
+
+def staged_spans(bars: DataFrame, parts: int = 4, files: int = 3) -> DataFrame:
+    """Bars as a stream of ``parts`` spans of equal length between the first and the last time."""
+    spark = bars.sparkSession
     path = shared_path(spark, "bars")
-    day = F.dayofmonth("stockTime")
+    low, high = bars.agg(F.min(F.unix_micros("stockTime")), F.max(F.unix_micros("stockTime"))).first()
+    width = (high - low) // parts + 1 if low is not None else 1
+    span = F.floor((F.unix_micros("stockTime") - F.lit(low or 0)) / width)
     for i in range(parts):
-        low, high = 1 + 31 * i // parts, 1 + 31 * (i + 1) // parts
-        bars.filter((day >= low) & (day < high)).repartition("stockName").write.mode("append").parquet(path)
-    return spark.readStream.schema(bars.schema).option("maxFilesPerTrigger", 4).parquet(path)
+        bars.filter(span == i).repartition(files, "stockName").write.mode("append").parquet(path)
+    return spark.readStream.schema(bars.schema).option("maxFilesPerTrigger", files).parquet(path)
 
 
 def _drained(stream: DataFrame, label: str) -> DataFrame:
@@ -896,7 +904,7 @@ def _drained(stream: DataFrame, label: str) -> DataFrame:
 
 
 def stream_features(spark, sf):
-    """The base table by the live path: state per symbol, four and more micro-batches."""
+    """The base table by the live path: state per symbol, over several micro-batches."""
     return _plain_time(_drained(live.live_base_table(_staged_stream(spark, sf), DIGITS), "live"))
 
 

@@ -42,11 +42,11 @@ def format_wire(bars: DataFrame) -> DataFrame:
 
 def replay(bars: DataFrame) -> DataFrame:
     """Bars of all symbols from the first symbol's first bar until just before its last one,
-    ordered by minute, then symbol. The bounds are one row, read as scalar subqueries."""
+    ordered by minute, then symbol. The bounds are one row, read by one scalar subquery."""
     spans = bars.groupBy("stockName").agg(F.struct(F.min("stockTime").alias("lo"), F.max("stockTime").alias("hi")).alias("s"))
     first = spans.agg(F.min_by("s", "stockName").alias("s"))
-    lo, hi = first.select("s.lo").scalar(), first.select("s.hi").scalar()
-    return bars.filter((F.col("stockTime") >= lo) & (F.col("stockTime") < hi)).orderBy("stockTime", "stockName")
+    bounds = first.scalar()
+    return bars.filter((F.col("stockTime") >= bounds["lo"]) & (F.col("stockTime") < bounds["hi"])).orderBy("stockTime", "stockName")
 
 
 def read_kafka(spark: SparkSession, servers: str, topic: str, **options: str) -> DataFrame:

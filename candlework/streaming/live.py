@@ -20,7 +20,7 @@ _VALUES = ["high", "low", "lastPrice", "volume"]
 _STATE_SCHEMA = "seen long, late long, times array<timestamp>, " + ", ".join(f"{c} array<double>" for c in _VALUES)
 
 
-def with_processing_time(stream: DataFrame, name: str = "UserActionTime") -> DataFrame:
+def with_processing_time(stream: DataFrame, name: str = "processedAt") -> DataFrame:
     """Expose the time at which a row is processed."""
     return stream.withColumn(name, F.current_timestamp())
 

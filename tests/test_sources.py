@@ -25,7 +25,7 @@ def folder_with(files):
 def test_bar_files(spark):
     path = folder_with(
         {
-            "ABT UN Equity.csv": [
+            "QQX ZZ Share.csv": [
                 "NAME,OPEN,HIGH,LOW,LAST,NUMBER,VOLUME",
                 GOOD,
                 "27/04/2015 15:32,1,2,0.5,1.5,3",
@@ -39,7 +39,7 @@ def test_bar_files(spark):
         }
     )
     rows = bar_files.read_bar_files(spark, path).orderBy("stockName", "stockTime").collect()
-    assert [r.stockName for r in rows] == ["ABT UN Equity", "ABT UN Equity", "X+M 1"]
+    assert [r.stockName for r in rows] == ["QQX ZZ Share", "QQX ZZ Share", "X+M 1"]
     assert rows[0].stockTime == datetime(2015, 4, 27, 15, 31) and rows[1].stockTime.minute == 37
     assert list(rows[0].asDict())[2:] == BAR_COLUMNS[2:]
     assert (rows[0].priceOpen, rows[0].high, rows[0].low, rows[0].lastPrice, rows[0].number, rows[0].volume) == (
@@ -86,7 +86,7 @@ def test_base_csv_round_trip(spark, data):
 
 
 def test_labelled_signals(spark):
-    path = folder_with({"GE_big.csv": ["2015-04-27 15:31:00,GE,1.5,1.4,0,1,2,0,0,1,2,0,2"]})
+    path = folder_with({"some_signals.csv": ["2015-04-27 15:31:00,QQX,1.5,1.4,0,1,2,0,0,1,2,0,2"]})
     row = bar_files.read_labelled_signals(spark, path).first()
     assert row._1 == datetime(2015, 4, 27, 15, 31) and row._13 == 2
 

@@ -66,9 +66,9 @@ def test_wire_stream_and_scoring(spark, bars):
     model = models.train_forest(train, CODE_COLUMNS, trees=3)
     stream = wire.read_wire_files(spark, src + "/records")
     scored = live.live_scores(live.live_base_table(stream), model)
-    drain(live.with_processing_time(scored).select("stockName", "prediction", "UserActionTime"), out, cp)
+    drain(live.with_processing_time(scored).select("stockName", "prediction", "processedAt"), out, cp)
     got = spark.read.parquet(out)
-    assert got.count() == bars.count() and got.filter("UserActionTime is null").count() == 0
+    assert got.count() == bars.count() and got.filter("processedAt is null").count() == 0
     want = models.score(table, model, CODE_COLUMNS)
     counts = {r.prediction: r["count"] for r in got.groupBy("prediction").count().collect()}
     assert counts == {r.prediction: r["count"] for r in want.groupBy("prediction").count().collect()}
@@ -98,3 +98,18 @@ def test_console_sink(spark, bars):
     add_file(bars.limit(5), src)
     stream = spark.readStream.schema(bars.schema).parquet(src).select("lastPrice")
     live.start(stream, cp, sink="console", every=None).awaitTermination()
+
+
+def test_spans_of_two_months_lose_no_bar(spark, data, tmp_path):
+    """Months overlap in their days; several files a span and several micro-batches."""
+    from pyspark.sql import functions as F
+
+    from candlework.plans.queries import staged_spans
+
+    bars = event_bars(spark, data).withColumn("stockTime", F.col("stockTime").cast("timestamp"))
+    both = bars.union(bars.withColumn("stockTime", F.col("stockTime") + F.expr("interval 31 days")))
+    out, cp = str(tmp_path / "out"), str(tmp_path / "cp")
+    query = live.start(live.live_base_table(staged_spans(both, parts=8, files=3)), cp, out, every=None)
+    query.awaitTermination()
+    assert len([p for p in query.recentProgress if p["numInputRows"]]) >= 4
+    assert spark.read.parquet(out).count() == both.select("stockName", "stockTime").distinct().count()
