@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from candlework.llm.common import held_out, slices, text_of
+from candlework.llm.common import documents_by_id, held_out, slices, text_of
 
 SLOTS = 4093
 SAMPLE_PER_LANGUAGE = 400
@@ -96,7 +96,8 @@ def predict_language(docs: DataFrame, parts: int = 5, kept_back: int = 0) -> Dat
 
     # ranks only ids, so the limit applies before any text moves; the sample is bounded per language
     order = Window.partitionBy("lang").orderBy(F.xxhash64(F.col("doc_id"), F.lit(5)), "doc_id")
-    sample = learn.withColumn("place", F.row_number().over(order)).where(F.col("place") <= SAMPLE_PER_LANGUAGE).select("lang", "place", "text")
+    chosen = learn.select("doc_id", "lang").withColumn("place", F.row_number().over(order)).where(F.col("place") <= SAMPLE_PER_LANGUAGE)
+    sample = documents_by_id(docs, chosen).select("lang", "place", "text")
 
     def fit(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("place", kind="stable")
