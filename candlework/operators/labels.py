@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from candlework.operators.history import MEASURE, HotSymbols, number_bars, resolve
-from candlework.schema import BUY, DEPLOYMENT_PERIODS, HOLD, SELL, THRESHOLDS, TRAINING_PERIODS
+from candlework.schema import BUY, DEPLOYMENT_PERIODS, HOLD, SELL, THRESHOLDS, TRAINING_PERIODS, sweep_lengths
 
 
 def day_of(period: str = "day") -> Column:
@@ -70,6 +70,11 @@ class Grid:
     deployment: tuple[int, ...] = tuple(DEPLOYMENT_PERIODS)
     thresholds: tuple[float, ...] = tuple(THRESHOLDS)
 
+    @classmethod
+    def of_day_bars(cls, day_bars: int, thresholds: Sequence[float] = THRESHOLDS) -> Grid:
+        """The full sweep where a day has ``day_bars`` bars; 389 give the default."""
+        return cls(*map(tuple, sweep_lengths(day_bars)), tuple(thresholds))
+
     @property
     def last_bar(self) -> int:
         return max(self.training) + max(self.deployment)
@@ -106,29 +111,61 @@ def deployment_slices(numbered: DataFrame, grid: Grid) -> DataFrame:
     return _slice(numbered, grid, "s.training", "s.training + s.deployment", grid.last_bar)
 
 
+def both_slices(numbered: DataFrame, grid: Grid) -> DataFrame:
+    """Training and deployment bars of every slice in one pass, told apart by ``part``. Needs ``bar_no``."""
+    parts = F.array(
+        *[
+            F.struct(
+                F.lit(part).alias("part"), F.lit(t).alias("training"), F.lit(d).alias("deployment"),
+                F.lit(first).alias("first"), F.lit(last).alias("last"),
+            )
+            for t in grid.training
+            for d in grid.deployment
+            for part, first, last in (("training", 1, t), ("deployment", t, t + d))
+        ]
+    )
+    return (
+        numbered.filter(F.col("bar_no") <= grid.last_bar)
+        .withColumn("_parts", parts)
+        .withColumn("_s", F.explode(F.expr("filter(_parts, s -> bar_no between s.first and s.last)")))
+        .select("_s.part", *numbered.columns, "_s.training", "_s.deployment")
+    )
+
+
 def labelled_slices(
     table: DataFrame,
     grid: Grid,
     day: Column | None = None,
     hot: HotSymbols | str | None = MEASURE,
     keep: Iterable[str] = (),
+    warmup: int = 0,
 ) -> DataFrame:
-    """Deployment slices labelled for every threshold of the grid.
+    """Deployment slices labelled for every threshold of the grid, after each symbol's first ``warmup`` bars.
 
     The end of day is taken over the whole table before slicing, as a slice may end mid-day.
     """
     keys = ["stockName", "stockTime", "lastPrice"]
     bars = table.select(*keys, *[x for x in keep if x not in keys])
-    return label(deployment_slices(numbered_days(bars, day, hot), grid), grid.thresholds)
+    return label(deployment_slices(numbered_days(bars, day, hot, warmup), grid), grid.thresholds)
+
 
+def numbered_after_warmup(bars: DataFrame, hot: HotSymbols | str | None = MEASURE, warmup: int = 0) -> DataFrame:
+    """Bars with ``bar_no``, counted 1, 2, ... from each symbol's first bar after its first ``warmup`` ones, which go."""
+    numbered = number_bars(bars, hot)
+    if not warmup:
+        return numbered
+    return numbered.filter(F.col("bar_no") > warmup).withColumn("bar_no", F.col("bar_no") - warmup)
 
-def numbered_days(bars: DataFrame, day: Column | None = None, hot: HotSymbols | str | None = MEASURE) -> DataFrame:
-    """Bars with ``bar_no``, ``day`` and ``eodPrice``.
+
+def numbered_days(
+    bars: DataFrame, day: Column | None = None, hot: HotSymbols | str | None = MEASURE, warmup: int = 0
+) -> DataFrame:
+    """Bars after the warm-up with ``bar_no``, ``day`` and ``eodPrice``.
 
     Numbering comes first: where it partitions by symbol, the day windows need no shuffle.
     """
     hot = resolve(bars, hot)
-    return with_end_of_day(number_bars(bars, hot), day, hot)
+    return with_end_of_day(numbered_after_warmup(bars, hot, warmup), day, hot)
 
 
 def position(label_column: str = "responseVariable") -> Column:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
 from pyspark.ml import Pipeline, PipelineModel
@@ -17,10 +18,11 @@ from pyspark.sql import functions as F
 from candlework.operators.history import MEASURE, HotSymbols
 from candlework.operators.labels import Grid, deployment_slices, label, numbered_days, training_slices
 from candlework.operators.trades import mark_trades, summarise
-from candlework.schema import CODE_COLUMNS, MODEL_COLUMNS
+from candlework.schema import CODE_COLUMNS, MODEL_COLUMNS, WARMUP_BARS
 from candlework.session import stored
 
-_HASH_BITS = 16
+_HEX_DIGITS = 4  # a level of hash ranges: 2**16 of them
+_MAX_RANKED = 1_000_000  # rows of a range that one task ranks; fuller ranges are cut again
 
 
 def labelled_vectors(table: DataFrame, features: Sequence[str], label_column: str) -> DataFrame:
@@ -30,42 +32,56 @@ def labelled_vectors(table: DataFrame, features: Sequence[str], label_column: st
     )
 
 
+def split_parts(table: DataFrame, keys: Sequence[Column], share: float = 0.8, seed: int = 100) -> DataFrame:
+    """The table with ``part``: 'train' for exactly floor(share * n) rows, else 'test', by a seeded hash of the keys.
+
+    The hash of the last training row is looked up first: rows are counted in 2**16 hash
+    ranges, and only the range holding the cut is ranked, or counted again by further digits while
+    it is too full. The part is then one comparison, the same whenever it is recomputed.
+    ``keys`` must identify a row.
+    """
+    hash_of = F.md5(F.concat_ws("|", *keys, F.lit(str(seed))))
+    hashes = table.select(hash_of.alias("hash"))
+    prefix, wanted, cut = "", None, None
+    while cut is None:
+        inside = hashes.filter(F.col("hash").startswith(prefix))
+        digits = F.substring("hash", len(prefix) + 1, _HEX_DIGITS)
+        counts = inside.groupBy(digits.alias("range")).agg(F.count("*").alias("n")).orderBy("range").collect()
+        if wanted is None:
+            wanted = math.floor(share * sum(r.n for r in counts) + 1e-9)
+            if not wanted:  # nothing to train on
+                return table.withColumn("part", F.lit("test"))
+        for r in counts:
+            if r.n >= wanted:
+                break
+            wanted -= r.n
+        prefix += r.range
+        if r.n <= _MAX_RANKED or len(prefix) == 32:
+            rank = F.row_number().over(Window.partitionBy(F.substring("hash", 1, len(prefix))).orderBy("hash"))
+            ranked = hashes.filter(F.col("hash").startswith(prefix)).withColumn("rank", rank)
+            cut = ranked.filter(F.col("rank") == wanted).first().hash
+    return table.withColumn("part", F.when(hash_of <= cut, "train").otherwise("test"))
+
+
 def exact_split(
     table: DataFrame, keys: Sequence[Column], share: float = 0.8, seed: int = 100
 ) -> tuple[DataFrame, DataFrame]:
-    """Split into exactly floor(share * n) rows and the rest, by a seeded hash of the keys.
+    """The two parts of ``split_parts`` as plain filters."""
+    parts = split_parts(table, keys, share, seed)
+    return tuple(parts.filter(F.col("part") == part).drop("part") for part in ("train", "test"))
 
-    The hash of the last training row is looked up first: rows are counted in 2**16 hash
-    ranges, and only the range holding the cut is ranked. Both parts are then plain filters,
-    the same whenever they are recomputed. ``keys`` must identify a row.
+
+def train_svm(
+    train: DataFrame, features: Sequence[str], label_column: str = "label", iterations: int = 100, regularisation: float = 0.01
+) -> PipelineModel:
+    """Linear SVM without intercept on labels 1 and -1.
+
+    At most ``iterations`` passes over the data; ``regularisation`` weighs the L2 penalty.
     """
-    hash_of = F.md5(F.concat_ws("|", *keys, F.lit(str(seed))))
-    hashes = table.select(hash_of.alias("hash")).withColumn(
-        "range", F.conv(F.substring("hash", 1, _HASH_BITS // 4), 16, 10).cast("int")
-    )
-    counts = hashes.groupBy("range").agg(F.count("*").alias("n")).orderBy("range").collect()
-    wanted = math.floor(share * sum(r.n for r in counts) + 1e-9)
-    before = 0
-    cut = None
-    for r in counts:
-        if before + r.n >= wanted > before:
-            ranked = hashes.filter(F.col("range") == r.range).withColumn(
-                "rank", F.row_number().over(Window.partitionBy("range").orderBy("hash"))
-            )
-            cut = ranked.filter(F.col("rank") == wanted - before).first().hash
-            break
-        before += r.n
-    if cut is None:  # nothing to train on
-        return table.limit(0), table
-    return table.filter(hash_of <= cut), table.filter(hash_of > cut)
-
-
-def train_svm(train: DataFrame, features: Sequence[str], label_column: str = "label") -> PipelineModel:
-    """Linear SVM without intercept on labels 1 and -1."""
     binary = train.withColumn("_target", F.when(F.col(label_column) > 0, 1.0).otherwise(0.0))
     stages = [
         VectorAssembler(inputCols=list(features), outputCol="features"),
-        LinearSVC(labelCol="_target", fitIntercept=False, maxIter=20),
+        LinearSVC(labelCol="_target", fitIntercept=False, maxIter=iterations, regParam=regularisation),
     ]
     return Pipeline(stages=stages).fit(binary)
 
@@ -83,23 +99,29 @@ def evaluate_svm(model: PipelineModel, test: DataFrame) -> DataFrame:
     )
 
 
-def forest_pipeline(features: Sequence[str] = MODEL_COLUMNS, trees: int = 100, seed: int = 100, depth: int = 5) -> Pipeline:
-    """The pipeline keeps its own assembler, so training and scoring use the same columns."""
+def forest_pipeline(
+    features: Sequence[str] = MODEL_COLUMNS, trees: int = 100, seed: int = 100, depth: int = 5, subset: str = "sqrt"
+) -> Pipeline:
+    """The pipeline keeps its own assembler, so training and scoring use the same columns.
+
+    ``depth`` bounds the trees (Spark allows 30; memory and passes grow with the nodes); ``subset`` is the
+    number of features tried at a node.
+    """
     return Pipeline(
         stages=[
             VectorAssembler(inputCols=list(features), outputCol="features"),
             RandomForestClassifier(
-                labelCol="label", numTrees=trees, seed=seed, maxDepth=depth, featureSubsetStrategy="sqrt"
+                labelCol="label", numTrees=trees, seed=seed, maxDepth=depth, featureSubsetStrategy=subset
             ),
         ]
     )
 
 
 def train_forest(train: DataFrame, features: Sequence[str] = MODEL_COLUMNS, trees: int = 100, seed: int = 100,
-                 depth: int = 5) -> PipelineModel:
+                 depth: int = 5, subset: str = "sqrt") -> PipelineModel:
     """Random forest on complete rows; ``label`` is 0, 1 or 2."""
     rows = train.select(*features, F.col("label").cast("double").alias("label")).dropna("any")
-    return forest_pipeline(features, trees, seed, depth).fit(rows)
+    return forest_pipeline(features, trees, seed, depth, subset).fit(rows)
 
 
 def importance(model: PipelineModel, spark, features: Sequence[str] = MODEL_COLUMNS, top: int = 12) -> DataFrame:
@@ -152,34 +174,36 @@ def predicted_slices(
     features: Sequence[str] = MODEL_COLUMNS,
     trees: int = 100,
     seed: int = 100,
+    depth: int = 5,
+    warmup: int = WARMUP_BARS,
+    fits_at_once: int = 4,
 ) -> DataFrame:
-    """Deployment slices with the forest's ``prediction``.
+    """Deployment slices with the forest's ``prediction``, counted from the bar after the warm-up.
 
     A fit depends on the training length and threshold only, so deployment lengths share it.
-    The loop is over those parameters; each fit and each transform is a distributed job. The
+    The loop is over those parameters, a few fits at once; each fit and each transform is a distributed job. The
     numbered bars, cut to what the grid can reach, are stored once and scanned by every fit.
     """
     keys = ["stockName", "stockTime"]
     wanted = table.select(*keys, *[x for x in features if x not in keys])
-    reachable = numbered_days(wanted, day, hot).filter(F.col("bar_no") <= grid.last_bar)
+    reachable = numbered_days(wanted, day, hot, warmup).filter(F.col("bar_no") <= grid.last_bar)
     numbered = stored(reachable, "numbered")
-    parts = []
-    for training in grid.training:
-        for threshold in grid.thresholds:
-            one = Grid((training,), grid.deployment, (threshold,))
-            first = Grid((training,), (grid.deployment[0],), (threshold,))
-            train = label(training_slices(numbered, first), [threshold]).withColumnRenamed("responseVariable", "label")
-            model = train_forest(train, features, trees, seed)
-            slices = label(deployment_slices(numbered, one), [threshold])
-            complete = reduce(lambda a, b: a & b, [F.col(x).isNotNull() for x in features])
-            parts.append(
-                score(slices, model, features).withColumn("prediction", F.when(complete, F.col("prediction").cast("int")))
-            )
-    return reduce(DataFrame.unionByName, parts)
+    complete = reduce(lambda a, b: a & b, [F.col(x).isNotNull() for x in features])
+
+    def fitted_and_scored(point: tuple[int, float]) -> DataFrame:
+        training, threshold = point
+        first = Grid((training,), (grid.deployment[0],), (threshold,))
+        train = label(training_slices(numbered, first), [threshold]).withColumnRenamed("responseVariable", "label")
+        model = train_forest(train, features, trees, seed, depth)
+        slices = label(deployment_slices(numbered, Grid((training,), grid.deployment, (threshold,))), [threshold])
+        scored = score(slices, model, features)
+        return scored.withColumn("prediction", F.when(complete, F.col("prediction").cast("int")))
+
+    points = [(training, threshold) for training in grid.training for threshold in grid.thresholds]
+    with ThreadPoolExecutor(fits_at_once) as pool:
+        return reduce(DataFrame.unionByName, pool.map(fitted_and_scored, points))
 
 
 def predicted_return(scored: DataFrame) -> DataFrame:
     """Backtest of predictions: as the optimal return but without selling at the day's end."""
     return summarise(mark_trades(scored, F.col("prediction"), sell_at_day_end=False))
-
-

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from candlework.operators.history import MEASURE, HotSymbols
 from candlework.operators.labels import Grid, labelled_slices
-from candlework.schema import DAY_BARS, POSITION_BUY, POSITION_HOLD, POSITION_SELL
+from candlework.schema import DAY_BARS, POSITION_BUY, POSITION_HOLD, POSITION_SELL, WARMUP_BARS
 
 SLICE_KEYS = ["stockName", "deployment", "training", "threshold"]
 
@@ -148,8 +148,15 @@ def scale_transactions(results: DataFrame) -> DataFrame:
 
 
 def optimal_return(
-    table: DataFrame, grid: Grid, day: Column | None = None, hot: HotSymbols | str | None = MEASURE
+    table: DataFrame,
+    grid: Grid,
+    day: Column | None = None,
+    hot: HotSymbols | str | None = MEASURE,
+    warmup: int = WARMUP_BARS,
 ) -> DataFrame:
-    """The best a threshold could do: the labels themselves are traded, selling at day end."""
-    slices = labelled_slices(table, grid, day, hot)
+    """The best a threshold could do: the labels themselves are traded, selling at day end.
+
+    Slices are counted from the bar after each symbol's first ``warmup`` ones.
+    """
+    slices = labelled_slices(table, grid, day, hot, warmup=warmup)
     return summarise(mark_trades(slices, F.col("responseVariable"), sell_at_day_end=True))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from candlework.schema import BASE_COLUMNS, CODE_COLUMNS, FEATURE_COLUMNS, SIGNAL_COLUMNS
+from candlework.schema import BASE_COLUMNS, CODE_COLUMNS, FEATURE_COLUMNS, SIGNAL_COLUMNS, WARMUP_BARS
 
 
 def R(x: str, digits: int) -> str:
@@ -176,13 +176,30 @@ BASE = [*SMA, *BOLLINGER, *CCI, *STOCHASTIC, *RSI, *MFI, *CHAIKIN, *WILLIAMS_R,
 # --- labels and backtest ------------------------------------------------------------------
 
 
-def labelled(bars: str, day: str, training, deployment, thresholds, table: str = "bars") -> list[str]:
+ORDER_BARS = """trades_in AS (
+  SELECT o_orderpriority AS stockName, date_trunc('day', o_orderdate)::TIMESTAMP AS stockTime, o_orderkey,
+         CASE WHEN month(o_orderdate) <= 3 THEN 100 ELSE floor(o_totalprice / 1000) END::DOUBLE AS price,
+         CASE WHEN month(o_orderdate) BETWEEN 3 AND 5 THEN 0 ELSE o_orderkey % 100 + 1 END::DOUBLE AS size
+  FROM orders),
+bars AS (
+  SELECT stockName, stockTime, arg_min(price, o_orderkey) AS priceOpen, max(price) AS high, min(price) AS low,
+         arg_max(price, o_orderkey) AS lastPrice, count(*)::DOUBLE AS number, sum(size) AS volume
+  FROM trades_in GROUP BY stockName, stockTime)"""
+
+
+def after_warmup(table: str, name: str = "warm") -> str:
+    return f"""{name} AS (SELECT * FROM {table}
+  QUALIFY row_number() OVER (PARTITION BY stockName ORDER BY stockTime) > {WARMUP_BARS})"""
+
+
+def labelled(bars: str, day: str, training, deployment, thresholds, table: str = "bars", extra: str = "") -> list[str]:
     values = ", ".join(f"({t}::DOUBLE)" for t in thresholds)
     slices = ", ".join(f"({t}, {d})" for t in training for d in deployment)
     return [
         bars,
-        f"""numbered AS (SELECT stockName, stockTime, lastPrice, date_trunc('{day}', stockTime)::DATE AS day,
-  row_number() OVER (PARTITION BY stockName ORDER BY stockTime) AS bar_no FROM {table})""",
+        f"""numbered AS (SELECT stockName, stockTime, lastPrice, date_trunc('{day}', stockTime)::DATE AS day{extra},
+  row_number() OVER (PARTITION BY stockName ORDER BY stockTime) - {WARMUP_BARS} AS bar_no FROM {table}
+  QUALIFY bar_no >= 1)""",
         "eod AS (SELECT stockName, day, arg_max(lastPrice, stockTime) AS eodPrice FROM numbered GROUP BY 1, 2)",
         f"thresholds AS (SELECT * FROM (VALUES {values}) v(threshold))",
         f"slices AS (SELECT * FROM (VALUES {slices}) v(training, deployment))",
@@ -195,9 +212,9 @@ def labelled(bars: str, day: str, training, deployment, thresholds, table: str =
 
 
 _K = "PARTITION BY stockName, deployment, training, threshold"
-TRADES = [
+_TRADES = [
     f"t1 AS (SELECT *, lead(day) OVER ({_K} ORDER BY stockTime) AS day1 FROM marked)",
-    "t2 AS (SELECT *, CASE WHEN day1 IS NULL THEN NULL WHEN day <> day1 THEN 3 ELSE responseVariable + 1 END AS position FROM t1)",
+    "t2 AS (SELECT *, CASE WHEN day1 IS NULL THEN NULL {day_end} ELSE {code} + 1 END AS position FROM t1)",
     f"t3 AS (SELECT *, lag(position) OVER ({_K} ORDER BY stockTime) AS position0 FROM t2 WHERE position IS NULL OR position <> 1)",
     """t4 AS (SELECT *, CASE WHEN position <> position0 THEN lastPrice ELSE 0 END AS switchPrice FROM t3
   WHERE position IS NOT NULL AND position0 IS NOT NULL)""",
@@ -208,6 +225,14 @@ TRADES = [
     f"t7 AS (SELECT *, lead(returnPrice) OVER ({_K} ORDER BY stockTime) AS nextPrice FROM t6 WHERE returnPrice <> 0)",
     """t8 AS (SELECT *, (CASE WHEN position = 2 THEN 1 ELSE -1 END) * ((nextPrice - returnPrice) / abs(returnPrice)) AS ret FROM t7)""",
 ]
+
+
+def trades(code: str, sell_at_day_end: bool) -> list[str]:
+    day_end = "WHEN day <> day1 THEN 3" if sell_at_day_end else ""
+    return [part.replace("{day_end}", day_end).replace("{code}", code) for part in _TRADES]
+
+
+TRADES = trades("responseVariable", True)
 SWEEP = [
     "days AS (SELECT stockName, deployment, training, threshold, count(DISTINCT day) AS days FROM marked GROUP BY ALL)",
     """counts AS (SELECT stockName, deployment, training, threshold, count(*) FILTER (switchPrice > 0) AS transactions
@@ -221,7 +246,7 @@ SWEEP = [
 ]
 
 
-def confusion(table: str, classes) -> str:
+def confusion(table: str, classes, by: str = "") -> str:
     rows = "count(*)::DOUBLE"
 
     def both(k):
@@ -243,6 +268,8 @@ def confusion(table: str, classes) -> str:
     for k in classes:
         columns.append(f"{R(f'{both(k)} / nullif({truth(k)}, 0)', 6)} AS recall_{k}")
         columns.append(f"{R(f'{both(k)} / nullif({said(k)}, 0)', 6)} AS precision_{k}")
+    if by:
+        return f"SELECT {by}, {', '.join(columns)} FROM {table} GROUP BY {by}"
     return f"SELECT {', '.join(columns)} FROM {table}"
 
 

@@ -30,6 +30,8 @@ DIGITS = 6
 DAY_GRID = labels.Grid(training=(50, 100), deployment=(24, 48), thresholds=(0.01, 0.1, 0.2, 0.5, 5.0))
 MONTH_GRID = labels.Grid(training=(100, 200), deployment=(100, 300), thresholds=(1.0, 100.0))
 MODEL_GRID = labels.Grid(training=(300,), deployment=(100, 200), thresholds=(5.0,))
+FULL_GRID = labels.Grid.of_day_bars(4)  # all 240 points, on days as sparse as the given tables'
+TRAINING_BARS = 300  # a forest of the registered queries learns from so many bars of each symbol after the warm-up
 
 _queries: dict[str, Query] = {}
 _oracles: dict[str, str] = {}
@@ -46,6 +48,12 @@ def line_bars(spark: SparkSession, sf: str) -> tuple[DataFrame, HotSymbols | Non
     return tables.line_bars(spark, sf), measure(tables.line_symbols(spark, sf), MAX_BARS_PER_TASK)
 
 
+def order_bars(spark: SparkSession, sf: str) -> tuple[DataFrame, HotSymbols | None]:
+    """Daily bars with flat, one-priced and volume-less stretches."""
+    bars = tables.order_bars(spark, sf)
+    return bars, measure(bars, MAX_BARS_PER_TASK)
+
+
 def event_bars(spark: SparkSession, sf: str) -> tuple[DataFrame, None]:
     """Hourly bars: at most one per hour and type, so their number does not grow with the events."""
     return tables.event_bars(spark, sf), None
@@ -75,7 +83,9 @@ def rounded(df: DataFrame, *names: str) -> DataFrame:
 
 for _indicator in ALL_INDICATORS:
     _parts, _last, _columns = o.INDICATORS[_indicator.name]
-    for _suffix, _source, _bars_sql in (("", line_bars, o.LINE_BARS), ("_hourly", event_bars, o.EVENT_BARS)):
+    for _suffix, _source, _bars_sql in (
+        ("", line_bars, o.LINE_BARS), ("_hourly", event_bars, o.EVENT_BARS), ("_undefined", order_bars, o.ORDER_BARS)
+    ):
 
         def _run(spark, sf, indicator=_indicator, source=_source, columns=_columns):
             bars, hot = source(spark, sf)
@@ -98,6 +108,48 @@ register(
 register("base_table_join", lambda spark, sf: features.base_table_by_joins(*line_bars(spark, sf), DIGITS), _BASE_SQL)
 
 
+def conflicting_copies(bars: DataFrame) -> DataFrame:
+    """Every bar twice, the second time at higher prices and half the volume."""
+    higher = bars.withColumns({c: F.col(c) + 1 for c in ("high", "low", "lastPrice")})
+    return bars.unionByName(higher.withColumn("volume", F.col("volume") / 2))
+
+
+def base_table_duplicates(spark: SparkSession, sf: str) -> DataFrame:
+    """The base table of bars that all have a conflicting copy."""
+    bars, hot = line_bars(spark, sf)
+    return features.base_table(conflicting_copies(bars), hot, DIGITS, unique=False)
+
+
+register("base_table_duplicates", base_table_duplicates, _BASE_SQL)
+_BASE_UNDEFINED_SQL = sql(o.ORDER_BARS, *o.BASE, final=f"SELECT {o.BASE_LIST} FROM base")
+
+
+def undefined_base(spark: SparkSession, sf: str) -> DataFrame:
+    return features.base_table(*order_bars(spark, sf), DIGITS)
+
+
+register("base_table_undefined", undefined_base, _BASE_UNDEFINED_SQL)
+register(
+    "null_counts_undefined",
+    lambda spark, sf: profile.null_counts(undefined_base(spark, sf)),
+    sql(
+        o.ORDER_BARS,
+        *o.BASE,
+        final="SELECT " + ", ".join(f"count(*) FILTER ({c} IS NULL) AS {c}" for c in BASE_COLUMNS) + " FROM base",
+    ),
+)
+register(
+    "complete_rows_undefined",
+    lambda spark, sf: profile.drop_incomplete(undefined_base(spark, sf)).select(*KEY, "D", "RSI", "chaikin"),
+    sql(
+        o.ORDER_BARS,
+        *o.BASE,
+        final="SELECT stockTime, stockName, D, RSI, chaikin FROM base WHERE "
+        + " AND ".join(f"{c} IS NOT NULL" for c in BASE_COLUMNS),
+    ),
+)
+
+
 def base_table_segmented(spark: SparkSession, sf: str) -> DataFrame:
     """The base table with every symbol of more than 500 trades treated as hot."""
     hot = measure(tables.line_symbols(spark, sf), 500)
@@ -204,7 +256,7 @@ register(
 
 def dedupe(spark, sf):
     bars = tables.line_bars(spark, sf)
-    return features.dedupe_bars(bars.unionByName(bars))
+    return features.dedupe_bars(conflicting_copies(bars))
 
 
 register(
@@ -517,16 +569,18 @@ register(
 
 
 def signals_with_label(spark, sf):
-    table = line_base(spark, sf)
+    bars, hot = line_bars(spark, sf)
+    table = features.base_table(bars, hot, DIGITS).select(*KEY, "lastPrice", *SIGNAL_COLUMNS)
     label = labels.response(F.lit(1.0)).alias("label")
-    return labels.with_end_of_day(table.select(*KEY, "lastPrice", *SIGNAL_COLUMNS), month()).select("*", label)
+    return labels.numbered_days(table, month(), hot, WARMUP_BARS).select("*", label)
 
 
 _LABELLED_SIGNALS = [
     *o.BASE,
+    o.after_warmup("base"),
     """labelled AS (SELECT base.*, CASE WHEN lastPrice - eodPrice >= 1 THEN 2 WHEN eodPrice - lastPrice >= 1 THEN 1 ELSE 0 END
   AS label FROM (SELECT *, last_value(lastPrice) OVER (PARTITION BY stockName, date_trunc('month', stockTime)
-  ORDER BY stockTime ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS eodPrice FROM base) base)""",
+  ORDER BY stockTime ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS eodPrice FROM warm) base)""",
 ]
 register(
     "label_binarise",
@@ -553,7 +607,8 @@ register(
 
 def model_columns(spark, sf):
     """Price, features and label: what a forest is trained on."""
-    table = labels.with_end_of_day(line_base(spark, sf), month())
+    bars, hot = line_bars(spark, sf)
+    table = labels.numbered_days(features.base_table(bars, hot, DIGITS), month(), hot, WARMUP_BARS)
     return table.select(*MODEL_COLUMNS, labels.response(F.lit(1.0)).alias("responseVariable"))
 
 
@@ -607,11 +662,8 @@ register(
 
 def slice_rows(spark, sf):
     bars, hot = line_bars(spark, sf)
-    numbered = number_bars(bars.select(*KEY, "lastPrice"), hot)
-    train = labels.training_slices(numbered, MONTH_GRID).withColumn("part", F.lit("training"))
-    deploy = labels.deployment_slices(numbered, MONTH_GRID).withColumn("part", F.lit("deployment"))
-    out = train.unionByName(deploy)
-    return out.select("part", *KEY, "bar_no", "training", "deployment", "lastPrice")
+    numbered = labels.numbered_after_warmup(bars.select(*KEY, "lastPrice"), hot, WARMUP_BARS)
+    return labels.both_slices(numbered, MONTH_GRID).select("part", *KEY, "bar_no", "training", "deployment", "lastPrice")
 
 
 _MONTH_SLICES = o.labelled(o.LINE_BARS, "month", MONTH_GRID.training, MONTH_GRID.deployment, MONTH_GRID.thresholds)
@@ -631,7 +683,7 @@ register(
 
 def line_slices(spark, sf):
     bars, hot = line_bars(spark, sf)
-    return labels.labelled_slices(bars, MONTH_GRID, month(), hot)
+    return labels.labelled_slices(bars, MONTH_GRID, month(), hot, warmup=WARMUP_BARS)
 
 
 def marked(spark, sf):
@@ -708,6 +760,59 @@ register(
 )
 
 
+def optimal_return_full_grid(spark, sf):
+    """All 240 points: six deployment lengths, ten training lengths, four thresholds."""
+    bars, hot = line_bars(spark, sf)
+    return backtest.optimal_return(bars, FULL_GRID, month(), hot)
+
+
+register(
+    "optimal_return_full_grid",
+    lambda spark, sf: rounded(optimal_return_full_grid(spark, sf), *_SWEEP_DOUBLES),
+    _sweep_sql(
+        o.labelled(o.LINE_BARS, "month", FULL_GRID.training, FULL_GRID.deployment, FULL_GRID.thresholds), _SWEEP_SELECT
+    ),
+)
+
+
+def signal_slices(spark, sf):
+    """Deployment slices with the stochastic signal in the place of a model's prediction."""
+    bars, hot = line_bars(spark, sf)
+    table = features.indicator_table(bars, [STOCHASTIC], [*KEY, "lastPrice", "stoch_signal"], hot, DIGITS)
+    slices = labels.labelled_slices(table, MONTH_GRID, month(), hot, keep=["stoch_signal"], warmup=WARMUP_BARS)
+    return slices.withColumn("prediction", F.col("stoch_signal"))
+
+
+_SIGNAL_SLICES = [
+    o.LINE_BARS,
+    *o.STOCHASTIC,
+    *o.labelled("", "month", MONTH_GRID.training, MONTH_GRID.deployment, MONTH_GRID.thresholds, "stoch", ", stoch_signal"),
+]
+register(
+    "predicted_return_signal",
+    lambda spark, sf: rounded(models.predicted_return(signal_slices(spark, sf)), *_SWEEP_DOUBLES),
+    sql(*_SIGNAL_SLICES, *o.trades("stoch_signal", False), *o.SWEEP, final=_SWEEP_SELECT),
+)
+
+
+def sweep_confusion(spark, sf):
+    """Accuracy, kappa, recall and precision at every point of the sweep."""
+    scored = signal_slices(spark, sf).withColumnRenamed("responseVariable", "label")
+    stats = profile.confusion_stats(scored, [0, 1, 2], by=backtest.SLICE_KEYS)
+    return rounded(stats, *[c for c in stats.columns if c not in (*backtest.SLICE_KEYS, "rows")])
+
+
+register(
+    "sweep_confusion",
+    sweep_confusion,
+    sql(
+        *_SIGNAL_SLICES,
+        "scored AS (SELECT *, responseVariable AS label, stoch_signal AS prediction FROM marked)",
+        final=o.confusion("scored", [0, 1, 2], ", ".join(backtest.SLICE_KEYS)),
+    ),
+)
+
+
 def sweep_pivot(spark, sf):
     wide = backtest.sweep_wide(optimal_return(spark, sf), MONTH_GRID.thresholds)
     return rounded(wide, "Return", "Return2", "trainingDays")
@@ -795,8 +900,7 @@ def _row_key() -> list[Column]:
 
 def exact_split(spark, sf):
     bars = tables.line_bars(spark, sf).select(*KEY, "lastPrice")
-    train, test = models.exact_split(bars, _row_key())
-    return train.withColumn("part", F.lit("train")).unionByName(test.withColumn("part", F.lit("test")))
+    return models.split_parts(bars, _row_key())
 
 
 register(
@@ -825,20 +929,20 @@ def svm_confusion(spark, sf):
 register("svm_confusion", svm_confusion)
 
 
-def _forest(spark, sf, feature_columns, trees=20):
-    """A forest over the first 300 bars of every symbol, and the table to apply it to."""
+def _forest(spark, sf, feature_columns):
+    """A forest over every symbol's first TRAINING_BARS bars after the warm-up, and the table to apply it to."""
     bars, hot = line_bars(spark, sf)
     table = features.base_table(bars, hot, DIGITS)
-    numbered = stored(labels.numbered_days(table, month(), hot), "forest")
+    numbered = stored(labels.numbered_days(table, month(), hot, WARMUP_BARS), "forest")
     label = labels.response(F.lit(5.0)).alias("label")
-    train = numbered.filter(F.col("bar_no") <= 300).select(*feature_columns, label)
-    return models.train_forest(train, feature_columns, trees=trees), numbered.select("*", label)
+    train = numbered.filter(F.col("bar_no") <= TRAINING_BARS).select(*feature_columns, label)
+    return models.train_forest(train, feature_columns), numbered.select("*", label)
 
 
 def rf_predict(spark, sf):
     """Confusion counts of the forest on the bars after its training slice."""
     model, table = _forest(spark, sf, MODEL_COLUMNS)
-    rest = table.filter(F.col("bar_no") > 300)
+    rest = table.filter(F.col("bar_no") > TRAINING_BARS)
     return profile.confusion_counts(models.score(rest, model, MODEL_COLUMNS))
 
 
@@ -857,7 +961,7 @@ def predicted_return(spark, sf):
     """The sweep on the forest's predictions."""
     bars, hot = line_bars(spark, sf)
     table = features.base_table(bars, hot, DIGITS)
-    return models.predicted_return(models.predicted_slices(table, MODEL_GRID, month(), hot, trees=20))
+    return models.predicted_return(models.predicted_slices(table, MODEL_GRID, month(), hot))
 
 
 register("predicted_return", predicted_return)
@@ -873,6 +977,87 @@ def batch_scoring(spark, sf):
 
 register("batch_scoring", batch_scoring)
 
+# Models that learn a rule: each row's right prediction is known, so SQL can state it. With all features tried at every
+# node, a forest's first split is the rule itself.
+
+
+def _rule() -> Column:
+    return F.when(F.col("stoch_direction") == 1, 1).otherwise(2)
+
+
+_RULE_SQL = "CASE WHEN stoch_direction = 1 THEN 1 ELSE 2 END"
+
+
+def _rule_forest(spark, sf):
+    """A forest stored after learning the rule from training bars and loaded again, and all bars after the warm-up."""
+    bars, hot = line_bars(spark, sf)
+    table = features.base_table(bars, hot, DIGITS).select(*KEY, *CODE_COLUMNS)
+    numbered = stored(labels.numbered_after_warmup(table, hot, WARMUP_BARS), "rule")
+    train = numbered.filter(F.col("bar_no") <= TRAINING_BARS).withColumn("label", _rule())
+    path = shared_path(spark, "model")
+    models.save_model(models.train_forest(train, CODE_COLUMNS, subset="all"), path)
+    return models.load_model(path), numbered
+
+
+def rf_learns_rule(spark, sf):
+    model, numbered = _rule_forest(spark, sf)
+    return models.score(numbered, model, CODE_COLUMNS).select(*KEY, "prediction")
+
+
+register(
+    "rf_learns_rule",
+    rf_learns_rule,
+    sql(
+        o.LINE_BARS,
+        *o.BASE,
+        o.after_warmup("base"),
+        final=f"SELECT stockTime, stockName, ({_RULE_SQL})::DOUBLE AS prediction FROM warm",
+    ),
+)
+
+
+def rf_rule_importance(spark, sf):
+    """All importance falls to the feature that is the rule."""
+    model, _ = _rule_forest(spark, sf)
+    return rounded(models.importance(model, spark, CODE_COLUMNS), "importance")
+
+
+_OTHERS = sorted(c for c in CODE_COLUMNS if c != "stoch_direction")[:11]
+register(
+    "rf_rule_importance",
+    rf_rule_importance,
+    "SELECT * FROM (VALUES ('stoch_direction', 1.0::DOUBLE), "
+    + ", ".join(f"('{c}', 0.0::DOUBLE)" for c in _OTHERS)
+    + ") v(feature, importance)",
+)
+
+
+def svm_learns_rule(spark, sf):
+    """Labels 1 and -1 by the rule, four fifths learnt, the model stored and loaded, the rest evaluated."""
+    bars, hot = line_bars(spark, sf)
+    columns = [c for c in CODE_COLUMNS if c.endswith("_direction")]
+    table = labels.numbered_after_warmup(features.base_table(bars, hot, DIGITS), hot, WARMUP_BARS)
+    rows = stored(table.select(*KEY, *columns, F.when(_rule() == 1, 1).otherwise(-1).alias("label")), "svm-rule")
+    train, test = models.exact_split(rows, _row_key())
+    path = shared_path(spark, "model")
+    models.save_model(models.train_svm(train, columns), path)
+    return profile.confusion_counts(models.evaluate_svm(models.load_model(path), test))
+
+
+register(
+    "svm_learns_rule",
+    svm_learns_rule,
+    sql(
+        o.LINE_BARS,
+        *o.BASE,
+        o.after_warmup("base"),
+        f"""ranked AS (SELECT CASE WHEN {_RULE_SQL} = 1 THEN 1 ELSE -1 END AS label, row_number() OVER (ORDER BY
+        md5(stockName || '|' || strftime(stockTime, '%Y-%m-%d %H:%M:%S') || '|100')) AS rank FROM warm)""",
+        final="""SELECT label, label AS prediction, count(*) AS n FROM ranked
+        WHERE rank > floor(0.8 * (SELECT count(*) FROM warm)) GROUP BY label""",
+    ),
+)
+
 # --- streams --------------------------------------------------------------------------------
 
 
@@ -916,7 +1101,7 @@ def stream_scoring(spark, sf):
     train = event_base(spark, sf)
     train = labels.with_end_of_day(train).withColumn("label", labels.response(F.lit(1.0)))
     path = shared_path(spark, "model")
-    models.save_model(models.train_forest(train, CODE_COLUMNS, trees=10), path)
+    models.save_model(models.train_forest(train, CODE_COLUMNS), path)
     live_table = live.live_base_table(_staged_stream(spark, sf), DIGITS)
     scored = live.live_scores(live_table, models.load_model(path)).select(*KEY, "lastPrice", "prediction")
     return _drained(scored, "scores")
@@ -925,6 +1110,27 @@ def stream_scoring(spark, sf):
 register("stream_scoring", stream_scoring)
 
 
+def stream_learns_rule(spark, sf):
+    """The live base table scored by a stored forest that has learnt the rule."""
+    path = shared_path(spark, "model")
+    train = event_base(spark, sf).withColumn("label", _rule())
+    models.save_model(models.train_forest(train, CODE_COLUMNS, subset="all"), path)
+    live_table = live.live_base_table(_staged_stream(spark, sf), DIGITS)
+    scored = live.live_scores(live_table, models.load_model(path)).select(*KEY, "lastPrice", "prediction")
+    return _plain_time(_drained(scored, "rule-scores"))
+
+
+register(
+    "stream_learns_rule",
+    stream_learns_rule,
+    sql(
+        o.EVENT_BARS,
+        *o.BASE,
+        final=f"SELECT stockTime, stockName, lastPrice, ({_RULE_SQL})::DOUBLE AS prediction FROM base",
+    ),
+)
+
+
 def stream_join(spark, sf):
     """Two live indicator streams joined on their key under a watermark."""
     bars = _staged_stream(spark, sf)

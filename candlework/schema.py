@@ -5,6 +5,7 @@ from __future__ import annotations
 KEY = ["stockTime", "stockName"]
 
 BAR_COLUMNS = ["stockName", "stockTime", "priceOpen", "high", "low", "lastPrice", "number", "volume"]
+TIE_COLUMNS = ["lastPrice", "high", "low", "volume"]  # of copies of a bar, the smallest by these is kept
 BAR_SCHEMA = (
     "stockName string, stockTime timestamp, priceOpen double, high double, low double, "
     "lastPrice double, number double, volume double"
@@ -59,9 +60,14 @@ DAY_BARS = 389
 
 # The sweep of the analysis script, in bars.
 THRESHOLDS = [0.01, 0.1, 0.2, 0.5]
-_WEEK = 5 * DAY_BARS
-_MONTH = round(4.5 * _WEEK)  # half-even, as in the analysis: 8752
-DEPLOYMENT_PERIODS = [DAY_BARS, _WEEK, 2 * _WEEK, _MONTH, 2 * _MONTH, 3 * _MONTH]
-TRAINING_PERIODS = sorted(
-    [_WEEK, 2 * _WEEK, 3 * _WEEK, _MONTH, 5 * _WEEK, 6 * _WEEK, 7 * _WEEK, 2 * _MONTH, 10 * _WEEK, 3 * _MONTH]
-)
+
+
+def sweep_lengths(day_bars: int) -> tuple[list[int], list[int]]:
+    """Training and deployment lengths in bars, for days of ``day_bars`` bars."""
+    week = 5 * day_bars
+    month = round(4.5 * week)  # half-even, as in the analysis: 8752 of 389
+    training = sorted([week, 2 * week, 3 * week, month, 5 * week, 6 * week, 7 * week, 2 * month, 10 * week, 3 * month])
+    return training, [day_bars, week, 2 * week, month, 2 * month, 3 * month]
+
+
+TRAINING_PERIODS, DEPLOYMENT_PERIODS = sweep_lengths(DAY_BARS)

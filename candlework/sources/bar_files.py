@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from candlework.operators.features import dedupe_bars
 from candlework.schema import ANALYSIS_NAMES, BAR_COLUMNS, BASE_COLUMNS, BASE_SCHEMA, LABELLED_SIGNALS_SCHEMA
 
 FILE_TIME = "dd/MM/yyyy HH:mm"  # fixed value: the time format of the files
@@ -33,13 +34,15 @@ def parse_bar_lines(lines: DataFrame) -> DataFrame:
     )
 
 
-def read_bar_files(spark: SparkSession, folder: str) -> DataFrame:
+def read_bar_files(spark: SparkSession, folder: str, unique: bool = False) -> DataFrame:
     """All files of a folder in one distributed scan; the symbol is the file name less its
-    last four characters."""
+    last four characters. Of bars with equal symbol and time one is kept (``dedupe_bars``),
+    unless the files are said to hold ``unique`` bars."""
     # the metadata column gives the name URL-encoded, except for a plus sign
     name = F.url_decode(F.replace(F.col("_metadata.file_name"), F.lit("+"), F.lit("%2B")))
     lines = spark.read.text(folder).select(F.regexp_extract(name, "^(.*).{4}$", 1).alias("stockName"), "value")
-    return parse_bar_lines(lines)
+    bars = parse_bar_lines(lines)
+    return bars if unique else dedupe_bars(bars)
 
 
 def save_bars(bars: DataFrame, table: str, buckets: int, path: str | None = None) -> None:

@@ -69,3 +69,27 @@ def line_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
 def line_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Symbol and time of every trade: an upper bound of the bars per symbol, read cheaply."""
     return _trades(spark, sf_dir).select("stockName", "stockTime")
+
+
+def order_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Daily bars per order priority, with the undefined cases the other two lack.
+
+    The price stands still in the first three months of a year, nothing is traded in volume from March to May, and a
+    day with one order has no range.
+    """
+    month = F.month("o_orderdate")
+    price = F.when(month <= 3, 100.0).otherwise(F.floor(F.col("o_totalprice") / 1000).cast("double"))
+    size = F.when(month.between(3, 5), 0.0).otherwise((F.col("o_orderkey") % 100 + 1).cast("double"))
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet").select(
+        F.col("o_orderpriority").alias("stockName"),
+        F.date_trunc("day", "o_orderdate").cast("timestamp_ntz").alias("stockTime"),
+        price.alias("price"), size.alias("size"), "o_orderkey",
+    )
+    return orders.groupBy("stockName", "stockTime").agg(
+        F.min_by("price", "o_orderkey").alias("priceOpen"),
+        F.max("price").alias("high"),
+        F.min("price").alias("low"),
+        F.max_by("price", "o_orderkey").alias("lastPrice"),
+        F.count("*").cast("double").alias("number"),
+        F.sum("size").alias("volume"),
+    )

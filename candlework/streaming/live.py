@@ -12,7 +12,7 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from candlework.operators.models import score
-from candlework.schema import BASE_COLUMNS, BASE_SCHEMA, CODE_COLUMNS, FEATURE_COLUMNS
+from candlework.schema import BASE_COLUMNS, BASE_SCHEMA, CODE_COLUMNS, FEATURE_COLUMNS, TIE_COLUMNS
 from candlework.streaming.window_math import base_rows
 
 LOOKBACK = 101  # bars before the current one that can matter
@@ -33,7 +33,7 @@ def _advance(digits: int | None):
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         new = pd.concat(list(frames), ignore_index=True)
         arrived = len(new)
-        new = new.sort_values("stockTime", kind="stable").drop_duplicates("stockTime")
+        new = new.sort_values(["stockTime", *TIE_COLUMNS], kind="stable", na_position="first").drop_duplicates("stockTime")
         if state.exists:
             seen, late, times, *columns = state.get
             kept = pd.DataFrame(dict(zip(["stockTime", *_VALUES], [pd.to_datetime(list(times)), *columns])))
@@ -67,7 +67,8 @@ def live_base_table(bars: DataFrame, digits: int | None = None) -> DataFrame:
     """The base table of a stream of bars, appended as bars arrive.
 
     State per symbol is its last 101 bars. A bar at or before the symbol's newest is dropped
-    and counted in the state. Bars of one symbol within a batch are put in time order.
+    and counted in the state. Bars of one symbol within a batch are put in time order; of copies within a batch the one
+    is kept that ``dedupe_bars`` keeps, across batches the one that arrived first.
     """
     return bars.select("stockName", "stockTime", *_VALUES).groupBy("stockName").applyInPandasWithState(
         _advance(digits), BASE_SCHEMA, _STATE_SCHEMA, "append", GroupStateTimeout.NoTimeout

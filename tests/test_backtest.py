@@ -147,3 +147,21 @@ def test_sweep_report(spark):
     assert stats[0.1].sumReturn == pytest.approx(0.6) and stats[0.01].minReturn == -0.1
     scaled = trades.scale_transactions(results).orderBy("transactions").collect()
     assert [r.scaled for r in scaled] == pytest.approx([0, 1 / 6, 2 / 6, 4 / 6, 1])
+
+
+def test_slices_start_after_the_warm_up(make_bars):
+    bars = make_bars([(p, p, p, 1) for p in range(1, 131)])  # bar n closes at n
+    grid = labels.Grid((5,), (10,), (0.5,))
+    prices = [r.lastPrice for r in labels.labelled_slices(bars, grid, warmup=100).orderBy("stockTime").collect()]
+    assert prices == [float(p) for p in range(105, 116)]
+    parts = labels.both_slices(labels.numbered_after_warmup(bars, warmup=100), grid)
+    training = parts.filter("part = 'training'").orderBy("stockTime").collect()
+    assert [(r.bar_no, r.lastPrice) for r in training] == [(n, 100.0 + n) for n in range(1, 6)]
+    assert trades.optimal_return(bars, grid).count() == 1
+    assert trades.optimal_return(make_bars([(1, 1, 1, 1)] * 100), grid).count() == 0
+
+
+def test_full_sweep_by_day_length():
+    assert labels.Grid.of_day_bars(389) == labels.Grid()
+    small = labels.Grid.of_day_bars(4)
+    assert len(small.training) * len(small.deployment) * len(small.thresholds) == 240

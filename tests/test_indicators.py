@@ -72,6 +72,18 @@ def test_dedupe(make_bars):
     assert dedupe_bars(bars.union(bars)).columns == bars.columns
 
 
+@pytest.mark.parametrize("shift", [-1.0, 1.0])
+def test_conflicting_copies_give_one_row_each_way(spark, data, shift):
+    bars = line_bars(spark, data)
+    shifted = bars.withColumns({c: F.col(c) + shift for c in ("high", "low", "lastPrice")})
+    both = bars.unionByName(shifted).unionByName(bars).cache()
+    kept = bars if shift > 0 else shifted
+    want = base_table(kept, None, digits=6)
+    same(want, base_table(dedupe_bars(both), None, digits=6))
+    same(want, base_table(both, None, digits=6, unique=False))
+    same(want, base_table(both, measure(both, 500), digits=6, unique=False))
+
+
 def same(a, b):
     assert a.columns == b.columns
     assert differences(a.toPandas(), b.toPandas()) == ""

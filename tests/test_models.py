@@ -35,6 +35,21 @@ def test_split_changes_with_the_seed(table):
     assert a.exceptAll(b).count() > 0
 
 
+@pytest.mark.parametrize("ranked", [1, 10])
+def test_full_hash_ranges_are_cut_again(table, monkeypatch, ranked):
+    rows = table.select("stockName", "stockTime")
+    want = models.exact_split(rows, keys(), 0.3)[0]
+    monkeypatch.setattr(models, "_HEX_DIGITS", 1)
+    monkeypatch.setattr(models, "_MAX_RANKED", ranked)
+    got = models.exact_split(rows, keys(), 0.3)[0]
+    assert got.count() == want.count() and got.exceptAll(want).count() == 0
+
+
+def test_split_of_an_empty_table(table):
+    train, test = models.exact_split(table.select("stockName", "stockTime").limit(0), keys())
+    assert train.count() == test.count() == 0
+
+
 def test_vectors(table):
     r = models.labelled_vectors(table, SIGNAL_COLUMNS, "label").select("label", "features", *SIGNAL_COLUMNS).first()
     assert list(r.features) == [float(r[c]) for c in SIGNAL_COLUMNS]
