@@ -1,35 +1,37 @@
 """Toxicity by two class-conditional Kneser-Ney language models.
 
-Words are lower-cased runs of letters and digits, numbered by hash into a vocabulary of fixed size. Each class has an
+Words are lower-cased runs of letters and digits, known by 64-bit hashes. Each class has an
 interpolated Kneser-Ney model of order 2: in how many texts a pair of words occurs, discounted, over the number of different words a word
 follows (its continuation count) in that class, over the continuation counts of both classes together. The last level is
 shared, so an expression that is rare in both classes gets nearly the same probability from both. A text's features are
 its length-normalised log-likelihood under the toxic model minus that under the ordinary one, over the whole text and
 over its most toxic run of words, for order 2 and for the order below alone; a logistic curve turns the features into a score.
 
-Counts cover every labelled text that may be learned from and are summed by Spark. What is broadcast for scoring has a
-proven bound of about 12 MB a model: the vocabulary, and a table of word pairs with one pair per slot, the most frequent one,
-recognised by a tag. The curve alone is fitted on a bounded sample, each text scored by the models of the half of the
-rows that it is not in.
+Counts cover every labelled text that may be learned from and are summed by Spark. All words, and all pairs that outlive
+the discount, stay in one stored table of items that grows with the corpus. For scoring, the most frequent items are
+broadcast, and a bitmap of where the others may lie; both have a fixed size. Texts with an item that is not among the
+broadcast ones get it by a join, so the sizes decide how much is joined, and never a score. The curve alone is fitted on
+a bounded sample, each text scored by the models of the half of the rows that it is not in.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from candlework.llm.common import carried, documents_by_id, held_out, labelled, logistic, prefiltered, slices, stored, text_of
 
-#: log2 of the vocabulary's size, and slots of the table of pairs.
-WORD_BITS = 19
-PAIR_SLOTS = 1 << 19
+#: Most items broadcast with their values, about 8 MB a model.
+CACHE = 1 << 18
+#: log2 of the bits that tell which other items may be known.
+BITMAP_BITS = 25
 #: Taken off every count and continuation count: what occurs no more often in a class rests on the shared counts alone.
 DISCOUNT = 2
 #: Words of the run whose ratios give the second feature.
@@ -39,26 +41,35 @@ CLEAR = 1.5
 FEATURES = 6
 CURVE_ROWS = 20_000
 _WORD = re.compile(rb"[a-z0-9\x80-\xff]+")
-_MASK = (1 << WORD_BITS) - 1
 #: Models: of either half of the rows and of all rows, each ordinary and toxic.
 SCOPES = ("0", "1", "all")
 
 
 def _words(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Word numbers of all texts, each text after one 0 as its first context, and where each begins (and the end)."""
+    """Hashes of the words of all texts, each text after one 0 as its first context, and where each begins (and the end)."""
     each = [_WORD.findall(t.lower().encode("utf-8", "replace")) for t in texts]
     at = np.cumsum([0] + [len(w) + 1 for w in each])
-    out = np.zeros(at[-1], np.int64)
+    out = np.zeros(at[-1], np.uint64)
     for words, first in zip(each, at):
-        out[first + 1 : first + 1 + len(words)] = np.fromiter(map(crc32, words), np.int64, len(words))
-    return out & _MASK, at
+        out[first + 1 : first + 1 + len(words)] = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
+    return out.view(np.int64), at
 
 
-def _pairs(word: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(context << bits | word) at every position but the first, and which of them lie within a text."""
+def _real(word: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Which positions but the first end a pair that lies within a text."""
     real = np.ones(len(word), bool)
     real[at[:-1]] = False
-    return word[:-1] << WORD_BITS | word[1:], real[1:]
+    return real[1:]
+
+
+def _pair_items(word: np.ndarray) -> np.ndarray:
+    """The item of the pair that ends at every position but the first, as `_pair_item` has it."""
+    w = word.view(np.uint64)
+    return (w[:-1] ^ (w[1:] << np.uint64(1) | w[1:] >> np.uint64(63))).view(np.int64)
+
+
+def _pair_item():
+    return F.col("context").bitwiseXOR(F.shiftleft("word", 1).bitwiseOR(F.shiftrightunsigned("word", 63)))
 
 
 def _counter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -68,49 +79,52 @@ def _counter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             word, at = _words(texts)
             if len(word) < 2:
                 continue
-            kind = group[start : start + len(texts)].astype(np.int64)
-            pair, real = _pairs(word, at)
-            owner = np.repeat(np.arange(len(texts)), np.diff(at))[1:]
-            for i in range(0, len(texts), 1 << 16):
-                part = real & (owner >= i) & (owner < i + (1 << 16))
-                each = np.unique(pair[part] << 16 | (owner[part] - i))  # a pair counts once per text
-                code, count = np.unique(each >> 16 << 2 | kind[i + (each & 0xFFFF)], return_counts=True)
-                yield pa.record_batch({"pair": code >> 2, "kind": (code & 3).astype(np.int32), "n": count.astype(np.int64)})
+            real = _real(word, at)
+            owner = np.repeat(np.arange(len(texts)), np.diff(at))[1:][real]
+            kind = group[start : start + len(texts)].astype(np.int32)[owner]
+            context, word = word[:-1][real], word[1:][real]
+            order = np.lexsort((owner, kind, word, context))
+            context, word, kind, owner = context[order], word[order], kind[order], owner[order]
+            differs = lambda *columns: np.concatenate([[True], np.any([c[1:] != c[:-1] for c in columns], axis=0)])
+            once = differs(context, word, owner) if len(owner) else np.zeros(0, bool)  # a pair counts once per text
+            context, word, kind = context[once], word[once], kind[once]
+            if len(word):
+                first = np.flatnonzero(differs(context, word, kind))
+                n = np.diff(np.append(first, len(word)))
+                yield pa.record_batch({"context": context[first], "word": word[first], "kind": kind[first], "n": n.astype(np.int64)})
 
 
 class Model:
-    """Scoring tables of one pair of class models in half precision; columns are ordinary, toxic.
+    """Sums over all words of one scope; columns are ordinary, toxic. Values of items are rows of a table:
 
-    pair: discounted counts; word: logs of the lower order; context: logs of 1 / count, then the lower order's weights.
+    of a word: continuation counts, sums of the counts of the pairs it begins, what the discount takes off those;
+    of a pair: counts.
     """
 
-    def __init__(self, tag, pair, word, context):
-        with np.errstate(divide="ignore"):
-            logs = np.column_stack([np.log(context[:, :2]), context[:, 2:]])
-            self.tag, self.pair, self.word, self.context = tag, np.minimum(pair, 65_000).astype(np.float16), np.log(word).astype(np.float16), logs.astype(np.float16)
+    def __init__(self, total: np.ndarray, taken: np.ndarray):
+        self.shared = max(1.0, total.sum())
+        self.total = np.maximum(1.0, total)
+        self.rest = np.maximum(taken / self.total, 1e-9)
 
-    def ratios(self, pair: np.ndarray) -> np.ndarray:
+    def ratios(self, context: np.ndarray, word: np.ndarray, pair: np.ndarray) -> np.ndarray:
         """log P(word | toxic) - log P(word | ordinary), given the context and without; 0 for words neither has seen."""
-        h = self.context[pair >> WORD_BITS].astype(np.float32)
-        low = np.exp(self.word[pair & _MASK].astype(np.float32))
-        slot = pair % PAIR_SLOTS
-        count = self.pair[slot].astype(np.float32) * (self.tag[slot] == pair // PAIR_SLOTS)[:, None]
-        p = count * np.exp(h[:, :2]) + h[:, 2:] * low
-        both = np.log(np.maximum(np.stack([p, low]), 1e-30))
-        return np.where(low[:, 0] > 0, both[:, :, 1] - both[:, :, 0], 0.0)
-
-    def features(self, texts: list[str]) -> np.ndarray:
+        n = word[:, :2].astype(np.float64)
+        both = n.sum(1, keepdims=True)
+        low = np.maximum(n - DISCOUNT, 0) / self.total + self.rest * both / self.shared
+        seen = np.maximum(context[:, 2:4], 1).astype(np.float64)
+        weight = np.where(context[:, 2:4] > 0, context[:, 4:6] / seen, 1)
+        p = np.maximum(pair[:, :2].astype(np.float64) - DISCOUNT, 0) / seen + weight * low
+        logs = np.log(np.maximum(np.stack([p, low]), 1e-30))
+        return np.where(both[:, 0] > 0, logs[:, :, 1] - logs[:, :, 0], 0.0)
+
+    def features(self, word: np.ndarray, pair: np.ndarray, real: np.ndarray, at: np.ndarray) -> np.ndarray:
         """Per text: mean ratio given contexts, and without, mean excess of clear ratios, the means over the most toxic
         run, given contexts and without, and the log of the summed excess. All 0 for a text without words."""
-        word, at = _words(texts)
-        out = np.zeros((len(texts), FEATURES))
-        if len(word) < 2:
-            return out
-        pair, real = _pairs(word, at)
-        ratio = np.where(real, self.ratios(pair), 0.0)
+        out = np.zeros((len(at) - 1, FEATURES))
+        ratio = np.where(real, self.ratios(word[:-1], word[1:], pair), 0.0)
         total = np.zeros((3, len(word) + 1))
         np.cumsum(np.vstack([ratio, np.maximum(ratio[1:] - CLEAR, 0)]), axis=1, out=total[:, 2:])
-        for i in range(len(texts)):
+        for i in range(len(out)):
             run = total[:, at[i] + 1 : at[i + 1] + 1]
             n = run.shape[1] - 1
             if n:
@@ -120,70 +134,171 @@ class Model:
         return out
 
 
-def _table(rows: pa.Table, slot: str, size: int, columns: list[str]) -> np.ndarray:
-    out = np.zeros((size, len(columns)), np.float32)
-    out[rows[slot].to_numpy()] = np.column_stack([rows[c].to_numpy() for c in columns])
-    return out
+class Known:
+    """Items with their values, sorted, and the bitmap of items that may be known elsewhere."""
+
+    def __init__(self, items: np.ndarray, values: np.ndarray, bitmap: np.ndarray | None = None):
+        order = np.argsort(items)
+        self.items, self.values, self.bitmap = items[order], values[order], bitmap
+
+    def places(self, items: np.ndarray) -> np.ndarray:
+        """Row of each item, -1 where there is none."""
+        if not len(self.items):
+            return np.full(len(items), -1)
+        at = np.minimum(np.searchsorted(self.items, items), len(self.items) - 1)
+        return np.where(self.items[at] == items, at, -1)
 
+    def put(self, items: np.ndarray, out: np.ndarray) -> None:
+        at = self.places(items)
+        out[at >= 0] = self.values[at[at >= 0]]
+
+    def elsewhere(self, items: np.ndarray) -> np.ndarray:
+        """Which items are not here and may be known elsewhere."""
+        if self.bitmap is None:
+            return np.zeros(len(items), bool)
+        bit = items & ((1 << BITMAP_BITS) - 1)
+        out = (self.bitmap[bit >> 6] >> (bit & 63).astype(np.uint64) & np.uint64(1)) != 0
+        out[out] = self.places(items[out]) < 0
+        return out
 
-def _models(pairs: DataFrame) -> dict[str, Model]:
-    """The models of all scopes from the counts of pairs (pair, k0..k3: ordinary and toxic of half 0, of half 1)."""
+
+def _items(pairs: DataFrame) -> tuple[DataFrame, dict[str, Model]]:
+    """All items (item, often, v_0, v_1, v_all) and the models of all scopes, from the counts of pairs (context, word,
+    k0..k3: ordinary and toxic of half 0, of half 1). A pair with no count above the discount adds nothing to a score."""
     kinds = {"0_0": F.col("k0"), "0_1": F.col("k1"), "1_0": F.col("k2"), "1_1": F.col("k3"), "all_0": F.col("k0") + F.col("k2"), "all_1": F.col("k1") + F.col("k3")}
-    size = 1 << WORD_BITS
-    of_word = lambda c: c.cast("int").alias("word")
-    different = [F.count_if(v > 0).cast("float").alias(f"n_{k}") for k, v in kinds.items()]
-    sums = [F.sum(v).cast("float").alias(f"s_{k}") for k, v in kinds.items()]
-    taken = [F.sum(F.least(v, F.lit(DISCOUNT))).cast("float").alias(f"n_{k}") for k, v in kinds.items()]
-    follows = pairs.groupBy(of_word(F.col("pair").bitwiseAND(_MASK))).agg(*different).toArrow()
-    context = pairs.groupBy(of_word(F.shiftright("pair", WORD_BITS))).agg(*sums, *taken).toArrow()
-    kept = F.struct((F.col("k0") + F.col("k1") + F.col("k2") + F.col("k3")).alias("n"), "pair", *[F.col(f"k{i}").cast("int").alias(f"k{i}") for i in range(4)])
-    top = pairs.where("k0 + k1 + k2 + k3 > 1").groupBy((F.col("pair") % PAIR_SLOTS).cast("int").alias("slot")).agg(F.max(kept).alias("x"))
-    top = top.select("slot", "x.pair", "x.k0", "x.k1", "x.k2", "x.k3").toArrow()
-    tag = np.full(PAIR_SLOTS, -1, np.int32)
-    tag[top["slot"].to_numpy()] = top["pair"].to_numpy() // PAIR_SLOTS
-    counts = _table(top, "slot", PAIR_SLOTS, ["k0", "k1", "k2", "k3"])
-    models = {}
-    for scope in SCOPES:
-        names = [f"n_{scope}_0", f"n_{scope}_1"]
-        n = _table(follows, "word", size, names)
-        shared = n.sum(1, keepdims=True)
-        shared = shared / max(1.0, shared.sum(dtype=np.float64))
-        total = np.maximum(1.0, n.sum(0, dtype=np.float64))
-        rest = np.minimum(n, DISCOUNT).sum(0, dtype=np.float64) / total
-        word = np.maximum(n - DISCOUNT, 0) / total + np.maximum(rest, 1e-9) * shared
-        seen, taken_off = _table(context, "word", size, [f"s_{scope}_0", f"s_{scope}_1"]), _table(context, "word", size, names)
-        inverse = np.where(seen > 0, 1 / np.maximum(seen, 1), 0)
-        weight = np.where(seen > 0, taken_off * inverse, 1)
-        pair = counts[:, :2] + counts[:, 2:] if scope == "all" else counts[:, 2 * int(scope) : 2 * int(scope) + 2]
-        models[scope] = Model(tag, np.maximum(pair - np.float32(DISCOUNT), 0), word.astype(np.float32), np.column_stack([inverse, weight]).astype(np.float32))
-    return models
-
-
-def fit(docs: DataFrame, labels: DataFrame) -> tuple[Model, np.ndarray]:
-    """The model of all rows that may be learned from, and the curve's weights, the constant first."""
-    spark = docs.sparkSession
+    follows = pairs.groupBy(F.col("word").alias("item")).agg(*[F.count_if(v > 0).alias(f"n_{k}") for k, v in kinds.items()])
+    sums = [F.sum(v).alias(f"s_{k}") for k, v in kinds.items()]
+    taken = [F.sum(F.least(v, F.lit(DISCOUNT))).alias(f"t_{k}") for k, v in kinds.items()]
+    context = pairs.groupBy(F.col("context").alias("item")).agg(*sums, *taken)
+    vector = lambda columns: F.array(*[F.col(c).cast("float") if isinstance(c, str) else c.cast("float") for c in columns])
+    words = follows.join(context, "item", "full").na.fill(0)
+    words = words.select("item", (F.col("n_all_0") + F.col("n_all_1") + F.col("s_all_0") + F.col("s_all_1")).alias("often"), F.lit(True).alias("is_word"), *[vector([f"{c}_{s}_{y}" for c in "nst" for y in (0, 1)]).alias(f"v_{s}") for s in SCOPES])
+    outlive = pairs.where((kinds["all_0"] > DISCOUNT) | (kinds["all_1"] > DISCOUNT))
+    both = outlive.select(_pair_item().alias("item"), (kinds["all_0"] + kinds["all_1"]).cast("long").alias("often"), F.lit(False).alias("is_word"), *[vector([kinds[f"{s}_0"], kinds[f"{s}_1"], *[F.lit(0)] * 4]).alias(f"v_{s}") for s in SCOPES])
+    items = stored(words.unionByName(both), "toxicity-items")
+    n = {f"{s}_{y}": F.col(f"v_{s}")[y].cast("double") for s in SCOPES for y in (0, 1)}
+    row = items.where("is_word").agg(*[F.sum(v).alias(f"n_{k}") for k, v in n.items()], *[F.sum(F.least(v, F.lit(float(DISCOUNT)))).alias(f"t_{k}") for k, v in n.items()]).first()
+    of = lambda c, s: np.array([row[f"{c}_{s}_{y}"] or 0.0 for y in (0, 1)])
+    return items, {s: Model(of("n", s), of("t", s)) for s in SCOPES}
+
+
+def _known(items: DataFrame) -> tuple[Known, DataFrame | None]:
+    """What is broadcast of items (item, often, v), and the rest of them, None if there is none."""
+    counts = items.groupBy("often").count().toArrow()
+    often, number = counts["often"].to_numpy(), counts["count"].to_numpy()
+    order = np.argsort(-often)
+    fits = int((np.cumsum(number[order]) <= CACHE).sum())
+    least = int(often[order[fits - 1]]) if fits else int(often.max(initial=0)) + 1
+    top = items.where(F.col("often") >= least).select("item", "v").toArrow().combine_chunks()
+    width = len(top["v"][0]) if len(top) else 0
+    values = top["v"].combine_chunks().flatten().to_numpy().reshape(len(top), width) if len(top) else np.zeros((0, 0), np.float32)
+    if fits == len(often):
+        return Known(top["item"].to_numpy(), values), None
+    rest = items.where(F.col("often") < least).select("item", "v")
+    bit = F.col("item").bitwiseAND((1 << BITMAP_BITS) - 1)
+    bits = rest.select(F.shiftright(bit, 6).alias("at"), bit.bitwiseAND(63).cast("int").alias("bit")).groupBy("at").agg(F.bit_or(F.expr("shiftleft(1L, bit)")).alias("bits")).toArrow()
+    bitmap = np.zeros(1 << (BITMAP_BITS - 6), np.uint64)
+    bitmap[bits["at"].to_numpy()] = bits["bits"].to_numpy().view(np.uint64)
+    return Known(top["item"].to_numpy(), values, bitmap), rest
+
+
+def _featured(rows: DataFrame, items: DataFrame, models: list[Model]) -> tuple[DataFrame, list]:
+    """The columns of rows but the text, and f, the features under each model one after the other; broadcasts to destroy.
+
+    rows: text, .... items: item, often, v, the values under each model one after the other. Features depend on the text
+    alone, so what is joined is gathered once for equal texts, known by two hashes.
+    """
+    kept = [c for c in rows.columns if c != "text"]
+    known, rest = _known(items)
+    size = 6 * len(models)
+    shared = rows.sparkSession.sparkContext.broadcast(known)
+
+    def laid_out(texts: list[str]):
+        word, at = _words(texts)
+        pair = _pair_items(word) if len(word) else word
+        return word, pair, _real(word, at) if len(word) else np.zeros(0, bool), at
+
+    def missing(word, pair, real, at) -> tuple[np.ndarray, np.ndarray]:
+        """(text, item) of what must be joined."""
+        owner = np.repeat(np.arange(len(at) - 1), np.diff(at))
+        each = np.concatenate([word, pair[real]])
+        own = np.concatenate([owner, owner[1:][real]])
+        wanted = shared.value.elsewhere(each)
+        return own[wanted], each[wanted]
+
+    def features(word, pair, real, at, more: Known | None = None) -> np.ndarray:
+        values = [np.zeros((len(x), size), np.float32) for x in (word, pair)]
+        for x, out in zip((word, pair), values):
+            for source in (shared.value, more):
+                if source is not None and len(source.items):
+                    source.put(x, out)
+        if len(word) < 2:
+            return np.zeros((len(at) - 1, FEATURES * len(models)))
+        return np.hstack([m.features(values[0][:, 6 * i : 6 * i + 6], values[1][:, 6 * i : 6 * i + 6], real, at) for i, m in enumerate(models)])
+
+    def batch_of(part: pa.RecordBatch, f: np.ndarray) -> pa.RecordBatch:
+        return pa.record_batch({c: part.column(c) for c in kept} | {"f": pa.array(list(f), pa.list_(pa.float64()))})
+
+    def finished(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start, texts in slices(batch, "text"):
+                laid = laid_out(texts)
+                done = np.ones(len(texts), bool)
+                done[missing(*laid)[0]] = False
+                yield batch_of(batch.slice(start, len(texts)).filter(pa.array(done)), features(*laid)[done])
+
+    def asking(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start, texts in slices(batch, "text"):
+                owner, item = missing(*laid_out(texts))
+                own = batch.slice(start, len(texts))
+                yield pa.record_batch({c: own.column(c).to_numpy(zero_copy_only=False)[owner] for c in ("text_0", "text_1")} | {"item": item})
+
+    def opened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start, texts in slices(batch, "text"):
+                asks = np.zeros(len(texts), bool)
+                asks[missing(*laid_out(texts))[0]] = True
+                yield batch.slice(start, len(texts)).filter(pa.array(asks))
+
+    def answered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start, texts in slices(batch, "text"):
+                own = batch.slice(start, len(texts))
+                item = own.column("answer").flatten().to_numpy(zero_copy_only=False)
+                value = own.column("answer_v").flatten().to_numpy(zero_copy_only=False).reshape(len(item), size)
+                item, first = np.unique(item, return_index=True)
+                yield batch_of(own, features(*laid_out(texts), Known(item, value[first])))
+
+    schema = T.StructType([rows.schema[c] for c in kept] + [T.StructField("f", T.ArrayType(T.DoubleType()))])
+    out = rows.mapInArrow(finished, schema)
+    if rest is not None:
+        keys = ["text_0", "text_1"]
+        keyed = rows.withColumns({"text_0": F.xxhash64("text"), "text_1": F.xxhash64(F.lit(7), "text")})
+        asked = keyed.select("text", *keys).mapInArrow(asking, "text_0 long, text_1 long, item long").distinct()
+        answers = asked.join(rest, "item").groupBy(*keys).agg(F.collect_list(F.struct("item", "v")).alias("x"))
+        answers = answers.select(*keys, F.col("x.item").alias("answer"), F.flatten("x.v").alias("answer_v"))
+        waiting = keyed.mapInArrow(opened, keyed.schema)
+        out = out.unionByName(waiting.join(answers.hint("merge"), keys, "left").mapInArrow(answered, schema))
+    return out, [shared]
+
+
+def fit(docs: DataFrame, labels: DataFrame) -> tuple[DataFrame, Model, np.ndarray]:
+    """The items and the model of all rows that may be learned from, and the curve's weights, the constant first."""
     half = F.pmod(F.xxhash64("doc_id"), F.lit(2)).cast("int").alias("half")
     usable = labelled(labels, "toxic")
     texts = prefiltered(text_of(docs, "doc_id").where(F.col("doc_id").isNotNull() & ~held_out("doc_id", 3, 1)), usable, "doc_id")
     train = texts.join(usable, "doc_id").select("text", "y", half)
-    counts = train.mapInArrow(_counter, "pair long, kind int, n long")
-    pairs = counts.groupBy("pair").agg(*[F.sum(F.when(F.col("kind") == k, F.col("n")).otherwise(0)).cast("int").alias(f"k{k}") for k in range(4)])
-    models = _models(stored(pairs, "toxicity-pairs"))
+    counts = train.mapInArrow(_counter, "context long, word long, kind int, n long")
+    pairs = counts.groupBy("context", "word").agg(*[F.sum(F.when(F.col("kind") == k, F.col("n")).otherwise(0)).cast("int").alias(f"k{k}") for k in range(4)])
+    items, models = _items(stored(pairs, "toxicity-pairs"))
 
     sample = usable.select("doc_id", "y", half).orderBy(F.xxhash64(F.col("doc_id"), F.lit(7)), "doc_id").limit(CURVE_ROWS)
-    halves = spark.sparkContext.broadcast([models["1"], models["0"]])
-
-    def features_of_sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            half_of = batch.column("half").to_numpy(zero_copy_only=False)
-            for start, texts in slices(batch, "text"):
-                own = half_of[start : start + len(texts)]
-                both = np.stack([m.features(texts) for m in halves.value])
-                f = both[own, np.arange(len(texts))]
-                yield pa.record_batch({"y": batch.column("y")[start : start + len(texts)], "f": pa.array(list(f), pa.list_(pa.float64()))})
-
-    curve = documents_by_id(docs, sample).select("y", "half", "text").mapInArrow(features_of_sample, "y int, f array<double>").toArrow()
-    halves.destroy()
+    rows = documents_by_id(docs, sample).select("y", "half", "text")
+    featured, used = _featured(rows, items.select("item", "often", F.concat("v_1", "v_0").alias("v")), [models["1"], models["0"]])
+    curve = featured.select("y", F.slice("f", F.col("half") * FEATURES + 1, F.lit(FEATURES)).alias("f")).toArrow()
+    for b in used:
+        b.destroy()
     y = curve["y"].to_numpy()
     weights = np.array([-30.0] + [0.0] * FEATURES)
     if len(y):
@@ -191,7 +306,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> tuple[Model, np.ndarray]:
         spread = x.std(0) + 1e-9
         weights = logistic(x / spread, y, ridge=0.05)
         weights[1:] /= spread
-    return models["all"], weights
+    return items.select("item", "often", F.col("v_all").alias("v")), models["all"], weights
 
 
 def toxicity_scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> DataFrame:
@@ -202,26 +317,21 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.7)
     1 are ignored, of repeated labels of an id the larger counts, repeated documents are scored each. Without any usable
     label all scores are nearly 0. Other columns are ignored.
     """
-    scored = _scored(text_of(docs, F.col("doc_id").cast("long").alias("doc_id")), "doc_id", T.LongType(), *fit(docs, labels))
+    scored = _scored(text_of(docs, F.col("doc_id").cast("long").alias("doc_id")), *fit(docs, labels))
     return scored.select("doc_id", held_out("doc_id", 3, 1).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"), "log_ratio", "peak_ratio")
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> DataFrame:
     """The rows of docs that score below the threshold, all columns as they were."""
-    rows, kind = carried(docs)
-    return _scored(rows, "row", kind, *fit(docs, labels)).where(F.col("score") < threshold).select("row.*")
-
-
-def _scored(rows: DataFrame, kept: str, kind: T.DataType, model: Model, weights: np.ndarray) -> DataFrame:
-    """(kept, log_ratio, peak_ratio, score) of every row of (kept, text)."""
-    full = rows.sparkSession.sparkContext.broadcast(model)
-
-    def scorer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for start, texts in slices(batch, "text"):
-                f = full.value.features(texts)
-                score = 1 / (1 + np.exp(-np.clip(weights[0] + f @ weights[1:], -30, 30)))
-                yield pa.record_batch({kept: batch.column(kept)[start : start + len(texts)], "log_ratio": f[:, 0], "peak_ratio": f[:, 3], "score": score})
-
-    schema = T.StructType([T.StructField(kept, kind), *[T.StructField(c, T.DoubleType()) for c in ("log_ratio", "peak_ratio", "score")]])
-    return rows.select(kept, "text").mapInArrow(scorer, schema)
+    rows, _ = carried(docs)
+    return _scored(rows, *fit(docs, labels)).where(F.col("score") < threshold).select("row.*")
+
+
+def _scored(rows: DataFrame, items: DataFrame, model: Model, weights: np.ndarray) -> DataFrame:
+    """The columns of rows but the text, log_ratio, peak_ratio and score of every row."""
+    featured, _ = _featured(rows, items, [model])
+    z = F.lit(float(weights[0]))
+    for i in range(FEATURES):
+        z = z + F.col("f")[i] * F.lit(float(weights[i + 1]))
+    score = 1 / (1 + F.exp(-F.greatest(F.lit(-30.0), F.least(F.lit(30.0), z))))
+    return featured.select(*[c for c in rows.columns if c != "text"], F.col("f")[0].alias("log_ratio"), F.col("f")[3].alias("peak_ratio"), score.alias("score"))

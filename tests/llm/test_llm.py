@@ -2,6 +2,9 @@
 
 import hashlib
 import random
+import re
+import zlib
+from collections import Counter
 
 import numpy as np
 import pandas as pd
@@ -244,3 +247,48 @@ def test_pipeline(spark, data, tmp_path):
         assert now and now <= ids and (name == "bpe" or docs.columns == columns)
         ids = now
     assert corpus_pipeline.run(spark, data).count() == docs.count()
+
+
+def brute_toxicity(train, texts):
+    """(log_ratio, peak_ratio) of the texts under order-2 Kneser-Ney counts of (text, toxic), in dictionaries."""
+    words = lambda t: re.findall(r"[a-z0-9]+", t.lower())
+    count = [Counter(), Counter()]
+    for t, y in train:
+        w = words(t)
+        count[y].update(set(zip([""] + w, w)))
+    follows, seen, taken = ([Counter(), Counter()] for _ in range(3))
+    for y in (0, 1):
+        for (c, w), n in count[y].items():
+            follows[y][w] += 1
+            seen[y][c] += n
+            taken[y][c] += min(n, 2)
+    total = [sum(f.values()) for f in follows]
+    rest = [sum(min(n, 2) for n in f.values()) / sum(f.values()) for f in follows]
+
+    def p(c, w, y):
+        low = max(follows[y][w] - 2, 0) / total[y] + rest[y] * (follows[0][w] + follows[1][w]) / sum(total)
+        return max(count[y][c, w] - 2, 0) / max(1, seen[y][c]) + (taken[y][c] / seen[y][c] if seen[y][c] else 1) * low
+
+    out = []
+    for t in texts:
+        w = words(t)
+        r = [np.log(p(c, x, 1) / p(c, x, 0)) if follows[0][x] + follows[1][x] else 0.0 for c, x in zip([""] + w, w)]
+        n = min(8, len(r))
+        out.append((np.mean(r), max(sum(r[i : i + n]) for i in range(len(r) - n + 1)) / 8) if r else (0.0, 0.0))
+    return np.array(out)
+
+
+def learnable(i):
+    return zlib.crc32(str(i).encode()) % 3 != 1
+
+
+@pytest.mark.parametrize("cache", [1 << 18, 40, 0])
+def test_toxicity_equals_brute_force(docs, labels, monkeypatch, cache):
+    """All pairs count, wherever their values come from: broadcast, or joined."""
+    monkeypatch.setattr(toxicity, "CACHE", cache)
+    rows = [(r.doc_id, r.text or "") for r in docs.select("doc_id", "text").collect() if r.doc_id is not None and r.doc_id < 305]
+    want = brute_toxicity([(t, int(i % 5 == 0)) for i, t in rows if i < 300 and learnable(i)], [t for _, t in rows])
+    out = toxicity.toxicity_scores(docs, labels).toPandas()
+    assert len(out) == docs.count()
+    out = out.dropna(subset=["doc_id"]).drop_duplicates("doc_id").set_index("doc_id").loc[[i for i, _ in rows]]
+    assert np.allclose(out[["log_ratio", "peak_ratio"]], want, atol=1e-5)
