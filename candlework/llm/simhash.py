@@ -22,12 +22,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from candlework.llm.common import slices, stored, text_of
+from candlework.llm.common import prefiltered, slices, stored, text_of
 
 SEED = 42
 RADIUS = 4
-#: Of 128 bits: texts that agree in at least 0.8 of them.
+#: Of 128 bits: candidates whose shingles are then compared. Texts that share 0.8 of their shingles differ in about 19.
 WIDE_RADIUS = 24
+#: Least Jaccard similarity of the shingle sets of near-duplicates.
+SIMILAR = 0.8
 #: Most fingerprints filed under one key that one task compares with each other.
 PART = 20_000
 #: Pairs compared at a time.
@@ -41,11 +43,11 @@ def _mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-def fingerprint(text: str, words: int = 4, width: int = 1) -> np.ndarray:
-    """width numbers of 64 bits, each bit 1 where over half the shingles' hashes have 1; all 0 without words."""
+def shingles(text: str, words: int) -> np.ndarray:
+    """Hashes of all runs of `words` words, in order; of the whole text if it is shorter, none without words."""
     found = text.encode("utf-8", "replace").lower().split()  # both act on ASCII alone, white space is \\t\\n\\v\\f\\r and space
     if not found:
-        return np.zeros(width, np.uint64)
+        return np.zeros(0, np.uint64)
     joined = b" ".join(found)
     end = np.cumsum(np.fromiter(map(len, found), np.int64, len(found)) + 1) - 1
     start = np.concatenate([[0], end[:-1] + 1])
@@ -53,14 +55,41 @@ def fingerprint(text: str, words: int = 4, width: int = 1) -> np.ndarray:
         start, end = start[: len(found) - words + 1], end[words - 1 :]
     else:
         start, end = start[:1], end[-1:]
-    n, ones = len(start), np.zeros((width, 64), np.int64)
-    for i in range(0, n, 1 << 16):
-        digest = xxhash.xxh64_intdigest
-        hashes = np.array([digest(joined[a:b], SEED) for a, b in zip(start[i : i + (1 << 16)].tolist(), end[i : i + (1 << 16)].tolist())], np.uint64)
+    out, digest = np.empty(len(start), np.uint64), xxhash.xxh64_intdigest
+    for i in range(0, len(start), 1 << 16):
+        out[i : i + (1 << 16)] = [digest(joined[a:b], SEED) for a, b in zip(start[i : i + (1 << 16)].tolist(), end[i : i + (1 << 16)].tolist())]
+    return out
+
+
+def _majority(found: np.ndarray, width: int) -> np.ndarray:
+    ones = np.zeros((width, 64), np.int64)
+    for i in range(0, len(found), 1 << 16):
+        hashes = found[i : i + (1 << 16)]
         for j in range(width):
             ones[j] += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
             hashes = _mixed(hashes)
-    return np.packbits(ones.ravel() * 2 > n, bitorder="little").view(np.uint64)
+    return np.packbits(ones.ravel() * 2 > len(found), bitorder="little").view(np.uint64)
+
+
+def fingerprint(text: str, words: int = 4, width: int = 1) -> np.ndarray:
+    """width numbers of 64 bits, each bit 1 where over half the shingles' hashes have 1; all 0 without words."""
+    return _majority(shingles(text, words), width)
+
+
+def _named_sets(docs: DataFrame, words: int) -> DataFrame:
+    """(doc_id, row_no, fp0, fp1, set0, set1): a fingerprint of 128 bits and a hash of the set of shingles."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start, texts in slices(batch, "text"):
+                found = [shingles(t, words) for t in texts]
+                fp = np.stack([_majority(f, 2) for f in found]).view(np.int64)
+                name = np.stack([np.frombuffer(xxhash.xxh128_digest(np.unique(f).tobytes()), np.int64) for f in found])
+                own = batch.slice(start, len(texts))
+                yield pa.record_batch({c: own.column(c) for c in ("doc_id", "row_no")} | {"fp0": fp[:, 0], "fp1": fp[:, 1], "set0": name[:, 0], "set1": name[:, 1]})
+
+    rows = text_of(docs, F.col("doc_id").cast("long").alias("doc_id"), "row_no")
+    return rows.mapInArrow(run, "doc_id long, row_no long, fp0 long, fp1 long, set0 long, set1 long")
 
 
 def fingerprints(docs: DataFrame, words: int = 4, width: int = 1, carry: tuple[str, ...] = ()) -> DataFrame:
@@ -88,16 +117,16 @@ def segments_for(count: int, radius: int) -> int:
     return min(radius + 1, max(2, round(64 / max(8.0, np.log2(max(2, count)) + 2))))
 
 
-def _filed_and_asked(cut: list[tuple[int, int, int]], names: list[str]):
-    """Rows (key, node, fingerprint, asks): filed under the segments, asking for larger keys in the balls."""
+def _filed_and_asked(cut: list[tuple[int, int, int]], names: list[str], carry: list[str]):
+    """Rows (key, node, asks, fingerprint, columns to carry): filed under the segments, asking for larger keys in the balls."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(0, batch.num_rows, 2048):
                 part = batch.slice(i, 2048)
                 node = part.column("node").to_numpy(zero_copy_only=False)
-                fp = [part.column(c).to_numpy(zero_copy_only=False) for c in names]
-                bit = np.unpackbits(np.stack(fp, axis=1).view(np.uint8), axis=1, bitorder="little")
+                fp = [part.column(c).to_numpy(zero_copy_only=False) for c in [*names, *carry]]
+                bit = np.unpackbits(np.stack(fp[: len(names)], axis=1).view(np.uint8), axis=1, bitorder="little")
                 keys, rows, asks = [], [], []
                 for number, (first, bits, radius) in enumerate(cut):
                     own = bit[:, first : first + bits].astype(np.int64) @ (1 << np.arange(bits, dtype=np.int64))
@@ -109,11 +138,21 @@ def _filed_and_asked(cut: list[tuple[int, int, int]], names: list[str]):
                         rows.append(at)
                         asks.append(np.full(len(at), mask != 0))
                 at = np.concatenate(rows)
-                yield pa.record_batch({"key": np.concatenate(keys), "node": node[at], "asks": np.concatenate(asks)} | {c: v[at] for c, v in zip(names, fp)})
+                yield pa.record_batch({"key": np.concatenate(keys), "node": node[at], "asks": np.concatenate(asks)} | {c: v[at] for c, v in zip([*names, *carry], fp)})
 
     return run
 
 
+def stars(a: np.ndarray, b: np.ndarray, differ: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of the pairs given, those of every node with its smallest partner and with the one that differs least."""
+    u, v, d = np.concatenate([a, b]), np.concatenate([b, a]), np.concatenate([differ, differ])
+    out = []
+    for order in (np.lexsort((v, u)), np.lexsort((v, d, u))):
+        first = order[np.concatenate([[True], u[order][1:] != u[order][:-1]])]
+        out.append(np.stack([u[first], v[first]]))
+    return tuple(np.hstack(out))
+
+
 def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(node, smallest node it is linked to) for every other node: links with the same components as the links given."""
     node, at = np.unique(np.concatenate([a, b]), return_inverse=True)
@@ -136,8 +175,9 @@ def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return node[other], node[label[other]]
 
 
-def _verified(radius: int, names: list[str]):
-    """Over rows sorted by (key, part, asks, node): a forest of the verified links."""
+def _verified(radius: int, names: list[str], pick: str):
+    """Over rows sorted by (key, part, asks, node): a forest of the verified links, or the pairs that `pick` names."""
+    wide = [*names, *(["component"] if pick == "between" else [])]
 
     def links(group: np.ndarray, asks: np.ndarray, node: np.ndarray, fp: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
         first = np.concatenate([[True], group[1:] != group[:-1]])
@@ -156,10 +196,16 @@ def _verified(radius: int, names: list[str]):
             n = meets[at:stop]
             left = np.repeat(np.arange(at, stop), n)
             right = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(low[at:stop], n)
-            differ = sum(np.bitwise_count(f[left] ^ f[right]).astype(np.int16) for f in fp)
+            differ = sum(np.bitwise_count(f[left] ^ f[right]).astype(np.int16) for f in fp[: len(names)])
             near = (differ <= radius) & (node[left] != node[right])
+            if pick == "between":
+                near &= fp[-1][left] != fp[-1][right]
             if near.any():
-                a, b = forest(node[left[near]], node[right[near]])
+                a, b = node[left[near]], node[right[near]]
+                if pick == "forest":
+                    a, b = forest(a, b)
+                elif pick == "stars":
+                    a, b = stars(a, b, differ[near])
                 yield pa.record_batch({"a": a, "b": b})
             at = stop
 
@@ -168,7 +214,7 @@ def _verified(radius: int, names: list[str]):
         column = lambda c: whole[c].to_numpy()
         key, part = column("key"), column("part")
         new = (key[1:] != key[:-1]) | (part[1:] != part[:-1])
-        return np.concatenate([[0], np.cumsum(new)]), column("asks"), column("node"), [column(c).view(np.uint64) for c in names]
+        return np.concatenate([[0], np.cumsum(new)]), column("asks"), column("node"), [column(c).view(np.uint64) for c in wide]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest: list[pa.RecordBatch] = []
@@ -194,16 +240,19 @@ def _verified(radius: int, names: list[str]):
     return run
 
 
-def near_links(distinct: DataFrame, cut: list[tuple[int, int, int]], radius: int) -> DataFrame:
+def near_links(distinct: DataFrame, cut: list[tuple[int, int, int]], radius: int, pick: str = "forest") -> DataFrame:
     """(a, b): links between nodes with the same components as all pairs found whose fingerprints differ in <= radius bits.
 
-    distinct: node, fp0, fp1, ..., all fingerprints different. Pairs whose distance is within the bound of `cut` (the sum
+    distinct: node, fp0, fp1, ..., few with equal fingerprints. With pick "stars" the rows are pairs found themselves, every
+    node's with its smallest and with its nearest partner under each key; with "between" all pairs found whose nodes differ
+    in the column component. Pairs whose distance is within the bound of `cut` (the sum
     of its radii + 1, less one) are all found.
     """
     names = [c for c in distinct.columns if c.startswith("fp")]
-    columns = ["key", "node", "asks", *names]
+    carry = ["component"] if pick == "between" else []
+    columns = ["key", "node", "asks", *names, *carry]
     schema = ", ".join(f"{c} {'boolean' if c == 'asks' else 'long'}" for c in columns)
-    rows = distinct.select("node", *names).mapInArrow(_filed_and_asked(cut, names), schema)
+    rows = distinct.select("node", *names, *carry).mapInArrow(_filed_and_asked(cut, names, carry), schema)
     full = rows.where(~F.col("asks")).groupBy("key").count().where(F.col("count") > PART)
     full = stored(full.select("key", F.ceil(F.col("count") / PART).cast("int").alias("parts")), "simhash-full-keys")
     if full.isEmpty():
@@ -217,10 +266,10 @@ def near_links(distinct: DataFrame, cut: list[tuple[int, int, int]], radius: int
         rows = (
             filed.select(*columns, own.alias("part"))
             .unionByName(rows.where(F.col("asks")).select(*columns, everywhere.alias("part")))
-            .unionByName(filed.where("parts > 1").select("key", "node", F.lit(True).alias("asks"), *names, everywhere.alias("part")))
+            .unionByName(filed.where("parts > 1").select("key", "node", F.lit(True).alias("asks"), *names, *carry, everywhere.alias("part")))
         )
     ready = rows.select(*columns, "part").repartition("key", "part").sortWithinPartitions("key", "part", "asks", "node")
-    return ready.mapInArrow(_verified(radius, names), "a long, b long")
+    return ready.mapInArrow(_verified(radius, names, pick), "a long, b long")
 
 
 def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
@@ -263,22 +312,56 @@ def near_duplicates(docs: DataFrame, words: int = 4, radius: int = RADIUS) -> Da
     return rows.join(named, "fp0").select("doc_id", F.col("fp0").alias("fp"), "component_id")
 
 
+def similar(pairs: DataFrame, texts: DataFrame, words: int, least: float = SIMILAR) -> DataFrame:
+    """The pairs (a, b) whose texts (row_no, text) share at least `least` of their shingles, by the sets themselves."""
+    pairs = stored(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "simhash-candidates")
+    ids = stored(pairs.select(F.explode(F.array("a", "b")).alias("row_no")).distinct(), "simhash-candidate-ids")
+    texts = prefiltered(text_of(texts, "row_no"), ids, "row_no")
+    side = lambda c: texts.select(F.col("row_no").alias(c), F.col("text").alias(f"text_{c}"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = np.zeros(batch.num_rows, bool)
+            last, of_last = None, None
+            for i in range(batch.num_rows):
+                a, b = batch.column("text_a")[i].as_py(), batch.column("text_b")[i].as_py()
+                if b != last:
+                    last, of_last = b, np.unique(shingles(b, words))
+                of_a = np.unique(shingles(a, words))
+                both = len(np.intersect1d(of_a, of_last, assume_unique=True))
+                keep[i] = both >= least * (len(of_a) + len(of_last) - both)
+            yield batch.select(["a", "b"]).filter(pa.array(keep))
+
+    return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
+
+
 def one_of_each(docs: DataFrame, words: int = 5, radius: int = WIDE_RADIUS) -> DataFrame:
     """Of every group of near-duplicates the row with the smallest doc_id, all columns as they were.
 
-    Fingerprints have 128 bits here, so that their distance tells similarity well enough: texts that agree in 0.8 of the
-    bits or more (radius 24 of 128) are linked. Ten segments ask for all keys one bit away: every pair within 19 bits is
-    found, and of those within 24 bits all that do not differ in two bits or more of every segment. Null ids rank last; of
-    equal ids one row stays. Null and empty texts are equal to each other.
+    Texts are linked whose shingle sets have a Jaccard similarity of 0.8 or more. Candidates are the pairs whose
+    fingerprints of 128 bits differ in at most 24. Ten segments ask for all keys one bit away: every pair within 19 bits is
+    a candidate, and of those within 24 bits all that do not differ in two bits or more of every segment. Every node's
+    smallest and nearest candidates are compared first, then all candidates that these links have not joined, so a dense
+    group of similar texts never yields all its pairs. Null ids rank last; of equal ids one row stays. Null and empty texts
+    are equal to each other.
     """
     numbered = stored(docs.select(F.struct(*docs.columns).alias("row"), "doc_id", "text", F.monotonically_increasing_id().alias("row_no")), "simhash-numbered")
-    rows = stored(fingerprints(numbered, words, 2, carry=("row_no",)), "simhash-rows")
-    # equal fingerprints first: their row with the smallest id stands for all
-    rank = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row_no")
-    distinct = rows.groupBy("fp0", "fp1").agg(F.min(rank).alias("best")).select("fp0", "fp1", "best", F.col("best.row_no").alias("node"))
+    rows = stored(_named_sets(numbered, words), "simhash-rows")
+    # equal sets of shingles first: their row with the smallest id stands for all
+    rank = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row_no", "fp0", "fp1")
+    distinct = rows.groupBy("set0", "set1").agg(F.min(rank).alias("best")).select("best", F.col("best.row_no").alias("node"), "best.fp0", "best.fp1")
     distinct = stored(distinct, "simhash-distinct")
-    found = components(near_links(distinct.select("node", "fp0", "fp1"), segments(10, 19, 128), radius)).withColumnRenamed("node", "linked")
-    rooted = distinct.join(found, F.col("node") == F.col("linked"), "left").select("best", F.coalesce("root", "node").alias("root"))
+    cut = segments(10, 19, 128)
+    links = stored(similar(near_links(distinct, cut, radius, "stars"), numbered, words), "simhash-links")
+    joined = components(links).withColumnRenamed("node", "linked")
+    parted = distinct.join(joined, F.col("node") == F.col("linked"), "left").select("node", "fp0", "fp1", "best", F.coalesce("root", "node").alias("component"))
+    parted = stored(parted, "simhash-parted")
+    more = similar(near_links(parted, cut, radius, "between"), numbered, words)
+    # links of parts: of their roots
+    root = lambda c: parted.select(F.col("node").alias(c), F.col("component").alias(f"of_{c}"))
+    more = more.join(root("a"), "a").join(root("b"), "b").select(F.col("of_a").alias("a"), F.col("of_b").alias("b"))
+    found = components(more).withColumnRenamed("node", "linked")
+    rooted = parted.join(found, F.col("component") == F.col("linked"), "left").select("best", F.coalesce("root", "component").alias("root"))
     kept = stored(rooted.groupBy("root").agg(F.min("best").alias("best")).select(F.col("best.row_no").alias("row_no")), "simhash-kept")
     # what is kept grows with the input and is never broadcast
     return numbered.join(kept.hint("merge"), "row_no", "left_semi").select("row.*")

@@ -292,3 +292,30 @@ def test_toxicity_equals_brute_force(docs, labels, monkeypatch, cache):
     assert len(out) == docs.count()
     out = out.dropna(subset=["doc_id"]).drop_duplicates("doc_id").set_index("doc_id").loc[[i for i, _ in rows]]
     assert np.allclose(out[["log_ratio", "peak_ratio"]], want, atol=1e-5)
+
+
+def test_one_of_each_equals_exact_jaccard(spark, words):
+    """Texts whose fingerprints are near and whose shingles are not stay; groups are those of the exact similarity."""
+    rng = random.Random(9)
+    made = lambda n: [rng.choice(words) + rng.choice(words) for _ in range(n)]
+    chant = "one two three four five " * 300
+    texts = [chant + " ".join(made(40)) for _ in range(4)]
+    for _ in range(25):
+        base = made(120)
+        for _ in range(6):
+            copy = list(base)
+            for _ in range(rng.randint(0, 5)):
+                copy[rng.randrange(len(copy))] = "changed" + rng.choice(words)
+            texts.append(" ".join(copy))
+    sets = []
+    for t in texts:
+        w = t.split()
+        sets.append({tuple(w[i : i + 5]) for i in range(len(w) - 4)})
+    fp = np.stack([simhash.fingerprint(t, 5, 2) for t in texts])
+    differ = np.bitwise_count(fp[:, None] ^ fp[None, :]).sum(2)
+    alike = np.array([[len(x & y) / len(x | y) >= 0.8 for y in sets] for x in sets])
+    a, b = np.nonzero(np.triu(alike & (differ <= simhash.WIDE_RADIUS), 1))
+    want = set(range(len(texts))) - set(simhash.forest(a, b)[0].tolist())
+    assert (np.triu((differ <= simhash.WIDE_RADIUS) & ~alike, 1)).sum() > 6 and {0, 1, 2, 3} <= want
+    df = spark.createDataFrame([(i, t, "en", "s", 1, 0.0, 1) for i, t in enumerate(texts)], DOCS)
+    assert {r.doc_id for r in simhash.one_of_each(df).select("doc_id").collect()} == want
