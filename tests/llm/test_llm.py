@@ -319,3 +319,16 @@ def test_one_of_each_equals_exact_jaccard(spark, words):
     assert (np.triu((differ <= simhash.WIDE_RADIUS) & ~alike, 1)).sum() > 6 and {0, 1, 2, 3} <= want
     df = spark.createDataFrame([(i, t, "en", "s", 1, 0.0, 1) for i, t in enumerate(texts)], DOCS)
     assert {r.doc_id for r in simhash.one_of_each(df).select("doc_id").collect()} == want
+
+
+def test_toxicity_counts_are_not_capped(spark):
+    """A pair that always follows its context has the same probability in both classes, however often it occurs."""
+    pairs = spark.createDataFrame([(11, 12, 1_000_000, 10_000, 1_000_000, 10_000), (11, 13, 3, 3, 3, 3), (12, 13, 5, 5, 5, 5)], "context long, word long, k0 int, k1 int, k2 int, k3 int")
+    items, models = toxicity._items(pairs)
+    known = toxicity._known(items.select("item", "often", F.col("v_all").alias("v")))[0]
+    word = np.array([11, 12])
+    values = [np.zeros((len(x), 6), np.float32) for x in (word, word[:1])]
+    for x, out in zip((word, toxicity._pair_items(word)), values):
+        known.put(x, out)
+    given = models["all"].ratios(values[0][:1], values[0][1:], values[1])[0]
+    assert values[1][0, :2].tolist() == [2_000_000, 20_000] and abs(given) < 0.01
