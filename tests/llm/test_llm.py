@@ -332,3 +332,14 @@ def test_toxicity_counts_are_not_capped(spark):
         known.put(x, out)
     given = models["all"].ratios(values[0][:1], values[0][1:], values[1])[0]
     assert values[1][0, :2].tolist() == [2_000_000, 20_000] and abs(given) < 0.01
+
+
+def test_toxicity_items_grow_with_the_input(spark):
+    """Every word of 100,000 has an item of its own."""
+    import pyarrow as pa
+
+    texts = [" ".join(f"w{i}" for i in range(k, k + 1000)) for k in range(0, 100_000, 1000)]
+    batch = pa.record_batch({"text": texts, "y": np.zeros(len(texts), np.int32), "half": np.zeros(len(texts), np.int32)})
+    counted = pa.Table.from_batches(toxicity._counter([batch])).to_pandas()
+    pairs = spark.createDataFrame(counted[["context", "word"]].assign(k0=counted["n"].astype("int32"), k1=0, k2=0, k3=0)).selectExpr("context", "word", *[f"cast(k{i} as int) as k{i}" for i in range(4)])
+    assert toxicity._items(pairs)[0].count() == 100_001  # and the start of a text
