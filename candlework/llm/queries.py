@@ -1,4 +1,4 @@
-"""Registered queries of the ten operators and the SQL that two of them are checked against."""
+"""Registered queries of the operators and the SQL that some of them are checked against."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from candlework.llm import bpe, language, mixing, neighbours, quality, simhash, sketches, toxicity, urls, warc
+from candlework.llm import bpe, filter_audit, language, mixing, neighbours, quality, recompression, simhash, sketches, spelling, toxicity, urls, warc
 from candlework.llm.common import table
 
 #: The vocabulary file of the BPE queries.
@@ -59,8 +59,21 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.token_digests(coded)
 
 
+def op11_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return recompression.repeated_words(table(spark, sf_dir, "documents"))
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_variants(table(spark, sf_dir, "documents"))
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     made = [op1_nearest_neighbours, op2_toxicity, op3_warc, op4_simhash, op5_fingerprints, op6_quality, op7_url_filter, op8_mixing, op9_language, op10_bpe]
+    made += [op11_substring_dedup, op12_spelling_variants, op13_filter_audit]
     return {f.__name__: f for f in made}
 
 
@@ -92,5 +105,64 @@ SELECT page_id, host, path, rule, coalesce(rule_verdict, 'allow') AS verdict FRO
 """
 
 
+_REPEATS_SQL = r"""
+WITH d AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents
+), w AS (
+  SELECT doc_id, unnest(words) AS word, generate_subscripts(words, 1) AS place FROM d
+), s AS (
+  SELECT doc_id, place, array_to_string(words[place : place + 12], ' ') AS content
+  FROM (SELECT doc_id, words, unnest(range(1, len(words) - 11)) AS place FROM d WHERE len(words) >= 13)
+), f AS (
+  SELECT content, min(doc_id) AS first FROM s GROUP BY content
+), goes AS (
+  SELECT doc_id, place, 1 AS begins FROM s JOIN f USING (content) WHERE doc_id > first
+), covered AS (
+  SELECT w.doc_id, word, place, max(begins) OVER (PARTITION BY w.doc_id ORDER BY place ROWS BETWEEN 12 PRECEDING AND CURRENT ROW) AS removed
+  FROM w LEFT JOIN goes USING (doc_id, place)
+), k AS (
+  SELECT doc_id, count(removed) AS n_removed, string_agg(word, ' ' ORDER BY place) FILTER (WHERE removed IS NULL) AS kept FROM covered GROUP BY doc_id
+)
+SELECT d.doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM d LEFT JOIN k ON d.doc_id = k.doc_id
+"""
+
+_AUDIT_SQL = r"""
+WITH RECURSIVE t AS (
+  SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents
+), l AS (
+  SELECT doc_id, max(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS good, max(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS toxic FROM labels GROUP BY doc_id
+), m AS (
+  SELECT part, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic,
+         CASE WHEN len(words) < 50 THEN 'A' ELSE '' END || CASE WHEN 100 * len(list_distinct(words)) < 65 * len(words) THEN 'B' ELSE '' END
+         || CASE WHEN 100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 5 * length(text) THEN 'C' ELSE '' END
+         || CASE WHEN regexp_matches(text, '[#$%&*|]') THEN 'D' ELSE '' END
+         || CASE WHEN t.doc_id > min(t.doc_id) OVER (PARTITION BY text) THEN 'E' ELSE '' END AS fails
+  FROM t LEFT JOIN l ON t.doc_id = l.doc_id
+), c AS (
+  SELECT part, fails, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM m GROUP BY part, fails
+), o(filter_order) AS (
+  SELECT '' UNION ALL SELECT filter_order || x FROM o, (VALUES ('A'), ('B'), ('C'), ('D'), ('E')) v(x) WHERE NOT contains(filter_order, x)
+), s AS (
+  SELECT filter_order, CAST(step AS INTEGER) AS step, filter_order[step] AS own, left(filter_order, step - 1) AS earlier
+  FROM (SELECT filter_order, unnest(range(1, 6)) AS step FROM o WHERE length(filter_order) = 5)
+), r AS (
+  SELECT part, filter_order, step, own,
+         contains(fails, own) AS failing, own <> '' AND translate(fails, earlier, '') <> fails AS gone, fails = own AS alone, n, good, toxic
+  FROM c CROSS JOIN s
+), counted AS (
+  SELECT part, filter_order, step, own,
+         sum(CASE WHEN NOT gone AND NOT failing THEN n ELSE 0 END) AS kept, sum(CASE WHEN NOT gone AND failing THEN n ELSE 0 END) AS removed,
+         sum(CASE WHEN gone AND failing THEN n ELSE 0 END) AS redundant, sum(CASE WHEN alone THEN n ELSE 0 END) AS unique_fails,
+         sum(CASE WHEN NOT gone AND failing THEN good ELSE 0 END) AS good_lost, sum(CASE WHEN NOT gone AND failing THEN toxic ELSE 0 END) AS toxic_lost
+  FROM r GROUP BY part, filter_order, step, own
+)
+SELECT part, filter_order, step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed, CAST(redundant AS BIGINT) AS redundant,
+       CAST(unique_fails AS BIGINT) AS unique_fails, CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost,
+       CAST(sum(removed) OVER (PARTITION BY part, own) AS BIGINT) AS shapley
+FROM counted
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op3_warc": _WARC_SQL, "op7_url_filter": _URL_SQL}
+    return {"op3_warc": _WARC_SQL, "op7_url_filter": _URL_SQL, "op11_substring_dedup": _REPEATS_SQL, "op13_filter_audit": _AUDIT_SQL}
