@@ -21,13 +21,13 @@ Anchors filter and never decide, so results are those of comparing all windows.
 from __future__ import annotations
 
 import hashlib
-from collections import defaultdict
+import re
 from collections.abc import Iterator
+from functools import lru_cache
 from itertools import compress, islice
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 
 from candlework.llm.slices import Answers, Slice, asked, buckets_for, each, packed
@@ -40,7 +40,6 @@ _FAR = 1 << 60
 _P = np.uint64(0x9E3779B97F4A7C15)
 #: Inverse of _P modulo 2^64.
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
-_SIDES = (np.arange(64) * 0x51A3).astype(np.uint64)
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -49,15 +48,58 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(33))
 
 
+#: Base, its inverse and hashed bytes of either name.
+_NAMINGS = [(np.uint64(p), np.uint64(pow(p, -1, 1 << 64)), mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(p))) for p in (0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
+_WHITE, _IS_WHITE = re.compile(rb"[\x20\x09-\x0d]"), np.array([b == 32 or 9 <= b <= 13 for b in range(256)])
+_PIECE = 1 << 16
+_SIDES = (np.arange(64) * 0x51A3).astype(np.uint64)
+
+
+def _powers(of: np.uint64, n: int) -> np.ndarray:
+    """of to the power of 0 to n."""
+    return np.concatenate([np.ones(1, np.uint64), np.full(n, of)]).cumprod(dtype=np.uint64)
+
+
+@lru_cache(maxsize=8)
+def _piece_powers(of: int) -> np.ndarray:
+    return _powers(np.uint64(of), 2 * _PIECE)
+
+
+def _pieces(data: bytes) -> Iterator[tuple[int, int]]:
+    """Stretches of about _PIECE bytes that end after white space, so that no word is cut; data ends with white space."""
+    a = 0
+    while a < len(data):
+        b = min(a + _PIECE, len(data))
+        b = _WHITE.search(data, b - 1).end()
+        yield a, b
+        a = b
+
+
 def named(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Two names of every word of all texts, and where each text begins (and the end)."""
-    code: defaultdict[bytes, int] = defaultdict()
-    code.default_factory = code.__len__
-    words = [np.fromiter(map(code.__getitem__, found), np.int64, len(found)) for found in (t.split() for t in texts)]
-    at = np.cumsum([0] + [len(w) for w in words])
-    names = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, code)), np.uint64).reshape(-1, 2)
-    own = np.concatenate(words) if words else np.zeros(0, np.int64)
-    return names[own, 0], names[own, 1], at
+    """Two names of every word of all texts, and where each text begins (and the end).
+
+    A name is a polynomial of hashed bytes modulo 2^64, taken from prefix sums, then mixed; the two have other bases and bytes.
+    """
+    data = b"\n".join([*texts, b""])
+    names: list[list[np.ndarray]] = [[], []]
+    starts = []
+    for a, b in _pieces(data):
+        own = np.frombuffer(data, np.uint8, b - a, a)
+        white = np.concatenate([[True], _IS_WHITE[own]])
+        edge = np.flatnonzero(white[1:] != white[:-1])
+        start, end = edge[::2], edge[1::2]
+        starts.append(start + a)
+        for (base, inverse, of_byte), out in zip(_NAMINGS, names):
+            # only a word of a piece's length makes a longer piece
+            power, back = (_piece_powers(int(x)) if len(own) <= 2 * _PIECE else _powers(x, len(own)) for x in (base, inverse))
+            sums = np.empty(len(own) + 1, np.uint64)
+            sums[0] = 0
+            np.cumsum(of_byte[own] * power[: len(own)], dtype=np.uint64, out=sums[1:])
+            out.append(mix((sums[end] - sums[start]) * back[start]))
+    begins = np.cumsum([0] + [len(t) + 1 for t in texts])
+    at = np.searchsorted(np.concatenate([np.zeros(0, np.int64), *starts]), begins)
+    first, second = (np.concatenate([np.zeros(0, np.uint64), *n]) for n in names)
+    return first, second, at
 
 
 def steps(name: np.ndarray, at: np.ndarray, most: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -100,7 +142,7 @@ def steps(name: np.ndarray, at: np.ndarray, most: int) -> Iterator[tuple[np.ndar
 
 def _sums(name: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Prefix sums of names times powers, and the inverse powers: names of stretches in two look-ups."""
-    power, inverse = (np.concatenate([np.ones(1, np.uint64), np.full(len(name), p)]).cumprod(dtype=np.uint64) for p in (_P, _INVERSE))
+    power, inverse = _powers(_P, len(name)), _powers(_INVERSE, len(name))
     return np.concatenate([np.zeros(1, np.uint64), np.cumsum(name * power[:-1], dtype=np.uint64)]), inverse
 
 
@@ -120,33 +162,40 @@ def anchors(name: np.ndarray, at: np.ndarray, width: int) -> np.ndarray:
     """The anchor of the window at every word: the step in the upper 5 bits, then a hash of its context; the window's own hash
     where no boundary outlives a step. Without meaning where no window begins."""
     sums = _sums(name)
-    best = np.zeros(len(name), np.uint64)
+    best = np.zeros(len(name) + width, np.uint64)  # of the window that begins `width` words earlier
     wanted = windows(at, width)
     for number, (place, low, high) in reversed([*enumerate(islice(steps(name, at, width), STEPS), 1)]):
+        if number < STEPS:  # only where windows are left
+            left = np.concatenate([np.zeros(1, np.int64), np.cumsum(wanted)])
+            some = left[low + 1] > left[np.maximum(high - width, 0)]
+            place, low, high = place[some], low[some], high[some]
         own = _stretch(sums, low, high) ^ mix((place - low).astype(np.uint64) * _P)
         own = own >> np.uint64(5) | np.uint64(number) << np.uint64(59)
-        for back in range(width):
-            start = high - width + back
-            fits = np.flatnonzero((start <= low) & (start >= 0))
-            fits = fits[wanted[start[fits]]]
-            np.maximum.at(best, start[fits], own[fits])
-        wanted &= best == 0
+        size = high - low
+        order = np.argsort(size, kind="stable")
+        high, own = high[order], own[order]
+        fits = np.searchsorted(size[order], width - np.arange(width), "right")  # contexts that leave so much room
+        for back, n in enumerate(fits):
+            np.maximum.at(best, high[:n] + back, own[:n])
+        wanted &= best[width:] == 0
         if not wanted.any():
             break
+    best = best[width:]
     alone = np.flatnonzero(wanted)
     best[alone] = _stretch(sums, alone, alone + width) >> np.uint64(5)
     return best
 
 
-def _distinct(keys: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct keys, ascending, and which of them have several owners."""
-    order = np.lexsort((owner, keys))
-    keys, owner = keys[order], owner[order]
-    new = np.concatenate([[True], keys[1:] != keys[:-1]])[: len(keys)]
+def _distinct(keys: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct keys, ascending, which of them have several owners, and each key's place among them; owners ascend."""
+    order = np.argsort(keys, kind="stable")
+    ordered = keys[order]
+    new = np.concatenate([[True], ordered[1:] != ordered[:-1]])[: len(keys)]
     start = np.flatnonzero(new)
-    if not len(start):
-        return keys, np.zeros(0, bool)
-    return keys[start], np.minimum.reduceat(owner, start) != np.maximum.reduceat(owner, start)
+    last = np.append(start[1:], len(keys)) - 1 if len(start) else start
+    place = np.empty(len(keys), np.int64)
+    place[order] = np.cumsum(new) - 1
+    return ordered[start], owner[order[start]] != owner[order[last]], place
 
 
 def repeated_words(docs: DataFrame, width: int = WINDOW) -> DataFrame:
@@ -167,11 +216,11 @@ def repeated_words(docs: DataFrame, width: int = WINDOW) -> DataFrame:
         there = np.flatnonzero(windows(at, width))
         owner = np.repeat(np.arange(len(at) - 1), np.diff(at))[there]
         key = anchors(first, at, width)[there]
-        return first, second, at, there, owner, key, *_distinct(key, owner)
+        return first, second, at, there, owner, *_distinct(key, owner)
 
     def ask_anchors(slices: Iterator[Slice]) -> Iterator[list[np.ndarray]]:
         for own in slices:
-            yield [anchored(own)[6]]
+            yield [anchored(own)[5]]
 
     def in_several(columns: list[np.ndarray]) -> np.ndarray:
         _, place, n = np.unique(columns[0], return_inverse=True, return_counts=True)
@@ -181,8 +230,8 @@ def repeated_words(docs: DataFrame, width: int = WINDOW) -> DataFrame:
 
     def verified(own: Slice, answers: Answers) -> tuple:
         """The windows on shared anchors (first word), their key each, and the distinct keys with a check and the smallest id."""
-        first, second, at, there, owner, key, distinct, several = anchored(own)
-        known = (answers.of(own[0], distinct, buckets) | several)[np.searchsorted(distinct, key)]
+        first, second, at, there, owner, distinct, several, place = anchored(own)
+        known = (answers.of(own[0], distinct, buckets) | several)[place]
         there, owner = there[known], owner[known]
         key = _stretch(_sums(first), there, there + width)
         check = (_stretch(_sums(second), there, there + width) >> np.uint64(32)).astype(np.uint32)
