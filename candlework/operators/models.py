@@ -15,8 +15,9 @@ from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from candlework.operators import forest
 from candlework.operators.history import MEASURE, HotSymbols
-from candlework.operators.labels import Grid, deployment_slices, label, numbered_days, training_slices
+from candlework.operators.labels import Grid, deployment_slices, label, numbered_days, response, training_slices
 from candlework.operators.trades import mark_trades, summarise
 from candlework.schema import CODE_COLUMNS, MODEL_COLUMNS, WARMUP_BARS
 from candlework.session import stored
@@ -204,6 +205,46 @@ def predicted_slices(
         return reduce(DataFrame.unionByName, pool.map(fitted_and_scored, points))
 
 
+def predicted_sweep(
+    table: DataFrame,
+    grid: Grid,
+    day: Column | None = None,
+    hot: HotSymbols | str | None = MEASURE,
+    features: Sequence[str] = MODEL_COLUMNS,
+    trees: int = 100,
+    seed: int = 100,
+    depth: int = 5,
+    warmup: int = WARMUP_BARS,
+    tried: int | None = None,
+    target: Column | None = None,
+) -> DataFrame:
+    """Deployment slices with the ``prediction`` of the forest of their training length and threshold, as ``predicted_slices``.
+
+    All forests grow together (``operators.forest``): a scan a level of the training bars, each with its labels under all
+    fits, and one scan of the deployment bars, whose predictions are one array that the slices pick from. ``target`` takes
+    the place of the label against the end-of-day price. A bar with a missing feature has no prediction.
+    """
+    keys = ["stockName", "stockTime"]
+    wanted = table.select(*keys, *[x for x in dict.fromkeys(["lastPrice", *features]) if x not in keys])
+    numbered = numbered_days(wanted, day, hot, warmup).filter(F.col("bar_no") <= grid.last_bar)
+    numbered = stored(forest.evenly(numbered), "numbered")
+    train = numbered.filter(F.col("bar_no") <= max(grid.training))
+    edges = forest.bin_edges(train, features)
+    fits = [
+        F.when(F.col("bar_no") <= training, response(F.lit(threshold)) if target is None else target)
+        for training in grid.training
+        for threshold in grid.thresholds
+    ]
+    rows = forest.binned(train, features, edges, fits, [F.col("stockName"), F.col("stockTime").cast("string")])
+    model = forest.grow(rows, features, edges, len(fits), trees=trees, depth=depth, tried=tried, seed=seed)
+    scored = forest.predict(numbered.filter(F.col("bar_no") >= min(grid.training)), model)
+    slices = label(deployment_slices(scored, grid), grid.thresholds)
+    place = lambda values, c: F.array_position(F.array(*[F.lit(v) for v in values]), F.col(c)) - 1
+    fit = place(grid.training, "training") * len(grid.thresholds) + place([float(x) for x in grid.thresholds], "threshold")
+    prediction = F.col("predictions")[fit.cast("int")]
+    return slices.withColumn("prediction", F.when(prediction >= 0, prediction)).drop("predictions")
+
+
 def predicted_return(scored: DataFrame) -> DataFrame:
     """Backtest of predictions: as the optimal return but without selling at the day's end."""
     return summarise(mark_trades(scored, F.col("prediction"), sell_at_day_end=False))

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from candlework.functions.columns import rnd, typical_price
-from candlework.operators import features, labels, models, profile
+from candlework.operators import features, forest, labels, models, profile
 from candlework.operators import trades as backtest
 from candlework.operators.history import MAX_BARS_PER_TASK, HotSymbols, measure, number_bars
 from candlework.operators.indicators import ALL_INDICATORS, BOLLINGER, CCI, STOCHASTIC, Indicator
@@ -1032,6 +1032,129 @@ register(
 )
 
 
+# Forests of all 40 fits of the full grid, grown and applied together.
+
+SWEEP_TREES, SWEEP_DEPTH = 25, 6
+
+
+def _full_sweep(spark, sf, **options):
+    bars, hot = line_bars(spark, sf)
+    table = features.base_table(bars, hot, DIGITS)
+    return models.predicted_sweep(table, FULL_GRID, month(), hot, trees=SWEEP_TREES, depth=SWEEP_DEPTH, **options)
+
+
+def predicted_return_full_grid(spark, sf):
+    """The sweep on predictions at all 240 points, a forest for each of 40 training lengths and thresholds."""
+    return models.predicted_return(_full_sweep(spark, sf))
+
+
+register("predicted_return_full_grid", predicted_return_full_grid)
+
+
+def predicted_confusion_full_grid(spark, sf):
+    """The confusion statistics of the predictions at all 240 points."""
+    scored = _full_sweep(spark, sf).withColumnRenamed("responseVariable", "label").where("prediction is not null")
+    return profile.confusion_stats(scored, [0, 1, 2], by=["deployment", "training", "threshold"])
+
+
+register("predicted_confusion_full_grid", predicted_confusion_full_grid)
+
+
+def _pair_rule() -> Column:
+    """A rule of two features, which takes trees of two levels."""
+    return F.when(F.col("stoch_direction") != 1, 0).when(F.col("SMA_direction") == 1, 1).otherwise(2)
+
+
+_PAIR_RULE_SQL = "CASE WHEN stoch_direction <> 1 THEN 0 WHEN SMA_direction = 1 THEN 1 ELSE 2 END"
+
+
+def predicted_return_rule(spark, sf):
+    """All 240 points traded by forests that have learnt the rule of two features from each of their training slices."""
+    bars, hot = line_bars(spark, sf)
+    table = features.base_table(bars, hot, DIGITS).select(*KEY, "lastPrice", *CODE_COLUMNS)
+    scored = models.predicted_sweep(
+        table, FULL_GRID, month(), hot, CODE_COLUMNS, trees=5, depth=2, tried=len(CODE_COLUMNS), target=_pair_rule()
+    )
+    return rounded(models.predicted_return(scored), *_SWEEP_DOUBLES)
+
+
+register(
+    "predicted_return_rule",
+    predicted_return_rule,
+    sql(
+        o.LINE_BARS,
+        *o.BASE,
+        *o.labelled("", "month", FULL_GRID.training, FULL_GRID.deployment, FULL_GRID.thresholds, "base", f", ({_PAIR_RULE_SQL}) AS rule"),
+        *o.trades("rule", False),
+        *o.SWEEP,
+        final=_SWEEP_SELECT,
+    ),
+)
+
+
+def _key_of_row() -> list[Column]:
+    return [F.col("stockName"), F.col("stockTime").cast("string")]
+
+
+def forest_out_of_bag(spark, sf):
+    """How many trees have a training bar out of their bag, and what those vote, for a forest that learns the rule."""
+    bars, hot = line_bars(spark, sf)
+    table = features.base_table(bars, hot, DIGITS).select(*KEY, *CODE_COLUMNS)
+    train = labels.numbered_after_warmup(table, hot, WARMUP_BARS).filter(F.col("bar_no") <= TRAINING_BARS)
+    edges = forest.bin_edges(train, CODE_COLUMNS)
+    rows = forest.binned(train, CODE_COLUMNS, edges, [_pair_rule()], _key_of_row())
+    model = forest.grow(rows, CODE_COLUMNS, edges, 1, trees=10, depth=2, tried=len(CODE_COLUMNS))
+    return forest.out_of_bag(rows, model).groupBy("label", "prediction", "votes").agg(F.count("*").alias("n"))
+
+
+_DRAWN = " + ".join(f"(h * {forest.factor(0, t)} % {forest.PRIME} < {forest.POISSON_STEPS[0]})::BIGINT" for t in range(10))
+register(
+    "forest_out_of_bag",
+    forest_out_of_bag,
+    sql(
+        o.LINE_BARS,
+        *o.BASE,
+        o.after_warmup("base"),
+        f"""train AS (SELECT {_PAIR_RULE_SQL} AS label,
+        ('0x' || left(md5(stockName || '|' || strftime(stockTime, '%Y-%m-%d %H:%M:%S')), 7))::BIGINT + 1 AS h FROM warm
+        QUALIFY row_number() OVER (PARTITION BY stockName ORDER BY stockTime) <= {TRAINING_BARS})""",
+        f"drawn AS (SELECT label, {_DRAWN} AS votes FROM train)",
+        final="""SELECT label, CASE WHEN votes > 0 THEN label ELSE -1 END AS prediction, votes, count(*) AS n
+        FROM drawn GROUP BY label, votes""",
+    ),
+)
+
+
+def forests_score_missing(spark, sf):
+    """Two forests stored as a node table and applied in one scan: one has learnt the rule and meets missing features, which
+    count as 0.0; the other has no training bars, so its result is -1.0."""
+    bars, hot = line_bars(spark, sf)
+    table = features.base_table(bars, hot, DIGITS).select(*KEY, *CODE_COLUMNS)
+    hidden = lambda value: F.when(F.col("CCI_direction") == 1, value).otherwise(F.col("stoch_direction"))
+    numbered = stored(labels.numbered_after_warmup(table, hot, WARMUP_BARS), "missing")
+    train = numbered.filter(F.col("bar_no") <= TRAINING_BARS).withColumn("stoch_direction", hidden(F.lit(0)))
+    edges = forest.bin_edges(train, CODE_COLUMNS)
+    rows = forest.binned(train, CODE_COLUMNS, edges, [_pair_rule(), F.lit(None).cast("int")], _key_of_row())
+    model = forest.grow(rows, CODE_COLUMNS, edges, 2, trees=5, depth=2, tried=len(CODE_COLUMNS))
+    nodes = stored(forest.node_table(spark, model), "nodes")
+    model = forest.from_nodes(nodes, CODE_COLUMNS, edges, 3, model.feature.shape)
+    scored = forest.predict(numbered.withColumn("stoch_direction", hidden(F.lit(None).cast("int"))), model, missing=0.0)
+    return scored.select(*KEY, F.col("predictions")[0].cast("double").alias("prediction"), F.col("predictions")[1].cast("double").alias("untrained"))
+
+
+register(
+    "forests_score_missing",
+    forests_score_missing,
+    sql(
+        o.LINE_BARS,
+        *o.BASE,
+        o.after_warmup("base"),
+        final=f"""SELECT stockTime, stockName, (CASE WHEN CCI_direction = 1 THEN 0 ELSE {_PAIR_RULE_SQL} END)::DOUBLE AS prediction,
+        -1.0::DOUBLE AS untrained FROM warm""",
+    ),
+)
+
+
 def svm_learns_rule(spark, sf):
     """Labels 1 and -1 by the rule, four fifths learnt, the model stored and loaded, the rest evaluated."""
     bars, hot = line_bars(spark, sf)
