@@ -22,7 +22,7 @@ from candlework.plans import oracles as o
 from candlework.schema import BAR_COLUMNS, BASE_COLUMNS, CODE_COLUMNS, KEY, MODEL_COLUMNS, POSITION_HOLD, SIGNAL_COLUMNS, WARMUP_BARS
 from candlework.session import shared_path, stored
 from candlework.sources import bar_files, tables, wire
-from candlework.streaming import live
+from candlework.streaming import live, ordered
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -1269,6 +1269,97 @@ register(
 )
 
 
+# Event time: bars out of order within the tolerance, others late, a marker at the end that moves the watermark past all.
+
+_TOLERANCE, _JITTER_HOURS, _LATE_EVERY, _LATE_REST = "3 days", 48, 97, 5
+
+
+def _hour() -> Column:
+    return F.floor(F.unix_micros("stockTime") / 3_600_000_000)
+
+
+def _is_late(bars: DataFrame) -> Column:
+    """Some bars of the first quarter of the time, which the fixture brings last."""
+    low, high = bars.agg(F.min(F.unix_micros("stockTime")), F.max(F.unix_micros("stockTime"))).first()
+    return (F.unix_micros("stockTime") < low + (high - low) // 4) & (_hour() % _LATE_EVERY == _LATE_REST)
+
+
+_LATE_SQL = f"""(epoch_us(stockTime) < (SELECT min(epoch_us(stockTime)) + (max(epoch_us(stockTime)) - min(epoch_us(stockTime))) // 4 FROM bars)
+  AND epoch_us(stockTime) // 3600000000 % {_LATE_EVERY} = {_LATE_REST})"""
+
+
+def _disordered_stream(spark: SparkSession, sf: str, late: bool, parts: int = 2) -> DataFrame:
+    """Hourly bars in micro-batches: each comes up to two days after newer ones, late ones after all others."""
+    bars = stored(tables.event_bars(spark, sf).withColumn("stockTime", F.col("stockTime").cast("timestamp")), "stream-source")
+    path = shared_path(spark, "bars")
+    low, high = bars.agg(F.min(_hour()), F.max(_hour())).first()
+    arrives = _hour() - F.lit(low or 0) + F.pmod(F.xxhash64("stockName", "stockTime"), F.lit(_JITTER_HOURS))
+    width = ((high - low if low is not None else 0) + _JITTER_HOURS) // parts + 1
+    held = _is_late(bars) if late and low is not None else F.lit(False)
+    batches = [bars.where(~held & (F.floor(arrives / width) == i)) for i in range(parts)] + ([bars.where(held)] if late else [])
+    last = bars.orderBy(F.desc("stockTime"), "stockName").limit(1).withColumn("stockName", F.lit("~end"))
+    batches.append(last.withColumn("stockTime", F.col("stockTime") + F.expr("interval 60 days")))
+    for batch in batches:
+        batch.coalesce(1).write.mode("append").parquet(path)
+    return spark.readStream.schema(bars.schema).option("maxFilesPerTrigger", 1).parquet(path)
+
+
+def _ordered_outputs(spark, sf):
+    path = shared_path(spark, "ordered")
+    with ordered.rocksdb(spark):
+        stream = ordered.ordered_base_table(_disordered_stream(spark, sf, True), _TOLERANCE, digits=DIGITS)
+        ordered.start_with_side_table(stream, path + "/checkpoint", path + "/out", path + "/late").awaitTermination()
+    return path
+
+
+def stream_ordered(spark, sf):
+    """The base table of bars that come out of order: those within the tolerance, in time order."""
+    path = _ordered_outputs(spark, sf) + "/out"
+    return _plain_time(spark.read.option("basePath", path).parquet(path + "/batch=*").select(*BASE_COLUMNS))
+
+
+register(
+    "stream_ordered",
+    stream_ordered,
+    sql(
+        o.EVENT_BARS,
+        f"kept AS (SELECT * FROM bars WHERE NOT {_LATE_SQL})",
+        *[part.replace("FROM bars", "FROM kept") for part in o.BASE],
+        final=f"SELECT {', '.join(BASE_COLUMNS)} FROM base",
+    ),
+)
+
+
+def stream_late_bars(spark, sf):
+    """The bars that came when the watermark had passed them, from the side table."""
+    path = _ordered_outputs(spark, sf) + "/late"
+    return _plain_time(spark.read.option("basePath", path).parquet(path + "/batch=*").drop("batch"))
+
+
+register(
+    "stream_late_bars",
+    stream_late_bars,
+    sql(o.EVENT_BARS, final=f"SELECT stockTime, stockName, high, low, lastPrice, volume FROM bars WHERE {_LATE_SQL}"),
+)
+
+
+def stream_indicator_join(spark, sf):
+    """Eight live indicator streams, each with state of its own, joined on time and symbol."""
+    path = shared_path(spark, "joined-indicators")
+    partitions = spark.conf.get("spark.sql.shuffle.partitions")
+    with ordered.rocksdb(spark):
+        spark.conf.set("spark.sql.shuffle.partitions", "2")  # fifteen stateful operators over a few symbols
+        try:
+            joined = ordered.joined_indicators(_disordered_stream(spark, sf, False), _TOLERANCE, digits=DIGITS)
+            live.start(joined, path + "/checkpoint", path + "/out", every=None).awaitTermination()
+        finally:
+            spark.conf.set("spark.sql.shuffle.partitions", partitions)
+    return _plain_time(spark.read.parquet(path + "/out"))
+
+
+register("stream_indicator_join", stream_indicator_join, _BASE_HOURLY_SQL)
+
+
 @cache
 def queries() -> dict[str, Query]:
     return dict(_queries)
