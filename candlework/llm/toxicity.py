@@ -7,11 +7,16 @@ shared, so an expression that is rare in both classes gets nearly the same proba
 its length-normalised log-likelihood under the toxic model minus that under the ordinary one, over the whole text and
 over its most toxic run of words, for order 2 and for the order below alone; a logistic curve turns the features into a score.
 
-Counts cover every labelled text that may be learned from and are summed by Spark. All words, and all pairs that outlive
-the discount, stay in one stored table of items that grows with the corpus. For scoring, the most frequent items are
-broadcast, and a bitmap of where the others may lie; both have a fixed size. Texts with an item that is not among the
-broadcast ones get it by a join, so the sizes decide how much is joined, and never a score. The curve alone is fitted on
-a bounded sample, each text scored by the models of the half of the rows that it is not in.
+Counts cover every labelled text that may be learned from and are summed by Spark: of pairs in buckets by the pair, then of
+words, contexts and the pairs that outlive the discount in buckets by the item, both as compressed blocks of sorted keys
+(see `slices`). All words, and all pairs that outlive the discount, stay in one stored table of blocks that grows with the
+corpus.
+
+For scoring, the most frequent items are broadcast, up to a fixed number, and a bitmap of where the others may lie, sized by
+their number up to a bound. What else a run of texts may need it asks for, in one scan, as blocks of distinct items; the
+next scan reads the answers to its own runs, known by a hash of what they asked. No text is shuffled, and the sizes decide
+how much is asked, never a score. The curve alone is fitted on a bounded sample, each text scored by the models of the half
+of the rows that it is not in.
 """
 
 from __future__ import annotations
@@ -21,17 +26,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.fs as pafs
+import pyarrow.parquet as pq
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from candlework.llm.common import carried, documents_by_id, held_out, labelled, logistic, prefiltered, slices, stored, text_of
+from candlework.llm.common import carried, documents_by_id, held_out, labelled, logistic, prefiltered, shared_path, slices, stored, text_of
+from candlework.llm.slices import block, opened
 
 #: Most items broadcast with their values, about 8 MB a model.
 CACHE = 1 << 18
-#: log2 of the bits that tell which other items may be known.
-BITMAP_BITS = 25
+#: log2 of the fewest and of the most bits that tell which other items may be known: eight an item, up to 128 MB.
+BITMAP_BITS, MOST_BITMAP_BITS = 20, 30
 #: Taken off every count and continuation count: what occurs no more often in a class rests on the shared counts alone.
 DISCOUNT = 2
 #: Words of the run whose ratios give the second feature.
@@ -39,6 +47,8 @@ RUN = 8
 #: A word's log-ratio beyond which it counts as clearly toxic.
 CLEAR = 1.5
 FEATURES = 6
+#: Characters of the runs of texts that are counted, and ask, together.
+TEXTS = 1 << 23
 CURVE_ROWS = 20_000
 _WORD = re.compile(rb"[a-z0-9\x80-\xff]+")
 #: Models: of either half of the rows and of all rows, each ordinary and toxic.
@@ -64,18 +74,18 @@ def _real(word: np.ndarray, at: np.ndarray) -> np.ndarray:
 
 def _pair_items(word: np.ndarray) -> np.ndarray:
     """The item of the pair that ends at every position but the first, as `_pair_item` has it."""
-    w = word.view(np.uint64)
-    return (w[:-1] ^ (w[1:] << np.uint64(1) | w[1:] >> np.uint64(63))).view(np.int64)
+    return _items_of(word[:-1], word[1:]).view(np.int64)
 
 
-def _pair_item():
-    return F.col("context").bitwiseXOR(F.shiftleft("word", 1).bitwiseOR(F.shiftrightunsigned("word", 63)))
+def _items_of(context: np.ndarray, word: np.ndarray) -> np.ndarray:
+    c, w = context.view(np.uint64), word.view(np.uint64)
+    return c ^ (w << np.uint64(1) | w >> np.uint64(63))
 
 
 def _counter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         group = batch.column("y").to_numpy(zero_copy_only=False) + 2 * batch.column("half").to_numpy(zero_copy_only=False)
-        for start, texts in slices(batch, "text"):
+        for start, texts in slices(batch, "text", TEXTS):
             word, at = _words(texts)
             if len(word) < 2:
                 continue
@@ -94,6 +104,109 @@ def _counter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield pa.record_batch({"context": context[first], "word": word[first], "kind": kind[first], "n": n.astype(np.int64)})
 
 
+#: Columns of an item's counts. Of a word: its continuation counts for ordinary and toxic texts of half 0, of half 1 and of
+#: all, the sums of the counts of the pairs it begins for the first four, what the discount takes off those for all six. Of a
+#: pair: its counts in the first six.
+_COUNTS = 16
+_BLOCK = [np.uint64, np.uint8, *[np.int64] * _COUNTS]
+
+
+def _buckets(df: DataFrame) -> int:
+    return 2 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
+def _in_buckets(bucket: np.ndarray, columns: list[np.ndarray]) -> pa.RecordBatch | None:
+    """One row a bucket: its rows of the columns as a block, in the order they come in."""
+    order = np.argsort(bucket, kind="stable")
+    used, start = np.unique(bucket[order], return_index=True)
+    end = np.append(start[1:], len(order))
+    blocks = [block(*[np.ascontiguousarray(c[order[i:j]]) for c in columns]) for i, j in zip(start, end)]
+    return pa.record_batch({"bucket": pa.array(used, pa.int32()), "n": pa.array(end - start, pa.int32()), "data": pa.array(blocks, pa.binary())})
+
+
+def _gathered(rows: pa.Table, kinds: list[type]) -> list[np.ndarray]:
+    parts = [opened(d.as_py(), n, *kinds) for d, n in zip(rows["data"], rows["n"].to_pylist())]
+    return [np.concatenate(c) for c in zip(*parts)]
+
+
+def _sums(keys: list[np.ndarray], columns: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
+    """Distinct keys, ascending by the first, and the sums of the rows of columns with each."""
+    order = np.lexsort(keys[::-1])
+    keys = [k[order] for k in keys]
+    start = np.flatnonzero(np.concatenate([[True], np.any([k[1:] != k[:-1] for k in keys], axis=0)])[: len(order)])
+    return [k[start] for k in keys], np.add.reduceat(columns[order], start, axis=0) if len(start) else columns[:0]
+
+
+def _counts(context: np.ndarray, word: np.ndarray, counts: np.ndarray) -> list[np.ndarray]:
+    """Columns of _BLOCK: what different pairs, with their counts of the four kinds, add to items."""
+    six = np.column_stack([counts, counts[:, 0] + counts[:, 2], counts[:, 1] + counts[:, 3]])
+    words, n = _sums([word.view(np.uint64)], (six > 0).astype(np.int64))
+    contexts, s = _sums([context.view(np.uint64)], np.column_stack([counts, np.minimum(six, DISCOUNT)]))
+    lasting = (six[:, 4:] > DISCOUNT).any(1)
+    pairs, k = _sums([_items_of(context[lasting], word[lasting])], six[lasting])
+    item = np.concatenate([words[0], contexts[0], pairs[0]])
+    is_word = np.repeat([1, 0], [len(words[0]) + len(contexts[0]), len(pairs[0])]).astype(np.uint8)
+    out = np.zeros((len(item), _COUNTS), np.int64)
+    out[: len(n), :6] = n
+    out[len(n) : len(n) + len(s), 6:] = s
+    out[len(item) - len(k) :, :6] = k
+    (item, is_word), out = _sums([item, is_word], out)
+    return [item, is_word, *out.T]
+
+
+def _pair_blocks(buckets: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in _counter(batches):
+            context, word = (part.column(c).to_numpy() for c in ("context", "word"))
+            bucket = (_items_of(context, word) % np.uint64(buckets)).astype(np.int64)
+            yield _in_buckets(bucket, [context, word, part.column("kind").to_numpy().astype(np.uint8), part.column("n").to_numpy()])
+
+    return run
+
+
+def _item_blocks(buckets: int):
+    """Of a bucket of pairs: its counts by bucket of the item."""
+
+    def run(rows: pa.Table) -> pa.Table:
+        context, word, kind, n = _gathered(rows, [np.int64, np.int64, np.uint8, np.int64])
+        (context, word), counts = _sums([context, word], np.where(kind[:, None] == np.arange(4), n[:, None], 0))
+        columns = _counts(context, word, counts)
+        return pa.Table.from_batches([_in_buckets((columns[0] % np.uint64(buckets)).astype(np.int64), columns)])
+
+    return run
+
+
+def _added(rows: pa.Table) -> pa.Table:
+    """One block a bucket of items: the sums of its blocks, items ascending."""
+    item, is_word, *counts = _gathered(rows, _BLOCK)
+    (item, is_word), counts = _sums([item, is_word], np.column_stack(counts))
+    return pa.table({"bucket": rows["bucket"].slice(0, 1), "n": pa.array([len(item)], pa.int32()), "data": pa.array([block(item, is_word, *[np.ascontiguousarray(c) for c in counts.T])], pa.binary())})
+
+
+_BLOCKS = "bucket int, n int, data binary"
+
+
+def _values(counts: np.ndarray, scope: str) -> np.ndarray:
+    """Six values an item, see Model."""
+    at = 2 * SCOPES.index(scope)
+    sums = counts[:, 6:8] + counts[:, 8:10] if scope == "all" else counts[:, 6 + at : 8 + at]
+    return np.column_stack([counts[:, at : at + 2], sums, counts[:, 10 + at : 12 + at]]).astype(np.float32)
+
+
+def _opened(blocks: DataFrame) -> DataFrame:
+    """(item, often, is_word, v_0, v_1, v_all): the items of blocks as rows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for data, n in zip(batch.column("data"), batch.column("n").to_pylist()):
+                item, is_word, *counts = opened(data.as_py(), n, *_BLOCK)
+                counts = np.column_stack(counts)
+                values = {f"v_{s}": pa.array(list(_values(counts, s)), pa.list_(pa.float32())) for s in SCOPES}
+                yield pa.record_batch({"item": item.view(np.int64), "often": counts[:, 4:10].sum(1), "is_word": is_word.astype(bool)} | values)
+
+    return blocks.mapInArrow(run, "item long, often long, is_word boolean, v_0 array<float>, v_1 array<float>, v_all array<float>")
+
+
 class Model:
     """Sums over all words of one scope; columns are ordinary, toxic. Values of items are rows of a table:
 
@@ -156,30 +269,32 @@ class Known:
         """Which items are not here and may be known elsewhere."""
         if self.bitmap is None:
             return np.zeros(len(items), bool)
-        bit = items & ((1 << BITMAP_BITS) - 1)
+        bit = items & (64 * len(self.bitmap) - 1)
         out = (self.bitmap[bit >> 6] >> (bit & 63).astype(np.uint64) & np.uint64(1)) != 0
         out[out] = self.places(items[out]) < 0
         return out
 
 
 def _items(pairs: DataFrame) -> tuple[DataFrame, dict[str, Model]]:
-    """All items (item, often, v_0, v_1, v_all) and the models of all scopes, from the counts of pairs (context, word,
+    """All items (item, often, is_word, v_0, v_1, v_all) and the models of all scopes, from the counts of pairs (context, word,
     k0..k3: ordinary and toxic of half 0, of half 1). A pair with no count above the discount adds nothing to a score."""
-    kinds = {"0_0": F.col("k0"), "0_1": F.col("k1"), "1_0": F.col("k2"), "1_1": F.col("k3"), "all_0": F.col("k0") + F.col("k2"), "all_1": F.col("k1") + F.col("k3")}
-    follows = pairs.groupBy(F.col("word").alias("item")).agg(*[F.count_if(v > 0).alias(f"n_{k}") for k, v in kinds.items()])
-    sums = [F.sum(v).alias(f"s_{k}") for k, v in kinds.items()]
-    taken = [F.sum(F.least(v, F.lit(DISCOUNT))).alias(f"t_{k}") for k, v in kinds.items()]
-    context = pairs.groupBy(F.col("context").alias("item")).agg(*sums, *taken)
-    vector = lambda columns: F.array(*[F.col(c).cast("float") if isinstance(c, str) else c.cast("float") for c in columns])
-    words = follows.join(context, "item", "full").na.fill(0)
-    words = words.select("item", (F.col("n_all_0") + F.col("n_all_1") + F.col("s_all_0") + F.col("s_all_1")).alias("often"), F.lit(True).alias("is_word"), *[vector([f"{c}_{s}_{y}" for c in "nst" for y in (0, 1)]).alias(f"v_{s}") for s in SCOPES])
-    outlive = pairs.where((kinds["all_0"] > DISCOUNT) | (kinds["all_1"] > DISCOUNT))
-    both = outlive.select(_pair_item().alias("item"), (kinds["all_0"] + kinds["all_1"]).cast("long").alias("often"), F.lit(False).alias("is_word"), *[vector([kinds[f"{s}_0"], kinds[f"{s}_1"], *[F.lit(0)] * 4]).alias(f"v_{s}") for s in SCOPES])
-    items = stored(words.unionByName(both), "toxicity-items")
+    buckets = _buckets(pairs)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            counts = np.column_stack([batch.column(f"k{k}").to_numpy().astype(np.int64) for k in range(4)])
+            columns = _counts(batch.column("context").to_numpy(), batch.column("word").to_numpy(), counts)
+            yield _in_buckets((columns[0] % np.uint64(buckets)).astype(np.int64), columns)
+
+    items = _opened(pairs.mapInArrow(run, _BLOCKS).groupBy("bucket").applyInArrow(_added, _BLOCKS))
+    return items, _models(items)
+
+
+def _models(items: DataFrame) -> dict[str, Model]:
     n = {f"{s}_{y}": F.col(f"v_{s}")[y].cast("double") for s in SCOPES for y in (0, 1)}
     row = items.where("is_word").agg(*[F.sum(v).alias(f"n_{k}") for k, v in n.items()], *[F.sum(F.least(v, F.lit(float(DISCOUNT)))).alias(f"t_{k}") for k, v in n.items()]).first()
     of = lambda c, s: np.array([row[f"{c}_{s}_{y}"] or 0.0 for y in (0, 1)])
-    return items, {s: Model(of("n", s), of("t", s)) for s in SCOPES}
+    return {s: Model(of("n", s), of("t", s)) for s in SCOPES}
 
 
 def _known(items: DataFrame) -> tuple[Known, DataFrame | None]:
@@ -195,22 +310,80 @@ def _known(items: DataFrame) -> tuple[Known, DataFrame | None]:
     if fits == len(often):
         return Known(top["item"].to_numpy(), values), None
     rest = items.where(F.col("often") < least).select("item", "v")
-    bit = F.col("item").bitwiseAND((1 << BITMAP_BITS) - 1)
-    bits = rest.select(F.shiftright(bit, 6).alias("at"), bit.bitwiseAND(63).cast("int").alias("bit")).groupBy("at").agg(F.bit_or(F.expr("shiftleft(1L, bit)")).alias("bits")).toArrow()
-    bitmap = np.zeros(1 << (BITMAP_BITS - 6), np.uint64)
-    bitmap[bits["at"].to_numpy()] = bits["bits"].to_numpy().view(np.uint64)
+    left = int(number[order[fits:]].sum())
+    bits = min(MOST_BITMAP_BITS, max(BITMAP_BITS, (8 * left - 1).bit_length()))
+    bit = F.col("item").bitwiseAND((1 << bits) - 1)
+    found = rest.select(F.shiftright(bit, 6).alias("at"), bit.bitwiseAND(63).cast("int").alias("bit")).groupBy("at").agg(F.bit_or(F.expr("shiftleft(1L, bit)")).alias("bits")).toArrow()
+    bitmap = np.zeros(1 << (bits - 6), np.uint64)
+    bitmap[found["at"].to_numpy()] = found["bits"].to_numpy().view(np.uint64)
     return Known(top["item"].to_numpy(), values, bitmap), rest
 
 
-def _featured(rows: DataFrame, items: DataFrame, models: list[Model]) -> tuple[DataFrame, list]:
-    """The columns of rows but the text, and f, the features under each model one after the other; broadcasts to destroy.
-
-    rows: text, .... items: item, often, v, the values under each model one after the other. Features depend on the text
-    alone, so what is joined is gathered once for equal texts, known by two hashes.
+class _Answers:
+    """What the items that runs of texts asked for are worth, as a task reads it."""
+
+    def __init__(self, path: str, shelves: int, width: int):
+        self.fs, self.base = pafs.FileSystem.from_uri(path)
+        self.shelves, self.width = shelves, width
+
+    def to(self, asked: np.ndarray, buckets: int) -> Known:
+        name = _ask_name(asked)
+        rows = pq.ParquetDataset(f"{self.base}/shelf={name[0] % self.shelves}", filesystem=self.fs, partitioning=None).read()
+        rows = rows.filter(pa.compute.and_(pa.compute.equal(rows["name_0"], name[0]), pa.compute.equal(rows["name_1"], name[1])))
+        if len(set(rows["bucket"].to_pylist())) != len(np.unique(asked.view(np.uint64) % np.uint64(buckets))):
+            raise ValueError("a run of texts finds no answers: two scans of the table gave its rows in another order; store it first")
+        items, values, seen = [np.zeros(0, np.int64)], [np.zeros((0, self.width), np.float32)], set()
+        for bucket, n, data in zip(rows["bucket"].to_pylist(), rows["n"].to_pylist(), rows["data"]):
+            if n and bucket not in seen:  # equal runs have asked the same
+                item, *columns = opened(data.as_py(), n, np.int64, *[np.float32] * self.width)
+                items.append(item)
+                values.append(np.column_stack(columns))
+            seen.add(bucket)
+        return Known(np.concatenate(items), np.vstack(values))
+
+
+def _ask_name(asked: np.ndarray) -> tuple[int, int]:
+    low, high = np.frombuffer(xxhash.xxh3_128_digest(asked.tobytes()), np.int64)
+    return int(low) >> 1 & (1 << 62) - 1, int(high)
+
+
+def _answered(asks: DataFrame, blocks: DataFrame, scopes: list[str], shelves: int) -> str:
+    """Where the answers to asks (name_0, name_1, bucket, n, data) are stored, by shelf."""
+    width = 6 * len(scopes)
+
+    def run(asking: pa.Table, known: pa.Table) -> pa.Table:
+        if known.num_rows:
+            item, _, *counts = opened(known["data"][0].as_py(), known["n"][0].as_py(), *_BLOCK)
+            counts = np.column_stack(counts)
+            values = np.hstack([_values(counts, s) for s in scopes])
+        else:
+            item, values = np.zeros(0, np.uint64), np.zeros((0, width), np.float32)
+        n, data = [], []
+        for size, wanted in zip(asking["n"].to_pylist(), asking["data"]):
+            (own,) = opened(wanted.as_py(), size, np.uint64)
+            at = np.minimum(np.searchsorted(item, own), max(0, len(item) - 1))
+            hit = item[at] == own if len(item) else np.zeros(len(own), bool)
+            n.append(int(hit.sum()))
+            data.append(block(own[hit], *[np.ascontiguousarray(c) for c in values[at[hit]].T]) if n[-1] else b"")
+        names = {c: asking[c] for c in ("name_0", "name_1", "bucket")}
+        return pa.table({"shelf": pa.array(asking["name_0"].to_numpy() % shelves, pa.int32())} | names | {"n": pa.array(n, pa.int32()), "data": pa.array(data, pa.binary())})
+
+    answers = asks.groupBy("bucket").cogroup(blocks.groupBy("bucket")).applyInArrow(run, "shelf int, name_0 long, name_1 long, bucket int, n int, data binary")
+    path = shared_path(asks.sparkSession, "toxicity-answers")
+    answers.repartition("shelf").write.partitionBy("shelf").option("compression", "zstd").parquet(path)
+    return path
+
+
+def _featured(rows: DataFrame, blocks: DataFrame, scopes: list[str], models: dict[str, Model]) -> tuple[DataFrame, list]:
+    """The columns of rows but the text, and f, the features under each scope's model one after the other; broadcasts to destroy.
+
+    rows: text, ..., scanned twice: the same scan gives the same runs of texts. blocks: the items.
     """
     kept = [c for c in rows.columns if c != "text"]
-    known, rest = _known(items)
-    size = 6 * len(models)
+    known, rest = _known(_opened(blocks).select("item", "often", F.concat(*[f"v_{s}" for s in scopes]).alias("v")))
+    size, buckets = 6 * len(scopes), _buckets(rows)
+    own_models = [models[s] for s in scopes]
+    shelves = 8 * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     shared = rows.sparkSession.sparkContext.broadcast(known)
 
     def laid_out(texts: list[str]):
@@ -218,13 +391,10 @@ def _featured(rows: DataFrame, items: DataFrame, models: list[Model]) -> tuple[D
         pair = _pair_items(word) if len(word) else word
         return word, pair, _real(word, at) if len(word) else np.zeros(0, bool), at
 
-    def missing(word, pair, real, at) -> tuple[np.ndarray, np.ndarray]:
-        """(text, item) of what must be joined."""
-        owner = np.repeat(np.arange(len(at) - 1), np.diff(at))
-        each = np.concatenate([word, pair[real]])
-        own = np.concatenate([owner, owner[1:][real]])
-        wanted = shared.value.elsewhere(each)
-        return own[wanted], each[wanted]
+    def asked(word, pair, real, at) -> np.ndarray:
+        """The distinct items that are not broadcast and may be known, ascending."""
+        each = np.unique(np.concatenate([word, pair[real]]).view(np.uint64)).view(np.int64)
+        return each[shared.value.elsewhere(each)]
 
     def features(word, pair, real, at, more: Known | None = None) -> np.ndarray:
         values = [np.zeros((len(x), size), np.float32) for x in (word, pair)]
@@ -233,69 +403,52 @@ def _featured(rows: DataFrame, items: DataFrame, models: list[Model]) -> tuple[D
                 if source is not None and len(source.items):
                     source.put(x, out)
         if len(word) < 2:
-            return np.zeros((len(at) - 1, FEATURES * len(models)))
-        return np.hstack([m.features(values[0][:, 6 * i : 6 * i + 6], values[1][:, 6 * i : 6 * i + 6], real, at) for i, m in enumerate(models)])
-
-    def batch_of(part: pa.RecordBatch, f: np.ndarray) -> pa.RecordBatch:
-        return pa.record_batch({c: part.column(c) for c in kept} | {"f": pa.array(list(f), pa.list_(pa.float64()))})
-
-    def finished(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for start, texts in slices(batch, "text"):
-                laid = laid_out(texts)
-                done = np.ones(len(texts), bool)
-                done[missing(*laid)[0]] = False
-                yield batch_of(batch.slice(start, len(texts)).filter(pa.array(done)), features(*laid)[done])
+            return np.zeros((len(at) - 1, FEATURES * len(scopes)))
+        return np.hstack([m.features(values[0][:, 6 * i : 6 * i + 6], values[1][:, 6 * i : 6 * i + 6], real, at) for i, m in enumerate(own_models)])
 
     def asking(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for start, texts in slices(batch, "text"):
-                owner, item = missing(*laid_out(texts))
-                own = batch.slice(start, len(texts))
-                yield pa.record_batch({c: own.column(c).to_numpy(zero_copy_only=False)[owner] for c in ("text_0", "text_1")} | {"item": item})
+            for _, texts in slices(batch, "text", TEXTS):
+                wanted = asked(*laid_out(texts))
+                if len(wanted):
+                    name = _ask_name(wanted)
+                    item = wanted.view(np.uint64)
+                    out = _in_buckets((item % np.uint64(buckets)).astype(np.int64), [item])
+                    yield pa.record_batch({"name_0": np.full(out.num_rows, name[0]), "name_1": np.full(out.num_rows, name[1])} | {c: out.column(c) for c in out.schema.names})
 
-    def opened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for start, texts in slices(batch, "text"):
-                asks = np.zeros(len(texts), bool)
-                asks[missing(*laid_out(texts))[0]] = True
-                yield batch.slice(start, len(texts)).filter(pa.array(asks))
+    schema = T.StructType([rows.schema[c] for c in kept] + [T.StructField("f", T.ArrayType(T.DoubleType()))])
+    path = None
+    if rest is not None:
+        asks = rows.select("text").mapInArrow(asking, "name_0 long, name_1 long, bucket int, n int, data binary")
+        path = _answered(asks, blocks, scopes, shelves)
 
-    def answered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        answers = path and _Answers(path, shelves, size)
         for batch in batches:
-            for start, texts in slices(batch, "text"):
-                own = batch.slice(start, len(texts))
-                item = own.column("answer").flatten().to_numpy(zero_copy_only=False)
-                value = own.column("answer_v").flatten().to_numpy(zero_copy_only=False).reshape(len(item), size)
-                item, first = np.unique(item, return_index=True)
-                yield batch_of(own, features(*laid_out(texts), Known(item, value[first])))
+            for start, texts in slices(batch, "text", TEXTS):
+                laid = laid_out(texts)
+                wanted = asked(*laid) if answers else ()
+                f = features(*laid, answers.to(wanted, buckets) if len(wanted) else None)
+                part = batch.slice(start, len(texts))
+                yield pa.record_batch({c: part.column(c) for c in kept} | {"f": pa.array(list(f), pa.list_(pa.float64()))})
 
-    schema = T.StructType([rows.schema[c] for c in kept] + [T.StructField("f", T.ArrayType(T.DoubleType()))])
-    out = rows.mapInArrow(finished, schema)
-    if rest is not None:
-        keys = ["text_0", "text_1"]
-        keyed = rows.withColumns({"text_0": F.xxhash64("text"), "text_1": F.xxhash64(F.lit(7), "text")})
-        asked = keyed.select("text", *keys).mapInArrow(asking, "text_0 long, text_1 long, item long").distinct()
-        answers = asked.join(rest, "item").groupBy(*keys).agg(F.collect_list(F.struct("item", "v")).alias("x"))
-        answers = answers.select(*keys, F.col("x.item").alias("answer"), F.flatten("x.v").alias("answer_v"))
-        waiting = keyed.mapInArrow(opened, keyed.schema)
-        out = out.unionByName(waiting.join(answers.hint("merge"), keys, "left").mapInArrow(answered, schema))
-    return out, [shared]
-
-
-def fit(docs: DataFrame, labels: DataFrame) -> tuple[DataFrame, Model, np.ndarray]:
-    """The items and the model of all rows that may be learned from, and the curve's weights, the constant first."""
+    return rows.mapInArrow(scored, schema), [shared]
+
+
+def fit(docs: DataFrame, labels: DataFrame) -> tuple[DataFrame, dict[str, Model], np.ndarray]:
+    """The blocks of items and the models of all rows that may be learned from, and the curve's weights, the constant first."""
     half = F.pmod(F.xxhash64("doc_id"), F.lit(2)).cast("int").alias("half")
     usable = labelled(labels, "toxic")
     texts = prefiltered(text_of(docs, "doc_id").where(F.col("doc_id").isNotNull() & ~held_out("doc_id", 3, 1)), usable, "doc_id")
     train = texts.join(usable, "doc_id").select("text", "y", half)
-    counts = train.mapInArrow(_counter, "context long, word long, kind int, n long")
-    pairs = counts.groupBy("context", "word").agg(*[F.sum(F.when(F.col("kind") == k, F.col("n")).otherwise(0)).cast("int").alias(f"k{k}") for k in range(4)])
-    items, models = _items(stored(pairs, "toxicity-pairs"))
+    buckets = _buckets(docs)
+    pairs = train.mapInArrow(_pair_blocks(buckets), _BLOCKS).groupBy("bucket").applyInArrow(_item_blocks(buckets), _BLOCKS)
+    blocks = stored(pairs.groupBy("bucket").applyInArrow(_added, _BLOCKS), "toxicity-items")
+    models = _models(_opened(blocks))
 
     sample = usable.select("doc_id", "y", half).orderBy(F.xxhash64(F.col("doc_id"), F.lit(7)), "doc_id").limit(CURVE_ROWS)
     rows = documents_by_id(docs, sample).select("y", "half", "text")
-    featured, used = _featured(rows, items.select("item", "often", F.concat("v_1", "v_0").alias("v")), [models["1"], models["0"]])
+    featured, used = _featured(rows, blocks, ["1", "0"], models)
     curve = featured.select("y", F.slice("f", F.col("half") * FEATURES + 1, F.lit(FEATURES)).alias("f")).toArrow()
     for b in used:
         b.destroy()
@@ -306,7 +459,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> tuple[DataFrame, Model, np.ndarra
         spread = x.std(0) + 1e-9
         weights = logistic(x / spread, y, ridge=0.05)
         weights[1:] /= spread
-    return items.select("item", "often", F.col("v_all").alias("v")), models["all"], weights
+    return blocks, models, weights
 
 
 def toxicity_scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> DataFrame:
@@ -327,9 +480,9 @@ def without_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) ->
     return _scored(rows, *fit(docs, labels)).where(F.col("score") < threshold).select("row.*")
 
 
-def _scored(rows: DataFrame, items: DataFrame, model: Model, weights: np.ndarray) -> DataFrame:
+def _scored(rows: DataFrame, blocks: DataFrame, models: dict[str, Model], weights: np.ndarray) -> DataFrame:
     """The columns of rows but the text, log_ratio, peak_ratio and score of every row."""
-    featured, _ = _featured(rows, items, [model])
+    featured, _ = _featured(rows, blocks, ["all"], models)
     z = F.lit(float(weights[0]))
     for i in range(FEATURES):
         z = z + F.col("f")[i] * F.lit(float(weights[i + 1]))
