@@ -75,17 +75,16 @@ def _pieces(data: bytes) -> Iterator[tuple[int, int]]:
         a = b
 
 
-def named(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Two names of every word of all texts, and where each text begins (and the end).
+def hashed_words(data: bytes, outside: np.ndarray, namings: int) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Where words begin in data, and `namings` names of each. Words are runs of bytes that are not `outside`, a table of 256;
+    white space is outside, and data ends with it.
 
     A name is a polynomial of hashed bytes modulo 2^64, taken from prefix sums, then mixed; the two have other bases and bytes.
     """
-    data = b"\n".join([*texts, b""])
-    names: list[list[np.ndarray]] = [[], []]
-    starts = []
+    starts, names = [np.zeros(0, np.int64)], [[np.zeros(0, np.uint64)] for _ in range(namings)]
     for a, b in _pieces(data):
         own = np.frombuffer(data, np.uint8, b - a, a)
-        white = np.concatenate([[True], _IS_WHITE[own]])
+        white = np.concatenate([[True], outside[own]])
         edge = np.flatnonzero(white[1:] != white[:-1])
         start, end = edge[::2], edge[1::2]
         starts.append(start + a)
@@ -96,10 +95,13 @@ def named(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
             sums[0] = 0
             np.cumsum(of_byte[own] * power[: len(own)], dtype=np.uint64, out=sums[1:])
             out.append(mix((sums[end] - sums[start]) * back[start]))
-    begins = np.cumsum([0] + [len(t) + 1 for t in texts])
-    at = np.searchsorted(np.concatenate([np.zeros(0, np.int64), *starts]), begins)
-    first, second = (np.concatenate([np.zeros(0, np.uint64), *n]) for n in names)
-    return first, second, at
+    return np.concatenate(starts), [np.concatenate(n) for n in names]
+
+
+def named(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Two names of every word of all texts, and where each text begins (and the end)."""
+    start, (first, second) = hashed_words(b"\n".join([*texts, b""]), _IS_WHITE, 2)
+    return first, second, np.searchsorted(start, np.cumsum([0] + [len(t) + 1 for t in texts]))
 
 
 def steps(name: np.ndarray, at: np.ndarray, most: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:

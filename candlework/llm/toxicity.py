@@ -21,7 +21,6 @@ of the rows that it is not in.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,6 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from candlework.llm.common import carried, documents_by_id, held_out, labelled, logistic, prefiltered, shared_path, slices, stored, text_of
+from candlework.llm.recompression import hashed_words
 from candlework.llm.slices import block, opened
 
 #: Most items broadcast with their values, about 8 MB a model.
@@ -49,19 +49,23 @@ CLEAR = 1.5
 FEATURES = 6
 #: Characters of the runs of texts that are counted, and ask, together.
 TEXTS = 1 << 23
+#: Words whose values are held at a time, or those of one text.
+WORDS = 1 << 17
 CURVE_ROWS = 20_000
-_WORD = re.compile(rb"[a-z0-9\x80-\xff]+")
+#: Bytes of lower-cased text that words do not have.
+_OUTSIDE = np.array([not (97 <= b <= 122 or 48 <= b <= 57 or b >= 128) for b in range(256)])
 #: Models: of either half of the rows and of all rows, each ordinary and toxic.
 SCOPES = ("0", "1", "all")
 
 
 def _words(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the words of all texts, each text after one 0 as its first context, and where each begins (and the end)."""
-    each = [_WORD.findall(t.lower().encode("utf-8", "replace")) for t in texts]
-    at = np.cumsum([0] + [len(w) + 1 for w in each])
+    lower = [t.lower().encode("utf-8", "replace") for t in texts]
+    start, (name,) = hashed_words(b"\n".join([*lower, b""]), _OUTSIDE, 1)
+    first = np.searchsorted(start, np.cumsum([0] + [len(t) + 1 for t in lower]))
+    at = first + np.arange(len(first))
     out = np.zeros(at[-1], np.uint64)
-    for words, first in zip(each, at):
-        out[first + 1 : first + 1 + len(words)] = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
+    out[np.arange(len(name)) + np.repeat(np.arange(1, len(first)), np.diff(first))] = name
     return out.view(np.int64), at
 
 
@@ -111,6 +115,10 @@ _COUNTS = 16
 _BLOCK = [np.uint64, np.uint8, *[np.int64] * _COUNTS]
 
 
+#: Buckets over which the pairs of one context are dealt.
+_SPREAD = 16
+
+
 def _buckets(df: DataFrame) -> int:
     return 2 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
@@ -158,8 +166,9 @@ def _pair_blocks(buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in _counter(batches):
             context, word = (part.column(c).to_numpy() for c in ("context", "word"))
-            bucket = (_items_of(context, word) % np.uint64(buckets)).astype(np.int64)
-            yield _in_buckets(bucket, [context, word, part.column("kind").to_numpy().astype(np.uint8), part.column("n").to_numpy()])
+            # a context's pairs lie together, in as many buckets as keep a frequent one from filling its task
+            bucket = context.view(np.uint64) % np.uint64(max(1, buckets // _SPREAD)) * np.uint64(_SPREAD) + word.view(np.uint64) % np.uint64(_SPREAD)
+            yield _in_buckets(bucket.astype(np.int64), [context, word, part.column("kind").to_numpy().astype(np.uint8), part.column("n").to_numpy()])
 
     return run
 
@@ -332,14 +341,16 @@ class _Answers:
         rows = rows.filter(pa.compute.and_(pa.compute.equal(rows["name_0"], name[0]), pa.compute.equal(rows["name_1"], name[1])))
         if len(set(rows["bucket"].to_pylist())) != len(np.unique(asked.view(np.uint64) % np.uint64(buckets))):
             raise ValueError("a run of texts finds no answers: two scans of the table gave its rows in another order; store it first")
-        items, values, seen = [np.zeros(0, np.int64)], [np.zeros((0, self.width), np.float32)], set()
-        for bucket, n, data in zip(rows["bucket"].to_pylist(), rows["n"].to_pylist(), rows["data"]):
-            if n and bucket not in seen:  # equal runs have asked the same
-                item, *columns = opened(data.as_py(), n, np.int64, *[np.float32] * self.width)
-                items.append(item)
-                values.append(np.column_stack(columns))
-            seen.add(bucket)
-        return Known(np.concatenate(items), np.vstack(values))
+        values = np.zeros((len(asked), self.width), np.float32)
+        hit = np.zeros(len(asked), bool)
+        own = (asked.view(np.uint64) % np.uint64(buckets)).astype(np.int64)
+        for bucket, n, bits, data in zip(rows["bucket"].to_pylist(), rows["n"].to_pylist(), rows["hit"], rows["data"]):
+            at = np.flatnonzero(own == bucket)
+            at = at[np.unpackbits(np.frombuffer(bits.as_py(), np.uint8), count=len(at)).astype(bool)]
+            if n:  # equal runs have asked the same and are answered the same
+                values[at] = np.column_stack(opened(data.as_py(), n, *[np.uint64] * self.width))
+                hit[at] = True
+        return Known(asked[hit], values[hit])
 
 
 def _ask_name(asked: np.ndarray) -> tuple[int, int]:
@@ -355,20 +366,21 @@ def _answered(asks: DataFrame, blocks: DataFrame, scopes: list[str], shelves: in
         if known.num_rows:
             item, _, *counts = opened(known["data"][0].as_py(), known["n"][0].as_py(), *_BLOCK)
             counts = np.column_stack(counts)
-            values = np.hstack([_values(counts, s) for s in scopes])
+            values = np.hstack([_values(counts, s) for s in scopes]).astype(np.uint64)
         else:
-            item, values = np.zeros(0, np.uint64), np.zeros((0, width), np.float32)
-        n, data = [], []
+            item, values = np.zeros(0, np.uint64), np.zeros((0, width), np.uint64)
+        n, bits, data = [], [], []
         for size, wanted in zip(asking["n"].to_pylist(), asking["data"]):
             (own,) = opened(wanted.as_py(), size, np.uint64)
             at = np.minimum(np.searchsorted(item, own), max(0, len(item) - 1))
             hit = item[at] == own if len(item) else np.zeros(len(own), bool)
             n.append(int(hit.sum()))
-            data.append(block(own[hit], *[np.ascontiguousarray(c) for c in values[at[hit]].T]) if n[-1] else b"")
+            bits.append(np.packbits(hit).tobytes())
+            data.append(block(*[np.ascontiguousarray(c) for c in values[at[hit]].T]) if n[-1] else b"")
         names = {c: asking[c] for c in ("name_0", "name_1", "bucket")}
-        return pa.table({"shelf": pa.array(asking["name_0"].to_numpy() % shelves, pa.int32())} | names | {"n": pa.array(n, pa.int32()), "data": pa.array(data, pa.binary())})
+        return pa.table({"shelf": pa.array(asking["name_0"].to_numpy() % shelves, pa.int32())} | names | {"n": pa.array(n, pa.int32()), "hit": pa.array(bits, pa.binary()), "data": pa.array(data, pa.binary())})
 
-    answers = asks.groupBy("bucket").cogroup(blocks.groupBy("bucket")).applyInArrow(run, "shelf int, name_0 long, name_1 long, bucket int, n int, data binary")
+    answers = asks.groupBy("bucket").cogroup(blocks.groupBy("bucket")).applyInArrow(run, "shelf int, name_0 long, name_1 long, bucket int, n int, hit binary, data binary")
     path = shared_path(asks.sparkSession, "toxicity-answers")
     answers.repartition("shelf").write.partitionBy("shelf").option("compression", "zstd").parquet(path)
     return path
@@ -393,10 +405,11 @@ def _featured(rows: DataFrame, blocks: DataFrame, scopes: list[str], models: dic
 
     def asked(word, pair, real, at) -> np.ndarray:
         """The distinct items that are not broadcast and may be known, ascending."""
-        each = np.unique(np.concatenate([word, pair[real]]).view(np.uint64)).view(np.int64)
+        each = np.sort(np.concatenate([word, pair[real]]).view(np.uint64))
+        each = each[np.concatenate([[True], each[1:] != each[:-1]])[: len(each)]].view(np.int64)
         return each[shared.value.elsewhere(each)]
 
-    def features(word, pair, real, at, more: Known | None = None) -> np.ndarray:
+    def of_some(word, pair, real, at, more: Known | None) -> np.ndarray:
         values = [np.zeros((len(x), size), np.float32) for x in (word, pair)]
         for x, out in zip((word, pair), values):
             for source in (shared.value, more):
@@ -406,6 +419,16 @@ def _featured(rows: DataFrame, blocks: DataFrame, scopes: list[str], models: dic
             return np.zeros((len(at) - 1, FEATURES * len(scopes)))
         return np.hstack([m.features(values[0][:, 6 * i : 6 * i + 6], values[1][:, 6 * i : 6 * i + 6], real, at) for i, m in enumerate(own_models)])
 
+    def features(word, pair, real, at, more: Known | None = None) -> np.ndarray:
+        """Of some texts at a time, as the values of every word take much room."""
+        out, i = [np.zeros((0, FEATURES * len(scopes)))], 0
+        while i < len(at) - 1:
+            j = max(i + 1, int(np.searchsorted(at, at[i] + WORDS, "right")) - 1)
+            a, b = at[i], at[j]
+            out.append(of_some(word[a:b], pair[a : b - 1], real[a : b - 1], at[i : j + 1] - a, more))
+            i = j
+        return np.vstack(out)
+
     def asking(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for _, texts in slices(batch, "text", TEXTS):
