@@ -36,8 +36,8 @@ from candlework.llm.common import carried, documents_by_id, held_out, labelled,
 from candlework.llm.recompression import hashed_words
 from candlework.llm.slices import block, opened
 
-#: Most items broadcast with their values, about 8 MB a model.
-CACHE = 1 << 18
+#: Most items broadcast with their values, about 1 MB a model: few, so that the work grows alike at every size.
+CACHE = 1 << 15
 #: log2 of the fewest and of the most bits that tell which other items may be known: eight an item, up to 128 MB.
 BITMAP_BITS, MOST_BITMAP_BITS = 20, 30
 #: Taken off every count and continuation count: what occurs no more often in a class rests on the shared counts alone.
