@@ -328,6 +328,23 @@ def _known(items: DataFrame) -> tuple[Known, DataFrame | None]:
     return Known(top["item"].to_numpy(), values, bitmap), rest
 
 
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[pa.RecordBatch], list[str]]]:
+    """Runs of about TEXTS characters: their rows and texts. They do not depend on how the rows come in batches, which
+    differs with the columns that a scan reads."""
+    held, texts, size = [], [], 0
+    for batch in batches:
+        start = 0
+        for i, text in enumerate(batch.column("text").to_pylist()):
+            if size and size + len(text) > TEXTS:
+                yield [*held, batch.slice(start, i - start)], texts
+                held, texts, size, start = [], [], 0, i
+            texts.append(text)
+            size += len(text) + 8
+        held.append(batch.slice(start))
+    if texts:
+        yield held, texts
+
+
 class _Answers:
     """What the items that runs of texts asked for are worth, as a task reads it."""
 
@@ -430,14 +447,13 @@ def _featured(rows: DataFrame, blocks: DataFrame, scopes: list[str], models: dic
         return np.vstack(out)
 
     def asking(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for _, texts in slices(batch, "text", TEXTS):
-                wanted = asked(*laid_out(texts))
-                if len(wanted):
-                    name = _ask_name(wanted)
-                    item = wanted.view(np.uint64)
-                    out = _in_buckets((item % np.uint64(buckets)).astype(np.int64), [item])
-                    yield pa.record_batch({"name_0": np.full(out.num_rows, name[0]), "name_1": np.full(out.num_rows, name[1])} | {c: out.column(c) for c in out.schema.names})
+        for _, texts in _runs(batches):
+            wanted = asked(*laid_out(texts))
+            if len(wanted):
+                name = _ask_name(wanted)
+                item = wanted.view(np.uint64)
+                out = _in_buckets((item % np.uint64(buckets)).astype(np.int64), [item])
+                yield pa.record_batch({"name_0": np.full(out.num_rows, name[0]), "name_1": np.full(out.num_rows, name[1])} | {c: out.column(c) for c in out.schema.names})
 
     schema = T.StructType([rows.schema[c] for c in kept] + [T.StructField("f", T.ArrayType(T.DoubleType()))])
     path = None
@@ -447,13 +463,14 @@ def _featured(rows: DataFrame, blocks: DataFrame, scopes: list[str], models: dic
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         answers = path and _Answers(path, shelves, size)
-        for batch in batches:
-            for start, texts in slices(batch, "text", TEXTS):
-                laid = laid_out(texts)
-                wanted = asked(*laid) if answers else ()
-                f = features(*laid, answers.to(wanted, buckets) if len(wanted) else None)
-                part = batch.slice(start, len(texts))
-                yield pa.record_batch({c: part.column(c) for c in kept} | {"f": pa.array(list(f), pa.list_(pa.float64()))})
+        for held, texts in _runs(batches):
+            laid = laid_out(texts)
+            wanted = asked(*laid) if answers else ()
+            f = features(*laid, answers.to(wanted, buckets) if len(wanted) else None)
+            for part in held:
+                own, f = f[: part.num_rows], f[part.num_rows :]
+                if part.num_rows:
+                    yield pa.record_batch({c: part.column(c) for c in kept} | {"f": pa.array(list(own), pa.list_(pa.float64()))})
 
     return rows.mapInArrow(scored, schema), [shared]
 
