@@ -76,9 +76,11 @@ def test_idle_symbols_expire_and_return_anew(spark, bars):
     returned = bars.where(one & second).withColumn("stockTime", F.col("stockTime") + F.expr("interval 60 hours"))
     parts = [bars.where(others), bars.where(one & first), returned]
     want = pd.concat([base_table(p.drop("hour"), digits=6).toPandas() for p in parts])
+    got = got.where("stockName <> '~end'")  # the second marker releases the first
     assert differences(got.select(*BASE_COLUMNS).toPandas(), want) == ""
     rows = [p["stateOperators"][0]["numRowsTotal"] for p in progress if p["stateOperators"]]
-    assert rows[-1] < max(rows) / 5, rows  # all symbols but the end marker's have been idle for long
+    # a list counts as one row: at the end the marker alone has state, its waiting and its released bars
+    assert rows[-1] <= 2 < max(rows), rows
 
 
 def test_joined_indicators_equal_the_base_table_and_state_shrinks(spark, bars):
@@ -94,5 +96,8 @@ def test_joined_indicators_equal_the_base_table_and_state_shrinks(spark, bars):
     got = spark.read.parquet(out)
     want = base_table(bars.drop("hour"), digits=6).select(*got.columns)
     assert differences(got.toPandas(), want.toPandas()) == ""
-    joins = [[o["numRowsTotal"] for o in p["stateOperators"] if "Join" in o["operatorName"]] for p in query.recentProgress if p["stateOperators"]]
-    assert max(map(sum, joins)) > 0 and sum(joins[-1]) < max(map(sum, joins))
+    progress = [p["stateOperators"] for p in query.recentProgress if p["stateOperators"]]
+    joins = [o["numRowsTotal"] for p in progress for o in p if "Join" in o["operatorName"]]
+    waiting = [sum(o["numRowsTotal"] for o in p if "Join" not in o["operatorName"]) for p in progress]
+    # what is released has been passed by the watermark, so a join keeps no row beyond its batch
+    assert joins and not any(joins) and max(waiting) > 0, (joins, waiting)
