@@ -1,9 +1,14 @@
 """Mixing sources to target weights by weighted fair queueing, in DataFrame operations only.
 
 Each source's documents are shuffled by hash; a document's virtual finish time is the words of its source up to and with
-it, over the source's target. A source whose target exceeds its size runs again from the start, up to the limit on
-repeats. All copies are range-sorted by finish time over all sources and cut off where the total budget is used up; a
-document that is being served when its source reaches its target is cut there.
+it, over the source's target. A source runs again from the start, up to the limit on repeats. All copies of all sources
+are range-sorted by finish time and cut off once, where the total budget is used up: that order alone decides which
+copies are in the mix. Every source's clock reaches 1 at its target, so at the cut each has taken about its target.
+
+Long documents are queued in pieces of QUANTUM words, as long packets are in a network. Around the cut, from the place
+where no piece in service could overrun the budget to the place where the finished ones do, the pieces are queued again
+word by word: some 2 * QUANTUM words a source, so that no source is held back by a whole document. Pieces and words of a
+copy follow each other in its source's queue, so the words taken of a copy are its first ones.
 
 Prefix sums, within a source and over all, run within ranges and add the totals of earlier ranges, so a source with a
 third of all rows takes no single task.
@@ -20,6 +25,8 @@ from candlework.llm.common import prefix_sums, stored
 WEIGHTS = (5, 2, 1)
 BUDGET = 1.5
 MOST_REPEATS = 2
+#: Words of a document that are queued together.
+QUANTUM = 512
 _SPACE = r"\x20\x09-\x0D"
 
 
@@ -50,28 +57,49 @@ def targets(rows: DataFrame, weights: tuple[int, ...] = WEIGHTS, budget: float =
     return ranked.select("source", "source_size", F.least("cap", F.lit(level) * F.col("weight")).alias("target"))
 
 
-def schedule(rows: DataFrame, goals: DataFrame, repeats: int = MOST_REPEATS) -> DataFrame:
-    """(row_no, copy, size, words, finish): the copies in the mix, in virtual finish order, and the words taken of each."""
+def queued(rows: DataFrame, goals: DataFrame, repeats: int = MOST_REPEATS, quantum: int = QUANTUM) -> DataFrame:
+    """(row_no, doc_id, copy, piece, target, served, words, finish): all pieces of all copies, in the mix or not.
+
+    served: the words of the source ahead of the piece; finish: its virtual finish time.
+    """
     order = [F.xxhash64("doc_id"), F.col("doc_id").asc_nulls_last(), F.col("size"), F.col("row_no")]
     ahead = prefix_sums(rows.select("row_no", "doc_id", "source", "size"), order, "size", by=["source"], label="mixing-ahead")
     goals = goals.withColumnRenamed("source", "goal_source")
     queue = ahead.join(goals, F.col("source").eqNullSafe(F.col("goal_source"))).where("size > 0 and target > 0")
-    start = F.col("before") + F.col("copy") * F.col("source_size")
-    queue = queue.withColumn("copy", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1)))).withColumn("start", start)
-    within = F.least(F.col("size"), F.floor("target") - F.col("start"))
-    queue = queue.select("row_no", "copy", "size", ((F.col("start") + F.col("size")) / F.col("target")).alias("finish"), within.alias("within")).where("within > 0")
-    budget = goals.agg(F.floor(F.sum("target"))).first()[0] or 0
-    ahead = prefix_sums(queue, [F.col("finish"), F.col("row_no"), F.col("copy")], "within", label="mixing-order")
-    words = F.least(F.col("within"), F.lit(budget) - F.col("before"))
-    return ahead.select("row_no", "copy", "size", words.alias("words"), "finish").where("words > 0")
+    queue = queue.withColumn("copy", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))))
+    queue = queue.withColumn("piece", F.explode(F.sequence(F.lit(0), F.floor((F.col("size") - 1) / quantum))))
+    served = F.col("before") + F.col("copy") * F.col("source_size") + F.col("piece") * quantum
+    words = F.least(F.lit(quantum), F.col("size") - F.col("piece") * quantum)
+    queue = queue.select("row_no", "doc_id", "copy", "piece", "target", served.alias("served"), words.alias("words"))
+    return queue.withColumn("finish", (F.col("served") + F.col("words")) / F.col("target"))
+
+
+def schedule(rows: DataFrame, goals: DataFrame, repeats: int = MOST_REPEATS, quantum: int = QUANTUM) -> DataFrame:
+    """(row_no, copy, words): the copies in the mix and the words taken of each, from the front of the one queue."""
+    budget, sources = goals.agg(F.coalesce(F.floor(F.sum("target")), F.lit(0)), F.count("*")).first()
+    ties = [F.xxhash64("doc_id"), F.col("doc_id").asc_nulls_last(), F.col("row_no"), F.col("copy"), F.col("piece")]
+    queue = prefix_sums(queued(rows, goals, repeats, quantum), [F.col("finish"), *ties], "words", label="mixing-order")
+    # at most one piece a source is in service at a time
+    overrun = lambda room: F.min(F.when(F.col("before") + F.col("words") > room, F.col("finish")))
+    bounds = queue.agg(overrun(budget - sources * quantum), overrun(budget)).first()
+    first, last = (float("inf") if b is None else b for b in bounds)
+    whole = queue.where(F.col("finish") < first)
+    room = budget - (whole.agg(F.sum("words")).first()[0] or 0)
+    near = queue.where((F.col("finish") >= first) & (F.col("served") / F.col("target") < last))
+    near = near.withColumn("word", F.explode(F.sequence(F.lit(1), F.col("words").cast("int"))))
+    near = near.withColumn("finish", (F.col("served") + F.col("word")) / F.col("target")).withColumn("words", F.lit(1).cast("long"))
+    near = prefix_sums(near.drop("before"), [F.col("finish"), *ties, F.col("word")], "words", label="mixing-cut").where(F.col("before") < room)
+    taken = whole.select("row_no", "copy", "words").unionByName(near.select("row_no", "copy", "words"))
+    return taken.groupBy("row_no", "copy").agg(F.sum("words").alias("words"))
 
 
 def mixed(docs: DataFrame) -> DataFrame:
     """(doc_id, size, source_size, target, taken), one row per row of docs.
 
     docs: doc_id, text, source. A null or empty text has size 0 and is never taken; a null source is a source of its own,
-    the last in order; a null doc_id is an id like any other; repeated documents are queued each. An empty table gives an
-    empty result. Ties in the shuffle go by id, then size. Other columns are ignored.
+    the last in order; a null doc_id is an id like any other; repeated documents are queued each; a very long text is
+    queued in pieces. An empty table gives an empty result. Ties in the shuffle go by id, then size; ties of finish times
+    by the hash of the id, then the id. Other columns are ignored.
     """
     rows = numbered(docs)
     goals = stored(targets(rows), "mixing-goals")
@@ -82,11 +110,15 @@ def mixed(docs: DataFrame) -> DataFrame:
 
 
 def mix_documents(docs: DataFrame) -> DataFrame:
-    """The mix itself: docs' columns, a row per copy, the text of a copy that is cut ending at its last word taken."""
+    """The mix itself: docs' columns, a row per copy, the text of a copy that is cut ending at its last word taken.
+
+    Nulls, empty and very long texts, repeats and ties as for mixed; rows of size 0 are not in the mix, and an empty table
+    gives an empty one.
+    """
     columns = docs.columns
     held = docs.select(*[F.col(c) for c in columns])
     rows = numbered(held.select("doc_id", "text", "source", F.struct(*columns).alias("row")), "row")
-    copies = schedule(rows, stored(targets(rows), "mixing-goals")).select("row_no", "copy", F.col("words").alias("words_taken"))
+    copies = schedule(rows, stored(targets(rows), "mixing-goals")).select("row_no", F.col("words").alias("words_taken"))
     words = F.regexp_extract_all("row.text", F.lit(f"[{_SPACE}]*[^{_SPACE}]+"), F.lit(0))
     cut = F.array_join(F.slice(words, F.lit(1), F.col("words_taken").cast("int")), "")
     text = F.when(F.col("words_taken") < F.col("size"), cut).otherwise(F.col("row.text"))

@@ -193,6 +193,38 @@ def test_mixing(docs, none):
     assert mixing.mixed(none[0]).count() == 0
 
 
+def test_mixing_queue(spark):
+    """The words in the mix are those at the front of a queue of single words, held in a plain list."""
+    rng = random.Random(12)
+    rows = [(i, "w " * rng.choice([0, 1, 7, 40, 300]), rng.choice(["a", "a", "a", "b", "c", None])) for i in range(120)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    numbered = mixing.numbered(docs)
+    goals = mixing.targets(numbered)
+    size = {i: len(t.split()) for i, t, _ in rows}
+    goal = {r.source: (r.source_size, r.target) for r in goals.collect()}
+    hashes = dict(docs.select("doc_id", F.xxhash64("doc_id")).collect())
+    queue = []
+    for source, (whole, target) in goal.items():
+        served = 0
+        for copy in range(2):
+            for i in sorted((i for i, _, s in rows if s == source), key=lambda i: (hashes[i], i)):
+                queue += [((served + k + 1) / target, hashes[i], i, copy) for k in range(size[i])]
+                served += size[i]
+        assert served == 2 * whole
+    queue.sort()
+    budget = int(sum(t for _, t in goal.values()))
+    assert len(queue) > budget
+    want = {}
+    for _, _, i, copy in queue[:budget]:
+        want[i, copy] = want.get((i, copy), 0) + 1
+    ids = dict(numbered.select("row_no", "doc_id").collect())
+    for quantum in (5, 512):
+        got = {(ids[r.row_no], r.copy): r.words for r in mixing.schedule(numbered, goals, quantum=quantum).collect()}
+        assert got == want
+    # the global order decides: no source stops at its target by itself
+    assert mixing.queued(numbered, goals).agg(F.sum("words")).first()[0] == len(queue)
+
+
 def test_warc(spark):
     long = "x" * 100
     rows = [(5, "u v\n", long), (3, None, long), (9, "w", long[1:]), (10, "w", long[1:]), (4, "e", None), (6, "é", "é" * 50), (7, "é", "é" * 50), (None, "n", long), (3, None, long)]
