@@ -1,13 +1,15 @@
 """Quality by positive-unlabelled learning.
 
 Trusted positives are the texts labelled good; the unlabelled texts are a sample of all documents, labels unread. With
-p the share of good texts, estimated over all labels that may be learned from, a linear model g on surface features
-minimises the non-negative unbiased risk
+p the share of good texts, a linear model g on surface features minimises the non-negative unbiased risk
 
     p E_pos[loss(g)] + max(0, E_unl[loss(-g)] - p E_pos[loss(-g)])
 
 with the logistic loss; where the second term would turn negative, the step goes against it, as over-fitting shows there.
-Texts labelled bad are never used as examples. The fit sees the whole texts of bounded samples; every text is
+Texts labelled bad are never used, for p neither. p is estimated from the same two samples (best-bin estimation): one half
+of each fits a classifier of positive against unlabelled texts; on the other half, for every score c that a positive text
+reaches, the share of unlabelled texts at c or above over that of positive texts is at least p, but for chance. The ratio
+is taken where it is smallest with its margin of chance, so where few bad texts score like good ones. The fit sees the whole texts of bounded samples; every text is
 scored.
 """
 
@@ -22,11 +24,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from candlework.llm.common import carried, documents_by_id, held_out, labelled, slices, text_of
+from candlework.llm.common import carried, documents_by_id, held_out, labelled, logistic, slices, text_of
 
 #: Bounds of the samples the fit sees.
 POSITIVE_ROWS, UNLABELLED_ROWS = 20_000, 40_000
 STEPS, RATE, RIDGE = 800, 0.05, 1e-4
+#: Chance that the margins of the estimated prior allow for, and the bounds of the prior.
+DOUBT, LEAST_PRIOR, MOST_PRIOR = 0.1, 0.01, 0.99
 _MARKS = np.frombuffer(b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~", np.uint8)
 N_FEATURES = len(_MARKS) + 13
 
@@ -93,6 +97,22 @@ def minimise(positive: np.ndarray, unlabelled: np.ndarray, prior: float) -> tupl
     return w, mean, spread
 
 
+def estimated_prior(positive: np.ndarray, unlabelled: np.ndarray) -> float:
+    """The share of good texts among unlabelled ones, from features of good and of unlabelled texts alone."""
+    if min(len(positive), len(unlabelled)) < 2:
+        return 0.5
+    both = np.concatenate([positive, unlabelled]).astype(np.float64)
+    mean, spread = both.mean(0), both.std(0) + 1e-3
+    xp, xu = (expanded(x, mean, spread)[:, :-1] for x in (positive, unlabelled))
+    w = logistic(np.concatenate([xp[::2], xu[::2]]), np.repeat([1.0, 0.0], [len(xp[::2]), len(xu[::2])]))
+    sp, su = (np.sort(w[0] + x[1::2] @ w[1:]) for x in (xp, xu))
+    at_or_above = lambda found: 1 - np.searchsorted(found, sp) / len(found)
+    p, u = at_or_above(sp), at_or_above(su)
+    margin = sum(np.sqrt(np.log(4 / DOUBT) / (2 * n)) for n in (len(sp), len(su)))
+    best = np.argmin((u + margin) / p)
+    return float(np.clip(u[best] / p[best], LEAST_PRIOR, MOST_PRIOR))
+
+
 def score(rows: np.ndarray, w: np.ndarray, mean: np.ndarray, spread: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(expanded(rows, mean, spread) @ w, -30, 30)))
 
@@ -100,9 +120,6 @@ def score(rows: np.ndarray, w: np.ndarray, mean: np.ndarray, spread: np.ndarray)
 def fit(docs: DataFrame, labels: DataFrame, prior: float | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(weights, mean, spread): the classifier from documents and the labels that may be learned from."""
     usable = labelled(labels, "quality")
-    if prior is None:
-        share = usable.agg(F.avg("y")).first()[0]
-        prior = min(0.99, max(0.01, share if share is not None else 0.5))
     learn = docs.select(F.col("doc_id").cast("long").alias("doc_id")).where(F.col("doc_id").isNotNull() & ~held_out("doc_id", 3, 1))
 
     def sample(ids: DataFrame, most: int) -> np.ndarray:
@@ -120,7 +137,8 @@ def fit(docs: DataFrame, labels: DataFrame, prior: float | None = None) -> tuple
     positive = sample(learn.join(usable.where("y = 1"), "doc_id", "left_semi"), POSITIVE_ROWS)
     if not len(positive):
         return np.zeros(2 * N_FEATURES + 1), np.zeros(N_FEATURES), np.ones(N_FEATURES)
-    return minimise(positive, sample(learn, UNLABELLED_ROWS), prior)
+    unlabelled = sample(learn, UNLABELLED_ROWS)
+    return minimise(positive, unlabelled, estimated_prior(positive, unlabelled) if prior is None else prior)
 
 
 def _scored(rows: DataFrame, kept: str, kind: T.DataType, fitted: tuple[np.ndarray, np.ndarray, np.ndarray]) -> DataFrame:
@@ -138,7 +156,7 @@ def quality_scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, p
     """(doc_id, held_out, score, predicted), one row per row of docs.
 
     docs: doc_id, text; labels: doc_id, quality. Labels of ids whose crc32 modulo 3 is 1 are never read. prior: the share
-    of good texts, by default the share among all labels that may be learned from. A null or empty text has all features 0
+    of good texts, by default estimated from texts labelled good and unlabelled ones. A null or empty text has all features 0
     and is scored like any other; a null doc_id is scored, not learned from; of repeated labels of an id the larger counts;
     repeated documents are scored each. Without a positive label all scores are 0.5. Other columns are ignored.
     """

@@ -1,6 +1,7 @@
 """The ten operators on small tables: edge cases, and brute force where SQL cannot express them."""
 
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -81,6 +82,44 @@ def test_quality(docs, labels, none):
     assert quality.quality_scores(docs, none[1]).agg(F.min("score"), F.max("score")).first() == (0.5, 0.5)
 
 
+def test_quality_reads_no_bad_label(docs, labels):
+    """Labels of bad texts decide nothing, the prior neither."""
+    both, good = (quality.quality_scores(docs, x).orderBy("doc_id", "score").toPandas() for x in (labels, labels.where("quality = 1")))
+    assert both.equals(good)
+
+
+@pytest.mark.parametrize("share", [0.3, 0.6, 0.9])
+def test_quality_prior_and_risk(share):
+    """The estimated prior is near the share of a known mixture, and the fit's risk, by plain loops, is no larger nearby."""
+    rng = np.random.default_rng(8)
+    n = quality.N_FEATURES
+    good = lambda k: rng.normal(0, 1, (k, n))
+    bad = lambda k: np.column_stack([rng.normal(3, 1, (k, 2)), rng.normal(0, 1, (k, n - 2))])
+    positive = good(3000)
+    unlabelled = np.concatenate([good(round(6000 * share)), bad(round(6000 * (1 - share)))])
+    rng.shuffle(unlabelled)
+    prior = quality.estimated_prior(positive, unlabelled)
+    assert prior == pytest.approx(share, abs=0.06)
+    w, mean, spread = quality.minimise(positive, unlabelled, prior)
+
+    def risk(w):
+        g = lambda rows: [float(x @ w) for x in quality.expanded(rows, mean, spread)]
+        loss = lambda z: math.log1p(math.exp(-abs(z))) + max(0.0, -z)
+        up = sum(loss(z) for z in g(positive)) / len(positive)
+        down = sum(loss(-z) for z in g(unlabelled)) / len(unlabelled) - prior * sum(loss(-z) for z in g(positive)) / len(positive)
+        return prior * up + max(0.0, down)
+
+    least = risk(w)
+    assert least < risk(np.zeros(len(w)))
+    assert all(least < risk(w + d) for d in rng.normal(0, 0.3, (5, len(w))))
+
+
+def test_quality_prior_of_little(docs):
+    assert quality.estimated_prior(np.zeros((1, quality.N_FEATURES)), np.zeros((0, quality.N_FEATURES))) == 0.5
+    same = np.zeros((10, quality.N_FEATURES))
+    assert quality.estimated_prior(same, same) == quality.MOST_PRIOR
+
+
 def test_language(spark, none):
     rng = random.Random(5)
     made = {"aa": "abcde", "bb": "mnopq", "cc": "stuvw"}
