@@ -46,7 +46,7 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
     ("bpe", encode),
 ]
 
-#: Models and hashes cannot be expressed in SQL; tests hold the result against the stages run by brute force.
+#: Models and hashes cannot be expressed in SQL; the README says which stages tests hold against plain versions.
 ORACLE_SQL = None
 
 
