@@ -205,6 +205,47 @@ def test_sketches(docs, none):
     assert one.near_next == 1.0
 
 
+def _from_strings(one, other):
+    """The differing digests read from two printed fingerprints by a plain loop, or None if they do not peel."""
+    signed = lambda x: int(x, 16) - (1 << 64) * (int(x, 16) >> 63)
+    check = lambda k: xxhash.xxh64(k.to_bytes(8, "little", signed=True), seed=42).intdigest() & 0xFFFFFFFF
+    cells = [[[int(n), signed(k), int(h, 16)] for n, k, h in (c.split(":") for c in f.split(","))] for f in (one, other)]
+    left = [[a[0] - b[0], a[1] ^ b[1], a[2] ^ b[2]] for a, b in zip(*cells)]
+    found, more = [], True
+    while more:
+        more = False
+        for i, (n, k, h) in enumerate(left):
+            if abs(n) == 1 and check(k) == h and (k >> (i // 8 * 3)) & 7 == i % 8:
+                for row in range(3):
+                    c = left[row * 8 + ((k >> (row * 3)) & 7)]
+                    c[0], c[1], c[2] = c[0] - n, c[1] ^ k, c[2] ^ check(k)
+                found.append(k)
+                more = True
+    return None if any(any(c) for c in left) else found
+
+
+def test_sketches_give_the_likeness_by_themselves(docs):
+    """Where no larger table was needed, the two returned strings alone give the likeness."""
+    rows = [r for r in sketches.edited_fingerprints(docs).collect() if r.cells_edited == 24]
+    assert len(rows) > 200
+    for r in rows:
+        found = _from_strings(r.fingerprint, r.edited_fingerprint)
+        both = sum(int(c.split(":")[0]) for f in (r.fingerprint, r.edited_fingerprint) for c in f.split(",")[:8])
+        assert round(r.near_edited, 9) == round(1 - len(found) / both if both else 1.0, 9)
+
+
+def test_sketches_grow_with_the_difference(spark):
+    """Texts of 20,000 different lines: a few edits need few cells, all others many, and the digests found are exact."""
+    lines = [f"line {i}" for i in range(20_000)]
+    few = ["new" if i % 5_000 == 7 else x for i, x in enumerate(lines)]
+    rest = [f"other {i}" for i in range(19_000)] + lines[:1_000]
+    pairs = spark.createDataFrame([(n, "\n".join(lines), "\n".join(x)) for n, x in enumerate([lines, few, rest, []])], "n int, a string, b string")
+    both = pairs.select("n", sketches.digests(F.col("a")).alias("a"), sketches.digests(F.col("b")).alias("b"))
+    out = {r.n: r for r in both.select("n", "a", "b", sketches.recovered(F.col("a"), F.col("b")).alias("r")).collect()}
+    assert all(sorted(r.r.found) == sorted(set(r.a) ^ set(r.b)) for r in out.values())
+    assert out[0].r.cells == out[1].r.cells == 24 and len(out[1].r.found) == 5 and out[2].r.cells > 30_000
+
+
 def test_urls(spark):
     pages = [(1, "http://EXAMPLE.org/en/12"), (2, "https://a.example.org/es/x?u=://b"), (3, "x://com/de/"), (4, "http://bcom/de/1"), (5, "http://a.com/fr/#x"), (6, None), (7, "no scheme"), (8, "http://org"), (9, ""), (1, "http://EXAMPLE.org/en/12")]
     df = spark.createDataFrame([(*p, "h", "allow") for p in pages], "page_id long, url string, html string, verdict string")
