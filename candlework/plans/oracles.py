@@ -282,3 +282,56 @@ def frequencies(table: str) -> str:
 FEATURE_LIST = ", ".join(FEATURE_COLUMNS)
 BASE_LIST = ", ".join(BASE_COLUMNS)
 SIGNAL_LIST = ", ".join(SIGNAL_COLUMNS)
+
+
+def class_stats(table: str, by: str) -> str:
+    """Per class, from indicator columns of the single rows."""
+    ratio = lambda a, b: f"sum(({a})::INT)::DOUBLE / nullif(sum(({b})::INT), 0)"
+    shares = {
+        "sensitivity": ratio("l AND p", "l"),
+        "specificity": ratio("NOT l AND NOT p", "NOT l"),
+        "positive_value": ratio("l AND p", "p"),
+        "negative_value": ratio("NOT l AND NOT p", "NOT p"),
+        "f1": "2 * sum((l AND p)::INT)::DOUBLE / nullif(sum(l::INT) + sum(p::INT), 0)",
+        "prevalence": ratio("l", "true"),
+        "detection_rate": ratio("l AND p", "true"),
+        "detection_prevalence": ratio("p", "true"),
+        "balanced_accuracy": f"({ratio('l AND p', 'l')} + {ratio('NOT l AND NOT p', 'NOT l')}) / 2",
+    }
+    columns = ", ".join(f"{R(expression, 6)} AS {name}" for name, expression in shares.items())
+    return f"""SELECT {by}, class, {columns} FROM (SELECT {by}, class, label = class AS l, prediction = class AS p
+        FROM {table}, (SELECT unnest([0, 1, 2])::INT AS class) WHERE label IN (0, 1, 2) AND prediction IN (0, 1, 2)) GROUP BY {by}, class"""
+
+
+def confusion_tests(parts: list[str], table: str, by: str) -> str:
+    """Binomial tails as sums of their terms, bounds by halving over these sums, the chi-square tail as an area of thin strips."""
+
+    def tail(p: str) -> str:
+        term = f"exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln({p}) + (n - i) * ln(1 - {p}))"
+        return f"list_sum(list_transform(range(k, n + 1), lambda i: {term}))"
+
+    cell = lambda i, j: f"count(*) FILTER (label = {i} AND prediction = {j})"
+    pairs = [(0, 1), (0, 2), (1, 2)]
+    statistic = " + ".join(f"coalesce(({cell(i, j)} - {cell(j, i)})::DOUBLE ** 2 / nullif({cell(i, j)} + {cell(j, i)}, 0), 0)" for i, j in pairs)
+    degrees = " + ".join(f"({cell(i, j)} + {cell(j, i)} > 0)::INT" for i, j in pairs)
+    commonest = ", ".join(f"count(*) FILTER (label = {k})" for k in (0, 1, 2))
+    strip = "exp(-t * t / 2) * t ** (degrees - 1)"
+    strips = f"list_sum(list_transform(range(0, 20000), lambda i: list_transform([sqrt(symmetry) + (i + 0.5) / 2000], lambda t: {strip})[1])) / 2000"
+    own = [
+        f"""facts AS (SELECT {by}, count(*) AS n, count(*) FILTER (label = prediction) AS hits, greatest({commonest}) AS most,
+        {statistic} AS symmetry, {degrees} AS degrees FROM {table} WHERE label IN (0, 1, 2) AND prediction IN (0, 1, 2) GROUP BY {by})""",
+        # the upper bound has 97.5 % of at least hits + 1
+        f"""halved AS (SELECT {by}, 'lower' AS bound, n, hits AS k, 0.025 AS p, 0.0::DOUBLE AS lo, 1.0::DOUBLE AS hi, 0 AS step FROM facts
+        UNION ALL SELECT {by}, 'upper', n, hits + 1, 0.975, 0.0::DOUBLE, 1.0::DOUBLE, 0 FROM facts
+        UNION ALL SELECT {by}, bound, n, k, p, CASE WHEN less THEN m ELSE lo END, CASE WHEN less THEN hi ELSE m END, step + 1
+        FROM (SELECT *, coalesce({tail('m')}, 0) < p AS less FROM (SELECT *, (lo + hi) / 2 AS m FROM halved WHERE step < 34)))""",
+        f"bounds AS (SELECT {by}, max((lo + hi) / 2) FILTER (bound = 'lower') AS lower, max((lo + hi) / 2) FILTER (bound = 'upper') AS upper FROM halved WHERE step = 34 GROUP BY {by})",
+    ]
+    final = f"""SELECT {by}, n AS rows, {R('hits::DOUBLE / n', 6)} AS accuracy,
+        CASE WHEN hits = 0 THEN 0 ELSE {R('lower', 6)} END AS accuracy_lower, CASE WHEN hits = n THEN 1 ELSE {R('upper', 6)} END AS accuracy_upper,
+        {R('share', 6)} AS accuracy_null,
+        CASE WHEN hits = 0 OR share = 1 THEN 1.0 ELSE {R('chance', 6)} END AS accuracy_p, {R('symmetry', 6)} AS symmetry, degrees AS symmetry_degrees,
+        CASE WHEN degrees > 0 THEN CASE WHEN symmetry = 0 THEN 1.0 ELSE {R('area', 6)} END END AS symmetry_p
+        FROM (SELECT *, CASE WHEN share < 1 THEN {tail('share')} END AS chance, CASE WHEN degrees > 0 THEN 2 ** (1 - degrees / 2) / gamma(degrees / 2) * {strips} END AS area
+        FROM (SELECT *, hits AS k, most::DOUBLE / n AS share FROM facts JOIN bounds USING ({by})))"""
+    return ctes(*parts, *own).replace("WITH ", "WITH RECURSIVE ", 1) + "\n" + final

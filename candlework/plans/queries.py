@@ -894,6 +894,27 @@ def confusion_stats(spark, sf):
 register("confusion_stats", confusion_stats, sql(o.LINE_BARS, *_SCORED, final=o.confusion("scored", [0, 1, 2])))
 
 
+def signal_against_label(spark, sf):
+    """The same per symbol."""
+    return signals_with_label(spark, sf).select("stockName", "label", F.col("SMA_signal").alias("prediction"))
+
+
+def confusion_tests(spark, sf):
+    """The signal's accuracy of each symbol with its exact interval and tests."""
+    stats = profile.confusion_tests(signal_against_label(spark, sf), [0, 1, 2], ["stockName"])
+    return rounded(stats, *[c for c in stats.columns if c not in ("stockName", "rows", "symmetry_degrees")])
+
+
+def confusion_by_class(spark, sf):
+    stats = profile.class_stats(signal_against_label(spark, sf), [0, 1, 2], ["stockName"])
+    return rounded(stats, *[c for c in stats.columns if c not in ("stockName", "class")])
+
+
+_SYMBOL_SCORED = [*_LABELLED_SIGNALS, "scored AS (SELECT stockName, label, SMA_signal AS prediction FROM labelled)"]
+register("confusion_tests", confusion_tests, o.confusion_tests([o.LINE_BARS, *_SYMBOL_SCORED], "scored", "stockName"))
+register("confusion_by_class", confusion_by_class, sql(o.LINE_BARS, *_SYMBOL_SCORED, final=o.class_stats("scored", "stockName")))
+
+
 def _row_key() -> list[Column]:
     return [F.col("stockName"), F.date_format("stockTime", "yyyy-MM-dd HH:mm:ss")]
 
