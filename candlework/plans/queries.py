@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from candlework.functions.columns import rnd, typical_price
-from candlework.operators import features, forest, labels, models, profile
+from candlework.operators import dual_svm, features, forest, labels, models, profile
 from candlework.operators import trades as backtest
 from candlework.operators.history import MAX_BARS_PER_TASK, HotSymbols, measure, number_bars
 from candlework.operators.indicators import ALL_INDICATORS, BOLLINGER, CCI, STOCHASTIC, Indicator
@@ -1188,19 +1188,30 @@ def svm_learns_rule(spark, sf):
     return profile.confusion_counts(models.evaluate_svm(models.load_model(path), test))
 
 
-register(
-    "svm_learns_rule",
-    svm_learns_rule,
-    sql(
-        o.LINE_BARS,
-        *o.BASE,
-        o.after_warmup("base"),
-        f"""ranked AS (SELECT CASE WHEN {_RULE_SQL} = 1 THEN 1 ELSE -1 END AS label, row_number() OVER (ORDER BY
-        md5(stockName || '|' || strftime(stockTime, '%Y-%m-%d %H:%M:%S') || '|100')) AS rank FROM warm)""",
-        final="""SELECT label, label AS prediction, count(*) AS n FROM ranked
-        WHERE rank > floor(0.8 * (SELECT count(*) FROM warm)) GROUP BY label""",
-    ),
+_SVM_RULE_SQL = sql(
+    o.LINE_BARS,
+    *o.BASE,
+    o.after_warmup("base"),
+    f"""ranked AS (SELECT CASE WHEN {_RULE_SQL} = 1 THEN 1 ELSE -1 END AS label, row_number() OVER (ORDER BY
+    md5(stockName || '|' || strftime(stockTime, '%Y-%m-%d %H:%M:%S') || '|100')) AS rank FROM warm)""",
+    final="""SELECT label, label AS prediction, count(*) AS n FROM ranked
+    WHERE rank > floor(0.8 * (SELECT count(*) FROM warm)) GROUP BY label""",
 )
+register("svm_learns_rule", svm_learns_rule, _SVM_RULE_SQL)
+
+
+def svm_dual_learns_rule(spark, sf):
+    """The same rule learnt by dual coordinate ascent: what the weights say of the rest."""
+    bars, hot = line_bars(spark, sf)
+    columns = [c for c in CODE_COLUMNS if c.endswith("_direction")]
+    table = labels.numbered_after_warmup(features.base_table(bars, hot, DIGITS), hot, WARMUP_BARS)
+    rows = stored(table.select(*KEY, *columns, F.when(_rule() == 1, 1).otherwise(-1).alias("label")), "svm-dual-rule")
+    train, test = models.exact_split(rows, _row_key())
+    model = dual_svm.train(train, columns, rounds=10, regularisation=0.0001, passes=5)
+    return profile.confusion_counts(test.select("label", dual_svm.predicted(model.weights, columns).alias("prediction")))
+
+
+register("svm_dual_learns_rule", svm_dual_learns_rule, _SVM_RULE_SQL)
 
 # --- streams --------------------------------------------------------------------------------
 
