@@ -13,8 +13,11 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from candlework.session import stored
+
 MAX_BARS_PER_TASK = 2_000_000
 MAX_BROADCAST_SYMBOLS = 10_000
+BARS_PER_PARTITION = 100_000  # of a shuffle by symbol: some 25 MB of base table
 
 _PERIODS = ["year", "month", "day", "hour", "minute"]  # widest first
 
@@ -25,15 +28,26 @@ class HotSymbols:
 
     table: DataFrame  # stockName, period
     broadcastable: bool
+    parts: int = 1  # partitions for shuffles of all bars, so that a task's share does not grow with their number
 
     def side(self) -> DataFrame:
         return F.broadcast(self.table) if self.broadcastable else self.table
 
 
+def parts_for(bars: int, per_partition: int = BARS_PER_PARTITION) -> int:
+    """Partitions for so many bars. Windows read a partition whole, and adaptive execution merges but never splits those."""
+    return max(1, -(-bars // per_partition))
+
+
+def dealt(bars: DataFrame, parts: int, *keys: str) -> DataFrame:
+    """Bars shuffled by the keys into so many partitions; as they are where one will do."""
+    return bars.repartition(parts, *keys) if parts > 1 else bars
+
+
 def measure(bars: DataFrame, limit: int = MAX_BARS_PER_TASK) -> HotSymbols | None:
     """Find the symbols with more than ``limit`` bars; None when there are none.
 
-    The count combines map-side and brings back at most MAX_BROADCAST_SYMBOLS + 1 names.
+    The count combines map-side and brings back at most MAX_BROADCAST_SYMBOLS + 1 names; the periods of more are stored.
     Each hot symbol gets the widest calendar period whose fullest segment is within limit.
     """
     heavy = bars.groupBy("stockName").count().filter(F.col("count") > limit).select("stockName")
@@ -43,11 +57,10 @@ def measure(bars: DataFrame, limit: int = MAX_BARS_PER_TASK) -> HotSymbols | Non
     broadcastable = len(names) <= MAX_BROADCAST_SYMBOLS
     spark = bars.sparkSession
     chosen = spark.createDataFrame([(n,) for n in names], "stockName string") if broadcastable else heavy
-    hours = (
-        bars.join(F.broadcast(chosen) if broadcastable else chosen, "stockName", "left_semi")
-        .groupBy("stockName", F.date_trunc("hour", "stockTime").alias("hour"))
-        .agg(F.count("*").alias("n"))
-    )
+    parts = parts_for(bars.count())
+    hot_bars = bars.join(F.broadcast(chosen) if broadcastable else chosen, "stockName", "left_semi")
+    by_hour = dealt(hot_bars.select("stockName", F.date_trunc("hour", "stockTime").alias("hour")), parts, "stockName", "hour")
+    hours = dealt(by_hour.groupBy("stockName", "hour").agg(F.count("*").alias("n")), parts, "stockName")
     levels = F.array(
         *[
             F.struct(F.lit(rank).alias("rank"), F.date_trunc(period, "hour").alias("start"))
@@ -66,9 +79,8 @@ def measure(bars: DataFrame, limit: int = MAX_BARS_PER_TASK) -> HotSymbols | Non
     table = fullest.groupBy("stockName").agg(
         F.element_at(F.array(*map(F.lit, _PERIODS)), F.coalesce(fits, F.lit(finest)) + 1).alias("period")
     )
-    if broadcastable:
-        table = spark.createDataFrame(table.collect(), table.schema)
-    return HotSymbols(table, broadcastable)
+    table = spark.createDataFrame(table.collect(), table.schema) if broadcastable else stored(table, "hot-symbols")
+    return HotSymbols(table, broadcastable, parts)
 
 
 MEASURE = "measure"  # stands for "count first": the default wherever a history could be hot
@@ -101,7 +113,7 @@ def overlap(bars: DataFrame, hot: HotSymbols, lookback: int) -> DataFrame:
     segment are ranked and copied; the rank limit is applied before the shuffle.
     """
     tagged = with_segments(bars, hot)
-    cut = with_segments(bars, hot, "inner")
+    cut = dealt(with_segments(bars, hot, "inner"), hot.parts, "stockName", "segment")
     by_symbol = Window.partitionBy("stockName").orderBy("segment")
     segments = (
         cut.groupBy("stockName", "segment")
@@ -122,10 +134,10 @@ def overlap(bars: DataFrame, hot: HotSymbols, lookback: int) -> DataFrame:
         .withColumn("segment", F.col("to.segment"))
     )
     columns = [*bars.columns, "segment"]
-    return (
-        tagged.select(*columns, F.lit(False).alias("_before"))
-        .unionByName(copies.select(*columns, F.lit(True).alias("_before")))
+    both = tagged.select(*columns, F.lit(False).alias("_before")).unionByName(
+        copies.select(*columns, F.lit(True).alias("_before"))
     )
+    return dealt(both, hot.parts, "stockName", "segment")
 
 
 def number_bars(bars: DataFrame, hot: HotSymbols | str | None = MEASURE, name: str = "bar_no") -> DataFrame:
@@ -138,7 +150,7 @@ def number_bars(bars: DataFrame, hot: HotSymbols | str | None = MEASURE, name: s
     if hot is None:
         in_symbol = Window.partitionBy("stockName").orderBy("stockTime")
         return bars.withColumn(name, F.row_number().over(in_symbol).cast("long"))
-    keyed = with_segments(bars, hot)
+    keyed = dealt(with_segments(bars, hot), hot.parts, "stockName", "segment")
     by_symbol = Window.partitionBy("stockName").orderBy("segment")
     segments = (
         keyed.groupBy("stockName", "segment")

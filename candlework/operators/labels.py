@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from candlework.operators.history import MEASURE, HotSymbols, number_bars, resolve
+from candlework.operators.history import MEASURE, HotSymbols, dealt, number_bars, resolve
 from candlework.schema import BUY, DEPLOYMENT_PERIODS, HOLD, SELL, THRESHOLDS, TRAINING_PERIODS, sweep_lengths
 
 
@@ -142,11 +142,15 @@ def labelled_slices(
 ) -> DataFrame:
     """Deployment slices labelled for every threshold of the grid, after each symbol's first ``warmup`` bars.
 
-    The end of day is taken over the whole table before slicing, as a slice may end mid-day.
+    The end of day is taken over the whole table before slicing, as a slice may end mid-day. Of a hot symbol the slices
+    reach a bounded number of bars; those are brought together before they are multiplied.
     """
     keys = ["stockName", "stockTime", "lastPrice"]
-    bars = table.select(*keys, *[x for x in keep if x not in keys])
-    return label(deployment_slices(numbered_days(bars, day, hot, warmup), grid), grid.thresholds)
+    hot = resolve(table, hot)
+    numbered = numbered_days(table.select(*keys, *[x for x in keep if x not in keys]), day, hot, warmup)
+    if hot is not None:
+        numbered = dealt(numbered.filter(F.col("bar_no") <= grid.last_bar), hot.parts, "stockName")
+    return label(deployment_slices(numbered, grid), grid.thresholds)
 
 
 def numbered_after_warmup(bars: DataFrame, hot: HotSymbols | str | None = MEASURE, warmup: int = 0) -> DataFrame:

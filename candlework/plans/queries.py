@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from candlework.functions.columns import rnd, typical_price
 from candlework.operators import dual_svm, features, forest, labels, models, profile
 from candlework.operators import trades as backtest
-from candlework.operators.history import MAX_BARS_PER_TASK, HotSymbols, measure, number_bars
+from candlework.operators.history import BARS_PER_PARTITION, MAX_BARS_PER_TASK, HotSymbols, measure, number_bars, parts_for
 from candlework.operators.indicators import ALL_INDICATORS, BOLLINGER, CCI, STOCHASTIC, Indicator
 from candlework.plans import oracles as o
 from candlework.schema import BAR_COLUMNS, BASE_COLUMNS, CODE_COLUMNS, KEY, MODEL_COLUMNS, POSITION_HOLD, SIGNAL_COLUMNS, WARMUP_BARS
@@ -31,6 +31,7 @@ DAY_GRID = labels.Grid(training=(50, 100), deployment=(24, 48), thresholds=(0.01
 MONTH_GRID = labels.Grid(training=(100, 200), deployment=(100, 300), thresholds=(1.0, 100.0))
 MODEL_GRID = labels.Grid(training=(300,), deployment=(100, 200), thresholds=(5.0,))
 FULL_GRID = labels.Grid.of_day_bars(4)  # all 240 points, on days as sparse as the given tables'
+FULL_GRID_BARS = 25_000  # a partition: a bar lies in some 50 slices of the full grid
 TRAINING_BARS = 300  # a forest of the registered queries learns from so many bars of each symbol after the warm-up
 
 _queries: dict[str, Query] = {}
@@ -43,9 +44,20 @@ def register(name: str, query: Query, sql: str | None = None) -> None:
         _oracles[name] = sql
 
 
-def line_bars(spark: SparkSession, sf: str) -> tuple[DataFrame, HotSymbols | None]:
-    """Bars, and the hot symbols among them by a count of trades."""
-    return tables.line_bars(spark, sf), measure(tables.line_symbols(spark, sf), MAX_BARS_PER_TASK)
+def line_bars(spark: SparkSession, sf: str, per_partition: int = BARS_PER_PARTITION) -> tuple[DataFrame, HotSymbols | None]:
+    """Bars, and the hot symbols among them by a count of trades. Where none is hot, bars of a symbol lie together, so many
+    a partition."""
+    symbols = tables.line_symbols(spark, sf)
+    hot = measure(symbols, MAX_BARS_PER_TASK)
+    if hot is not None:
+        return tables.line_bars(spark, sf, hot.parts, ("stockName", "stockTime")), hot
+    return tables.line_bars(spark, sf, parts_for(symbols.count(), per_partition)), hot
+
+
+def segmented_bars(spark: SparkSession, sf: str) -> tuple[DataFrame, HotSymbols | None]:
+    """Bars with every symbol of more than 500 trades treated as hot."""
+    hot = measure(tables.line_symbols(spark, sf), 500)
+    return tables.line_bars(spark, sf, hot.parts if hot else 1, ("stockName", "stockTime")), hot
 
 
 def order_bars(spark: SparkSession, sf: str) -> tuple[DataFrame, HotSymbols | None]:
@@ -152,8 +164,7 @@ register(
 
 def base_table_segmented(spark: SparkSession, sf: str) -> DataFrame:
     """The base table with every symbol of more than 500 trades treated as hot."""
-    hot = measure(tables.line_symbols(spark, sf), 500)
-    return features.base_table(tables.line_bars(spark, sf), hot, DIGITS)
+    return features.base_table(*segmented_bars(spark, sf), DIGITS)
 
 
 register("base_table_segmented", base_table_segmented, _BASE_SQL)
@@ -739,8 +750,8 @@ def optimal_return_hourly(spark, sf):
 
 def optimal_return_segmented(spark, sf):
     """The same with every symbol of more than 500 trades treated as hot."""
-    hot = measure(tables.line_symbols(spark, sf), 500)
-    return backtest.optimal_return(tables.line_bars(spark, sf), MONTH_GRID, month(), hot)
+    bars, hot = segmented_bars(spark, sf)
+    return backtest.optimal_return(bars, MONTH_GRID, month(), hot)
 
 
 register(
@@ -762,7 +773,7 @@ register(
 
 def optimal_return_full_grid(spark, sf):
     """All 240 points: six deployment lengths, ten training lengths, four thresholds."""
-    bars, hot = line_bars(spark, sf)
+    bars, hot = line_bars(spark, sf, FULL_GRID_BARS)
     return backtest.optimal_return(bars, FULL_GRID, month(), hot)
 
 
