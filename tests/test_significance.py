@@ -83,3 +83,17 @@ def test_missing_classes_and_empty_tables(spark):
     none = profile.confusion_tests(table.limit(0), [0, 1, 2]).first()
     assert none.rows is None and none.accuracy is None and none.accuracy_lower is None and none.symmetry_p is None
     assert profile.class_stats(table.limit(0), [0, 1, 2]).count() == 0
+
+
+def test_interval_is_computed_by_batches(spark):
+    """Sixty tails of every row are numpy's work on a whole batch and no fold of folds in each row."""
+    table = spark.range(400).select((F.col("id") * 2.0).alias("k"), F.lit(1000.0).alias("n"))
+    lower, upper = significance.binomial_interval(F.col("k"), F.col("n"))
+    found = table.select("k", lower.alias("lower"), upper.alias("upper"))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "ArrowEvalPython" in plan and "aggregate(" not in plan
+    for r in found.where("k in (2, 90, 798)").collect():
+        assert _at_least(int(r.k), 1000, r.lower) == pytest.approx(0.025, rel=1e-7)
+        assert 1 - _at_least(int(r.k) + 1, 1000, r.upper) == pytest.approx(0.025, rel=1e-7)
+    odd = spark.createDataFrame([(0.5, 0.0, 1.0), (None, 2.0, 3.0), (0.5, 2.0, None)], "p double, a double, b double")
+    assert [r.x for r in odd.select(significance.inverse_beta(F.col("p"), F.col("a"), F.col("b")).alias("x")).collect()] == [None] * 3
