@@ -31,7 +31,7 @@ PRIME = (1 << 31) - 1
 POISSON_STEPS = [math.floor(PRIME * math.exp(-1) * sum(1 / math.factorial(k) for k in range(n + 1))) for n in range(8)]
 #: Where codes split.
 CODE_EDGES = [-1.0, 0.0, 1.0]
-_CELLS = 1 << 22  # of a histogram held at a time
+_CELLS = 1 << 24  # of histograms held at a time, 128 MB
 _ROWS = 1 << 16  # held by a task at a time
 
 
@@ -47,7 +47,8 @@ def factor(fit: int, tree: int) -> int:
 
 def weights(hashes: np.ndarray, fit: int, tree: int) -> np.ndarray:
     """How often each row is drawn for a tree."""
-    return np.searchsorted(POISSON_STEPS, hashes * factor(fit, tree) % PRIME, side="right").astype(np.int64)
+    place = (hashes * factor(fit, tree) % PRIME).astype(np.int32)
+    return sum((place >= step).astype(np.int64) for step in POISSON_STEPS)
 
 
 @dataclass
@@ -67,27 +68,48 @@ class Forests:
     def depth(self) -> int:
         return self.feature.shape[2].bit_length() - 2
 
+    def complete(self, fit: int, tree: int) -> tuple[np.ndarray, np.ndarray]:
+        """The tree with all levels: by node feature * 256 + bin, where a leaf sends every row left, and by last node the
+        decision of the leaf above it."""
+        feature, cut, decision = self.feature[fit, tree].astype(np.int32), self.bin[fit, tree].astype(np.int32), self.decision[fit, tree]
+        split = np.where(feature >= 0, feature * 256 + cut, 255).astype(np.int32)
+        last = np.arange(1 << self.depth, 2 << self.depth)
+        leaf = last.copy()
+        for up in range(1, self.depth + 1):
+            above = last >> up
+            leaf = np.where(feature[above] < 0, above, leaf)
+        return split, decision[leaf]
+
     def walk(self, x: np.ndarray, fit: int, tree: int, levels: int) -> np.ndarray:
         """The node of each row after at most so many levels."""
-        node = np.ones(len(x), np.int64)
-        feature, cut = self.feature[fit, tree], self.bin[fit, tree]
-        rows = np.arange(len(x))
-        for _ in range(levels):
-            f = feature[node]
-            inner = f >= 0
-            if not inner.any():
-                break
-            node = np.where(inner, 2 * node + (x[rows, f] > cut[node]), node)
+        split = self.complete(fit, tree)[0]
+        node = _walked(x, split, levels)
+        for up in range(levels, 0, -1):  # rows that stopped at a leaf have been sent on: back up
+            above = node >> up
+            node = np.where((above > 0) & (self.feature[fit, tree][above] < 0), above, node)
         return node
 
     def votes(self, x: np.ndarray, fit: int, hashes: np.ndarray | None = None) -> np.ndarray:
         """Votes for each class; with hashes, only of trees that have the row out of their bag."""
-        out = np.zeros((len(x), self.classes), np.int64)
+        out = np.zeros((self.classes, len(x)), np.int64)
         for tree in range(self.feature.shape[1]):
-            decided = self.decision[fit, tree][self.walk(x, fit, tree, self.depth)]
-            counts = decided >= 0 if hashes is None else (decided >= 0) & (weights(hashes, fit, tree) == 0)
-            np.add.at(out, (np.flatnonzero(counts), decided[counts]), 1)
-        return out
+            split, decision = self.complete(fit, tree)
+            decided = decision[_walked(x, split, self.depth) - (1 << self.depth)]
+            if hashes is not None:
+                decided = np.where(weights(hashes, fit, tree) == 0, decided, -1)
+            for c in range(self.classes):
+                out[c] += decided == c
+        return np.ascontiguousarray(out.T)
+
+
+def _walked(x: np.ndarray, split: np.ndarray, levels: int) -> np.ndarray:
+    """The node of each row so many levels down a tree that has them all."""
+    node, first = np.ones(len(x), np.int32), np.arange(0, x.size, x.shape[1], dtype=np.int32) if len(x) else np.zeros(0, np.int32)
+    flat = x.ravel()
+    for _ in range(levels):
+        at = split[node]
+        node = 2 * node + (flat[first + (at >> 8)] > (at & 255))
+    return node
 
 
 def bin_edges(rows: DataFrame, features: Sequence[str], bins: int = 32) -> list[list[float]]:
@@ -145,45 +167,73 @@ def _tried(model: Forests, fit: int, trees: np.ndarray, nodes: np.ndarray, tried
 
 
 def _histograms(model: Forests, level: int, tried: int, seed: int):
-    """Cells (fit, tree, node, feature, bin, n0, n1, ...) of the nodes of a level, counted within each task."""
+    """Cells (fit, tree, node, feature, bin, n0, n1, ...) of the nodes of a level, counted over all rows of a task."""
     fits, trees = model.feature.shape[:2]
     bins = max((len(e) for e in model.edges), default=0) + 1
 
-    def counted(x: np.ndarray, y: np.ndarray, hashes: np.ndarray) -> Iterator[pa.RecordBatch]:
+    def ended_above(fit: int, tree: int) -> np.ndarray:
+        """Of the nodes of this level, those below a leaf: their rows have stopped above."""
+        node = np.arange(1 << level, 2 << level)
+        return np.any([model.feature[fit, tree][node >> up] < 0 for up in range(1, level + 1)], axis=0) if level else np.zeros(1, bool)
+
+    def cells_of(n: np.ndarray, feature: np.ndarray, fit: int, tree: int) -> pa.RecordBatch:
+        """The cells with rows; n: by node of the level, feature tried, bin and class."""
+        n = n.reshape(-1, model.classes)
+        full = np.flatnonzero(n.any(1))
+        at, bin_no = np.divmod(full, bins)
+        at, column = np.divmod(at, feature.shape[1])
+        return pa.record_batch(
+            {"fit": np.full(len(full), fit, np.int32), "tree": np.full(len(full), tree, np.int32), "node": at + (1 << level), "feature": feature[at, column].astype(np.int32), "bin": bin_no.astype(np.int32)}
+            | {f"n{c}": n[full, c].astype(np.int64) for c in range(model.classes)}
+        )
+
+    def add(n: np.ndarray, cells: np.ndarray, first: np.ndarray, place: np.ndarray, feature: np.ndarray, drawn_by: np.ndarray) -> None:
+        for k in range(feature.shape[1]):
+            cell = cells[first + feature[place, k]] + place * n.shape[2]
+            n[:, k] += np.bincount(cell, drawn_by, len(n) * n.shape[2]).reshape(len(n), -1).astype(np.int64)
+
+    def counted(x: np.ndarray, y: np.ndarray, hashes: np.ndarray, sums: dict | None) -> Iterator[pa.RecordBatch]:
+        """Adds the rows to the sums by (fit, tree), or yields their cells."""
         for fit in range(fits):
             mine = np.flatnonzero(y[:, fit] >= 0)
             if not len(mine):
                 continue
-            own, label, h = x[mine], y[mine, fit].astype(np.int64), hashes[mine]
+            own, h = x[mine], hashes[mine]
+            # a row's bins with its class, by row and feature
+            cells = (own.astype(np.int32) * model.classes + y[mine, fit].astype(np.int32)[:, None]).ravel()
             for tree in range(trees):
                 w = weights(h, fit, tree)
-                node = model.walk(own, fit, tree, level)
-                active = np.flatnonzero((w > 0) & (node >> level == 1))  # rows that have stopped at a leaf are above
-                if not len(active):
+                drawn = np.flatnonzero(w)
+                place = _walked(own[drawn], model.complete(fit, tree)[0], level) - (1 << level)
+                ended = ended_above(fit, tree)
+                if ended.any():
+                    going = ~ended[place]
+                    drawn, place = drawn[going], place[going]
+                if not len(drawn):
+                    continue
+                first, drawn_by = drawn * own.shape[1], w[drawn].astype(float)
+                feature = _tried(model, fit, np.full(1 << level, tree), np.arange(1 << level, 2 << level), tried, seed)
+                if sums is None:
+                    step = max(1, _CELLS // (bins * model.classes << level))
+                    for j in range(0, feature.shape[1], step):
+                        some = feature[:, j : j + step]
+                        n = np.zeros((1 << level, some.shape[1], bins * model.classes), np.int64)
+                        add(n, cells, first, place, some, drawn_by)
+                        yield cells_of(n, some, fit, tree)
                     continue
-                found, place = np.unique(node[active], return_inverse=True)
-                feature = _tried(model, fit, np.full(len(found), tree), found, tried, seed)
-                step = max(1, _CELLS // (len(found) * bins * model.classes))
-                for j in range(0, feature.shape[1], step):
-                    some = feature[:, j : j + step]
-                    value = own[active[:, None], some[place]].astype(np.int64)
-                    cell = ((place[:, None] * some.shape[1] + np.arange(some.shape[1])) * bins + value) * model.classes + label[active, None]
-                    n = np.bincount(cell.ravel(), np.repeat(w[active], some.shape[1]), len(found) * some.shape[1] * bins * model.classes).reshape(-1, model.classes).astype(np.int64)
-                    full = np.flatnonzero(n.any(1))
-                    at, bin_no = np.divmod(full, bins)
-                    at, column = np.divmod(at, some.shape[1])
-                    yield pa.record_batch(
-                        {"fit": np.full(len(full), fit, np.int32), "tree": np.full(len(full), tree, np.int32), "node": found[at], "feature": some[at, column].astype(np.int32), "bin": bin_no.astype(np.int32)}
-                        | {f"n{c}": n[full, c] for c in range(model.classes)}
-                    )
+                if (fit, tree) not in sums:
+                    sums[fit, tree] = np.zeros((1 << level, feature.shape[1], bins * model.classes), np.int64), feature
+                add(sums[fit, tree][0], cells, first, place, feature, drawn_by)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
+        # whatever its rows, a task gives each cell once, unless the cells of a level are too many to hold
+        sums = {} if fits * trees * min(tried, len(model.features)) * bins * model.classes << level <= _CELLS else None
 
         def flush() -> Iterator[pa.RecordBatch]:
             whole = pa.Table.from_batches(held).combine_chunks()
             column = lambda c: whole[c].combine_chunks()
-            yield from counted(_bytes(column("x"), len(model.features), np.uint8), _bytes(column("y"), fits, np.int8), column("hash").to_numpy())
+            yield from counted(_bytes(column("x"), len(model.features), np.uint8), _bytes(column("y"), fits, np.int8), column("hash").to_numpy(), sums)
 
         for batch in batches:
             held.append(batch)
@@ -192,6 +242,8 @@ def _histograms(model: Forests, level: int, tried: int, seed: int):
                 held = []
         if sum(b.num_rows for b in held):
             yield from flush()
+        for (fit, tree), (n, feature) in (sums or {}).items():
+            yield cells_of(n, feature, fit, tree)
 
     return run
 

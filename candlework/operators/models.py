@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from candlework.operators import forest
-from candlework.operators.history import MEASURE, HotSymbols
+from candlework.operators.history import BARS_PER_PARTITION, MEASURE, HotSymbols, dealt, parts_for
 from candlework.operators.labels import Grid, deployment_slices, label, numbered_days, response, training_slices
 from candlework.operators.trades import mark_trades, summarise
 from candlework.schema import CODE_COLUMNS, MODEL_COLUMNS, WARMUP_BARS
@@ -189,6 +189,7 @@ def predicted_slices(
     wanted = table.select(*keys, *[x for x in features if x not in keys])
     reachable = numbered_days(wanted, day, hot, warmup).filter(F.col("bar_no") <= grid.last_bar)
     numbered = stored(reachable, "numbered")
+    parts = parts_for(numbered.count())
     complete = reduce(lambda a, b: a & b, [F.col(x).isNotNull() for x in features])
 
     def fitted_and_scored(point: tuple[int, float]) -> DataFrame:
@@ -196,9 +197,10 @@ def predicted_slices(
         first = Grid((training,), (grid.deployment[0],), (threshold,))
         train = label(training_slices(numbered, first), [threshold]).withColumnRenamed("responseVariable", "label")
         model = train_forest(train, features, trees, seed, depth)
-        slices = label(deployment_slices(numbered, Grid((training,), grid.deployment, (threshold,))), [threshold])
-        scored = score(slices, model, features)
-        return scored.withColumn("prediction", F.when(complete, F.col("prediction").cast("int")))
+        # each bar is scored once, and bars of a symbol are brought together before slices multiply them
+        scored = score(numbered.filter(F.col("bar_no").between(training, training + max(grid.deployment))), model, features)
+        scored = scored.withColumn("prediction", F.when(complete, F.col("prediction").cast("int")))
+        return label(deployment_slices(dealt(scored, parts, "stockName"), Grid((training,), grid.deployment, (threshold,))), [threshold])
 
     points = [(training, threshold) for training in grid.training for threshold in grid.thresholds]
     with ThreadPoolExecutor(fits_at_once) as pool:
@@ -238,6 +240,8 @@ def predicted_sweep(
     rows = forest.binned(train, features, edges, fits, [F.col("stockName"), F.col("stockTime").cast("string")])
     model = forest.grow(rows, features, edges, len(fits), trees=trees, depth=depth, tried=tried, seed=seed)
     scored = forest.predict(numbered.filter(F.col("bar_no") >= min(grid.training)), model)
+    # a grid reaches a bounded number of bars of a symbol: they are brought together before they are multiplied
+    scored = dealt(scored, parts_for(numbered.count(), BARS_PER_PARTITION // 4), "stockName")
     slices = label(deployment_slices(scored, grid), grid.thresholds)
     place = lambda values, c: F.array_position(F.array(*[F.lit(v) for v in values]), F.col(c)) - 1
     fit = place(grid.training, "training") * len(grid.thresholds) + place([float(x) for x in grid.thresholds], "threshold")

@@ -131,3 +131,36 @@ def test_sweep_has_every_point(spark, data):
     assert sizes == {(t, d, x): (d + 1) * symbols for t in (50, 100) for d in (50, 100) for x in (5.0, 50.0)}
     assert scored.where("prediction not in (0, 1, 2)").count() == 0 and scored.where("prediction is not null").count() > 0
     assert models.predicted_return(scored).count() == 8 * symbols
+
+
+def test_a_task_gives_each_cell_once(spark, monkeypatch):
+    """However many rows a task reads, each cell of a level leaves it once, with the sum of all its rows."""
+    import pyarrow as pa
+
+    rng = np.random.default_rng(3)
+    edges = [[0.0, 1.0, 2.0], [0.0], [0.0, 1.0]]
+    x = np.stack([rng.integers(0, len(e) + 1, 3000) for e in edges], 1).astype(np.uint8)
+    y, h = rng.integers(-1, 3, (3000, 2)).astype(np.int8), rng.integers(1, 1 << 28, 3000)
+    shape = (2, 3, 4)
+    model = forest.Forests(["a", "b", "c"], edges, 3, np.full(shape, -1, np.int8), np.zeros(shape, np.uint8), np.full(shape, -1, np.int8), np.zeros(shape))
+    model.feature[:, :, 1], model.bin[:, :, 1] = 0, 1
+    rows = pa.record_batch({"hash": h, "x": pa.array([r.tobytes() for r in x], pa.binary()), "y": pa.array([r.tobytes() for r in y], pa.binary())})
+    batches = lambda: iter([rows.slice(i, 300) for i in range(0, 3000, 300)])
+    key = ("fit", "tree", "node", "feature", "bin")
+
+    def cells(level):
+        found = pa.Table.from_batches(list(forest._histograms(model, level, 2, 100)(batches()))).to_pylist()
+        summed = {}
+        for r in found:
+            old = summed.setdefault(tuple(r[k] for k in key), [0, 0, 0])
+            summed[tuple(r[k] for k in key)] = [a + r[f"n{c}"] for c, a in enumerate(old)]
+        return len(found), summed
+
+    for level in (0, 1):
+        whole = cells(level)[1]
+        with monkeypatch.context() as m:
+            m.setattr(forest, "_ROWS", 300)
+            assert cells(level) == (len(whole), whole)  # ten portions of rows
+            m.setattr(forest, "_CELLS", 1)  # too many to hold: portion by portion
+            n, by_portion = cells(level)
+            assert by_portion == whole and n > len(whole)
