@@ -340,7 +340,8 @@ def bar_lines(spark, sf):
     """Bars written as file lines, among header lines and lines cut short, and parsed again."""
     bars = tables.line_bars(spark, sf)
     time = F.date_format("stockTime", bar_files.FILE_TIME)
-    numbers = [F.col(c).cast("string") for c in BAR_COLUMNS[2:]]
+    bars = bars.select("stockName", time.alias("time"), *[F.col(c).cast("string").alias(c) for c in BAR_COLUMNS[2:]])
+    time, numbers = F.col("time"), [F.col(c) for c in BAR_COLUMNS[2:]]
     good = F.concat_ws(",", time, *numbers)
     header = F.concat_ws(",", F.lit("NAME"), *numbers)
     short = F.concat_ws(",", time, *numbers[:-1], F.lit(""))

@@ -18,20 +18,14 @@ def _number(x: Column) -> Column:
 def parse_bar_lines(lines: DataFrame) -> DataFrame:
     """Bars from (stockName, value). Lines without exactly seven fields, header lines and
     lines that do not parse are dropped. Trailing empty fields do not count as fields."""
-    fields = F.split(F.regexp_replace("value", ",+$", ""), ",")
-    parsed = lines.select("stockName", fields.alias("f")).filter(
-        (F.size("f") == 7) & ~F.element_at("f", 1).contains("NAME")
-    )
     names = ["priceOpen", "high", "low", "lastPrice", "number", "volume"]
-    return (
-        parsed.select(
-            "stockName",
-            F.try_to_timestamp(F.element_at("f", 1), F.lit(FILE_TIME)).alias("stockTime"),
-            *[_number(F.element_at("f", i + 2)).alias(n) for i, n in enumerate(names)],
-        )
-        .dropna("any")
-        .select(*BAR_COLUMNS)
-    )
+    # one row in, one row out: filters on what a generator gives are not moved into it, so each line is cut and parsed once
+    fields = F.split(F.regexp_replace("value", ",+$", ""), ",")
+    cut = lines.select("stockName", F.inline(F.array(F.struct(fields.alias("f")))))
+    whole = cut.filter((F.size("f") == 7) & ~F.element_at("f", 1).contains("NAME"))
+    time = F.try_to_timestamp(F.element_at("f", 1), F.lit(FILE_TIME)).alias("stockTime")
+    numbers = [_number(F.element_at("f", i + 2)).alias(n) for i, n in enumerate(names)]
+    return whole.select("stockName", F.inline(F.array(F.struct(time, *numbers)))).dropna("any").select(*BAR_COLUMNS)
 
 
 def read_bar_files(spark: SparkSession, folder: str, unique: bool = False) -> DataFrame:

@@ -53,3 +53,15 @@ def test_many_hot_symbols_are_stored_not_collected(spark, data, monkeypatch):
     hot = measure(symbols, 100)
     assert not hot.broadcastable and hot.table.inputFiles()
     assert hot.table.count() == symbols.groupBy("stockName").count().where(F.col("count") > 100).count() > 2
+
+
+def test_each_bar_line_is_cut_once(spark):
+    from datetime import datetime
+
+    from candlework.sources.bar_files import parse_bar_lines
+
+    good = "02/01/2020 09:30,1,2.5,0.5,1.5,3,10"
+    values = [good, good + ",,", good + ",x", "NAME" + good, good[:-3], "02/13/2020 09:30" + good[16:], good.replace("2.5", "NaN"), "", None]
+    bars = parse_bar_lines(spark.createDataFrame([("A", v) for v in values], "stockName string, value string"))
+    assert plan(bars).count("split(") == 1
+    assert [tuple(r) for r in bars.collect()] == [("A", datetime(2020, 1, 2, 9, 30), 1.0, 2.5, 0.5, 1.5, 3.0, 10.0)] * 2
