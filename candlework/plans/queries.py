@@ -54,6 +54,11 @@ def line_bars(spark: SparkSession, sf: str, per_partition: int = BARS_PER_PARTIT
     return tables.line_bars(spark, sf, parts_for(symbols.count(), per_partition)), hot
 
 
+def shared_bars(spark: SparkSession, sf: str) -> tuple[DataFrame, HotSymbols | None]:
+    """Bars for the join forms: their branches read one shuffle of the aggregate, where dealt trades would be aggregated in each."""
+    return line_bars(spark, sf, 1 << 62)
+
+
 def segmented_bars(spark: SparkSession, sf: str) -> tuple[DataFrame, HotSymbols | None]:
     """Bars with every symbol of more than 500 trades treated as hot."""
     hot = measure(tables.line_symbols(spark, sf), 500)
@@ -117,7 +122,7 @@ register(
     lambda spark, sf: features.feature_table(*line_bars(spark, sf), DIGITS),
     sql(o.LINE_BARS, *o.BASE, final=f"SELECT {o.FEATURE_LIST} FROM base"),
 )
-register("base_table_join", lambda spark, sf: features.base_table_by_joins(*line_bars(spark, sf), DIGITS), _BASE_SQL)
+register("base_table_join", lambda spark, sf: features.base_table_by_joins(*shared_bars(spark, sf), DIGITS), _BASE_SQL)
 
 
 def conflicting_copies(bars: DataFrame) -> DataFrame:
@@ -171,7 +176,7 @@ register("base_table_segmented", base_table_segmented, _BASE_SQL)
 
 register(
     "sma_join",
-    lambda spark, sf: features.sma_by_joins(*line_bars(spark, sf)),
+    lambda spark, sf: features.sma_by_joins(*shared_bars(spark, sf)),
     sql(
         o.LINE_BARS, *o.SMA, final="SELECT stockTime, stockName, lastPrice, SMA10, SMA100, SMA10lag, SMA100lag FROM sma2"
     ),
