@@ -52,3 +52,15 @@ def test_odd_tables(spark, separable):
     got = dual_svm.train(holes, FEATURES, rounds=2)
     assert got.weights == [0.0] * 3 and got.rounds[-1][3] == pytest.approx(0)
     assert [r.p for r in holes.select(dual_svm.predicted([1.0, 0.0, 0.0], FEATURES).alias("p")).collect()][0] is None
+
+
+def test_copies_are_ascended_once(separable):
+    _, _, table = separable
+    once = table.coalesce(1)
+    copies = once.withColumn("copy", F.explode(F.sequence(F.lit(1), F.lit(30)))).drop("copy")
+    chunks = dual_svm._chunked(copies, FEATURES, F.col("label")).agg(F.sum("n").alias("n"), F.sum("copies").alias("copies")).first()
+    n = table.count()
+    assert (chunks.n, chunks.copies) == (n, 30 * n)
+    got, plain = (dual_svm.train(t, FEATURES, rounds=3, regularisation=0.05, passes=2) for t in (copies, once))
+    assert got.weights == pytest.approx(plain.weights, rel=1e-9)
+    assert [r[1:] for r in got.rounds] == [pytest.approx(r[1:], rel=1e-9) for r in plain.rounds]
