@@ -23,6 +23,7 @@ from candlework.schema import CODE_COLUMNS, MODEL_COLUMNS, WARMUP_BARS
 from candlework.session import stored
 
 _HEX_DIGITS = 4  # a level of hash ranges: 2**16 of them
+_WEIGHED = 100_000  # a row given to the SVM weighs no more than this part of all, or a single row
 _MAX_RANKED = 1_000_000  # rows of a range that one task ranks; fuller ranges are cut again
 
 
@@ -77,14 +78,26 @@ def train_svm(
 ) -> PipelineModel:
     """Linear SVM without intercept on labels 1 and -1.
 
-    At most ``iterations`` passes over the data; ``regularisation`` weighs the L2 penalty.
+    At most ``iterations`` passes over the data; ``regularisation`` weighs the L2 penalty. Equal rows are counted first, and
+    the passes are over the different ones with their number as weight: of codes, there are no more than their combinations.
     """
-    binary = train.withColumn("_target", F.when(F.col(label_column) > 0, 1.0).otherwise(0.0))
+    target = F.when(F.col(label_column) > 0, 1.0).otherwise(0.0).alias("_target")
+    counted = train.select(*features, target).groupBy(*features, "_target").agg(F.count("*").cast("double").alias("_n"))
+    counted = stored(counted, "svm-rows")
+    total = counted.agg(F.sum("_n")).first()[0] or 0.0
+    # heavy rows are passed over in pieces, _WEIGHED more rows at most: so features are scaled as without weights
+    pieces = F.ceil(F.col("_n") / max(1.0, total / _WEIGHED)).cast("int")
+    weighed = counted.withColumn("_pieces", pieces).withColumn("_rows", F.col("_n") / F.col("_pieces"))
+    squares = weighed.agg(F.sum(F.col("_n") * F.col("_rows"))).first()[0]
+    if total > 1:
+        # what is left of a difference: weighted rows have their variance over total - squares / total, not total - 1
+        regularisation *= (total - squares / total) / (total - 1)
+    weighed = weighed.withColumn("_piece", F.explode(F.sequence(F.lit(1), F.col("_pieces"))))
     stages = [
         VectorAssembler(inputCols=list(features), outputCol="features"),
-        LinearSVC(labelCol="_target", fitIntercept=False, maxIter=iterations, regParam=regularisation),
+        LinearSVC(labelCol="_target", weightCol="_rows", fitIntercept=False, maxIter=iterations, regParam=regularisation),
     ]
-    return Pipeline(stages=stages).fit(binary)
+    return Pipeline(stages=stages).fit(weighed)
 
 
 def svm_weights(model: PipelineModel) -> list[float]:

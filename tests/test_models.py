@@ -1,5 +1,6 @@
 import tempfile
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -65,6 +66,35 @@ def test_svm(table):
     assert {r.prediction for r in counts} <= {-1, 1} and {r.label for r in counts} <= {-1, 1}
 
 
+def test_svm_passes_over_different_rows(spark, monkeypatch):
+    """Copies are weighed, to the weights of a fit over every row."""
+    rows = spark.range(0, 6000, 1, 1).selectExpr("id % 5 - 2 as a", "(id div 5) % 3 as b", "if(id % 5 - 2 + (id div 5) % 3 + id % 7 / 7 > 1, 1, -1) as label")
+    target = F.when(F.col("label") > 0, 1.0).otherwise(0.0)
+    plain = models.LinearSVC(labelCol="_target", fitIntercept=False, maxIter=30, regParam=0.01)
+    vectors = models.VectorAssembler(inputCols=["a", "b"], outputCol="features").transform(rows.withColumn("_target", target))
+    want = list(plain.fit(vectors).coefficients)
+    sizes = []
+
+    class Recorded(models.Pipeline):
+        def fit(self, data):
+            sizes.append(data.count())
+            return super().fit(data)
+
+    monkeypatch.setattr(models, "Pipeline", Recorded)
+    table = np.array([tuple(r) for r in rows.collect()], float)
+    x, y = table[:, :2], table[:, 2]
+    loss = lambda w: np.maximum(0, 1 - y * (x @ w)).mean() + 0.005 * ((w * x.std(0, ddof=1)) ** 2).sum()
+    fits = []
+    for weighed in (100, 6000):
+        monkeypatch.setattr(models, "_WEIGHED", weighed, raising=False)
+        fits.append(np.array(models.svm_weights(models.train_svm(rows, ["a", "b"], iterations=30))))
+    # pieces of weight 1 are the rows; heavier ones take other steps and are not as near the least loss after 30
+    assert list(fits[1]) == pytest.approx(want, rel=1e-3)
+    assert loss(fits[0]) == pytest.approx(loss(np.array(want)), rel=0.05)
+    different = rows.distinct().count()
+    assert sizes[0] <= different + 100 and sizes[1] == 6000
+
+
 def test_forest_scores_and_persistence(spark, table):
     model = models.train_forest(table, MODEL_COLUMNS, trees=5)
     top = models.importance(model, spark, top=12).collect()
