@@ -34,6 +34,9 @@ SIMILAR = 0.8
 PART = 20_000
 #: Pairs compared at a time.
 _BLOCK = 1 << 22
+#: Of a cluster whose nodes are compared pair by pair: nodes that need no further part, parts that nodes alone may make,
+#: and most shingles of a part, which may make more.
+CLUSTER_PART, CLUSTER_PARTS, PART_SHINGLES = 64, 32, 1 << 21
 
 
 def _mixed(h: np.ndarray) -> np.ndarray:
@@ -176,7 +179,7 @@ def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _verified(radius: int, names: list[str], pick: str):
-    """Over rows sorted by (key, part, asks, node): a forest of the verified links, or the pairs that `pick` names."""
+    """Over rows sorted by (key, part, asks, node): a forest of the verified links that `pick` names, or stars of them."""
     wide = [*names, *(["component"] if pick == "between" else [])]
 
     def links(group: np.ndarray, asks: np.ndarray, node: np.ndarray, fp: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
@@ -202,10 +205,7 @@ def _verified(radius: int, names: list[str], pick: str):
                 near &= fp[-1][left] != fp[-1][right]
             if near.any():
                 a, b = node[left[near]], node[right[near]]
-                if pick == "forest":
-                    a, b = forest(a, b)
-                elif pick == "stars":
-                    a, b = stars(a, b, differ[near])
+                a, b = stars(a, b, differ[near]) if pick == "stars" else forest(a, b)
                 yield pa.record_batch({"a": a, "b": b})
             at = stop
 
@@ -244,8 +244,8 @@ def near_links(distinct: DataFrame, cut: list[tuple[int, int, int]], radius: int
     """(a, b): links between nodes with the same components as all pairs found whose fingerprints differ in <= radius bits.
 
     distinct: node, fp0, fp1, ..., few with equal fingerprints. With pick "stars" the rows are pairs found themselves, every
-    node's with its smallest and with its nearest partner under each key; with "between" all pairs found whose nodes differ
-    in the column component. Pairs whose distance is within the bound of `cut` (the sum
+    node's with its smallest and with its nearest partner under each key; with "between" the links have the components of
+    the pairs found whose nodes differ in the column component. Pairs whose distance is within the bound of `cut` (the sum
     of its radii + 1, less one) are all found.
     """
     names = [c for c in distinct.columns if c.startswith("fp")]
@@ -335,14 +335,89 @@ def similar(pairs: DataFrame, texts: DataFrame, words: int, least: float = SIMIL
     return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
 
 
+def _similar_parts(cut: list[tuple[int, int, int]], radius: int, least: float):
+    """Of the nodes of two parts of a cluster, or of one: a forest of the components that similar nodes link."""
+
+    def run(key: tuple[pa.Scalar, ...], block: pa.Table) -> pa.Table:
+        column = lambda c: block[c].to_numpy()
+        component, part, fp = column("component"), column("part"), [column(c).view(np.uint64) for c in ("fp0", "fp1")]
+        sets = block["shingles"].to_pylist()
+        size = np.fromiter(map(len, sets), np.int64, len(sets)) // 8
+        start = np.cumsum(size) - size
+        names, token = np.unique(np.frombuffer(b"".join(sets), np.uint64), return_inverse=True)
+        own, step = np.zeros(len(names), bool), max(1, _BLOCK // max(1, int(size.max())))
+        first, one = [s[0] for s in cut], key[1].as_py() == key[2].as_py()
+        right = np.flatnonzero(part == key[2].as_py())
+        a, b = [], []
+        for i in np.flatnonzero(part == key[1].as_py()):
+            at = right[right > i] if one else right
+            # candidates as they are found by their keys: near on the whole and in a segment
+            short, long = np.minimum(size[at], size[i]), np.maximum(size[at], size[i])
+            at = at[(component[at] != component[i]) & (short > 0) & (short >= least * long)]
+            differ = np.stack([f[at] ^ f[i] for f in fp], axis=1)
+            near = np.bitwise_count(differ).sum(1, dtype=np.int64) <= radius
+            at, bits = at[near], np.unpackbits(differ[near].view(np.uint8), axis=1, bitorder="little")
+            at = at[(np.add.reduceat(bits, first, axis=1, dtype=np.int64) <= [s[2] for s in cut]).any(1)]
+            if not len(at):
+                continue
+            mine = token[start[i] : start[i] + size[i]]
+            own[mine] = True
+            for j in range(0, len(at), step):
+                some = at[j : j + step]
+                n = size[some]
+                begin = np.cumsum(n) - n
+                both = np.add.reduceat(own[token[np.arange(n.sum()) + np.repeat(start[some] - begin, n)]], begin, dtype=np.int64)
+                found = some[both >= least * (n + size[i] - both)]
+                a.append(np.full(len(found), component[i]))
+                b.append(component[found])
+            own[mine] = False
+        if not sum(map(len, a)):
+            return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
+        return pa.table(dict(zip("ab", forest(np.concatenate(a), np.concatenate(b)))))
+
+    return run
+
+
+def similar_between(parted: DataFrame, texts: DataFrame, cut: list[tuple[int, int, int]], radius: int, words: int, least: float = SIMILAR) -> DataFrame:
+    """(a, b): links of components with the same components as all pairs of nodes found by `near_links` that differ in theirs
+    and whose texts (row_no, text) share at least `least` of their shingles.
+
+    parted: node, fp0, fp1, component. Pairs just below `least` can be as many as the square of a group, and each of them has
+    to be compared, but none becomes a row: forests of the pairs found by fingerprint give clusters, a cluster is dealt
+    into parts, and two parts at a time are compared in a task, each text's shingles having been made once.
+    """
+    found = components(near_links(parted, cut, radius, "between"))
+    inside = found.select("node", F.col("root").alias("cluster")).union(found.select("root", "root").distinct())
+    inside = stored(inside.join(parted.select("node", "fp0", "fp1", "component"), "node"), "simhash-clusters")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start, some in slices(batch, "text"):
+                sets = [np.unique(shingles(t, words)) for t in some]
+                yield pa.record_batch({"row_no": batch.column("row_no").slice(start, len(some)), "size": np.array([len(s) for s in sets]), "shingles": pa.array([s.tobytes() for s in sets], pa.binary())})
+
+    ids = inside.select(F.col("node").alias("row_no"))
+    wanted = prefiltered(text_of(texts, "row_no"), ids, "row_no").join(ids, "row_no", "left_semi")
+    sets = wanted.mapInArrow(run, "row_no long, size long, shingles binary").withColumnRenamed("row_no", "node")
+    inside = stored(inside.join(sets, "node"), "simhash-sets")
+    by_nodes = F.least(F.ceil(F.count("*") / CLUSTER_PART), F.lit(CLUSTER_PARTS))
+    full = inside.groupBy("cluster").agg(F.greatest(by_nodes, F.ceil(F.sum("size") / PART_SHINGLES)).cast("int").alias("parts"))
+    full = stored(full.where("parts > 1"), "simhash-full-clusters")
+    dealt = inside.join(full, "cluster", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    dealt = dealt.withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    blocks = dealt.select("cluster", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"), "part", "component", "fp0", "fp1", "shingles")
+    return blocks.groupBy("cluster", "low", "high").applyInArrow(_similar_parts(cut, radius, least), "a long, b long")
+
+
 def one_of_each(docs: DataFrame, words: int = 5, radius: int = WIDE_RADIUS) -> DataFrame:
     """Of every group of near-duplicates the row with the smallest doc_id, all columns as they were.
 
     Texts are linked whose shingle sets have a Jaccard similarity of 0.8 or more. Candidates are the pairs whose
     fingerprints of 128 bits differ in at most 24. Ten segments ask for all keys one bit away: every pair within 19 bits is
     a candidate, and of those within 24 bits all that do not differ in two bits or more of every segment. Every node's
-    smallest and nearest candidates are compared first, then all candidates that these links have not joined, so a dense
-    group of similar texts never yields all its pairs. Null ids rank last; of equal ids one row stays. Null and empty texts
+    smallest and nearest candidates are compared first, then all candidates that these links have not joined, in blocks of
+    a cluster: no group of texts, similar or just below, yields a row for each of its pairs. Null ids rank last; of equal ids one row stays. Null and empty texts
     are equal to each other.
     """
     numbered = stored(docs.select(F.struct(*docs.columns).alias("row"), "doc_id", "text", F.monotonically_increasing_id().alias("row_no")), "simhash-numbered")
@@ -356,11 +431,7 @@ def one_of_each(docs: DataFrame, words: int = 5, radius: int = WIDE_RADIUS) -> D
     joined = components(links).withColumnRenamed("node", "linked")
     parted = distinct.join(joined, F.col("node") == F.col("linked"), "left").select("node", "fp0", "fp1", "best", F.coalesce("root", "node").alias("component"))
     parted = stored(parted, "simhash-parted")
-    more = similar(near_links(parted, cut, radius, "between"), numbered, words)
-    # links of parts: of their roots
-    root = lambda c: parted.select(F.col("node").alias(c), F.col("component").alias(f"of_{c}"))
-    more = more.join(root("a"), "a").join(root("b"), "b").select(F.col("of_a").alias("a"), F.col("of_b").alias("b"))
-    found = components(more).withColumnRenamed("node", "linked")
+    found = components(similar_between(parted, numbered, cut, radius, words)).withColumnRenamed("node", "linked")
     rooted = parted.join(found, F.col("component") == F.col("linked"), "left").select("best", F.coalesce("root", "component").alias("root"))
     kept = stored(rooted.groupBy("root").agg(F.min("best").alias("best")).select(F.col("best.row_no").alias("row_no")), "simhash-kept")
     # what is kept grows with the input and is never broadcast

@@ -433,6 +433,38 @@ def test_one_of_each_equals_exact_jaccard(spark, words):
     assert {r.doc_id for r in simhash.one_of_each(df).select("doc_id").collect()} == want
 
 
+def test_pairs_between_parts_are_no_rows(spark, words, monkeypatch):
+    """Of k texts from one template, each but two a little below the similarity of the others, links are found and the pairs by
+    fingerprint are fewer than the square: in one part, and in parts of few nodes or few shingles."""
+    rng = random.Random(5)
+    base = [rng.choice(words) + rng.choice(words) for _ in range(150)]
+    texts = []
+    for i in range(60):
+        copy = list(base)
+        for j in rng.sample(range(5, 145, 10), 3):
+            copy[j] = f"own{i}x{j}"
+        texts.append(" ".join(copy))
+    texts += [texts[7] + " end", texts[9] + " stop"]
+    sets = [set(simhash.shingles(t, 5).tolist()) for t in texts]
+    fp = np.stack([simhash.fingerprint(t, 5, 2) for t in texts])
+    cut = simhash.segments(10, 19, 128)
+    bits = np.unpackbits((fp[:, None] ^ fp[None, :]).view(np.uint8), axis=2, bitorder="little")
+    met = (bits.sum(2) <= 24) & (np.add.reduceat(bits, [c[0] for c in cut], axis=2) <= 1).any(2)
+    alike = np.array([[len(x & y) / len(x | y) >= 0.8 for y in sets] for x in sets])
+    a, b = np.nonzero(np.triu(met & alike, 1))
+    pairs = int(np.triu(met, 1).sum())
+    assert pairs > 8 * len(texts) > 8 * len(a) > 0
+    parted = spark.createDataFrame([(i, *map(int, f.view(np.int64)), i) for i, f in enumerate(fp)], "node long, fp0 long, fp1 long, component long").repartition(1)
+    numbered = spark.createDataFrame(list(enumerate(texts)), "row_no long, text string")
+    assert simhash.near_links(parted, cut, 24, "between").distinct().count() < pairs / 2
+    want = dict(zip(*simhash.forest(a, b)))
+    for part, shingles in ((64, 1 << 21), (5, 1 << 21), (64, 600)):
+        monkeypatch.setattr(simhash, "CLUSTER_PART", part)
+        monkeypatch.setattr(simhash, "PART_SHINGLES", shingles)
+        links = simhash.similar_between(parted, numbered, cut, 24, 5)
+        assert {r.node: r.root for r in simhash.components(links).collect()} == want
+
+
 def test_toxicity_counts_are_not_capped(spark):
     """A pair that always follows its context has the same probability in both classes, however often it occurs."""
     pairs = spark.createDataFrame([(11, 12, 1_000_000, 10_000, 1_000_000, 10_000), (11, 13, 3, 3, 3, 3), (12, 13, 5, 5, 5, 5)], "context long, word long, k0 int, k1 int, k2 int, k3 int")
