@@ -47,8 +47,13 @@ def factor(fit: int, tree: int) -> int:
 
 def weights(hashes: np.ndarray, fit: int, tree: int) -> np.ndarray:
     """How often each row is drawn for a tree."""
-    place = (hashes * factor(fit, tree) % PRIME).astype(np.int32)
-    return sum((place >= step).astype(np.int64) for step in POISSON_STEPS)
+    place = hashes * factor(fit, tree)
+    place = (place & PRIME) + (place >> 31)  # below 2 * PRIME, as a product is below its square
+    place = np.where(place >= PRIME, place - PRIME, place).astype(np.int32)
+    drawn = np.zeros(len(place), np.int8)
+    for step in POISSON_STEPS:
+        drawn += (place >= step).view(np.int8)
+    return drawn.astype(np.int64)
 
 
 @dataclass
@@ -129,7 +134,17 @@ def _matrix(column: pa.Array, width: int) -> np.ndarray:
 
 
 def _bytes(column: pa.Array, width: int, kind: type) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), kind).reshape(len(column), width)
+    if not len(column):
+        return np.zeros((0, width), kind)
+    _, ends, values = column.buffers()
+    first = int(np.frombuffer(ends, np.int64 if pa.types.is_large_binary(column.type) else np.int32)[column.offset])
+    return np.frombuffer(values, kind, len(column) * width, first).reshape(len(column), width)
+
+
+def _binary(rows: np.ndarray) -> pa.Array:
+    """The rows of a matrix of single bytes as binary values, without a Python object for each."""
+    ends = np.arange(len(rows) + 1, dtype=np.int32) * np.int32(rows.shape[1])
+    return pa.Array.from_buffers(pa.binary(), len(rows), [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(rows))])
 
 
 def evenly(rows: DataFrame) -> DataFrame:
@@ -148,7 +163,7 @@ def binned(rows: DataFrame, features: Sequence[str], edges: list[list[float]], l
         for batch in batches:
             x = _binned(_matrix(batch.column("f"), width), edges)
             y = _matrix(batch.column("y"), fits).astype(np.int8)
-            yield pa.record_batch({"hash": batch.column("hash"), "x": pa.array([r.tobytes() for r in x], pa.binary()), "y": pa.array([r.tobytes() for r in y], pa.binary())})
+            yield pa.record_batch({"hash": batch.column("hash"), "x": _binary(x), "y": _binary(y)})
 
     out = complete.select(row_hash(key), values.alias("f"), labels.alias("y")).where(F.exists("y", lambda v: v >= 0))
     # dealt evenly: every level scans these rows, and each costs a walk for every fit and tree
@@ -333,16 +348,16 @@ def importances(spark: SparkSession, model: Forests) -> DataFrame:
     return spark.createDataFrame(rows, "fit int, feature string, importance double")
 
 
-def predict(table: DataFrame, model: Forests, name: str = "predictions", missing: float | None = None) -> DataFrame:
-    """The table with an array of one prediction a fit, in one scan; ties go to the smallest class.
+def predict(table: DataFrame, model: Forests, name: str = "predictions", missing: float | None = None, keep: Sequence[str] | None = None) -> DataFrame:
+    """The table, or the columns of it to keep, with an array of one prediction a fit, in one scan; ties go to the smallest class.
 
     A fit without trees predicts -1. A row with a missing feature counts it as ``missing``, or gets -1 everywhere if that is
     None. Every tree walks a whole batch at a time.
     """
-    width, fits, kept = len(model.features), model.feature.shape[0], table.columns
+    width, fits, kept = len(model.features), model.feature.shape[0], list(table.columns if keep is None else keep)
     shared = table.sparkSession.sparkContext.broadcast(model)
     values = F.array(*[F.col(f).cast("double") for f in model.features])
-    schema = T.StructType([*table.schema, T.StructField(name, T.ArrayType(T.IntegerType()))])
+    schema = T.StructType([*[table.schema[c] for c in kept], T.StructField(name, T.ArrayType(T.IntegerType()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forests = shared.value
@@ -359,7 +374,7 @@ def predict(table: DataFrame, model: Forests, name: str = "predictions", missing
             column = pa.ListArray.from_arrays(np.arange(0, out.size + 1, fits, dtype=np.int32), out.ravel())
             yield pa.record_batch({c: batch.column(c) for c in kept} | {name: column})
 
-    return table.withColumn("_values", values).mapInArrow(run, schema)
+    return table.select(*kept, values.alias("_values")).mapInArrow(run, schema)
 
 
 def out_of_bag(rows: DataFrame, model: Forests) -> DataFrame:

@@ -1176,7 +1176,7 @@ def forests_score_missing(spark, sf):
     model = forest.grow(rows, CODE_COLUMNS, edges, 2, trees=5, depth=2, tried=len(CODE_COLUMNS))
     nodes = stored(forest.node_table(spark, model), "nodes")
     model = forest.from_nodes(nodes, CODE_COLUMNS, edges, 3, model.feature.shape)
-    scored = forest.predict(numbered.withColumn("stoch_direction", hidden(F.lit(None).cast("int"))), model, missing=0.0)
+    scored = forest.predict(numbered.withColumn("stoch_direction", hidden(F.lit(None).cast("int"))), model, missing=0.0, keep=KEY)
     return scored.select(*KEY, F.col("predictions")[0].cast("double").alias("prediction"), F.col("predictions")[1].cast("double").alias("untrained"))
 
 

@@ -164,3 +164,20 @@ def test_a_task_gives_each_cell_once(spark, monkeypatch):
             m.setattr(forest, "_CELLS", 1)  # too many to hold: portion by portion
             n, by_portion = cells(level)
             assert by_portion == whole and n > len(whole)
+
+
+def test_rows_of_bytes_and_columns_to_keep(spark):
+    """Matrices become binary values and come back, from slices as well; weights are those of the plain remainder; only the
+    columns to keep go through the scoring tasks."""
+    x = np.arange(30, dtype=np.uint8).reshape(10, 3)
+    column = forest._binary(x)
+    assert column.to_pylist() == [r.tobytes() for r in x]
+    assert (forest._bytes(column.slice(4, 5), 3, np.uint8) == x[4:9]).all() and forest._bytes(column[:0], 3, np.int8).shape == (0, 3)
+    h = np.array([1, 2, 3, (1 << 28) - 1, 1 << 28])
+    for tree in range(50):
+        place = [int(v) * forest.factor(1, tree) % forest.PRIME for v in h]
+        assert forest.weights(h, 1, tree).tolist() == [sum(p >= step for step in forest.POISSON_STEPS) for p in place]
+    empty = forest.Forests(["a"], [[0.0]], 3, *[np.full((1, 1, 4), -1, np.int8), np.zeros((1, 1, 4), np.uint8), np.full((1, 1, 4), -1, np.int8), np.zeros((1, 1, 4))])
+    table = spark.createDataFrame([(1, 0.5, "b")], "id long, a double, more string")
+    assert forest.predict(table, empty, keep=["id"]).collect() == [(1, [-1])]
+    assert forest.predict(table, empty).columns == ["id", "a", "more", "predictions"]
