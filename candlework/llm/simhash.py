@@ -34,6 +34,8 @@ SIMILAR = 0.8
 PART = 20_000
 #: Pairs compared at a time.
 _BLOCK = 1 << 22
+#: Links a task gathers before it cuts them down; what stays is at most two a node.
+LINKS = 1 << 18
 #: Of a cluster whose nodes are compared pair by pair: nodes that need no further part, parts that nodes alone may make,
 #: and most shingles of a part, which may make more.
 CLUSTER_PART, CLUSTER_PARTS, PART_SHINGLES = 64, 32, 1 << 21
@@ -146,14 +148,15 @@ def _filed_and_asked(cut: list[tuple[int, int, int]], names: list[str], carry: l
     return run
 
 
-def stars(a: np.ndarray, b: np.ndarray, differ: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Of the pairs given, those of every node with its smallest partner and with the one that differs least."""
+def stars(a: np.ndarray, b: np.ndarray, differ: np.ndarray) -> np.ndarray:
+    """Of the pairs given, the places of those of every node with its smallest partner and with the one that differs least."""
     u, v, d = np.concatenate([a, b]), np.concatenate([b, a]), np.concatenate([differ, differ])
     out = []
     for order in (np.lexsort((v, u)), np.lexsort((v, d, u))):
-        first = order[np.concatenate([[True], u[order][1:] != u[order][:-1]])]
-        out.append(np.stack([u[first], v[first]]))
-    return tuple(np.hstack(out))
+        out.append(order[np.concatenate([[True], u[order][1:] != u[order][:-1]])] % len(a))
+    places = np.unique(np.concatenate(out))
+    pairs = np.stack([np.minimum(a[places], b[places]), np.maximum(a[places], b[places])])
+    return places[np.unique(pairs, axis=1, return_index=True)[1]]
 
 
 def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -178,11 +181,15 @@ def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return node[other], node[label[other]]
 
 
-def _verified(radius: int, names: list[str], pick: str):
-    """Over rows sorted by (key, part, asks, node): a forest of the verified links that `pick` names, or stars of them."""
+def _verified(cut: list[tuple[int, int, int]], radius: int, names: list[str], pick: str):
+    """Over rows sorted by (key, part, asks, node): a forest of the verified links that `pick` names, or stars of them.
+
+    A pair counts in the first segment alone in which it is found, and the links of a task are cut down together.
+    """
     wide = [*names, *(["component"] if pick == "between" else [])]
+    masks = [[(w, np.uint64(sum(1 << (b - 64 * w) for b in range(max(first, 64 * w), min(first + bits, 64 * w + 64))))) for w in range(first // 64, (first + bits - 1) // 64 + 1)] for first, bits, _ in cut]
 
-    def links(group: np.ndarray, asks: np.ndarray, node: np.ndarray, fp: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+    def links(group: np.ndarray, number: np.ndarray, asks: np.ndarray, node: np.ndarray, fp: list[np.ndarray]) -> Iterator[tuple[np.ndarray, ...]]:
         first = np.concatenate([[True], group[1:] != group[:-1]])
         start = np.flatnonzero(first)
         length = np.diff(np.append(start, len(group)))
@@ -203,20 +210,30 @@ def _verified(radius: int, names: list[str], pick: str):
             near = (differ <= radius) & (node[left] != node[right])
             if pick == "between":
                 near &= fp[-1][left] != fp[-1][right]
-            if near.any():
-                a, b = node[left[near]], node[right[near]]
-                a, b = stars(a, b, differ[near]) if pick == "stars" else forest(a, b)
-                yield pa.record_batch({"a": a, "b": b})
+            left, right, differ = left[near], right[near], differ[near]
+            for earlier in range(int(number[at:stop].max())):
+                apart = sum(np.bitwise_count((fp[w][left] ^ fp[w][right]) & mask) for w, mask in masks[earlier]) > cut[earlier][2]
+                new = apart | (number[left] <= earlier)
+                left, right, differ = left[new], right[new], differ[new]
+            if len(left):
+                yield fewest(node[left], node[right], differ)
             at = stop
 
+    def fewest(a: np.ndarray, b: np.ndarray, differ: np.ndarray) -> tuple[np.ndarray, ...]:
+        if pick == "stars":
+            some = stars(a, b, differ)
+            return a[some], b[some], differ[some]
+        a, b = forest(a, b)
+        return a, b, np.zeros(len(a), np.int16)
+
     def joined(rows: list[pa.RecordBatch]) -> tuple:
         whole = pa.Table.from_batches(rows).combine_chunks()
         column = lambda c: whole[c].to_numpy()
         key, part = column("key"), column("part")
         new = (key[1:] != key[:-1]) | (part[1:] != part[:-1])
-        return np.concatenate([[0], np.cumsum(new)]), column("asks"), column("node"), [column(c).view(np.uint64) for c in wide]
+        return np.concatenate([[0], np.cumsum(new)]), key >> 48, column("asks"), column("node"), [column(c).view(np.uint64) for c in wide]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, ...]]:
         rest: list[pa.RecordBatch] = []
         held = 0
         for batch in batches:
@@ -226,17 +243,30 @@ def _verified(radius: int, names: list[str], pick: str):
             held += batch.num_rows
             if held < 200_000:
                 continue
-            group, asks, node, fp = joined(rest)
-            cut = int(np.searchsorted(group, group[-1]))  # the last group may go on
-            if cut:
-                yield from links(group[:cut], asks[:cut], node[:cut], [f[:cut] for f in fp])
+            group, number, asks, node, fp = joined(rest)
+            end = int(np.searchsorted(group, group[-1]))  # the last group may go on
+            if end:
+                yield from links(group[:end], number[:end], asks[:end], node[:end], [f[:end] for f in fp])
                 whole = pa.Table.from_batches(rest)
-                rest, held = whole.slice(cut).combine_chunks().to_batches(), len(group) - cut
+                rest, held = whole.slice(end).combine_chunks().to_batches(), len(group) - end
             else:
                 held = 0  # one group so far: gather as much again before looking
         if rest:
             yield from links(*joined(rest))
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept, held, most = [], 0, LINKS
+        for more in found(batches):
+            kept.append(more)
+            held += len(more[0])
+            if held >= most:
+                kept = [fewest(*map(np.concatenate, zip(*kept)))]
+                held = len(kept[0][0])
+                most = max(LINKS, 2 * held)
+        if kept:
+            a, b, _ = fewest(*map(np.concatenate, zip(*kept)))
+            yield pa.record_batch({"a": a, "b": b})
+
     return run
 
 
@@ -244,7 +274,8 @@ def near_links(distinct: DataFrame, cut: list[tuple[int, int, int]], radius: int
     """(a, b): links between nodes with the same components as all pairs found whose fingerprints differ in <= radius bits.
 
     distinct: node, fp0, fp1, ..., few with equal fingerprints. With pick "stars" the rows are pairs found themselves, every
-    node's with its smallest and with its nearest partner under each key; with "between" the links have the components of
+    node's with its smallest and with its nearest partner of those a task finds; under a key split into parts, they are of its
+    part or the key's smallest. With "between" the links have the components of
     the pairs found whose nodes differ in the column component. Pairs whose distance is within the bound of `cut` (the sum
     of its radii + 1, less one) are all found.
     """
@@ -253,23 +284,24 @@ def near_links(distinct: DataFrame, cut: list[tuple[int, int, int]], radius: int
     columns = ["key", "node", "asks", *names, *carry]
     schema = ", ".join(f"{c} {'boolean' if c == 'asks' else 'long'}" for c in columns)
     rows = distinct.select("node", *names, *carry).mapInArrow(_filed_and_asked(cut, names, carry), schema)
-    full = rows.where(~F.col("asks")).groupBy("key").count().where(F.col("count") > PART)
-    full = stored(full.select("key", F.ceil(F.col("count") / PART).cast("int").alias("parts")), "simhash-full-keys")
+    full = rows.where(~F.col("asks")).groupBy("key").agg(F.count("*").alias("count"), F.min("node").alias("first")).where(F.col("count") > PART)
+    full = stored(full.select("key", F.ceil(F.col("count") / PART).cast("int").alias("parts"), "first"), "simhash-full-keys")
     if full.isEmpty():
         rows = rows.withColumn("part", F.lit(0))
     else:
-        # what is filed under a full key lies in one part each and asks in all
+        # what is filed under a full key lies in one part each and asks in all; of stars, only the smallest asks
         own = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")
         rows = rows.join(full, "key", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
         everywhere = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
         filed = rows.where(~F.col("asks"))
+        asking = filed.where("parts > 1 and node = first" if pick == "stars" else "parts > 1")
         rows = (
             filed.select(*columns, own.alias("part"))
             .unionByName(rows.where(F.col("asks")).select(*columns, everywhere.alias("part")))
-            .unionByName(filed.where("parts > 1").select("key", "node", F.lit(True).alias("asks"), *names, *carry, everywhere.alias("part")))
+            .unionByName(asking.select("key", "node", F.lit(True).alias("asks"), *names, *carry, everywhere.alias("part")))
         )
     ready = rows.select(*columns, "part").repartition("key", "part").sortWithinPartitions("key", "part", "asks", "node")
-    return ready.mapInArrow(_verified(radius, names, pick), "a long, b long")
+    return ready.mapInArrow(_verified(cut, radius, names, pick), "a long, b long")
 
 
 def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
@@ -416,9 +448,9 @@ def one_of_each(docs: DataFrame, words: int = 5, radius: int = WIDE_RADIUS) -> D
     Texts are linked whose shingle sets have a Jaccard similarity of 0.8 or more. Candidates are the pairs whose
     fingerprints of 128 bits differ in at most 24. Ten segments ask for all keys one bit away: every pair within 19 bits is
     a candidate, and of those within 24 bits all that do not differ in two bits or more of every segment. Every node's
-    smallest and nearest candidates are compared first, then all candidates that these links have not joined, in blocks of
-    a cluster: no group of texts, similar or just below, yields a row for each of its pairs. Null ids rank last; of equal ids one row stays. Null and empty texts
-    are equal to each other.
+    smallest and nearest candidates that agree in a whole segment are compared first, at most a few a node; then all
+    candidates that these links have not joined, in blocks of a cluster: no group of texts, similar or just below, yields a
+    row for each of its pairs. Null ids rank last; of equal ids one row stays. Null and empty texts are equal to each other.
     """
     numbered = stored(docs.select(F.struct(*docs.columns).alias("row"), "doc_id", "text", F.monotonically_increasing_id().alias("row_no")), "simhash-numbered")
     rows = stored(_named_sets(numbered, words), "simhash-rows")
@@ -427,7 +459,8 @@ def one_of_each(docs: DataFrame, words: int = 5, radius: int = WIDE_RADIUS) -> D
     distinct = rows.groupBy("set0", "set1").agg(F.min(rank).alias("best")).select("best", F.col("best.row_no").alias("node"), "best.fp0", "best.fp1")
     distinct = stored(distinct, "simhash-distinct")
     cut = segments(10, 19, 128)
-    links = stored(similar(near_links(distinct, cut, radius, "stars"), numbered, words), "simhash-links")
+    same = [(first, bits, 0) for first, bits, _ in cut]
+    links = stored(similar(near_links(distinct, same, radius, "stars"), numbered, words), "simhash-links")
     joined = components(links).withColumnRenamed("node", "linked")
     parted = distinct.join(joined, F.col("node") == F.col("linked"), "left").select("node", "fp0", "fp1", "best", F.coalesce("root", "node").alias("component"))
     parted = stored(parted, "simhash-parted")

@@ -465,6 +465,49 @@ def test_pairs_between_parts_are_no_rows(spark, words, monkeypatch):
         assert {r.node: r.root for r in simhash.components(links).collect()} == want
 
 
+@pytest.mark.parametrize("part", [20_000, 25])
+def test_stars_are_few_a_node(spark, monkeypatch, part):
+    """Of k near copies, each met under many keys and in many blocks of pairs, a few pairs a node are rows, and all of them near."""
+    rng = np.random.default_rng(8)
+    base = rng.integers(0, 2**63, 2, dtype=np.uint64)
+    cut = [(first, bits, 0) for first, bits, _ in simhash.segments(10, 19, 128)]
+    monkeypatch.setattr(simhash, "_BLOCK", 128)
+    monkeypatch.setattr(simhash, "LINKS", 512)
+    monkeypatch.setattr(simhash, "PART", part)
+    rows = {}
+    for k in (100, 400):
+        flips = np.zeros((k, 128), np.uint8)
+        for i in range(k):
+            flips[i, rng.choice(128, 5, replace=False)] = 1
+        fp = np.unique(np.packbits(flips, axis=1, bitorder="little").view(np.uint64) ^ base, axis=0)
+        distinct = spark.createDataFrame([(i, *map(int, f.view(np.int64))) for i, f in enumerate(fp)], "node long, fp0 long, fp1 long")
+        found = np.array(simhash.near_links(distinct, cut, 24, "stars").collect())
+        rows[k] = len(found)
+        assert (found[:, 0] < found[:, 1]).all() and (np.bitwise_count(fp[found[:, 0]] ^ fp[found[:, 1]]).sum(1) <= 24).all()
+        linked = simhash.forest(found[:, 0], found[:, 1])
+        assert len(linked[0]) == len(fp) - 1 and not linked[1].any()
+        assert len(found) < 8 * len(fp)
+    assert rows[400] < 6 * rows[100]
+
+
+def test_a_pair_counts_in_its_first_segment(spark):
+    """Links have the components of all pairs, and a pair that several segments find is one row."""
+    rng = np.random.default_rng(12)
+    cut = simhash.segments(10, 19, 128)
+    fp = rng.integers(0, 2**63, (40, 2), dtype=np.uint64)
+    one, three, many = (np.array([sum(1 << b for b in flip if b < 64), sum(1 << (b - 64) for b in flip if b >= 64)], np.uint64) for flip in ([127], [0, 1, 100], [*range(0, 115, 13), *range(1, 116, 13)]))
+    fp = np.concatenate([fp, fp[:20] ^ one, fp[10:30] ^ three, fp[25:35] ^ many])
+    bits = np.unpackbits((fp[:, None] ^ fp[None, :]).view(np.uint8), axis=2, bitorder="little")
+    met = (bits.sum(2) <= 24) & (np.add.reduceat(bits, [c[0] for c in cut], axis=2) <= 1).any(2)
+    a, b = np.nonzero(np.triu(met, 1))
+    distinct = spark.createDataFrame([(i, *map(int, f.view(np.int64)), i) for i, f in enumerate(fp)], "node long, fp0 long, fp1 long, component long")
+    for pick in ("forest", "between", "stars"):
+        links = simhash.near_links(distinct, cut, 24, pick).repartition(1)
+        rows = [(min(r), max(r)) for r in links.collect()]
+        assert len(rows) == len(set(rows))
+        assert {r.node: r.root for r in simhash.components(links).collect()} == dict(zip(*simhash.forest(a, b)))
+
+
 def test_toxicity_counts_are_not_capped(spark):
     """A pair that always follows its context has the same probability in both classes, however often it occurs."""
     pairs = spark.createDataFrame([(11, 12, 1_000_000, 10_000, 1_000_000, 10_000), (11, 13, 3, 3, 3, 3), (12, 13, 5, 5, 5, 5)], "context long, word long, k0 int, k1 int, k2 int, k3 int")
