@@ -448,7 +448,7 @@ def one_of_each(docs: DataFrame, words: int = 5, radius: int = WIDE_RADIUS) -> D
     Texts are linked whose shingle sets have a Jaccard similarity of 0.8 or more. Candidates are the pairs whose
     fingerprints of 128 bits differ in at most 24. Ten segments ask for all keys one bit away: every pair within 19 bits is
     a candidate, and of those within 24 bits all that do not differ in two bits or more of every segment. Every node's
-    smallest and nearest candidates that agree in a whole segment are compared first, at most a few a node; then all
+    smallest and nearest candidates that agree in a whole segment are compared first, two a node and segment at most; then all
     candidates that these links have not joined, in blocks of a cluster: no group of texts, similar or just below, yields a
     row for each of its pairs. Null ids rank last; of equal ids one row stays. Null and empty texts are equal to each other.
     """
