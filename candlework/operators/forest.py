@@ -4,6 +4,7 @@ A sweep fits a forest for every training length and threshold. Here all of them
 once, its features as bin numbers and its label under every fit. For every level one scan counts, per (fit, tree, node,
 feature, bin), the weighted rows of each class; Spark adds the counts up and picks the best split of each node in SQL, and
 the next scan walks one level further. So a sweep of any number of fits costs one scan a level, and one scan to score.
+A batch walks all trees of a fit at once: each feature's bin leaves some of the nodes a tree may end in, as bits of a number.
 
 Bootstrap weights are Poisson numbers from a hash of the row, the fit and the tree, so that a row's weight is the same in
 every scan and can be stated in SQL; rows of weight 0 are out of the bag of that tree. The model is one table of nodes. On
@@ -33,6 +34,9 @@ POISSON_STEPS = [math.floor(PRIME * math.exp(-1) * sum(1 / math.factorial(k) for
 CODE_EDGES = [-1.0, 0.0, 1.0]
 _CELLS = 1 << 24  # of histograms held at a time, 128 MB
 _ROWS = 1 << 16  # held by a task at a time
+_WALKED = 1 << 10  # rows walked together, whose exits stay in a core's cache
+_DEEPEST = 6  # levels whose exits are the bits of one number
+_SHARE = 19  # bits of a place that are left out to look up how often a row is drawn
 
 
 def row_hash(keys: Sequence[Column]) -> Column:
@@ -45,15 +49,29 @@ def factor(fit: int, tree: int) -> int:
     return pow(48271, 7919 * fit + tree + 11, PRIME)
 
 
+def _steps_below(place: np.ndarray) -> np.ndarray:
+    return sum((place >= step).astype(float) for step in POISSON_STEPS)
+
+
+_FIRST = np.arange(1 << 31 - _SHARE, dtype=np.int64) << _SHARE
+#: How often a row is drawn by its place without the last bits; -1 where those decide.
+_BY_SHARE = np.where(_steps_below(_FIRST) == _steps_below(_FIRST + (1 << _SHARE) - 1), _steps_below(_FIRST), -1.0)
+
+
+def _drawn(hashes: np.ndarray, fit: int, tree: int) -> np.ndarray:
+    """How often each row is drawn for a tree, as whole doubles."""
+    place = hashes.astype(np.int64, copy=False) * factor(fit, tree)
+    place = (place & PRIME) + (place >> 31)  # below 2 * PRIME, as a product is below its square
+    place = np.minimum(place.view(np.uint64), (place - PRIME).view(np.uint64)).view(np.int64)  # less than nothing wraps around
+    drawn = _BY_SHARE.take(place >> _SHARE)
+    open_ones = np.flatnonzero(drawn < 0)
+    drawn[open_ones] = _steps_below(place[open_ones])
+    return drawn
+
+
 def weights(hashes: np.ndarray, fit: int, tree: int) -> np.ndarray:
     """How often each row is drawn for a tree."""
-    place = hashes * factor(fit, tree)
-    place = (place & PRIME) + (place >> 31)  # below 2 * PRIME, as a product is below its square
-    place = np.where(place >= PRIME, place - PRIME, place).astype(np.int32)
-    drawn = np.zeros(len(place), np.int8)
-    for step in POISSON_STEPS:
-        drawn += (place >= step).view(np.int8)
-    return drawn.astype(np.int64)
+    return _drawn(hashes, fit, tree).astype(np.int64)
 
 
 @dataclass
@@ -68,6 +86,7 @@ class Forests:
     bin: np.ndarray
     decision: np.ndarray
     gain: np.ndarray = field(repr=False)
+    _tables: dict = field(default_factory=dict, repr=False, compare=False)
 
     @property
     def depth(self) -> int:
@@ -94,16 +113,59 @@ class Forests:
             node = np.where((above > 0) & (self.feature[fit, tree][above] < 0), above, node)
         return node
 
+    def masks(self, fit: int, levels: int) -> list[tuple[int, np.ndarray]]:
+        """(feature, table by bin and tree) of the features that a fit's trees ask for in their first levels.
+
+        A number has a bit for each node at the end of those levels, from the left. A table gives what a row's bin leaves of them:
+        where a node sends the row right, all on its left are gone. Of what all features leave, a row is at the lowest bit.
+        """
+        if (fit, levels) not in self._tables:
+            kind, trees = np.uint32 if levels < _DEEPEST else np.uint64, self.feature.shape[1]
+            tables = {}
+            for tree, node in zip(*np.nonzero(self.feature[fit, :, : 1 << levels] >= 0)):
+                f, under = int(self.feature[fit, tree, node]), levels + 1 - int(node).bit_length()  # levels below the node
+                if f not in tables:
+                    tables[f] = np.full((len(self.edges[f]) + 1, trees), ((1 << (1 << levels)) - 1), kind)
+                left = ((1 << (1 << under - 1)) - 1) << ((int(node) << under) - (1 << levels))
+                tables[f][int(self.bin[fit, tree, node]) + 1 :, tree] &= kind(((1 << (1 << levels)) - 1) & ~left)
+            self._tables[fit, levels] = sorted(tables.items())
+        return self._tables[fit, levels]
+
+    def exits(self, x: np.ndarray, fit: int, levels: int) -> Iterator[tuple[slice, np.ndarray]]:
+        """The lowest bit of each row and tree after so many levels, a few rows at a time. x: by feature and row."""
+        tables, trees = self.masks(fit, levels), self.feature.shape[1]
+        kind = np.uint32 if levels < _DEEPEST else np.uint64
+        for first in range(0, x.shape[1], _WALKED):
+            some = slice(first, min(first + _WALKED, x.shape[1]))
+            at = np.full((some.stop - first, trees), ((1 << (1 << levels)) - 1), kind)
+            left = np.empty_like(at)
+            for f, table in tables:
+                table.take(x[f, some], axis=0, out=left, mode="clip")
+                at &= left
+            yield some, at & (~at + kind(1))
+
     def votes(self, x: np.ndarray, fit: int, hashes: np.ndarray | None = None) -> np.ndarray:
         """Votes for each class; with hashes, only of trees that have the row out of their bag."""
         out = np.zeros((self.classes, len(x)), np.int64)
-        for tree in range(self.feature.shape[1]):
-            split, decision = self.complete(fit, tree)
-            decided = decision[_walked(x, split, self.depth) - (1 << self.depth)]
+        trees = self.feature.shape[1]
+        if self.depth > _DEEPEST:
+            for tree in range(trees):
+                split, decision = self.complete(fit, tree)
+                decided = decision[_walked(x, split, self.depth) - (1 << self.depth)]
+                if hashes is not None:
+                    decided = np.where(weights(hashes, fit, tree) == 0, decided, -1)
+                for c in range(self.classes):
+                    out[c] += decided == c
+            return np.ascontiguousarray(out.T)
+        if (fit, "decided") not in self._tables:
+            decided = np.stack([self.complete(fit, tree)[1] for tree in range(trees)])
+            bits = np.left_shift(np.uint64(1), np.arange(1 << self.depth, dtype=np.uint64))
+            self._tables[fit, "decided"] = [np.where(decided == c, bits, np.uint64(0)).sum(1, dtype=np.uint64) for c in range(self.classes)]
+        for some, at in self.exits(np.ascontiguousarray(x.T).astype(np.intp), fit, self.depth):
             if hashes is not None:
-                decided = np.where(weights(hashes, fit, tree) == 0, decided, -1)
-            for c in range(self.classes):
-                out[c] += decided == c
+                at[np.stack([_drawn(hashes[some], fit, tree) != 0 for tree in range(trees)], axis=1)] = 0
+            for c, of_class in enumerate(self._tables[fit, "decided"]):
+                out[c, some] = np.count_nonzero(at & of_class.astype(at.dtype), axis=1)
         return np.ascontiguousarray(out.T)
 
 
@@ -152,20 +214,30 @@ def evenly(rows: DataFrame) -> DataFrame:
     return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
 
-def binned(rows: DataFrame, features: Sequence[str], edges: list[list[float]], label_of_fit: Sequence[Column], key: Sequence[Column]) -> DataFrame:
-    """(hash, x, y), stored: bin numbers of complete rows, and their label under every fit, -1 where a fit does not have them."""
+def binned(rows: DataFrame, features: Sequence[str], edges: list[list[float]], label_of_fit: Sequence[Column], key: Sequence[Column],
+           upto: tuple[str, Sequence[int]] | None = None) -> DataFrame:
+    """(hash, x, y), stored: bin numbers of complete rows, and their label under every fit, -1 where a fit does not have them.
+
+    ``upto`` names a column and values of it: for each, in their order, there is a fit of every label, which has the rows up to
+    that value. So a row's labels are stated once, not once a fit.
+    """
     complete = rows.dropna("any", subset=list(features))
     values = F.array(*[F.col(f).cast("double") for f in features])
-    labels = F.array(*[F.coalesce(y.cast("int"), F.lit(-1)) for y in label_of_fit])
-    width, fits = len(features), len(label_of_fit)
+    labels = F.array(*[F.coalesce(y.cast("byte"), F.lit(-1).cast("byte")) for y in label_of_fit])
+    width, different = len(features), len(label_of_fit)
+    last = [F.col(upto[0]).cast("long").alias("_upto")] if upto else []
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = _binned(_matrix(batch.column("f"), width), edges)
-            y = _matrix(batch.column("y"), fits).astype(np.int8)
-            yield pa.record_batch({"hash": batch.column("hash"), "x": _binary(x), "y": _binary(y)})
-
-    out = complete.select(row_hash(key), values.alias("f"), labels.alias("y")).where(F.exists("y", lambda v: v >= 0))
+            y = _matrix(batch.column("y"), different).astype(np.int8)
+            if upto:
+                at = batch.column("_upto").to_numpy(zero_copy_only=False)
+                y = np.concatenate([np.where((at <= value)[:, None], y, np.int8(-1)) for value in upto[1]], axis=1)
+            some = np.flatnonzero((y >= 0).any(1))  # rows of any fit
+            x = _binned(_matrix(batch.column("f"), width)[some], edges)
+            yield pa.record_batch({"hash": batch.column("hash").take(pa.array(some)), "x": _binary(x), "y": _binary(y[some])})
+
+    out = complete.select(row_hash(key), values.alias("f"), labels.alias("y"), *last)
     # dealt evenly: every level scans these rows, and each costs a walk for every fit and tree
     return stored(evenly(out.mapInArrow(run, "hash long, x binary, y binary")), "forest-rows")
 
@@ -186,26 +258,42 @@ def _histograms(model: Forests, level: int, tried: int, seed: int):
     fits, trees = model.feature.shape[:2]
     bins = max((len(e) for e in model.edges), default=0) + 1
 
-    def ended_above(fit: int, tree: int) -> np.ndarray:
-        """Of the nodes of this level, those below a leaf: their rows have stopped above."""
+    size = bins * model.classes
+
+    def alive(fit: int, tree: int) -> np.ndarray:
+        """1 for the nodes of this level, 0 for those below a leaf: their rows have stopped above."""
         node = np.arange(1 << level, 2 << level)
-        return np.any([model.feature[fit, tree][node >> up] < 0 for up in range(1, level + 1)], axis=0) if level else np.zeros(1, bool)
+        return (~np.any([model.feature[fit, tree][node >> up] < 0 for up in range(1, level + 1)], axis=0)).astype(float) if level else np.ones(1)
+
+    def tried_at(fit: int, tree: int) -> np.ndarray:
+        return _tried(model, fit, np.full(1 << level, tree), np.arange(1 << level, 2 << level), tried, seed)
 
     def cells_of(n: np.ndarray, feature: np.ndarray, fit: int, tree: int) -> pa.RecordBatch:
-        """The cells with rows; n: by node of the level, feature tried, bin and class."""
+        """The cells with rows; n: by feature tried, node of the level, bin and class."""
         n = n.reshape(-1, model.classes)
         full = np.flatnonzero(n.any(1))
-        at, bin_no = np.divmod(full, bins)
-        at, column = np.divmod(at, feature.shape[1])
+        column, at = np.divmod(full, bins << level)
+        at, bin_no = np.divmod(at, bins)
         return pa.record_batch(
             {"fit": np.full(len(full), fit, np.int32), "tree": np.full(len(full), tree, np.int32), "node": at + (1 << level), "feature": feature[at, column].astype(np.int32), "bin": bin_no.astype(np.int32)}
             | {f"n{c}": n[full, c].astype(np.int64) for c in range(model.classes)}
         )
 
-    def add(n: np.ndarray, cells: np.ndarray, first: np.ndarray, place: np.ndarray, feature: np.ndarray, drawn_by: np.ndarray) -> None:
-        for k in range(feature.shape[1]):
-            cell = cells[first + feature[place, k]] + place * n.shape[2]
-            n[:, k] += np.bincount(cell, drawn_by, len(n) * n.shape[2]).reshape(len(n), -1).astype(np.int64)
+    def places(x: np.ndarray, fit: int) -> np.ndarray:
+        """The node of this level, from the left, by tree and row."""
+        place = np.zeros((trees, x.shape[1]), np.int64)
+        if level > _DEEPEST:
+            rows = np.ascontiguousarray(x.T)
+            for tree in range(trees):
+                place[tree] = _walked(rows, model.complete(fit, tree)[0], level) - (1 << level)
+        elif level:
+            for some, at in model.exits(x.astype(np.intp), fit, level):
+                # a power of two as a floating number has its exponent there
+                if at.itemsize == 4:
+                    place[:, some] = ((at.astype(np.float32).view(np.int32) >> 23) - 127).T
+                else:
+                    place[:, some] = ((at.astype(np.float64).view(np.int64) >> 52) - 1023).T
+        return place
 
     def counted(x: np.ndarray, y: np.ndarray, hashes: np.ndarray, sums: dict | None) -> Iterator[pa.RecordBatch]:
         """Adds the rows to the sums by (fit, tree), or yields their cells."""
@@ -213,37 +301,49 @@ def _histograms(model: Forests, level: int, tried: int, seed: int):
             mine = np.flatnonzero(y[:, fit] >= 0)
             if not len(mine):
                 continue
-            own, h = x[mine], hashes[mine]
-            # a row's bins with its class, by row and feature
-            cells = (own.astype(np.int32) * model.classes + y[mine, fit].astype(np.int32)[:, None]).ravel()
+            own, h = np.ascontiguousarray(x[mine].T), hashes[mine]
+            # a row's bins with its class, by feature and row
+            cells = own.astype(np.int64) * model.classes + y[mine, fit]
+            by_row = cells.ravel()
+            place = places(own, fit)
             for tree in range(trees):
-                w = weights(h, fit, tree)
-                drawn = np.flatnonzero(w)
-                place = _walked(own[drawn], model.complete(fit, tree)[0], level) - (1 << level)
-                ended = ended_above(fit, tree)
-                if ended.any():
-                    going = ~ended[place]
-                    drawn, place = drawn[going], place[going]
+                w, at, going = _drawn(h, fit, tree), place[tree], alive(fit, tree)
+                if not going.all():
+                    w *= going.take(at)
+                drawn = np.flatnonzero(w > 0)
                 if not len(drawn):
                     continue
-                first, drawn_by = drawn * own.shape[1], w[drawn].astype(float)
-                feature = _tried(model, fit, np.full(1 << level, tree), np.arange(1 << level, 2 << level), tried, seed)
                 if sums is None:
-                    step = max(1, _CELLS // (bins * model.classes << level))
-                    for j in range(0, feature.shape[1], step):
-                        some = feature[:, j : j + step]
-                        n = np.zeros((1 << level, some.shape[1], bins * model.classes), np.int64)
-                        add(n, cells, first, place, some, drawn_by)
+                    feature, step = tried_at(fit, tree), max(1, _CELLS // (size << level))
+                elif (fit, tree) not in sums:
+                    feature = tried_at(fit, tree)
+                    sums[fit, tree] = np.zeros((feature.shape[1], size << level)), feature
+                if sums is not None:
+                    n, feature = sums[fit, tree]
+                    step = feature.shape[1]
+                if level:
+                    w, at = w.take(drawn), at.take(drawn)
+                    first = at * size
+                for j in range(0, feature.shape[1], step):
+                    some = feature[:, j : j + step]
+                    if sums is None:
+                        n = np.zeros((some.shape[1], size << level))
+                    for k in range(some.shape[1]):
+                        if level:
+                            where = (some[:, k] * cells.shape[1]).take(at, mode="clip")
+                            where += drawn
+                            cell = by_row.take(where, mode="clip", out=where)
+                            cell += first
+                        else:
+                            cell = cells[some[0, k]]
+                        n[k] += np.bincount(cell, w, size << level)
+                    if sums is None:
                         yield cells_of(n, some, fit, tree)
-                    continue
-                if (fit, tree) not in sums:
-                    sums[fit, tree] = np.zeros((1 << level, feature.shape[1], bins * model.classes), np.int64), feature
-                add(sums[fit, tree][0], cells, first, place, feature, drawn_by)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
         # whatever its rows, a task gives each cell once, unless the cells of a level are too many to hold
-        sums = {} if fits * trees * min(tried, len(model.features)) * bins * model.classes << level <= _CELLS else None
+        sums = {} if fits * trees * min(tried, len(model.features)) * size << level <= _CELLS else None
 
         def flush() -> Iterator[pa.RecordBatch]:
             whole = pa.Table.from_batches(held).combine_chunks()
@@ -348,16 +448,20 @@ def importances(spark: SparkSession, model: Forests) -> DataFrame:
     return spark.createDataFrame(rows, "fit int, feature string, importance double")
 
 
-def predict(table: DataFrame, model: Forests, name: str = "predictions", missing: float | None = None, keep: Sequence[str] | None = None) -> DataFrame:
+def predict(table: DataFrame, model: Forests, name: str = "predictions", missing: float | None = None, keep: Sequence[str] | None = None,
+            within: tuple[str, Sequence[tuple[int, int]]] | None = None, packed: bool = False) -> DataFrame:
     """The table, or the columns of it to keep, with an array of one prediction a fit, in one scan; ties go to the smallest class.
 
     A fit without trees predicts -1. A row with a missing feature counts it as ``missing``, or gets -1 everywhere if that is
-    None. Every tree walks a whole batch at a time.
+    None. Every tree walks a whole batch at a time. ``within`` names a column and the first and last value of it that each fit
+    is asked for; it predicts -1 elsewhere. ``packed`` gives the predictions as a byte each in a binary value.
     """
     width, fits, kept = len(model.features), model.feature.shape[0], list(table.columns if keep is None else keep)
     shared = table.sparkSession.sparkContext.broadcast(model)
     values = F.array(*[F.col(f).cast("double") for f in model.features])
-    schema = T.StructType([*[table.schema[c] for c in kept], T.StructField(name, T.ArrayType(T.IntegerType()))])
+    kind = T.BinaryType() if packed else T.ArrayType(T.IntegerType())
+    schema = T.StructType([*[table.schema[c] for c in kept], T.StructField(name, kind)])
+    asked = [F.col(within[0]).cast("long").alias("_within")] if within else []
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forests = shared.value
@@ -365,16 +469,18 @@ def predict(table: DataFrame, model: Forests, name: str = "predictions", missing
             f = _matrix(batch.column("_values"), width).astype(np.float64)
             hole = np.isnan(f)
             x = _binned(np.where(hole, 0.0 if missing is None else missing, f), forests.edges)
-            out = np.full((len(f), fits), -1, np.int32)
+            out = np.full((len(f), fits), -1, np.int8 if packed else np.int32)
+            at = batch.column("_within").to_numpy(zero_copy_only=False) if within else None
             for fit in range(fits):
-                votes = forests.votes(x, fit)
-                out[:, fit] = np.where(votes.any(1), votes.argmax(1), -1)
+                mine = slice(None) if at is None else np.flatnonzero((at >= within[1][fit][0]) & (at <= within[1][fit][1]))
+                votes = forests.votes(x[mine], fit)
+                out[mine, fit] = np.where(votes.any(1), votes.argmax(1), -1)
             if missing is None:
                 out[hole.any(1)] = -1
-            column = pa.ListArray.from_arrays(np.arange(0, out.size + 1, fits, dtype=np.int32), out.ravel())
+            column = _binary(out) if packed else pa.ListArray.from_arrays(np.arange(0, out.size + 1, fits, dtype=np.int32), out.ravel())
             yield pa.record_batch({c: batch.column(c) for c in kept} | {name: column})
 
-    return table.select(*kept, values.alias("_values")).mapInArrow(run, schema)
+    return table.select(*kept, *asked, values.alias("_values")).mapInArrow(run, schema)
 
 
 def out_of_bag(rows: DataFrame, model: Forests) -> DataFrame:

@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LinearSVC, RandomForestClassifier
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
@@ -18,7 +20,7 @@ from pyspark.sql import functions as F
 from candlework.operators import forest
 from candlework.operators.history import BARS_PER_PARTITION, MEASURE, HotSymbols, dealt, parts_for
 from candlework.operators.labels import Grid, deployment_slices, label, numbered_days, response, training_slices
-from candlework.operators.trades import mark_trades, summarise
+from candlework.operators.trades import mark_trades, summarise, summarise_grid
 from candlework.schema import CODE_COLUMNS, MODEL_COLUMNS, WARMUP_BARS
 from candlework.session import stored
 
@@ -220,7 +222,7 @@ def predicted_slices(
         return reduce(DataFrame.unionByName, pool.map(fitted_and_scored, points))
 
 
-def predicted_sweep(
+def predicted_bars(
     table: DataFrame,
     grid: Grid,
     day: Column | None = None,
@@ -232,29 +234,57 @@ def predicted_sweep(
     warmup: int = WARMUP_BARS,
     tried: int | None = None,
     target: Column | None = None,
+    packed: bool = True,
+    per_partition: int = BARS_PER_PARTITION,
 ) -> DataFrame:
-    """Deployment slices with the ``prediction`` of the forest of their training length and threshold, as ``predicted_slices``.
+    """The bars of the deployment slices, each once, with the ``predictions`` of the forests of all training lengths and thresholds.
 
     All forests grow together (``operators.forest``): a scan a level of the training bars, each with its labels under all
-    fits, and one scan of the deployment bars, whose predictions are one array that the slices pick from. ``target`` takes
-    the place of the label against the end-of-day price. A bar with a missing feature has no prediction.
+    fits, and one scan of the deployment bars, which brings those of a symbol together. The predictions are in the order of training lengths, then thresholds, a byte
+    each or as an array: -1 where a forest is not deployed on the bar, or a feature is missing. ``target`` takes the place of
+    the label against the end-of-day price.
     """
     keys = ["stockName", "stockTime"]
     wanted = table.select(*keys, *[x for x in dict.fromkeys(["lastPrice", *features]) if x not in keys])
     numbered = numbered_days(wanted, day, hot, warmup).filter(F.col("bar_no") <= grid.last_bar)
-    numbered = stored(forest.evenly(numbered), "numbered")
+    numbered = stored(numbered, "numbered")
     train = numbered.filter(F.col("bar_no") <= max(grid.training))
     edges = forest.bin_edges(train, features)
-    fits = [
-        F.when(F.col("bar_no") <= training, response(F.lit(threshold)) if target is None else target)
-        for training in grid.training
-        for threshold in grid.thresholds
-    ]
-    rows = forest.binned(train, features, edges, fits, [F.col("stockName"), F.col("stockTime").cast("string")])
-    model = forest.grow(rows, features, edges, len(fits), trees=trees, depth=depth, tried=tried, seed=seed)
-    scored = forest.predict(numbered.filter(F.col("bar_no") >= min(grid.training)), model)
+    labels = [response(F.lit(threshold)) if target is None else target for threshold in grid.thresholds]
+    rows = forest.binned(train, features, edges, labels, [F.col("stockName"), F.col("stockTime").cast("string")], ("bar_no", grid.training))
+    model = forest.grow(rows, features, edges, len(grid.training) * len(labels), trees=trees, depth=depth, tried=tried, seed=seed)
+    deployed = [(training, training + max(grid.deployment)) for training in grid.training for _ in grid.thresholds]
+    bars = numbered.filter(F.col("bar_no") >= min(grid.training))
+    kept = [*keys, "lastPrice", "bar_no", "day", "eodPrice"] if packed else None
+    scored = forest.predict(bars, model, keep=kept, within=("bar_no", deployed), packed=packed)
+    return dealt(scored, parts_for(numbered.count(), per_partition), "stockName")
+
+
+def predicted_sweep(
+    table: DataFrame,
+    grid: Grid,
+    day: Column | None = None,
+    hot: HotSymbols | str | None = MEASURE,
+    features: Sequence[str] = MODEL_COLUMNS,
+    trees: int = 100,
+    seed: int = 100,
+    depth: int = 5,
+    warmup: int = WARMUP_BARS,
+    tried: int | None = None,
+    target: Column | None = None,
+    sliced: bool = True,
+) -> DataFrame:
+    """Deployment slices with the ``prediction`` of the forest of their training length and threshold, as ``predicted_slices``.
+
+    The predictions of ``predicted_bars`` are one array that the slices pick from; a bar with a missing feature has none.
+    A bar lies in some 50 slices of a full grid: with ``sliced=False`` each is given once, as ``predicted_bars`` does, for
+    what takes all slices of such bars (``predicted_return``, ``predicted_confusion``).
+    """
+    points = (table, grid, day, hot, features, trees, seed, depth, warmup, tried, target)
+    if not sliced:
+        return predicted_bars(*points)
     # a grid reaches a bounded number of bars of a symbol: they are brought together before they are multiplied
-    scored = dealt(scored, parts_for(numbered.count(), BARS_PER_PARTITION // 4), "stockName")
+    scored = predicted_bars(*points, packed=False, per_partition=BARS_PER_PARTITION // 4)
     slices = label(deployment_slices(scored, grid), grid.thresholds)
     place = lambda values, c: F.array_position(F.array(*[F.lit(v) for v in values]), F.col(c)) - 1
     fit = place(grid.training, "training") * len(grid.thresholds) + place([float(x) for x in grid.thresholds], "threshold")
@@ -262,6 +292,52 @@ def predicted_sweep(
     return slices.withColumn("prediction", F.when(prediction >= 0, prediction)).drop("predictions")
 
 
-def predicted_return(scored: DataFrame) -> DataFrame:
-    """Backtest of predictions: as the optimal return but without selling at the day's end."""
+def predicted_return(scored: DataFrame, grid: Grid | None = None) -> DataFrame:
+    """Backtest of predictions: as the optimal return but without selling at the day's end.
+
+    ``scored`` are slices, or with a grid the bars of ``predicted_bars``, which trade in all slices of it.
+    """
+    if grid is not None:
+        return summarise_grid(scored, grid)
     return summarise(mark_trades(scored, F.col("prediction"), sell_at_day_end=False))
+
+
+def predicted_confusion(bars: DataFrame, grid: Grid, classes: int = 3) -> DataFrame:
+    """(deployment, training, threshold, label, prediction, n): the rows with a prediction of each deployment slice of the grid,
+    counted, from the bars of ``predicted_bars``.
+
+    A task counts its bars by fit, place in the slice, label and prediction, and gives the sums up to each deployment length, so
+    no bar is multiplied; what it gives is bounded by the grid.
+    """
+    labels = F.array(*[response(F.lit(float(t))).cast("byte") for t in grid.thresholds])
+    thresholds, longest, cells = len(grid.thresholds), max(grid.deployment) + 1, classes * classes
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = np.zeros((len(grid.training), thresholds, longest, cells), np.int64)
+        for batch in batches:
+            bar_no = batch.column("bar_no").to_numpy()
+            y = forest._matrix(batch.column("labels"), thresholds)
+            p = forest._bytes(batch.column("predictions"), thresholds * len(grid.training), np.int8)
+            for i, training in enumerate(grid.training):
+                inside = np.flatnonzero((bar_no >= training) & (bar_no < training + longest))
+                at = (bar_no[inside] - training) * cells
+                for j in range(thresholds):
+                    found = p[inside, i * thresholds + j].astype(np.int64)
+                    cell = (at + y[inside, j] * classes + found)[found >= 0]
+                    n[i, j] += np.bincount(cell, minlength=longest * cells).reshape(longest, cells)
+        upto = n.cumsum(axis=2)[:, :, list(grid.deployment)]
+        i, j, d, cell = np.nonzero(upto)
+        yield pa.record_batch(
+            {
+                "deployment": np.array(grid.deployment, np.int32)[d],
+                "training": np.array(grid.training, np.int32)[i],
+                "threshold": np.array(grid.thresholds, np.float64)[j],
+                "label": (cell // classes).astype(np.int32),
+                "prediction": (cell % classes).astype(np.int32),
+                "n": upto[i, j, d, cell],
+            }
+        )
+
+    schema = "deployment int, training int, threshold double, label int, prediction int, n long"
+    counted = bars.select("bar_no", labels.alias("labels"), "predictions").mapInArrow(run, schema)
+    return counted.groupBy("deployment", "training", "threshold", "label", "prediction").agg(F.sum("n").alias("n"))

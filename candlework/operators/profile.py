@@ -45,9 +45,10 @@ def min_max_scaled(table: DataFrame, column: str, name: str, by: Sequence[str] =
     return table.join(bounds, list(by)).withColumn(name, scaled).drop("_lowest", "_highest")
 
 
-def confusion_counts(scored: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    """Rows per (label, prediction)."""
-    return scored.groupBy(*by, "label", "prediction").agg(F.count("*").alias("n"))
+def confusion_counts(scored: DataFrame, by: Sequence[str] = (), count: str | None = None) -> DataFrame:
+    """Rows per (label, prediction); a row stands for as many as the column ``count`` says."""
+    n = F.count("*") if count is None else F.sum(count)
+    return scored.groupBy(*by, "label", "prediction").agg(n.alias("n"))
 
 
 def confusion_matrix(scored: DataFrame, classes: Sequence[int], by: Sequence[str] = ()) -> DataFrame:
@@ -58,8 +59,8 @@ def confusion_matrix(scored: DataFrame, classes: Sequence[int], by: Sequence[str
     )
 
 
-def confusion_stats(scored: DataFrame, classes: Sequence[int], by: Sequence[str] = ()) -> DataFrame:
-    """Accuracy, kappa, and recall and precision per class, from the counts alone."""
+def confusion_stats(scored: DataFrame, classes: Sequence[int], by: Sequence[str] = (), count: str | None = None) -> DataFrame:
+    """Accuracy, kappa, and recall and precision per class, from the counts alone; ``count`` as for ``confusion_counts``."""
     n = F.col("n")
 
     def total(condition: Column) -> Column:
@@ -80,7 +81,7 @@ def confusion_stats(scored: DataFrame, classes: Sequence[int], by: Sequence[str]
         both = total(is_label[k] & is_prediction[k])
         columns.append(F.try_divide(both, total(is_label[k])).alias(f"recall_{k}"))
         columns.append(F.try_divide(both, total(is_prediction[k])).alias(f"precision_{k}"))
-    counts = confusion_counts(scored, by)
+    counts = confusion_counts(scored, by, count)
     return counts.groupBy(*by).agg(*columns) if by else counts.agg(*columns)
 
 

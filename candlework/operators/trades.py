@@ -6,8 +6,11 @@ size is set by the grid and not by the data.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,6 +19,7 @@ from candlework.operators.labels import Grid, labelled_slices
 from candlework.schema import DAY_BARS, POSITION_BUY, POSITION_HOLD, POSITION_SELL, WARMUP_BARS
 
 SLICE_KEYS = ["stockName", "deployment", "training", "threshold"]
+_SYMBOLS = 256  # traded together by a task
 
 
 def mark_trades(
@@ -102,6 +106,178 @@ def summarise(marked: DataFrame, keys: Sequence[str] = SLICE_KEYS) -> DataFrame:
     )
 
 
+class _Accounts:
+    """Trading of many slices bar by bar: what ``mark_trades`` and ``summarise`` without selling at day end give of each."""
+
+    def __init__(self, slices: int):
+        whole, real, flag = (lambda: np.zeros(slices, np.int64)), (lambda: np.zeros(slices)), (lambda: np.zeros(slices, bool))
+        self.previous = np.zeros(slices, np.int8)  # position before, 0 for none
+        self.days, self.transactions, self.n = whole(), whole(), whole()
+        self.total, self.mean, self.squares = real(), real(), real()  # of the returns, the squares around their mean
+        self.price, self.opened = real(), np.zeros(slices, np.int8)  # of the last return price, 0 for none
+        self.level, self.known, self.unmoved = real(), flag(), flag()  # the last switch price was 0: the bar's price, if any
+        self.above = flag()  # a switch price above 0
+
+    def add(self, at: np.ndarray, price: np.ndarray) -> None:
+        """A following return price, which ends the return of the one before."""
+        had = self.opened[at] > 0
+        at, price = at[had], price[had]
+        x = (price - self.price[at]) / np.abs(self.price[at])
+        x = np.where(self.opened[at] == POSITION_BUY, x, -x)
+        self.n[at] += 1
+        self.total[at] += x
+        off = x - self.mean[at]
+        step = off / self.n[at]
+        self.mean[at] += step
+        self.squares[at] += off * (off - step)
+
+    def trade(self, at: np.ndarray, position: np.ndarray, price: np.ndarray, known: np.ndarray) -> None:
+        """A bar of these slices, which has a position and is not the slice's last."""
+        before = self.previous[at]
+        self.previous[at] = position
+        moved = before != position
+        still, moved = (before > 0) & ~moved, (before > 0) & moved & known
+        zero = still | (moved & (price == 0))
+        flat = at[zero]
+        self.unmoved[flat], self.level[flat], self.known[flat] = True, price[zero], known[zero]
+        event = moved & (price != 0)
+        at, position, price = at[event], position[event], price[event]
+        self.add(at, price)
+        above = ~(price <= 0)  # a price that is no number counts as above
+        self.price[at], self.opened[at], self.unmoved[at] = price, position, False
+        self.transactions[at] += above
+        self.above[at] |= above
+
+    def closed(self, at: np.ndarray) -> dict[str, np.ndarray]:
+        """The summary of these slices, the open position closed where the last one kept it."""
+        end = _Accounts(len(at))
+        for name, values in vars(self).items():
+            setattr(end, name, values[at])
+        end.add(*(lambda x: (x, end.level[x]))(np.flatnonzero(end.unmoved & end.above & end.known)))
+        with np.errstate(divide="ignore", invalid="ignore"):
+            return {
+                "days": end.days, "transactions": end.transactions, "totalReturn": end.total,
+                "meanReturn": np.where(end.n > 0, end.total / end.n, np.nan),
+                "sdReturn": np.sqrt(end.squares / (end.n - 1)), "averageDailyReturn": end.total / end.days, "n": end.n,
+            }
+
+
+def _traded(names: pa.Array, first: np.ndarray, bars: dict[str, np.ndarray], grid: Grid) -> Iterator[pa.RecordBatch]:
+    """Summaries of all slices of some symbols, whose bars begin at ``first``, in order of their number."""
+    start, reach, thresholds = min(grid.training), max(grid.deployment) + 1, len(grid.thresholds)
+    symbols, fits = len(first), len(grid.training)
+    of = np.repeat(np.arange(symbols), np.diff([*first, len(bars["bar_no"])]))
+    row = bars["bar_no"] - start
+
+    def by_bar(values: np.ndarray) -> np.ndarray:
+        out = np.zeros((max(grid.training) - start + reach + 1, symbols, *values.shape[1:]), values.dtype)
+        out[row, of] = values
+        return out
+
+    def at_bar(values: np.ndarray, k: int) -> np.ndarray:
+        """Bar k of each slice, by training length, symbol and threshold."""
+        some = np.stack([values[t - start + k] for t in grid.training])
+        return np.repeat(some[:, :, None], thresholds, 2).ravel()
+
+    here, price, known = by_bar(np.ones(len(row), bool)), by_bar(bars["price"]), by_bar(bars["known"])
+    day, dated = by_bar(bars["day"]), by_bar(bars["dated"])
+    codes = by_bar(bars["codes"])
+    opens = dated.copy()
+    opens[1:] = ~dated[:-1] | (dated[1:] & (day[1:] != day[:-1]))
+    accounts = _Accounts(fits * symbols * thresholds)
+    left = {d: np.ones(fits * symbols * thresholds, bool) for d in grid.deployment}
+
+    def summary(d: int, at: np.ndarray) -> pa.RecordBatch:
+        left[d][at] = False
+        out = accounts.closed(at)
+        n = out.pop("n")
+        fit, threshold = np.divmod(at, thresholds)
+        fit, symbol = np.divmod(fit, symbols)
+        return pa.record_batch(
+            {
+                "stockName": names.take(pa.array(symbol)),
+                "deployment": np.full(len(at), d, np.int32),
+                "training": np.array(grid.training, np.int32)[fit],
+                "threshold": np.array(grid.thresholds, np.float64)[threshold],
+            }
+            | {c: pa.array(v, mask=n < {"meanReturn": 1, "sdReturn": 2}[c]) if c in ("meanReturn", "sdReturn") else v for c, v in out.items()}
+        )
+
+    present = at_bar(here, 0)
+    for d in grid.deployment:
+        left[d] &= present  # a slice without bars gives no row
+    for k in range(reach):
+        accounts.days += present & (at_bar(opens, k) if k else True)
+        following = at_bar(here, k + 1)
+        last = present & ~following
+        for d in grid.deployment:
+            ended = (present if d == k else last) & left[d] if d >= k else None
+            if ended is not None and ended.any():
+                yield summary(d, np.flatnonzero(ended))
+        code = np.stack([codes[t - start + k, :, i * thresholds : (i + 1) * thresholds] for i, t in enumerate(grid.training)]).ravel()
+        at = np.flatnonzero((code > 0) & present & following & at_bar(dated, k + 1))
+        accounts.trade(at, code[at] + np.int8(1), at_bar(price, k)[at], at_bar(known, k)[at])
+        present = following
+
+
+def summarise_grid(bars: DataFrame, grid: Grid) -> DataFrame:
+    """``summarise`` of ``mark_trades`` of all slices of a grid, without selling at day end, from bars that are given once.
+
+    bars: stockName, bar_no, day, lastPrice and ``predictions``, the codes of all training lengths and thresholds, a byte each,
+    below 0 for none. The bars of a symbol come together, as many as the grid reaches at most, and are traded in all slices at
+    once, bar by bar, where rows of slices would be multiplied and sorted.
+    """
+    columns = [F.col("lastPrice").cast("double").alias("price"), F.datediff("day", F.lit("1970-01-01").cast("date")).alias("day")]
+    wanted = bars.filter(F.col("bar_no").between(min(grid.training), grid.last_bar)).select("stockName", "bar_no", *columns, "predictions")
+    # the window brings a task its symbols whole, each in order
+    together = wanted.withColumn("_at", F.row_number().over(Window.partitionBy("stockName").orderBy("bar_no")))
+    codes = len(grid.training) * len(grid.thresholds)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+
+        def traded(last: bool) -> Iterator[pa.RecordBatch]:
+            """Trades all symbols held, but the last one unless no more bars follow."""
+            whole = pa.Table.from_batches(held).combine_chunks()
+            held.clear()
+            names = pc.dictionary_encode(whole["stockName"].combine_chunks(), null_encoding="encode").indices.to_numpy()
+            first = np.flatnonzero(np.diff(names, prepend=-1) != 0)
+            if not last:
+                held.extend(whole.slice(first[-1]).to_batches())
+                whole, first = whole.slice(0, first[-1]), first[:-1]
+            for i in range(0, len(first), _SYMBOLS):
+                some = first[i : i + _SYMBOLS]
+                until = first[i + _SYMBOLS] if i + _SYMBOLS < len(first) else len(whole)
+                part = whole.slice(some[0], until - some[0]).combine_chunks()
+                column = lambda c: part[c].combine_chunks()
+                packed = column("predictions")
+                _, ends, data = packed.buffers()
+                begin = int(np.frombuffer(ends, np.int32)[packed.offset])
+                yield from _traded(
+                    column("stockName").take(pa.array(some - some[0])), some - some[0],
+                    {
+                        "bar_no": column("bar_no").to_numpy(),
+                        "price": pc.fill_null(column("price"), 0.0).to_numpy(),
+                        "known": column("price").is_valid().to_numpy(zero_copy_only=False),
+                        "day": pc.fill_null(column("day"), 0).to_numpy(),
+                        "dated": column("day").is_valid().to_numpy(zero_copy_only=False),
+                        "codes": np.frombuffer(data, np.int8, len(part) * codes, begin).reshape(len(part), codes),
+                    },
+                    grid,
+                )
+
+        for batch in batches:
+            if batch.num_rows:
+                held.append(batch)
+            if sum(b.num_rows for b in held) >= _SYMBOLS * (grid.last_bar - min(grid.training) + 1):
+                yield from traded(False)
+        if held:
+            yield from traded(True)
+
+    schema = "stockName string, deployment int, training int, threshold double, days long, transactions long, totalReturn double, meanReturn double, sdReturn double, averageDailyReturn double"
+    return together.mapInArrow(run, schema)
+
+
 def sweep_wide(results: DataFrame, thresholds: Sequence[float]) -> DataFrame:
     """One row per symbol and slice with Period, Return, Transactions for every threshold.
 

@@ -1091,8 +1091,8 @@ register("predicted_return_full_grid", predicted_return_full_grid)
 
 def predicted_confusion_full_grid(spark, sf):
     """The confusion statistics of the predictions at all 240 points."""
-    scored = _full_sweep(spark, sf).withColumnRenamed("responseVariable", "label").where("prediction is not null")
-    return profile.confusion_stats(scored, [0, 1, 2], by=["deployment", "training", "threshold"])
+    counted = models.predicted_confusion(_full_sweep(spark, sf, sliced=False), FULL_GRID)
+    return profile.confusion_stats(counted, [0, 1, 2], by=["deployment", "training", "threshold"], count="n")
 
 
 register("predicted_confusion_full_grid", predicted_confusion_full_grid)
