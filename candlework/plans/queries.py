@@ -1083,7 +1083,7 @@ def _full_sweep(spark, sf, **options):
 
 def predicted_return_full_grid(spark, sf):
     """The sweep on predictions at all 240 points, a forest for each of 40 training lengths and thresholds."""
-    return models.predicted_return(_full_sweep(spark, sf))
+    return models.predicted_return(_full_sweep(spark, sf, sliced=False), FULL_GRID)
 
 
 register("predicted_return_full_grid", predicted_return_full_grid)
