@@ -1111,9 +1111,9 @@ def predicted_return_rule(spark, sf):
     bars, hot = line_bars(spark, sf)
     table = features.base_table(bars, hot, DIGITS).select(*KEY, "lastPrice", *CODE_COLUMNS)
     scored = models.predicted_sweep(
-        table, FULL_GRID, month(), hot, CODE_COLUMNS, trees=5, depth=2, tried=len(CODE_COLUMNS), target=_pair_rule()
+        table, FULL_GRID, month(), hot, CODE_COLUMNS, trees=5, depth=2, tried=len(CODE_COLUMNS), target=_pair_rule(), sliced=False
     )
-    return rounded(models.predicted_return(scored), *_SWEEP_DOUBLES)
+    return rounded(models.predicted_return(scored, FULL_GRID), *_SWEEP_DOUBLES)
 
 
 register(
