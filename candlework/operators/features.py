@@ -82,13 +82,17 @@ def feature_table(
 def base_table_by_joins(
     bars: DataFrame, hot: HotSymbols | str | None = MEASURE, digits: int | None = None, unique: bool = True
 ) -> DataFrame:
-    """The same table as one inner join per indicator; kept to cross-check ``base_table``."""
+    """The same table as one inner join per indicator; kept to cross-check ``base_table``.
+
+    The branches of bars that are dealt by symbol are so as well, and in order of time: in a session whose joins may use that
+    (``session.joining_dealt``) they are joined where they are.
+    """
     hot = resolve(bars, hot)
     parts = []
     for indicator in BASE_INDICATORS:
         extra = ["lastPrice"] if indicator is SMA else []
         parts.append(indicator_table(bars, [indicator], [*KEY, *extra, *indicator.outputs], hot, digits, unique))
-    return reduce(lambda a, b: a.join(b, KEY), parts).select(*BASE_COLUMNS)
+    return reduce(lambda a, b: a.join(b, ["stockName", "stockTime"]), parts).select(*BASE_COLUMNS)
 
 
 def sma_by_joins(bars: DataFrame, hot: HotSymbols | str | None = MEASURE) -> DataFrame:

@@ -20,7 +20,7 @@ from candlework.operators.history import BARS_PER_PARTITION, MAX_BARS_PER_TASK,
 from candlework.operators.indicators import ALL_INDICATORS, BOLLINGER, CCI, STOCHASTIC, Indicator
 from candlework.plans import oracles as o
 from candlework.schema import BAR_COLUMNS, BASE_COLUMNS, CODE_COLUMNS, KEY, MODEL_COLUMNS, POSITION_HOLD, SIGNAL_COLUMNS, WARMUP_BARS
-from candlework.session import shared_path, stored
+from candlework.session import joining_dealt, shared_path, stored
 from candlework.sources import bar_files, tables, wire
 from candlework.streaming import live, ordered
 
@@ -55,7 +55,7 @@ def line_bars(spark: SparkSession, sf: str, per_partition: int = BARS_PER_PARTIT
 
 
 def shared_bars(spark: SparkSession, sf: str) -> tuple[DataFrame, HotSymbols | None]:
-    """Bars for the join forms: their branches read one shuffle of the aggregate, where dealt trades would be aggregated in each."""
+    """Bars for ``sma_join``: its branches read one shuffle of the aggregate, where dealt trades would be aggregated in each."""
     return line_bars(spark, sf, 1 << 62)
 
 
@@ -122,7 +122,7 @@ register(
     lambda spark, sf: features.feature_table(*line_bars(spark, sf), DIGITS),
     sql(o.LINE_BARS, *o.BASE, final=f"SELECT {o.FEATURE_LIST} FROM base"),
 )
-register("base_table_join", lambda spark, sf: features.base_table_by_joins(*shared_bars(spark, sf), DIGITS), _BASE_SQL)
+register("base_table_join", lambda spark, sf: features.base_table_by_joins(*line_bars(joining_dealt(spark), sf), DIGITS), _BASE_SQL)
 
 
 def conflicting_copies(bars: DataFrame) -> DataFrame:

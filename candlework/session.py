@@ -24,6 +24,19 @@ def local_session(cpus: int = 8, memory: str = "16g", name: str = "candlework")
     return spark
 
 
+def joining_dealt(spark: SparkSession) -> SparkSession:
+    """A session with the same settings, but whose joins take rows dealt by some of the join's keys as they are.
+
+    Else both sides are shuffled by all keys. Where few keys hold many rows that is wanted, so the given session is left alone.
+    """
+    own = spark.newSession()
+    for name, value in spark.conf.getAll.items():
+        if spark.conf.isModifiable(name):
+            own.conf.set(name, value)
+    own.conf.set("spark.sql.requireAllClusterKeysForCoPartition", "false")
+    return own
+
+
 def shared_path(spark: SparkSession, label: str) -> str:
     """A fresh path in the folder the cluster names in spark.checkpoint.dir.
 
