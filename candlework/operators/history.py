@@ -109,23 +109,22 @@ def with_segments(bars: DataFrame, hot: HotSymbols, how: str = "left") -> DataFr
 def overlap(bars: DataFrame, hot: HotSymbols, lookback: int) -> DataFrame:
     """Cut hot symbols into segments, each preceded by the ``lookback`` bars before it.
 
-    Adds ``segment`` and ``_before`` (true on the copied bars). Only the last bars of each
-    segment are ranked and copied; the rank limit is applied before the shuffle.
+    Adds ``segment`` and ``_before`` (true on the copied bars). The bars are shuffled once, by symbol and segment, unless they
+    come with their ``segment`` and so dealt; after that only copies are. Only the last bars of each segment are ranked and copied.
     """
-    tagged = with_segments(bars, hot)
-    cut = dealt(with_segments(bars, hot, "inner"), hot.parts, "stockName", "segment")
+    tagged = bars if "segment" in bars.columns else dealt(with_segments(bars, hot), hot.parts, "stockName", "segment")
     by_symbol = Window.partitionBy("stockName").orderBy("segment")
     segments = (
-        cut.groupBy("stockName", "segment")
+        tagged.groupBy("stockName", "segment")
         .agg(F.count("*").alias("n"))
         .withColumn("start", F.sum("n").over(by_symbol) - F.col("n"))  # bars before the segment
     )
     # A bar is needed by the segments that start within ``lookback`` bars of it. Segments are
-    # never empty, so those are among the next ``lookback`` ones.
+    # never empty, so those are among the next ``lookback`` ones. A symbol that is not cut has none.
     following = F.collect_list(F.struct("segment", "start")).over(by_symbol.rowsBetween(1, lookback))
-    segments = segments.withColumn("following", following)
+    segments = segments.withColumn("following", following).filter(F.size("following") > 0)
     newest_first = Window.partitionBy("stockName", "segment").orderBy(F.col("stockTime").desc())
-    tail = cut.withColumn("back", F.row_number().over(newest_first)).filter(F.col("back") <= lookback)
+    tail = tagged.withColumn("back", F.row_number().over(newest_first)).filter(F.col("back") <= lookback)
     ordinal = F.col("start") + F.col("n") - F.col("back") + 1
     copies = (
         tail.join(segments, ["stockName", "segment"])
@@ -133,11 +132,10 @@ def overlap(bars: DataFrame, hot: HotSymbols, lookback: int) -> DataFrame:
         .withColumn("to", F.explode(F.expr(f"filter(following, s -> s.start < ordinal + {lookback})")))
         .withColumn("segment", F.col("to.segment"))
     )
-    columns = [*bars.columns, "segment"]
-    both = tagged.select(*columns, F.lit(False).alias("_before")).unionByName(
-        copies.select(*columns, F.lit(True).alias("_before"))
-    )
-    return dealt(both, hot.parts, "stockName", "segment")
+    columns = [*[x for x in bars.columns if x != "segment"], "segment"]
+    copies = dealt(copies.select(*columns, F.lit(True).alias("_before")), hot.parts, "stockName", "segment")
+    # both dealt alike, which the union keeps
+    return tagged.select(*columns, F.lit(False).alias("_before")).unionByName(copies)
 
 
 def number_bars(bars: DataFrame, hot: HotSymbols | str | None = MEASURE, name: str = "bar_no") -> DataFrame:

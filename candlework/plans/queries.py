@@ -62,7 +62,7 @@ def shared_bars(spark: SparkSession, sf: str) -> tuple[DataFrame, HotSymbols | N
 def segmented_bars(spark: SparkSession, sf: str) -> tuple[DataFrame, HotSymbols | None]:
     """Bars with every symbol of more than 500 trades treated as hot."""
     hot = measure(tables.line_symbols(spark, sf), 500)
-    return tables.line_bars(spark, sf, hot.parts if hot else 1, ("stockName", "stockTime")), hot
+    return tables.line_bars(spark, sf, hot=hot), hot
 
 
 def order_bars(spark: SparkSession, sf: str) -> tuple[DataFrame, HotSymbols | None]:

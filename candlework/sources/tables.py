@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from candlework.functions.columns import ratio, rnd
-from candlework.operators.history import dealt
+from candlework.operators.history import HotSymbols, dealt, with_segments
 
 SESSION_MINUTES = 390
 
@@ -45,20 +45,24 @@ def _trades(spark: SparkSession, sf_dir: str) -> DataFrame:
     ).toDF("stockName", "stockTime", "raw", "l_tax", "l_discount", "l_quantity", "seq")
 
 
-def line_bars(spark: SparkSession, sf_dir: str, parts: int = 1, by: tuple[str, ...] = ("stockName",)) -> DataFrame:
+def line_bars(spark: SparkSession, sf_dir: str, parts: int = 1, by: tuple[str, ...] = ("stockName",), hot: HotSymbols | None = None) -> DataFrame:
     """Minute bars per supplier: every line item is a trade in one minute of its ship date.
 
     Trades of one minute follow the order key, line number (at most seven) and part, packed
     into one long, which keeps the aggregate hash-based. With ``parts`` the trades are shuffled by symbol into so many
-    partitions; windows over symbols then need no shuffle of their own. With hot symbols they go ``by`` symbol and time.
+    partitions; windows over symbols then need no shuffle of their own. With hot symbols they go ``by`` symbol and time, or if
+    those are given by symbol and ``segment``, which the bars then keep.
     """
+    trades, keys = _trades(spark, sf_dir), ["stockName", "stockTime"]
+    if hot is not None:
+        trades, parts, by, keys = with_segments(trades, hot), hot.parts, ("stockName", "segment"), [*keys, "segment"]
     trades = (
-        dealt(_trades(spark, sf_dir), parts, *by)
+        dealt(trades, parts, *by)
         .withColumn("price", rnd("raw", 2))
         .withColumn("high", rnd(F.col("price") * (1 + F.col("l_tax")), 2))
         .withColumn("low", rnd(F.col("price") * (1 - F.col("l_discount")), 2))
     )
-    return trades.groupBy("stockName", "stockTime").agg(
+    return trades.groupBy(*keys).agg(
         F.min_by("price", "seq").alias("priceOpen"),
         F.max("high").alias("high"),
         F.min("low").alias("low"),
