@@ -113,9 +113,11 @@ def overlap(bars: DataFrame, hot: HotSymbols, lookback: int) -> DataFrame:
     come with their ``segment`` and so dealt; after that only copies are. Only the last bars of each segment are ranked and copied.
     """
     tagged = bars if "segment" in bars.columns else dealt(with_segments(bars, hot), hot.parts, "stockName", "segment")
+    # the join below has no use for bars without a symbol: left out here as well, both read the same shuffle
+    named, nameless = tagged.filter(F.col("stockName").isNotNull()), tagged.filter(F.col("stockName").isNull())
     by_symbol = Window.partitionBy("stockName").orderBy("segment")
     segments = (
-        tagged.groupBy("stockName", "segment")
+        named.groupBy("stockName", "segment")
         .agg(F.count("*").alias("n"))
         .withColumn("start", F.sum("n").over(by_symbol) - F.col("n"))  # bars before the segment
     )
@@ -124,7 +126,7 @@ def overlap(bars: DataFrame, hot: HotSymbols, lookback: int) -> DataFrame:
     following = F.collect_list(F.struct("segment", "start")).over(by_symbol.rowsBetween(1, lookback))
     segments = segments.withColumn("following", following).filter(F.size("following") > 0)
     newest_first = Window.partitionBy("stockName", "segment").orderBy(F.col("stockTime").desc())
-    tail = tagged.withColumn("back", F.row_number().over(newest_first)).filter(F.col("back") <= lookback)
+    tail = named.withColumn("back", F.row_number().over(newest_first)).filter(F.col("back") <= lookback)
     ordinal = F.col("start") + F.col("n") - F.col("back") + 1
     copies = (
         tail.join(segments, ["stockName", "segment"])
@@ -134,8 +136,9 @@ def overlap(bars: DataFrame, hot: HotSymbols, lookback: int) -> DataFrame:
     )
     columns = [*[x for x in bars.columns if x != "segment"], "segment"]
     copies = dealt(copies.select(*columns, F.lit(True).alias("_before")), hot.parts, "stockName", "segment")
-    # both dealt alike, which the union keeps
-    return tagged.select(*columns, F.lit(False).alias("_before")).unionByName(copies)
+    # all dealt alike, which the union keeps
+    named, nameless = (x.select(*columns, F.lit(False).alias("_before")) for x in (named, nameless))
+    return named.unionByName(nameless).unionByName(copies)
 
 
 def number_bars(bars: DataFrame, hot: HotSymbols | str | None = MEASURE, name: str = "bar_no") -> DataFrame:
